@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, simhash, token_count, url_filter
+from pyspark.sql import functions as F
+
+from . import bpe, exact_dedup, license_scan, packing, pii, quality, secrets, simhash, token_count, url_filter
 from .common import table
 
 #: (action, host, path)
@@ -20,6 +22,10 @@ URL_RULES = [
 ]
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("content_hash")
 
@@ -28,22 +34,72 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    out = bpe.decode_documents(encoded, ranks)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", *(f"pii.{c}" for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, packing.SPECIAL)
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"), "doc_id").drop("base_spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_exact_dedup, op3_token_counts, op5_url_filter, op9_simhash]
+    own = [
+        op1_quality_rules, op2_exact_dedup, op3_token_counts, op4_byte_bpe, op5_url_filter,
+        op6_personal_data, op7_packing, op8_license_scan, op9_simhash, op10_secrets,
+    ]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_quality_rules": r"""
+            WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+            w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+            win AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i+7], ' '))) AS s,
+                           unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8),
+            rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+            cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM rep) GROUP BY doc_id),
+            raw AS (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS place FROM d),
+            ln AS (SELECT doc_id, host, t, line, place, trim(translate(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ') AS norm FROM raw),
+            dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM ln WHERE norm <> '' GROUP BY doc_id),
+            hosts AS (SELECT host, count(*) AS n FROM d GROUP BY host),
+            freq AS (SELECT host, norm, min(doc_id) AS first FROM ln JOIN hosts USING (host) WHERE norm <> ''
+                     GROUP BY host, norm, n HAVING count(DISTINCT t) > 50 AND count(DISTINCT t) > 0.01 * n),
+            gone AS (SELECT doc_id, sum(len(string_split(norm, ' '))) AS n FROM ln JOIN freq USING (host, norm) WHERE doc_id <> first GROUP BY doc_id),
+            m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+                         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+                         coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_removed_words
+                  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN gone USING (doc_id)),
+            v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+                         n_removed_words > 0 AND (n_words - n_removed_words < 20 OR n_removed_words > 0.8 * n_words) AS depleted FROM m)
+            SELECT *, NOT base_failed AND NOT depleted AS kept FROM v""",
         "op2_exact_dedup": r"""
             WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
             SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -59,3 +115,10 @@ def oracle_sql() -> dict[str, str]:
                   FROM u, r WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
             SELECT u.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM u LEFT JOIN m ON u.page_id = m.page_id""",
     }
+
+
+def pipeline():
+    """The module of the staged pipeline, at the top of the repository."""
+    import corpus_pipeline
+
+    return corpus_pipeline
