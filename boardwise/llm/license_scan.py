@@ -54,7 +54,11 @@ def _masks(n: int) -> list[int]:
 
 def bands(hashes: Column) -> Column:
     """Array of MinHash values, one a band."""
-    return F.array(*[F.array_min(F.transform(hashes, lambda x, m=m: x.bitwiseXOR(F.lit(m)))) for m in _masks(BANDS)])
+
+    def least(mask: int) -> Column:
+        return F.array_min(F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(mask))))
+
+    return F.array(*map(least, _masks(BANDS)))
 
 
 def _templates(docs: DataFrame, templates: Sequence[tuple[str, str]]) -> DataFrame:

@@ -2,7 +2,8 @@
 
 The field's nodes are a text's candidates: what the patterns matched, and number groups and addresses that they did not.
 Neighbouring candidates are linked, and so are repeated or similar ones, however far apart (each with the next of
-its likes, so that n repetitions make n - 1 links). Links favour equal labels. Loopy belief propagation then
+its likes, so that n repetitions make n - 1 links). Each is also linked to a match of
+the patterns among its likes. Links favour equal labels. Loopy belief propagation then
 carries labels over the whole text: a number that is a phone number once is one wherever it recurs. Patterns' own
 matches are observed labels and stay. Weights are trained here, by pseudo-likelihood, on generated labelled texts.
 """
@@ -119,19 +120,21 @@ def features(text: str, start: int, end: int) -> list[float]:
 
 
 def links(text: str, nodes: list[tuple[int, int, int]]) -> np.ndarray:
-    """(node, node, kind): candidates near each other, and each with the next same and the next similar one."""
-    out, same, similar = [], {}, {}
-    for i, (_, s, e) in enumerate(nodes):
+    """(node, node, kind): candidates near each other, each with the one before of its likes, and with a match of the
+    patterns among its likes, if there is one. At most three a candidate, however often they repeat."""
+    keys = [_normal(text[s:e]) for _, s, e in nodes]
+    tails = [k.split("@")[0] if "@" in k else k[-7:] for k in keys]
+    sure: dict[str, int] = {}
+    for i, (label, _, _) in enumerate(nodes):
+        if label:
+            sure.setdefault(tails[i], i)
+    out, last = [], {}
+    for i, (label, s, _) in enumerate(nodes):
         if i and s - nodes[i - 1][2] <= NEAR:
             out.append((i - 1, i, CHAIN))
-        key = _normal(text[s:e])
-        tail = key if "@" in key else key[-7:]
-        tail = tail.split("@")[0] if "@" in tail else tail
-        if key in same:
-            out.append((same[key], i, SAME))
-        elif tail in similar:
-            out.append((similar[tail], i, SIMILAR))
-        same[key] = similar[tail] = i
+        for j in {last.get(tails[i], i), i if label else sure.get(tails[i], i)} - {i}:
+            out.append((j, i, SAME if keys[j] == keys[i] else SIMILAR))
+        last[tails[i]] = i
     return np.array(out, dtype=np.int64).reshape(-1, 3)
 
 
@@ -204,12 +207,14 @@ def labelled_texts(n: int, seed: int) -> list[tuple[str, list[Span]]]:
             parts = [(r.choice([f"{digits(3)}.{digits(3)}.{digits(3)}", f"{digits(4)} {digits(4)}", f"{r.randrange(300, 999)}.{r.randrange(300, 999)}.10.20"]), None)]
         else:
             parts = [(r.choice([f"look @ {host}", f"{name} @{host}", f"({a}) {b}-{c}", f"{a}-{b}-{c}"]), None)]
-        text, gold = "", []
+        text, gold, cue = "", [], False
         for piece, label in parts:
-            text += " ".join(r.choice(words) for _ in range(r.randrange(1, 30))) + " " if text[-1:] != " " or label is None else ""
+            if not cue:
+                text += " ".join(r.choice(words) for _ in range(r.randrange(1, 30))) + " "
             if label is not None:
                 gold.append((label, len(text), len(text) + len(piece)))
-            text += piece + ("" if piece.endswith(" ") else " ")
+            cue = piece.endswith(" ")
+            text += piece + ("" if cue else " ")
         out.append((text + "end.", gold))
     return out
 
@@ -233,11 +238,11 @@ def trained(n: int = 3000, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
                 neighbours.append(counts[i])
     x, y, c = np.array(xs), np.eye(N_LABELS)[ys], np.array(neighbours)
     node, pair = np.zeros((N_FEATURES, N_LABELS)), np.zeros(3)
-    for _ in range(1500):
+    for _ in range(2500):
         score = x @ node + np.einsum("nkl,k->nl", c, pair)
         p = np.exp(score - score.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        node += 0.5 * (x.T @ (y - p) / len(x) - 1e-3 * node)
+        node += 1.0 * (x.T @ (y - p) / len(x) - 2e-4 * node)
         pair += 0.5 * (np.einsum("nkl,nl->k", c, y - p) / len(x) - 1e-4 * pair)
     return node, pair
 

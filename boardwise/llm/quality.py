@@ -58,15 +58,15 @@ def measured(docs: DataFrame, *keep: str) -> DataFrame:
     """keep's columns of docs, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     text = text_or_empty()
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.select(*keep, text.alias("_text"), words_of(text).alias("_words"), lines.alias("_lines"))
-    out = out.select(
-        *keep,
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("_words")).alias("n_repeat_words"),
-    )
+    parts = F.array(F.struct(text.alias("text"), words_of(text).alias("words"), lines.alias("lines")))
+    measures = F.transform(parts, lambda p: F.struct(
+        F.size(p["words"]).cast("long").alias("n_words"),
+        F.length(F.array_join(p["words"], "")).cast("long").alias("word_chars"),
+        F.regexp_count(p["text"], F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (F.size(p["lines"]) - F.size(F.array_distinct(p["lines"]))).cast("long").alias("n_dup_lines"),
+        repeat_words(p["words"]).alias("n_repeat_words"),
+    ))
+    out = docs.select(*keep, F.inline(measures))  # one row each; no later filter takes these expressions apart
     return out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
