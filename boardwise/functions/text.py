@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Labels of strata and their buckets; other labels mean open, and All sets no filter.
 STRATA = {
@@ -106,7 +107,7 @@ def surnames(pair: Column) -> Column:
     return F.transform(two, lambda x: F.element_at(F.split(F.trim(x), " +"), -1))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def nearest_percentage(page: pd.Series, first: pd.Series, second: pd.Series) -> pd.Series:
     """The percentage with both names from 100 characters ahead of it to 20 behind, whose farther name is nearest."""
 
