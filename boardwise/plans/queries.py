@@ -256,7 +256,7 @@ def timestamps_parsed(s, sf):
 
 def club_codes(s, sf):
     r = views.results(s, sf).select("event_id", F.lit("").alias("club_name"), F.format_string("%08d", F.col("event_id") % 9).alias("club_code"))
-    clubs = table(s, sf, "nation").select(F.col("n_nationkey").cast("string").alias("ffbCode"), F.col("n_name").alias("label")).where("n_nationkey between 1 and 6")
+    clubs = table(s, sf, "nation").select(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("label")).where("n_nationkey between 1 and 6")
     return landing.named_clubs(r, clubs).select("event_id", "club_name")
 
 

@@ -69,7 +69,7 @@ def private_results(raw: DataFrame) -> DataFrame:
     )
 
 
-def named_clubs(results: DataFrame, clubs: DataFrame, code: str = "ffbCode", name: str = "label", share: float = 0.1) -> DataFrame:
+def named_clubs(results: DataFrame, clubs: DataFrame, code: str = "code", name: str = "label", share: float = 0.1) -> DataFrame:
     """Club names by code, leading zeros aside, if fewer than `share` of the results have one; unknown codes keep theirs."""
     known = clubs.select(T.without_leading_zeros(F.col(code)).alias("_code"), F.col(name).alias("_name")).where("_name is not null").groupBy("_code").agg(F.min("_name").alias("_name"))
     stats = results.agg((F.count_if(F.coalesce("club_name", F.lit("")) != "") < share * F.count(F.lit(1))).alias("_few"))

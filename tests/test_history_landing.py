@@ -113,3 +113,19 @@ def test_sidecars_datasets_and_boards(spark, tmp_path):
     spark.createDataFrame([("2024-01-02T00:00:00", 5, 1)], "Date string, session_id long, extra int").write.parquet(f"{tmp_path}/boards")
     b = landing.boards(spark, f"{tmp_path}/boards", ["Date", "session_id", "absent"])
     assert b.dtypes == [("Date", "timestamp_ntz"), ("session_id", "string")] and b.first().session_id == "5"
+
+
+def test_build_job(spark, tmp_path):
+    from boardwise.plans import build
+
+    spark.createDataFrame([("t", 3, json.dumps(PUBLIC)), ("u", 386, json.dumps(PUBLIC[:2])), ("late", 3, json.dumps(PUBLIC))], "tournament_id string, series_id int, payload string").write.parquet(f"{tmp_path}/in/payloads.parquet")
+    spark.createDataFrame([("t", "2024-05-01", "One"), ("u", "2024-05-02", "Two"), ("late", "2024-06-01", "Later")], "tournament_id string, date string, tournament_name string").write.parquet(f"{tmp_path}/in/sessions.parquet")
+    args = ["--landing", f"{tmp_path}/in", "--out", f"{tmp_path}/out", "--if-stale", "--now", "2024-05-03T12:00:00"]
+    assert build.main(args, spark) and not build.main(args, spark)
+    rows = spark.read.parquet(f"{tmp_path}/out/results").orderBy("date", "row_seq").collect()
+    assert [(r.tournament_id, r.pair_id, r.pair_name) for r in rows] == [("t", "11_2", "A B - C"), ("t", "3_4", " - "), ("u", "11_2", "A B - C"), ("u", "3_4", " - ")]
+    people = {r.player_id: r for r in spark.read.parquet(f"{tmp_path}/out/players").collect()}
+    assert people["11"].games_played == 2 and people["11"].scratch_elo == people["2"].scratch_elo > 1500 > people["3"].scratch_elo - 1000
+    values = spark.createDataFrame([("11", 60.0), ("2", 40.0)], "player_id string, iv double")
+    got = build.with_player_values(spark.read.parquet(f"{tmp_path}/out/results").select("player1_id", "player2_id"), values).collect()
+    assert sorted(str(r.pair_iv) for r in got) == ["100.0", "100.0", "None", "None"]
