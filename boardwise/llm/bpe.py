@@ -1,10 +1,11 @@
 """Byte-level BPE: each distinct pre-token of the corpus is encoded once, and texts are put together from the ids.
 
-1. A task cuts blocks of texts into pre-tokens. A block keeps its distinct pre-tokens, numbered, and the numbers by
-   position. That is the explosion into (position, pre-token), run-length coded by pre-token.
-2. The pre-tokens alone are shuffled, by their hash: all blocks' rows of a pre-token meet in one task, which encodes it once and
-   joins the ids to each block's number. A pre-token has one row a block, so even the commonest is no hot key.
-3. The ids return to their blocks, by block, and fill the positions.
+1. A task cuts blocks of texts into pre-tokens. A block keeps its distinct pre-tokens, numbered, and their numbers by
+   position: the explosion into (position, pre-token), coded by dictionary. What stands between spaces repeats,
+   so positions name such stretches, and a table has the pre-tokens of each. Blocks are shuffled by name.
+2. The pre-tokens alone are shuffled on, by their hash: all blocks' rows of a pre-token meet in one task, which encodes it once
+   and joins the ids to each block's number. A pre-token has one row a block, so even the commonest is no hot key.
+3. The ids return to their blocks, which wait where they are, and fill the positions.
 
 Decoding joins ids with the token-byte table, whose size is the vocabulary's, by broadcast.
 """
@@ -12,22 +13,24 @@ Decoding joins ids with the token-byte table, whose size is the vocabulary's, by
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, read_bytes, text_or_empty
-from .pieces import encoding, ranks_of
+from .common import read_bytes, text_or_empty
+from .pieces import cut_text, encoding, ranks_of
 
 #: Characters of texts after which a block ends, and parts that the pre-tokens of a block go out in: one a
 #: shuffle partition of the corpus' distinct pre-tokens.
-BLOCK, PARTS = 12_000_000, 64
+BLOCK, PARTS = 10_000_000, 64
 #: Pre-tokens whose ids a task keeps before it starts afresh. It changes the speed only.
 CACHE = 400_000
 
@@ -59,37 +62,81 @@ def _strings_of(data: bytes) -> list[bytes]:
     return [raw[a:e] for a, e in zip(starts.tolist(), ends.tolist())]
 
 
+class _Stretches(dict):
+    """Numbers of stretches. The pattern sees each distinct one of a block once; its pre-tokens go to the block's table."""
+
+    def __init__(self, block: _Block, before: str):
+        super().__init__()
+        self.block, self.before = block, before
+
+    def __missing__(self, key: str) -> int:
+        b = self.block
+        words, own = b.find(self.before + key), b.numbers
+        n = self[key] = len(b.lengths)
+        b.lengths.append(len(words))
+        b.words.extend([own.setdefault(w, len(own)) for w in words])
+        return n
+
+
 class _Block:
-    """Texts' pre-tokens by position, as numbers of distinct ones."""
+    """Texts' stretches by position, stretches' pre-tokens, and the distinct pre-tokens."""
 
-    def __init__(self):
+    def __init__(self, find: Callable[[str], list[str]]):
+        self.find = find
         self.numbers: dict[str, int] = {}
+        self.lengths, self.words = array("I"), array("I")
+        self.plain, self.spaced = _Stretches(self, ""), _Stretches(self, " ")
         self.codes: list[np.ndarray] = []
         self.ids: list = []
         self.chars = 0
 
-    def add(self, doc_id, text: str, words: list[str]) -> None:
-        own = self.numbers
-        self.codes.append(np.array([own.setdefault(w, len(own)) for w in words], dtype=np.uint32))
+    def add(self, doc_id, text: str) -> None:
+        plain, spaced, found = self.plain, self.spaced.__getitem__, []
+        for k, (first, *rest) in enumerate(cut_text(text)):
+            if k:
+                found.append(plain["\n"])
+            if first:
+                found.append(plain[first])
+            found.extend(map(spaced, rest))
+        self.codes.append(np.array(found, dtype=np.uint32))
         self.ids.append(doc_id)
         self.chars += len(text) + 100
 
     def rows(self, block: str, parts: int) -> Iterator[tuple]:
-        """One row with positions (part -1), and one for each part of the distinct pre-tokens, sorted."""
+        """One row with positions (part -1), and one for each part of the distinct pre-tokens.
+
+        Numbers go by frequency here, so that most are small; a part's are sorted, and sent as differences.
+        """
         words = [w.encode() for w in self.numbers]
         part = np.array([zlib.crc32(w) % parts for w in words], dtype=np.int64)
-        order = sorted(range(len(words)), key=lambda i: (part[i], words[i]))
-        place = np.empty(len(words), dtype=np.uint32)
-        place[order] = np.arange(len(words), dtype=np.uint32)
-        sizes = np.array([len(c) for c in self.codes], dtype=np.uint32)
-        flat = place[np.concatenate(self.codes)] if len(words) else np.empty(0, np.uint32)
-        yield block, -1, self.ids, _packed(sizes), _packed(flat)
+        flat = np.concatenate(self.codes)
+        lengths, inner = np.array(self.lengths, dtype=np.int64), np.array(self.words, dtype=np.int64)
+        times = np.bincount(flat, minlength=len(lengths))
+        order, rank = _by_frequency(times)
+        word_order, word_rank = _by_frequency(np.bincount(inner, np.repeat(times, lengths), len(words)))
+        starts = np.cumsum(lengths) - lengths
+        own = lengths[order]
+        at = np.repeat(starts[order] - (np.cumsum(own) - own), own) + np.arange(len(inner))
+        table = [_packed(own), _packed(word_rank[inner[at]])]
+        sizes = np.array([len(c) for c in self.codes])
+        yield block, -1, self.ids, _strings([_packed(sizes), *table]), _packed(rank[flat])
+        sent = part[word_order]
         for p in np.unique(part):
-            yield block, int(p), [], None, _strings([words[i] for i in order if part[i] == p])
+            mine = word_order[sent == p]
+            yield block, int(p), [], _packed(np.diff(word_rank[mine], prepend=0)), _strings([words[i] for i in mine.tolist()])
+
+
+def _by_frequency(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from the most frequent on, and the place of each there."""
+    order = np.argsort(-times, kind="stable")
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    return order, rank
 
 
 def _cut(docs: DataFrame, pattern: str, parts: int, size: int) -> DataFrame:
-    """Blocks' rows. A block is named by its partition and its first document; its rows come from one evaluation."""
+    """Blocks' rows. Blocks are named by partition and number, so a lost task's are made anew as they were: a scan's rows keep
+    their partitions and order. What has no such order must be written or checkpointed before."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,21 +151,26 @@ def _cut(docs: DataFrame, pattern: str, parts: int, size: int) -> DataFrame:
                     names=["block", "part", "ids", "sizes", "data"],
                 )
 
-        block, id_type = _Block(), pa.int64()
+        block, id_type = _Block(find), pa.int64()
         for b in batches:
             id_type = b.column("doc_id").type
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("_text")):
-                t = text.as_py()
-                block.add(doc_id, t, find(t))
+                block.add(doc_id, text.as_py())
                 if block.chars >= size:
                     yield from out(block)
-                    block, made = _Block(), made + 1
+                    block, made = _Block(find), made + 1
         if block.ids:
             yield from out(block)
 
     return docs.select("doc_id", text_or_empty().alias("_text")).mapInArrow(run, f"block string, part int, ids array<{kind}>, sizes binary, data binary")
 
 
+def _words_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of pre-tokens, as a function so that the filter stays behind the shuffle that both branches read."""
+    for b in batches:
+        yield b.filter(pc.greater_equal(b.column("part"), 0)).select(["block", "part", "sizes", "data"])
+
+
 def _encode_distinct(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """words' rows with each pre-token replaced by its ids; all rows of a part are in one task."""
     content = words.sparkSession.sparkContext.broadcast(read_bytes(ranks_path))
@@ -137,9 +189,9 @@ def _encode_distinct(words: DataFrame, ranks_path: str, pattern: str) -> DataFra
                         got = known[w] = np.array(encode(w.decode()), dtype="<u4").tobytes()
                     ids.append(got)
                 out.append(_strings(ids))
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("part"), pa.array(out, pa.binary())], names=["block", "part", "data"])
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("sizes"), pa.array(out, pa.binary())], names=["block", "numbers", "data"])
 
-    return words.select("block", "part", "data").mapInArrow(run, "block string, part int, data binary")
+    return words.select("block", "sizes", "data").mapInArrow(run, "block string, numbers binary, data binary")
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, parts: int = PARTS, block: int = BLOCK) -> DataFrame:
@@ -150,21 +202,27 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, parts: int
     empty result. A very long text makes its own block.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    rows = checkpointed(_cut(docs, pattern, parts, block))  # blocks are numbered once, whatever is lost later
-    words = rows.where("part >= 0").repartition(parts, "part")
-    ids = _encode_distinct(words, ranks_path, pattern)
-    places = rows.where("part < 0")
+    rows = _cut(docs, pattern, parts, block)
+    blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = rows.repartition(blocks, "block")  # both branches below read this one shuffle
+    ids = _encode_distinct(kept.mapInArrow(_words_only, "block string, part int, sizes binary, data binary").repartition(parts, "part"), ranks_path, pattern)
 
     def fill(own: pd.DataFrame, tokens: pd.DataFrame) -> pd.DataFrame:
-        parts_ = tokens.sort_values("part")["data"]
-        table = [x for data in parts_ for x in _strings_of(data)]
-        codes, sizes = _unpacked(own["data"].iloc[0]), _unpacked(own["sizes"].iloc[0])
-        ends = np.cumsum(sizes, dtype=np.int64)
-        out = [b"".join([table[c] for c in codes[e - n : e].tolist()]) for n, e in zip(sizes.tolist(), ends.tolist())]
-        doc_ids = list(own["ids"].iloc[0])
-        return pd.DataFrame({"doc_id": pd.Series(doc_ids, dtype="object"), "n_tokens": [len(x) // 4 for x in out], "ids": out})
-
-    return places.groupBy("block").cogroup(ids.groupBy("block")).applyInPandas(fill, f"doc_id {kind}, n_tokens long, ids binary")
+        own = own[own["part"] < 0]
+        table = [b""] * sum(len(_unpacked(x)) for x in tokens["numbers"])
+        for numbers, data in zip(tokens["numbers"], tokens["data"]):
+            for i, ids in zip(np.cumsum(_unpacked(numbers)).tolist(), _strings_of(data)):
+                table[i] = ids
+        sizes, lengths, words = map(_unpacked, _strings_of(own["sizes"].iloc[0]))
+        words, stretches, at = words.tolist(), [], 0
+        for n in lengths.tolist():
+            stretches.append(b"".join([table[w] for w in words[at : at + n]]) if n != 1 else table[words[at]])
+            at += n
+        codes, ends = _unpacked(own["data"].iloc[0]), np.cumsum(sizes, dtype=np.int64)
+        out = [b"".join([stretches[c] for c in codes[e - n : e].tolist()]) for n, e in zip(sizes.tolist(), ends.tolist())]
+        return pd.DataFrame({"doc_id": pd.Series(list(own["ids"].iloc[0]), dtype="object"), "n_tokens": [len(x) // 4 for x in out], "ids": out})
+
+    return kept.groupBy("block").cogroup(ids.groupBy("block")).applyInPandas(fill, f"doc_id {kind}, n_tokens long, ids binary")
 
 
 def token_bytes(ranks_path: str) -> list[bytes]:

@@ -30,6 +30,17 @@ def encoding(content: bytes, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks_of(content), special_tokens={})
 
 
+def cut_text(text: str) -> list[list[str]]:
+    """Stretches by line: a line's first one as it stands, the others without the space ahead of them.
+
+    The text is its lines joined by newlines. Each stretch, with its space, and each of those newlines is cut by the pattern apart.
+    """
+    lines = text.split("\n") if _open_newline.search(text) is None else [text]
+    if _open_space.search(text) is None:
+        return [line.split(" ") for line in lines]
+    return [_cut.split(line) for line in lines]
+
+
 class _Kept(dict):
     def __init__(self, encode, before: str):
         super().__init__()
@@ -53,10 +64,8 @@ class Encoder:
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if special else None
 
     def ordinary(self, text: str) -> bytes:
-        lines = text.split("\n") if _open_newline.search(text) is None else [text]
         out, spaced, plain = [], self.spaced, self.plain
-        for line in lines:
-            first, *rest = line.split(" ") if _open_space.search(line) is None else _cut.split(line)
+        for first, *rest in cut_text(text):
             out.append(b"".join([plain[first], *[spaced[x] for x in rest]]))
         return self.newline.join(out)
 

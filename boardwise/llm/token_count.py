@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_bytes, text_or_empty
+from .common import checkpointed, read_bytes, text_or_empty
 
 MARK, NEWLINE = "\u2581", "\ue000"  # the model's space mark; stands for a newline that no space precedes
 #: Entries of the frequent tier, the share of documents it is taken from, each partition's part of the candidates,
@@ -73,7 +73,11 @@ def _of_worker(model: bytes) -> Lengths:
 
 
 def frequent_lengths(docs: DataFrame, model: bytes, text: str = "text", share: float = SAMPLE, most: int = FREQUENT) -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens of a sample of documents: at most `most` entries reach the driver."""
+    """Lengths of the most frequent pre-tokens of a sample of documents.
+
+    At most `most` entries reach the driver, from all tasks together: counts are first put into levels, an eighth of a doubling
+    each, and whole levels are taken from the top as long as they fit.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -86,8 +90,15 @@ def frequent_lengths(docs: DataFrame, model: bytes, text: str = "text", share: f
         yield pa.RecordBatch.from_pydict({"pre_token": pa.array([k for k, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
 
     sample = docs.select(text_or_empty(text).alias("text")).sample(share, seed=17)
-    counted = sample.mapInArrow(count, "pre_token string, n long").groupBy("pre_token").agg(F.sum("n").alias("n"))
-    top = counted.where("length(pre_token) <= 64").orderBy(F.desc("n"), "pre_token").limit(most).collect()
+    counted = sample.mapInArrow(count, "pre_token string, n long").groupBy("pre_token").agg(F.sum("n").alias("n")).where("length(pre_token) <= 64")
+    counted = checkpointed(counted.withColumn("level", F.floor(8 * F.log2("n")).cast("int")))
+    taken, least = 0, None
+    for r in sorted(counted.groupBy("level").count().collect(), reverse=True):  # 8 * 64 levels at most
+        taken += r["count"]
+        if taken > most:
+            break
+        least = r["level"]
+    top = counted.where(F.col("level") >= least).select("pre_token").collect() if least is not None else []
     lengths = Lengths(model)
     return {r.pre_token: lengths[r.pre_token] for r in top}
 

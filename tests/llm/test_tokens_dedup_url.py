@@ -42,6 +42,15 @@ def test_a_full_worker_cache_starts_afresh(monkeypatch):
     assert token_count.text_length("a b c d a", {}, rest) == 5 and len(rest) <= 2
 
 
+def test_the_frequent_tier_is_bounded_and_right(spark):
+    model, sp = open(MODEL, "rb").read(), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    docs = spark.createDataFrame([(i, f"the of the of the w{i} rare{i}") for i in range(300)], "doc_id long, text string")
+    tier = token_count.frequent_lengths(docs, model, share=1.0, most=5)
+    assert set(tier) == {"the", "of"} and all(n == len(sp.encode(k)) for k, n in tier.items())
+    assert token_count.frequent_lengths(docs, model, share=1.0, most=1) in ({}, {"the": 1})
+    assert token_count.frequent_lengths(docs.limit(0), model) == {}
+
+
 def brute_groups(data):
     norm = {i: re.sub("[\x20\x09-\x0d]+", " ", t or "") for i, t, *_ in data}
     groups = {}
