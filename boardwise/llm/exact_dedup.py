@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import one_space, text_or_empty
+from .common import checkpointed, one_space, text_or_empty
 
 
 def hash128(c: Column) -> Column:
     return F.unhex(F.md5(c))
 
 
+def _hashed(docs: DataFrame, hash_of: Callable[[Column], Column]) -> DataFrame:
+    """docs with _text, the normalised text, and its content_hash."""
+    return docs.withColumn("_text", one_space(text_or_empty())).withColumn("content_hash", hash_of(F.col("_text")))
+
+
+def _classes(base: DataFrame) -> DataFrame:
+    """A row for each text: grouped by hash, and by bytes inside a hash's group."""
+    return base.groupBy("content_hash", "_text").agg(
+        F.min("doc_id").alias("_least"), F.max(F.col("doc_id").isNull()).alias("_null_id"), F.count(F.lit(1)).alias("group_size")
+    )
+
+
 def exact_groups(docs: DataFrame, hash_of: Callable[[Column], Column] = hash128) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 and content_hash for every row of docs.
 
@@ -23,23 +35,19 @@ def exact_groups(docs: DataFrame, hash_of: Callable[[Column], Column] = hash128)
     Other columns, whatever their names, don't matter; an empty table gives an empty result.
 
     Texts go through one shuffle, after equal ones of a task became one row, so that a large group of copies never
-    meets in one task. Only ids and hashes are joined. Hashes that stand for several texts are told apart by the
-    bytes; their table goes out by broadcast, as a 128-bit hash has none to expect: by the birthday bound, 10^12
-    documents have fewer than 10^-14.
+    meets in one task. What comes of it, without texts, is checkpointed; only ids and hashes are joined. Hashes that
+    stand for several texts are told apart by the bytes, of their rows alone; their table goes out by broadcast, as a
+    128-bit hash has none to expect: by the birthday bound, 10^12 documents have fewer than 10^-14.
     """
-    text = one_space(text_or_empty())
-    base = docs.select("doc_id", text.alias("_text")).withColumn("content_hash", hash_of(F.col("_text")))
-    by_bytes = base.groupBy("content_hash", "_text").agg(
-        F.min("doc_id").alias("_least"), F.max(F.col("doc_id").isNull()).alias("_null_id"), F.count(F.lit(1)).alias("group_size")
+    base = _hashed(docs.select("doc_id", "text"), hash_of)
+    found = checkpointed(_classes(base).drop("_text"))
+    collided = F.broadcast(found.groupBy("content_hash").agg(F.count(F.lit(1)).alias("_texts")).where("_texts > 1").select("content_hash", F.lit(True).alias("_collided")))
+    told = _classes(base.join(collided, "content_hash", "left_semi")).withColumnRenamed("_text", "_told")
+    classes = found.join(collided, "content_hash", "left_anti").unionByName(told, allowMissingColumns=True)
+    classes = classes.select(F.col("content_hash").alias("_hash"), "_told", F.when(~F.col("_null_id"), F.col("_least")).alias("keep_id"), "group_size")
+    rows = base.join(collided, "content_hash", "left").select(
+        "content_hash", F.when(F.col("_collided"), F.col("_text")).alias("_told"), "doc_id", F.unhex(F.sha2("_text", 256)).alias("_sha")
     )
-    collided = by_bytes.groupBy("content_hash").agg(F.count(F.lit(1)).alias("_texts")).where("_texts > 1").select("content_hash", F.lit(True).alias("_collided"))
-    told = F.when(F.col("_collided"), F.col("_text"))  # null, and so not shipped, for all but collided hashes
-
-    def marked(df: DataFrame, *cols: str | Column) -> DataFrame:
-        return df.join(F.broadcast(collided), "content_hash", "left").select("content_hash", told.alias("_told"), *cols)
-
-    classes = marked(by_bytes, F.when(~F.col("_null_id"), F.col("_least")).alias("keep_id"), "group_size").withColumnRenamed("content_hash", "_hash")
-    rows = marked(base, "doc_id", F.unhex(F.sha2("_text", 256)).alias("_sha"))
     same = (F.col("content_hash") == F.col("_hash")) & rows["_told"].eqNullSafe(classes["_told"])
     out = rows.join(classes, same).select("doc_id", "keep_id", "group_size", "content_hash", "_sha")
     first = F.row_number().over(Window.partitionBy("doc_id", "content_hash", "_sha").orderBy("keep_id")) == 1
