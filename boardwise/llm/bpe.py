@@ -67,14 +67,14 @@ class _Stretches(dict):
 
     def __init__(self, block: _Block, before: str):
         super().__init__()
-        self.block, self.before = block, before
+        # The block itself is not kept: as a cycle it would outlive its rows until a full garbage collection.
+        self.find, self.numbers, self.lengths, self.words, self.before = block.find, block.numbers, block.lengths, block.words, before
 
     def __missing__(self, key: str) -> int:
-        b = self.block
-        words, own = b.find(self.before + key), b.numbers
-        n = self[key] = len(b.lengths)
-        b.lengths.append(len(words))
-        b.words.extend([own.setdefault(w, len(own)) for w in words])
+        words, own = self.find(self.before + key), self.numbers
+        n = self[key] = len(self.lengths)
+        self.lengths.append(len(words))
+        self.words.extend([own.setdefault(w, len(own)) for w in words])
         return n
 
 
