@@ -57,7 +57,16 @@ def exact_groups(docs: DataFrame, hash_of: Callable[[Column], Column] = hash128)
     )
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with docs' columns: one for each text. doc_id is the table's key."""
-    stay = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_stay"))
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates(["doc_id", "text"])
+def drop_copies(docs: DataFrame, hash_of: Callable[[Column], Column] = hash128) -> DataFrame:
+    """The row of docs with the smallest doc_id of each text, with docs' columns; null doc_ids come first.
+
+    Groups are those of exact_groups. Of repeated rows, the one with the smallest hash of its own text stays.
+    Whole rows go through one shuffle, one for each text and task. A row's own text goes along only where it differs
+    from the normalised one.
+    """
+    base = _hashed(docs.withColumn("_row", F.struct(*[c for c in docs.columns if c != "text"])).select("doc_id", "text", "_row"), hash_of)
+    own = F.when(~F.col("text").eqNullSafe(F.col("_text")), F.struct("text"))
+    first = F.min_by(F.struct("_row", own.alias("_own")), F.struct("doc_id", F.xxhash64("text")))
+    out = base.groupBy("content_hash", "_text").agg(first.alias("_first"))
+    text = F.when(F.col("_first._own").isNull(), F.col("_text")).otherwise(F.col("_first._own.text"))
+    return out.select(*[text.alias(c) if c == "text" else F.col("_first._row")[c].alias(c) for c in docs.columns])

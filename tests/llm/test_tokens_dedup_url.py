@@ -75,6 +75,15 @@ def test_exact_groups_of_repeated_rows_and_null_ids(spark):
     assert sorted((r.doc_id or 0) for r in exact_dedup.drop_copies(docs).collect()) == [0, 1]
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_drop_copies_keeps_whole_rows_of_the_smallest_ids(spark, weak):
+    docs = clashing(documents(spark))
+    kept = exact_dedup.drop_copies(docs, lambda c: F.length(c) % 2) if weak else exact_dedup.drop_copies(docs)
+    stay = {i for i, (_, _, first, _) in brute_groups(rows()).items() if first}
+    assert kept.columns == docs.columns
+    assert {r.doc_id: r for r in kept.collect()} == {r.doc_id: r for r in docs.collect() if r.doc_id in stay}
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert token_count.count_tokens(empty, MODEL).count() == 0
