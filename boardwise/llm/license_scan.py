@@ -34,10 +34,41 @@ TEMPLATES = [
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
 ]
 
+#: What the query scans for: more notices, some of under five words, and BSD texts that tell two clauses from three.
+_GNU = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {0}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS"
+_SPDX = [
+    "MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC",
+    "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0",
+]
+_CC = {"CC-BY": "Attribution", "CC-BY-SA": "Attribution-ShareAlike", "CC-BY-NC": "Attribution-NonCommercial", "CC-BY-ND": "Attribution-NoDerivatives", "CC-BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "CC-BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+NOTICES = [
+    *(t for t in TEMPLATES if t[0] != "BSD-3-Clause"),
+    ("BSD-2-Clause", _BSD.format("")),
+    ("BSD-3-Clause", _BSD.format("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ")),
+    ("MIT", "licensed under the MIT License"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    *(("GPL-2.0" if v == "2" else "GPL-3.0", _GNU.format(w, "", v)) for w in ("program", "library") for v in ("2", "3")),
+    *((f"LGPL-{v if v == '2.1' else '3.0'}", _GNU.format(w, "Lesser ", v)) for w in ("program", "library") for v in ("2.1", "3")),
+    *(("AGPL-3.0", _GNU.format(w, "Affero ", "3")) for w in ("program", "library")),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("CC0-1.0", "Creative Commons CC0 1.0 Universal"),
+    ("CC0-1.0", "Licensed under CC0 1.0."),
+    *((f"{k}-4.0", f"licensed under a Creative Commons {v} 4.0 International License") for k, v in _CC.items()),
+    *((f"{k}-4.0", f"Licensed under {k.replace('-', ' ', 1)} 4.0.") for k in _CC if k != "CC-BY-NC"),
+    *((k, f"SPDX-License-Identifier: {k}") for k in _SPDX),
+]
+
+
+def _bare(text: Column) -> Column:
+    return F.trim(F.regexp_replace(ascii_lower(text), r"[^a-z0-9\x80-\x{10FFFF}]+", " "))
+
 
 def shingles(text: Column) -> Column:
     """Hashes of five-word shingles, in order, of a text's lower-cased letters and digits."""
-    bare = F.trim(F.regexp_replace(ascii_lower(text), r"[^a-z0-9\x80-\x{10FFFF}]+", " "))
+    bare = _bare(text)
     of = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))
     return let(F.split(bare, " "), lambda w: F.when(F.size(w) < SHINGLE, F.array().cast("array<bigint>")).otherwise(of(w)))
 
@@ -62,7 +93,7 @@ def bands(hashes: Column) -> Column:
 
 
 def _templates(docs: DataFrame, templates: Sequence[tuple[str, str]]) -> DataFrame:
-    """license, template (its number), own (distinct shingles), class (its number of shingles' power of two)."""
+    """license, template (its number), own (distinct shingles), class (its number of shingles' power of two). Not of short ones."""
     rows = [(name, i, text) for i, (name, text) in enumerate(templates)]
     df = docs.sparkSession.createDataFrame(rows, "license string, template int, text string")
     own = F.array_distinct(shingles(F.col("text")))
@@ -70,10 +101,37 @@ def _templates(docs: DataFrame, templates: Sequence[tuple[str, str]]) -> DataFra
     return df.withColumn("size_class", F.ceil(F.log2(F.size("own"))).cast("int"))
 
 
-def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = tuple(TEMPLATES), least: float = LEAST) -> DataFrame:
+def _short_hits(docs: DataFrame, templates: Sequence[tuple[str, str]]) -> DataFrame | None:
+    """Hits of the templates of under five words, each found as a whole sequence of words; None without such templates."""
+    rows = docs.sparkSession.createDataFrame([*templates], "license string, text string").select("license", _bare(F.col("text")).alias("words")).collect()
+    if any(not r.words for r in rows):
+        raise ValueError("a template has no word")
+    short = [r for r in rows if len(r.words.split(" ")) < SHINGLE]
+    if not short:
+        return None
+    known = F.array(*[F.struct(F.lit(r.license).alias("license"), F.lit(f" {r.words} ").alias("words")) for r in short])
+    each = docs.select("doc_id", F.concat(F.lit(" "), _bare(text_or_empty()), F.lit(" ")).alias("_words"))
+    at = lambda k: F.instr(F.col("_words"), k["words"])
+    each = each.select("doc_id", F.inline(F.transform(known, lambda k: F.struct(k["license"].alias("license"), F.when(at(k) > 0, F.regexp_count(F.substr("_words", F.lit(1), at(k)), F.lit(" ")) - 1).alias("start")))))
+    return each.where("start is not null").select("doc_id", "license", "start", F.lit(1.0).alias("containment"))
+
+
+def _apart(found: list, least_shared: float = 0.5) -> dict[int, list[list[int]]]:
+    """For each template, its shingles that a near template of another license lacks: one list for each such template."""
+    own = {r.template: (r.license, set(r.own)) for r in found}
+    out = {}
+    for i, (name, a) in own.items():
+        near = [b for other, b in own.values() if other != name and len(a & b) >= least_shared * len(a)]
+        out[i] = [sorted(a - b) for b in near if a - b]
+    return out
+
+
+def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = tuple(TEMPLATES), least: float = LEAST, apart: bool = False) -> DataFrame:
     """doc_id, license, containment (of its best template) and first_word (of the first such window) of each license found.
 
-    A license counts if a window of the text holds at least `least` of the distinct shingles of one of its templates.
+    A license counts if a window of the text holds at least `least` of the distinct shingles of one of its templates;
+    with `apart`, also over half of those that tell it from each near template of another license. Templates of
+    under five words are found as whole sequences.
     Windows of class c have 2 * 2^c shingles and start at every 2^c-th. Null and short texts hold none. Repeated rows
     count as one document, null doc_ids too; other columns don't matter; an empty table gives an empty result.
     """
@@ -92,5 +150,10 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = tuple(
     of_templates = known.select("license", "template", "size_class", "own", F.posexplode(bands(F.col("own"))).alias("band", "value"))
     met = keyed.join(F.broadcast(of_templates), ["size_class", "band", "value"])  # at most MAX_WORDS hashes
     share = F.size(F.array_intersect("own", "_own")) / F.size("own")
+    if apart:
+        tells = docs.sparkSession.createDataFrame([*_apart(found).items()], "template int, apart array<array<bigint>>")
+        met = met.where(share >= least).join(F.broadcast(tells), "template").where(F.forall("apart", lambda x: 2 * F.size(F.array_intersect(x, F.col("_own"))) > F.size(x)))
     met = met.select("doc_id", "license", "start", share.alias("containment")).where(F.col("containment") >= least)
+    if (short := _short_hits(docs, templates)) is not None:
+        met = met.unionByName(short)
     return met.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("start").cast("long").alias("first_word"))
