@@ -28,11 +28,10 @@ from pyspark.sql import functions as F
 from .common import read_bytes, text_or_empty
 from .pieces import cut_text, encoding, ranks_of
 
-#: Characters of texts after which a block ends, and parts that the pre-tokens of a block go out in: one a
-#: shuffle partition of the corpus' distinct pre-tokens.
-BLOCK, PARTS = 10_000_000, 64
-#: Pre-tokens whose ids a task keeps before it starts afresh. It changes the speed only.
-CACHE = 400_000
+#: Characters of a block's texts; a longer text is a block of its own.
+BLOCK = 8_000_000
+#: Parts that distinct pre-tokens go to by hash, for each shuffle partition. A task has one part's in memory at a time.
+PARTS = 2
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -155,10 +154,11 @@ def _cut(docs: DataFrame, pattern: str, parts: int, size: int) -> DataFrame:
         for b in batches:
             id_type = b.column("doc_id").type
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("_text")):
-                block.add(doc_id, text.as_py())
-                if block.chars >= size:
+                text = text.as_py()
+                if block.ids and block.chars + len(text) > size:
                     yield from out(block)
                     block, made = _Block(find), made + 1
+                block.add(doc_id, text)
         if block.ids:
             yield from out(block)
 
@@ -172,57 +172,68 @@ def _words_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _encode_distinct(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """words' rows with each pre-token replaced by its ids; all rows of a part are in one task."""
+    """words' rows with each pre-token replaced by its ids. All rows of a part stand together in one task, so each distinct
+    pre-token is encoded once, and only one part's ids are held."""
     content = words.sparkSession.sparkContext.broadcast(read_bytes(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, known = encoding(content.value, pattern).encode_ordinary, {}
+        encode, known, at = encoding(content.value, pattern).encode_ordinary, {}, None
         for b in batches:
             out = []
-            for data in b.column("data").to_pylist():
+            for part, data in zip(b.column("part").to_pylist(), b.column("data")):
+                if part != at:
+                    known, at = {}, part
                 ids = []
-                for w in _strings_of(data):
+                for w in _strings_of(data.as_py()):
                     got = known.get(w)
                     if got is None:
-                        if len(known) >= CACHE:
-                            known.clear()
                         got = known[w] = np.array(encode(w.decode()), dtype="<u4").tobytes()
                     ids.append(got)
                 out.append(_strings(ids))
             yield pa.RecordBatch.from_arrays([b.column("block"), b.column("sizes"), pa.array(out, pa.binary())], names=["block", "numbers", "data"])
 
-    return words.select("block", "sizes", "data").mapInArrow(run, "block string, numbers binary, data binary")
+    return words.sortWithinPartitions("part").mapInArrow(run, "block string, numbers binary, data binary")
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, parts: int = PARTS, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of every row of docs.
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, parts: int | None = None, block: int = BLOCK, decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of every row of docs; with `decoded`, also the
+    bytes that the ids stand for, by the token-byte table, in the task that has the ids at hand.
 
     Each match of pattern is encoded separately and no string is special. Null and empty texts have no ids. Repeated
     rows each have their row, null doc_ids are carried along, other columns don't matter, and an empty table gives an
-    empty result. A very long text makes its own block.
+    empty result. No block but that of a longer text has more than `block` characters, and parts follow the shuffle
+    partitions, so what a task holds does not grow with the corpus.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    rows = _cut(docs, pattern, parts, block)
-    blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept = rows.repartition(blocks, "block")  # both branches below read this one shuffle
-    ids = _encode_distinct(kept.mapInArrow(_words_only, "block string, part int, sizes binary, data binary").repartition(parts, "part"), ranks_path, pattern)
-
-    def fill(own: pd.DataFrame, tokens: pd.DataFrame) -> pd.DataFrame:
-        own = own[own["part"] < 0]
-        table = [b""] * sum(len(_unpacked(x)) for x in tokens["numbers"])
-        for numbers, data in zip(tokens["numbers"], tokens["data"]):
-            for i, ids in zip(np.cumsum(_unpacked(numbers)).tolist(), _strings_of(data)):
-                table[i] = ids
-        sizes, lengths, words = map(_unpacked, _strings_of(own["sizes"].iloc[0]))
-        words, stretches, at = words.tolist(), [], 0
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _cut(docs, pattern, parts or PARTS * partitions, block)
+    kept = rows.repartition(partitions, "block")  # both branches below read this one shuffle
+    words = kept.mapInArrow(_words_only, "block string, part int, sizes binary, data binary").repartition(partitions, "part")
+    ids = _encode_distinct(words, ranks_path, pattern)
+    sent = docs.sparkSession.sparkContext.broadcast(token_bytes(ranks_path)) if decoded else None
+
+    def fill(own: pa.Table, tokens: pa.Table) -> pa.Table:
+        own = own.filter(pc.less(own.column("part"), 0))
+        numbers = [_unpacked(x.as_py()) for x in tokens.column("numbers")]
+        table = [b""] * sum(map(len, numbers))
+        for places, data in zip(numbers, tokens.column("data")):
+            for i, got in zip(np.cumsum(places).tolist(), _strings_of(data.as_py())):
+                table[i] = got
+        sizes, lengths, inner = map(_unpacked, _strings_of(own.column("sizes")[0].as_py()))
+        stretches, at = [], 0
         for n in lengths.tolist():
-            stretches.append(b"".join([table[w] for w in words[at : at + n]]) if n != 1 else table[words[at]])
+            stretches.append(b"".join([table[w] for w in inner[at : at + n].tolist()]))
             at += n
-        codes, ends = _unpacked(own["data"].iloc[0]), np.cumsum(sizes, dtype=np.int64)
+        codes, ends = _unpacked(own.column("data")[0].as_py()), np.cumsum(sizes, dtype=np.int64)
         out = [b"".join([stretches[c] for c in codes[e - n : e].tolist()]) for n, e in zip(sizes.tolist(), ends.tolist())]
-        return pd.DataFrame({"doc_id": pd.Series(list(own["ids"].iloc[0]), dtype="object"), "n_tokens": [len(x) // 4 for x in out], "ids": out})
+        doc_ids = own.column("ids")[0].values
+        columns = {"doc_id": doc_ids, "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64()), "ids": pa.array(out, pa.binary())}
+        if sent is not None:
+            columns["decoded"] = pa.array([_decode(x, sent.value) for x in out], pa.binary())
+        return pa.table(columns)
 
-    return kept.groupBy("block").cogroup(ids.groupBy("block")).applyInPandas(fill, f"doc_id {kind}, n_tokens long, ids binary")
+    schema = f"doc_id {kind}, n_tokens long, ids binary" + (", decoded binary" if decoded else "")
+    return kept.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(fill, schema)
 
 
 def token_bytes(ranks_path: str) -> list[bytes]:
@@ -234,13 +245,19 @@ def token_bytes(ranks_path: str) -> list[bytes]:
     return out
 
 
+def _decode(ids: bytes, table: list[bytes]) -> bytes:
+    return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
+
+
 def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """encoded with a binary column `decoded`, the bytes that ids stand for. The table has the vocabulary's size."""
+    """encoded with a binary column `decoded`, the bytes that ids stand for; null ids give null.
+
+    The table has the vocabulary's size. Repeated rows and other columns stay; an empty table gives an empty result.
+    """
     table = encoded.sparkSession.sparkContext.broadcast(token_bytes(ranks_path))
 
     @F.pandas_udf("binary")
     def decode(ids: pd.Series) -> pd.Series:
-        t = table.value
-        return pd.Series([b"".join([t[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in ids], dtype="object")
+        return pd.Series([None if x is None else _decode(x, table.value) for x in ids], dtype="object")
 
     return encoded.withColumn("decoded", decode("ids"))

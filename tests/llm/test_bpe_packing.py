@@ -20,10 +20,11 @@ def tiktoken_encode():
     return pieces.encoding(open(RANKS, "rb").read(), P.PATTERN).encode_ordinary
 
 
-@pytest.mark.parametrize("parts,block", [(64, bpe.BLOCK), (3, 50)])
+@pytest.mark.parametrize("parts,block", [(64, bpe.BLOCK), (3, 50), (None, 20_000)])
 def test_ids_equal_the_librarys_and_decode_to_the_text(spark, tiktoken_encode, parts, block):
-    encoded = bpe.encode_documents(clashing(documents(spark)), RANKS, P.PATTERN, parts, block)
+    encoded = bpe.encode_documents(clashing(documents(spark)), RANKS, P.PATTERN, parts, block, decoded=True).withColumnRenamed("decoded", "at_once")
     got = by_id(bpe.decode_documents(encoded, RANKS))
+    assert all(r.at_once == r.decoded for r in got.values())
     for i, t in enumerate(TEXTS):
         ids = np.array(tiktoken_encode(t or ""), dtype="<u4")
         assert (got[i].n_tokens, bytes(got[i].ids), bytes(got[i].decoded)) == (len(ids), ids.tobytes(), (t or "").encode()), t
