@@ -29,7 +29,7 @@ from .common import read_bytes, text_or_empty
 from .pieces import cut_text, encoding, ranks_of
 
 #: Characters of a block's texts; a longer text is a block of its own.
-BLOCK = 8_000_000
+BLOCK = 12_000_000
 #: Parts that distinct pre-tokens go to by hash, for each shuffle partition. A task has one part's in memory at a time.
 PARTS = 2
 
