@@ -1,11 +1,17 @@
-"""Near-copies by Jaccard similarity of word shingles: MinHash bands bring texts together, exact similarity links them.
+"""Near copies by SimHash: several short fingerprints of a text bring near ones together, exact similarity links them.
 
-Two texts of similarity s share one of BANDS bands of ROWS MinHash values with a probability of 1 - (1 - s**ROWS)**BANDS,
-over 0.9997 at 0.8. Fingerprints don't reach that: at 0.8, those of SimHash differ in about 10 of 64 bits.
+One fingerprint of 64 bits doesn't do: at a Jaccard similarity of 0.8, two differ in about 10 bits. So a text has `tables`
+fingerprints of `bits` bits, from independent hashes of its shingles. Within each table, fingerprints meet in the middle
+as in simhash.py. Two texts of similarity s differ in a bit with a probability of acos(2 s / (1 + s)) / pi; there are
+so many tables that a pair of the least similarity is within 4 bits in one of them with a probability of FOUND.
+
+Pairs that meet are verified twice. By 128 further bits of fingerprint at once, where they meet: these tell chance from
+likeness, so that components of such pairs don't grow with the corpus. Then by exact similarity, in each component.
 """
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 from itertools import accumulate
@@ -18,15 +24,29 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, text_or_empty
 from .components import connected_components
-
-SEED, SHINGLE, LEAST, BANDS, ROWS = 42, 5, 0.8, 16, 4
-#: Texts of a bucket that are compared with each other in one task; a larger bucket goes to a task for each pair of its parts.
+from .simhash import RADIUS, SEED, component_ids, keep_smallest, majority, meet_in_the_middle
+
+SHINGLE, LEAST, FOUND = 5, 0.8, 0.99
+#: Of the 128 bits, how many may differ: at 0.8, 19 do, and over 36 with 3 in 100,000; of unlike texts, 64 do.
+KEY_BITS = 36
+#: Chance meetings of a fingerprint in a table, at most; with more fingerprints than that allows, they get more bits.
+CHANCE = 16
+#: Texts of a component that are compared with each other in one task; a larger one goes to a task for each pair of its parts.
 PART = 1024
-#: Shingles whose MinHash values are taken at once.
-BLOCK = 1 << 13
 
-_random = random.Random(SEED)
-_ODD = np.array([_random.getrandbits(64) | 1 for _ in range(BANDS * ROWS)], dtype=np.uint64)[:, None]
+
+def table_shape(n: int, least: float = LEAST) -> tuple[int, int]:
+    """Bits and tables for n texts."""
+    ball = lambda b: sum(math.comb(b, k) for k in range(2 * RADIUS + 1))
+    bits = next((b for b in range(32, 64, 4) if n * ball(b) >> b <= CHANCE), 64)
+    p = math.acos(2 * least / (1 + least)) / math.pi
+    met = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(2 * RADIUS + 1))
+    return bits, math.ceil(math.log(1 - FOUND) / math.log(1 - met))
+
+
+def _words(n: int) -> tuple[np.ndarray, np.ndarray]:
+    r = random.Random(SEED)
+    return tuple(np.array([r.getrandbits(64) | 1 for _ in range(n)], dtype=np.uint64) for _ in range(2))
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -40,33 +60,40 @@ def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:e], SEED) for a, e in zip(starts, ends[min(shingle, len(words)) - 1 :])], dtype=np.uint64))
 
 
-def band_keys(own: np.ndarray) -> list[int]:
-    """A signed long for each band of a set's MinHash values."""
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, dtype=np.uint64)
-    for i in range(0, len(own), BLOCK):
-        np.minimum(least, (own[None, i : i + BLOCK] * _ODD).min(axis=1), out=least)
-    keys = [xxhash.xxh64_intdigest(x.tobytes(), b) for b, x in enumerate(least.reshape(BANDS, ROWS))]
-    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+def signature(own: np.ndarray, bits: int, tables: int) -> tuple[int, int, list[int]]:
+    """Two words of key, and the tables' fingerprints, of a set of shingles: signed longs."""
+    needed = 1 + -(-bits * tables // 64)
+    found = [majority(own)]
+    for add, times in zip(*_words(needed)):
+        h = (own ^ add) * times
+        h ^= h >> np.uint64(29)
+        h *= times
+        found.append(majority(h ^ h >> np.uint64(32)))
+    key = np.packbits(np.array(found[:2]), axis=1, bitorder="little").view("<i8").ravel().tolist()
+    of_tables = np.zeros((tables, 64), dtype=bool)
+    of_tables[:, :bits] = np.concatenate(found[2:])[: bits * tables].reshape(tables, bits)
+    return *key, np.packbits(of_tables, axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
 def _node(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
 
 
-def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, node (a hash of its shingles) and keys (of its bands) of each row."""
+def _signatures(docs: DataFrame, shingle: int, bits: int, tables: int) -> DataFrame:
+    """doc_id, node (a hash of its shingles), k1, k2 and fps of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, keys = [], []
-            for t in b.column("_bytes"):
+            nodes, found = [], []
+            for t in b.column("text"):
                 own = shingle_set(t.as_py(), shingle)
                 nodes.append(_node(own))
-                keys.append(band_keys(own))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
+                found.append(signature(own, bits, tables))
+            columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(nodes, pa.int64()), *columns], names=["doc_id", "node", "k1", "k2", "fps"])
 
-    sent = docs.select("doc_id", text_or_empty().cast("binary").alias("_bytes"))
-    return sent.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, node long, keys array<long>")
+    sent = docs.select("doc_id", text_or_empty().cast("binary").alias("text"))
+    return sent.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, node long, k1 long, k2 long, fps array<long>")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -74,10 +101,10 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [shingle_set(t.as_py(), shingle) for t in b.column("_bytes")]
+            own = [shingle_set(t.as_py(), shingle) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(map(_node, own), pa.int64()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], names=["node", "own"])
 
-    return docs.select(text_or_empty().cast("binary").alias("_bytes")).mapInArrow(run, "node long, own array<long>").dropDuplicates(["node"])
+    return docs.select(text_or_empty().cast("binary").alias("text")).mapInArrow(run, "node long, own array<long>").dropDuplicates(["node"])
 
 
 def links_within(sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
@@ -106,17 +133,24 @@ def links_within(sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int
     return out
 
 
-def _links(docs: DataFrame, nodes: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Links (a, b) between nodes (node, least: a doc_id, keys); docs are read for the texts of those that share a band."""
-    each = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = each.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("x"))
-    buckets = buckets.where("m > 1").groupBy("m", "low", "high", "x").agg(F.min("key").alias("key"))  # one of those with the same nodes
-    met = checkpointed(each.join(buckets.select("key", "m"), "key"))
-    wanted = nodes.join(met.select("node").distinct(), "node").select(F.col("least").alias("_least"))
-    sets = _sets(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi"), shingle)
+def candidates(nodes: DataFrame, n: int, bits: int) -> DataFrame:
+    """node and group of the nodes (node, k1, k2, fps) that meet others: groups are components of verified meetings."""
+    keys = nodes.dropDuplicates(["k1", "k2"]).select("k1", "k2", F.posexplode("fps").alias("t", "fp"))
+    roots = connected_components(meet_in_the_middle(keys, n, bits, KEY_BITS))
+    met = nodes.select("node", "k1").join(roots.select(F.col("node").alias("k1"), "root"), "k1", "left")
+    return met.select("node", F.coalesce("root", "k1").alias("group"))
+
+
+def _links(docs: DataFrame, nodes: DataFrame, met: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links (a, b) between nodes (node, least: a doc_id); docs are read for the texts of those that met (node, group)."""
+    sizes = met.groupBy("group").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    met = checkpointed(met.join(sizes, "group"))
+    wanted = nodes.join(met.select("node"), "node").select(F.col("least").alias("wanted"))
+    own = docs.select("doc_id", "text")
+    sets = _sets(own.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi"), shingle)
     parts = met.withColumn("n", F.ceil(F.col("m") / PART).cast("int")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     parts = parts.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    sent = parts.select("node", "key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).join(sets, "node")
+    sent = parts.select("node", "group", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).join(sets, "node")
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -125,25 +159,24 @@ def _links(docs: DataFrame, nodes: DataFrame, shingle: int, least: float) -> Dat
         links = np.array(links_within(np.split(flat, ends[:-1]), least), dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(ids[links[:, 0]]), "b": pa.array(ids[links[:, 1]])})
 
-    return sent.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    return sent.groupBy("group", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_copy_groups(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """doc_id and component_id (the smallest doc_id that pairs of similarity `least` or more reach) for every row of docs.
+    """doc_id and component_id (the smallest doc_id that found pairs of similarity `least` or more reach) for every row of docs.
 
-    Null and empty texts and those of white space are copies of each other. Equal sets are one node. Repeated rows
-    each have their row; a null doc_id counts for component_id only where a group has no other. Other columns don't
-    matter; an empty table gives an empty result.
+    No pair below `least` is linked. Null and empty texts and those of white space are copies of each other. Equal sets are one
+    node. Repeated rows each have their row; a null doc_id counts for component_id only where a group has no other. Other
+    columns, whatever their names, don't matter; an empty table gives an empty result.
     """
-    rows = checkpointed(_sketches(docs, shingle))
-    nodes = checkpointed(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("keys").alias("keys")))
-    roots = connected_components(_links(docs, nodes, shingle, least)).select(F.col("node").alias("_node"), "root")
-    nodes = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    groups = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "node").join(nodes.join(groups, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    bits, tables = table_shape(docs.count(), least)
+    rows = checkpointed(_signatures(docs, shingle, bits, tables))
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.any_value(c).alias(c) for c in ("k1", "k2", "fps"))))
+    met = candidates(nodes, nodes.count(), bits)
+    of_node = component_ids(nodes, connected_components(_links(docs, nodes, met, shingle, least)), "node")
+    return rows.select("doc_id", "node").join(of_node, "node").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """The rows of docs whose doc_id is their group's smallest, with docs' columns."""
-    stay = near_copy_groups(docs, shingle, least).where("doc_id <=> component_id").select(F.col("doc_id").alias("_stay"))
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    """The row with the smallest doc_id of each of near_copy_groups, with docs' columns; what is said there holds."""
+    return keep_smallest(docs, near_copy_groups(docs, shingle, least))

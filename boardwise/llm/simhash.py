@@ -3,20 +3,18 @@
 Two fingerprints at most 2r bits apart have a word at most r bits from either. So every fingerprint emits all words
 within r bits (its variants), and fingerprints with a common variant are linked. A variant's prefix, some of its
 bits, goes through the shuffle in place of it: a fingerprint goes once to each prefix that its variants have, and the task of
-a prefix makes the variants that have it. That is each variant once in all, with a fraction of the shuffle.
+a prefix makes the variants that have it. That is each variant once in all, with a fraction of the shuffle. Prefixes grow
+with the number of fingerprints, and those that still hold many go out again by more bits, so no task has an unbounded group.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import accumulate, combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +25,8 @@ from .components import connected_components
 SEED, SHINGLE, RADIUS, BITS = 42, 4, 2, 64
 #: Variants that a task holds at once; a prefix with more is worked through by longer prefixes.
 AT_ONCE = 2_000_000
+#: Fingerprints that a prefix has about, and the number from which a prefix is dealt out again by MORE bits.
+GROUP, HOT, LEAST_BITS, MORE = 1_000_000, 4_000_000, 6, 6
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 15
 
@@ -42,11 +42,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     ends = [n - 1 for n in accumulate(len(w) + 1 for w in words)]
     starts = [0, *(e + 1 for e in ends)]
     hashes = np.array([digest(joined[a:e], SEED) for a, e in zip(starts, ends[shingle - 1 :])], dtype="<u8")
-    counts = np.zeros(BITS, dtype=np.int64)
+    return int(np.packbits(majority(hashes), bitorder="little").view("<u8")[0])
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Of each of the 64 bits, whether it is set in over half the hashes."""
+    counts = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), BLOCK):
         part = hashes[i : i + BLOCK]
         counts += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+    return 2 * counts > len(hashes)
 
 
 def with_fingerprints(docs: DataFrame, *keep: str, shingle: int = SHINGLE) -> DataFrame:
@@ -73,8 +78,14 @@ def _flips(bits: tuple[int, ...], n: int) -> np.ndarray:
     return np.array([x for k in range(n + 1) for x in flips(bits, k)], dtype=np.uint64)
 
 
-def _meetings(fps: np.ndarray, left: np.ndarray, ids: np.ndarray, free: tuple[int, ...]) -> Iterator[np.ndarray]:
-    """Pairs of ids that share a variant: fps may still change in `left` of the free bits. Of each variant's group, a star."""
+Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _meetings(fps: np.ndarray, left: np.ndarray, ids: np.ndarray, free: tuple[int, ...], near: Near) -> Iterator[np.ndarray]:
+    """Verified pairs of ids that share a variant: fps may still change in `left` of the free bits.
+
+    Of each variant's group, all are held against the first; those that are not near it are a group of their own then.
+    """
     sizes = [1 + len(free) * (n > 0) + len(free) * (len(free) - 1) // 2 * (n > 1) for n in range(RADIUS + 1)]
     if len(fps) < 2:
         return
@@ -83,7 +94,7 @@ def _meetings(fps: np.ndarray, left: np.ndarray, ids: np.ndarray, free: tuple[in
         for value in (np.uint64(0), bit):
             differs = (fps & bit) != value
             stays = (left > 0) | ~differs
-            yield from _meetings((fps[stays] & ~bit) | value, (left - differs)[stays], ids[stays], rest)
+            yield from _meetings((fps[stays] & ~bit) | value, (left - differs)[stays], ids[stays], rest, near)
         return
     variants, owners = [], []
     for n in range(RADIUS + 1):
@@ -94,56 +105,94 @@ def _meetings(fps: np.ndarray, left: np.ndarray, ids: np.ndarray, free: tuple[in
     v, o = np.concatenate(variants), np.concatenate(owners)
     order = np.argsort(v)
     v, o = v[order], o[order]
-    same = v[1:] == v[:-1]
-    if same.any():
+    while (same := v[1:] == v[:-1]).any():
         first = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(v)), 0))
         k = np.flatnonzero(same) + 1
-        yield np.unique(np.stack([o[first[k]], o[k]], axis=1), axis=0)
+        ok = near(o[first[k]], o[k])
+        if ok.any():
+            yield np.unique(np.stack([o[first[k[ok]]], o[k[ok]]], axis=1), axis=0)
+        v, o = v[k[~ok]], o[k[~ok]]
 
 
-def forest(n: int, pairs: np.ndarray) -> np.ndarray:
-    """Smallest index that pairs connect each of n indices with."""
-    root = np.arange(n)
+def forest(root: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Smallest index that pairs, and what root connects already, connect each index with."""
+    root = root.copy()
     while True:
         a, b = root[pairs[:, 0]], root[pairs[:, 1]]
         if (a == b).all():
             return root
-        low = np.minimum(a, b)
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        np.minimum.at(root, high, low)
         while (root[root] != root).any():
             root = root[root]
 
 
-def bucket_links(fps: np.ndarray, bucket: int, mask: int, radius: int = RADIUS) -> np.ndarray:
-    """Links within one prefix: each linked fingerprint with one that stands for its group. Every pair is verified."""
-    free = tuple(i for i in range(BITS) if not mask >> i & 1)
+def bucket_links(fps: np.ndarray, bucket: int, mask: int, bits: int = BITS, near: Near | None = None) -> np.ndarray:
+    """Links within one prefix: the places of each linked fingerprint and of one that stands for its group.
+
+    Every pair is verified: by near, or else by its fingerprints' distance.
+    """
+    free = tuple(i for i in range(bits) if not mask >> i & 1)
     mask_, bucket_ = np.uint64(mask), np.uint64(bucket)
-    left = radius - np.bitwise_count((fps & mask_) ^ bucket_).astype(np.int64)
-    moved = (fps & ~mask_) | bucket_
-    found = list(_meetings(moved, left, np.arange(len(fps)), free))
-    pairs = np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
-    pairs = pairs[np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= 2 * radius]
-    root = forest(len(fps), pairs)
+    near = near or (lambda a, b: np.bitwise_count(fps[a] ^ fps[b]) <= 2 * RADIUS)
+    left = RADIUS - np.bitwise_count((fps & mask_) ^ bucket_).astype(np.int64)
+    root = np.arange(len(fps))
+    for pairs in _meetings((fps & ~mask_) | bucket_, left, np.arange(len(fps)), free, near):
+        root = forest(root, pairs)
     linked = np.flatnonzero(root != np.arange(len(fps)))
-    return np.stack([fps[linked], fps[root[linked]]], axis=1)
+    return np.stack([linked, root[linked]], axis=1)
 
 
-def fingerprint_links(fps: DataFrame, n: int) -> DataFrame:
-    """Links (a, b) that connect what is connected among the distinct fingerprints fp, n of them."""
-    n_bits = min(24, max(2, math.ceil(math.log2(max(1, n) * 2081 / (AT_ONCE / 4)))))
-    prefix = tuple(sorted(i * BITS // n_bits for i in range(n_bits)))
-    mask = sum(1 << i for i in prefix)
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    near = [x for k in range(RADIUS + 1) for x in flips(prefix, k)]
-    sent = fps.select("fp", F.explode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(mask))).bitwiseXOR(F.lit(signed(x))) for x in near])).alias("bucket"))
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
 
-    def links(group: pd.DataFrame) -> pd.DataFrame:
-        own = np.unique(group["fp"].to_numpy()).view(np.uint64)
-        out = bucket_links(own, int(group["bucket"].iloc[0]) & (1 << 64) - 1, mask).view(np.int64)
-        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+def _mask(bits: list[int]) -> int:
+    return sum(1 << i for i in bits)
 
-    return sent.groupBy("bucket").applyInPandas(links, "a long, b long")
+
+def _dealt(rows: DataFrame, prefix: list[int]) -> DataFrame:
+    """rows with a bucket for each way to give the bits of `prefix` values that take no more than `left` changes."""
+    own = F.col("fp").bitwiseAND(F.lit(_signed(_mask(prefix))))
+    ways = [F.struct(own.bitwiseXOR(F.lit(_signed(x))).bitwiseOR(F.col("bucket")).alias("bucket"), (F.col("left") - k).alias("left")) for k in range(RADIUS + 1) for x in flips(tuple(prefix), k)]
+    kept = [c for c in rows.columns if c not in ("bucket", "left")]
+    return rows.select(*kept, F.inline(F.filter(F.array(*ways), lambda w: w["left"] >= 0)))
+
+
+def meet_in_the_middle(rows: DataFrame, n: int, bits: int = BITS, limit: int = 2 * RADIUS) -> DataFrame:
+    """Links (a, b) of rows (t, fp, k1, k2), n in a table t: k1s of rows with 4 or fewer of `bits` bits between their fps of a
+    table, and `limit` or fewer between their keys (k1, k2). They connect what such pairs connect."""
+    order = [i * 29 % bits for i in range(bits)]  # 29 has no factor in common with 32 to 64, but for 58
+    size = LEAST_BITS
+    while size < bits and n * (1 + size + size * (size - 1) // 2) >> size > GROUP:
+        size += 1
+    at, levels = [size], [_dealt(rows.withColumns({"bucket": F.lit(0).cast("long"), "left": F.lit(RADIUS)}), order[:size])]
+    while at[-1] < bits:
+        own = levels[-1]
+        hot = checkpointed(own.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HOT).select("t", "bucket"))
+        if hot.isEmpty():
+            break
+        levels[-1] = own.join(hot, ["t", "bucket"], "left_anti")
+        levels.append(_dealt(own.join(hot, ["t", "bucket"], "left_semi"), order[at[-1] : at[-1] + MORE]))
+        at.append(min(bits, at[-1] + MORE))
+    masks = [_mask(order[:x]) for x in at]
+    sent = levels[0].select("t", "bucket", "fp", "k1", "k2", F.lit(0).alias("level"))
+    for i, more in enumerate(levels[1:], 1):
+        sent = sent.unionByName(more.select("t", "bucket", "fp", "k1", "k2", F.lit(i).alias("level")))
+
+    def links(group: pa.Table) -> pa.Table:
+        fps, k1, k2 = (group.column(c).to_numpy().view(np.uint64) for c in ("fp", "k1", "k2"))
+        near = lambda a, b: np.bitwise_count(k1[a] ^ k1[b]).astype(np.int64) + np.bitwise_count(k2[a] ^ k2[b]) <= limit
+        mask = masks[group.column("level")[0].as_py()]
+        out = bucket_links(fps, group.column("bucket")[0].as_py() & (1 << 64) - 1, mask, bits, near)
+        return pa.table({"a": pa.array(k1[out[:, 0]].view(np.int64)), "b": pa.array(k1[out[:, 1]].view(np.int64))})
+
+    return sent.groupBy("t", "level", "bucket").applyInArrow(links, "a long, b long").where("a <> b").distinct()
+
+
+def fingerprint_links(fps: DataFrame, n: int) -> DataFrame:
+    """Links (a, b) that connect what is connected among the distinct fingerprints fp, n of them."""
+    return meet_in_the_middle(fps.select(F.lit(0).alias("t"), "fp", F.col("fp").alias("k1"), F.lit(0).cast("long").alias("k2")), n)
 
 
 def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -151,19 +200,26 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     Null and empty texts, and texts of white space, have fingerprint zero and are linked like any other. Equal
     fingerprints are one node, so copies make no pairs. Repeated rows each have their row; a null doc_id counts for
-    component_id only where a group has no other. Other columns don't matter; an empty table gives an empty result.
+    component_id only where a group has no other. Other columns, whatever their names, don't matter; an empty table gives
+    an empty result. A very long text is hashed in blocks.
     """
     rows = checkpointed(with_fingerprints(docs, "doc_id", shingle=shingle))
     nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(fingerprint_links(nodes.select("fp"), nodes.count()))
-    nodes = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    groups = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = nodes.join(groups, "root").select("fp", "component_id")
+    of_fp = component_ids(nodes, connected_components(fingerprint_links(nodes.select("fp"), nodes.count())), "fp")
     return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The rows of docs whose doc_id is their group's smallest, with docs' columns."""
-    groups = near_duplicate_groups(docs, shingle)
-    stay = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_stay"))
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+def component_ids(nodes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """nodes' keys and component_id, the smallest `least` of the component that roots (node, root) puts a node in."""
+    own = nodes.select(F.col(key), "least").join(roots.select(F.col("node").alias(key), "root"), key, "left")
+    own = own.select(key, F.coalesce("root", key).alias("root"), "least")
+    groups = own.groupBy("root").agg(F.min("least").alias("component_id"))
+    return own.select(key, "root").join(groups, "root").select(key, "component_id")
+
+
+def keep_smallest(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the component_id of groups (doc_id, component_id), with docs' columns. A null doc_id
+    stays where its group has no other; of repeated rows, all stay."""
+    own = docs.select(F.col("doc_id").alias("key"), F.struct(*docs.columns).alias("row"))
+    stay = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("stay"))
+    return own.join(stay, F.col("key").eqNullSafe(F.col("stay")), "left_semi").select("row.*")

@@ -11,7 +11,7 @@ from boardwise.llm import license_scan, pii
 from .cases import SCHEMA, TEXTS, clashing, documents
 from .test_bpe_packing import check_packing
 from .test_quality import brute as brute_quality
-from .test_simhash import brute_groups
+from .test_near_copies import brute as brute_near, grams
 
 T = license_scan.TEMPLATES
 
@@ -54,14 +54,6 @@ def test_licenses_of_a_table(spark):
     assert got == {(r.doc_id, k) for r in docs.collect() for k in brute_licenses(r.text)}
 
 
-def brute_fingerprint5(text):
-    import xxhash
-
-    words = [w.encode() for w in re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))]
-    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 5]), 42) for i in range(max(1, len(words) - 4))] if words else []
-    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes) > 0)
-
-
 def test_pipeline_against_brute_force(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     extra = spark.createDataFrame([(10_000 + i, t, "en", "src1", len(t or "")) for i, t in enumerate(TEXTS)], SCHEMA)
@@ -73,11 +65,8 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for i in sorted(kept):
         first.setdefault(re.sub("[\x20\x09-\x0d]+", " ", kept[i]), i)
     kept = {i: kept[i] for i in first.values()}
-    fps = {i: brute_fingerprint5(t) for i, t in kept.items()}
-    roots, least = brute_groups(set(fps.values())), {}
-    for i in sorted(kept):
-        least.setdefault(roots[fps[i]], i)
-    kept = {i: kept[i] for i in least.values()}
+    _, least = brute_near({i: grams(t) for i, t in kept.items()})
+    kept = {i: kept[i] for i in set(least.values())}
     masked = {i: pii.masked(t, pii.all_spans(t, pii.trained())[1]) for i, t in kept.items()}
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     ids = {i: library.encode(t, add_special_tokens=False).ids + [0] for i, t in masked.items()}

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -72,8 +73,7 @@ def test_every_pair_within_the_radius_is_connected(monkeypatch):
         root = {f: f for f in fps}
         for bucket in {(f & mask) ^ x for f in fps for k in range(3) for x in simhash.flips((0, 9, 30, 63), k)}:
             own = np.array([f for f in fps if ((f & mask) ^ bucket).bit_count() <= 2], dtype=np.uint64)
-            for a, b in simhash.bucket_links(own, bucket, mask):
-                assert (int(a) ^ int(b)).bit_count() <= 64
+            for a, b in own[simhash.bucket_links(own, bucket, mask)]:
                 x, y = root[int(a)], root[int(b)]
                 root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
         assert root == wanted
@@ -85,8 +85,22 @@ def test_components_of_a_path_a_star_and_a_ring(spark):
     assert got == {**{i: 0 for i in range(41)}, **{1000 + i: 1000 for i in range(50)}, **{2000 + i: 2000 for i in range(9)}}
 
 
-def test_dropping_keeps_one_of_each_group(spark):
-    docs = documents(spark, ["a b c d e f g", "a b c d e f g", None, None, "quite another text than the first one"])
-    kept = simhash.drop_near_duplicates(docs)
+def test_hot_prefixes_are_dealt_out_again(spark, monkeypatch):
+    """A dense cluster of distinct fingerprints, in prefixes far above the bound."""
+    r = random.Random(4)
+    centre = r.getrandbits(64)
+    fps = {centre ^ sum(1 << b for b in r.sample(range(64), r.randrange(5))) for _ in range(400)} | {r.getrandbits(64) for _ in range(100)}
+    monkeypatch.setattr(simhash, "HOT", 40)
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    got = {x.node & (1 << 64) - 1: x.root for x in connected_components(simhash.fingerprint_links(df, len(fps))).collect()}
+    want = brute_groups(fps)
+    size = Counter(want.values())
+    assert set(got) == {f for f in fps if size[want[f]] > 1}
+    assert {frozenset(f for f in got if got[f] == x) for x in got.values()} == {frozenset(f for f in got if want[f] == x) for x in {want[f] for f in got}}
+
+
+def test_keeping_one_of_each_group(spark):
+    docs = clashing(documents(spark, ["a b c d e f g", "a b c d e f g", None, None, "quite another text than the first one"]))
+    kept = simhash.keep_smallest(docs, simhash.near_duplicate_groups(docs))
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2, 4]
     assert simhash.near_duplicate_groups(spark.createDataFrame([], SCHEMA)).count() == 0
