@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from boardwise.llm import exact_dedup, near_copies as jaccard, packing, pii, quality
+from boardwise.llm import exact_dedup, near_copies as copies, packing, pii, quality
 from boardwise.llm.common import shared_folder
 
 
@@ -23,7 +23,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group that pairs of Jaccard 0.8 or more connect, by five-word shingles."""
-    return jaccard.drop_near_copies(docs)
+    return copies.drop_near_copies(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
