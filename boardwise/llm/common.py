@@ -41,6 +41,33 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(values: Column, join: Callable[[Column, Column], Column], zero: Column, chunk: int = 1024) -> Column:
+    """For each place of an array of integers, join over all values up to it: sums, or extremes. zero leaves a value as it is.
+
+    Appending to an array copies it, so that is done by chunks, and then over the chunks' last values: n values cost
+    n * chunk + (n / chunk) ** 2 copies of a number, not n ** 2.
+    """
+
+    def appended(x: Column) -> Column:
+        start = F.struct(zero.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+
+        def add(acc: Column, v: Column) -> Column:
+            return let(join(acc["at"], v), lambda n: F.struct(n.alias("at"), F.array_append(acc["out"], n).alias("out")))
+
+        return F.aggregate(x, start, add, lambda acc: acc["out"])
+
+    def joined(parts: Column) -> Column:
+        lasts = appended(F.transform(parts, lambda p: F.element_at(p, -1)))
+        before = lambda b, i: F.coalesce(F.get(b, i - 1), zero)
+        return let(lasts, lambda b: F.flatten(F.transform(parts, lambda p, i: F.transform(p, lambda v: join(before(b, i), v)))))
+
+    def parted(x: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(x), F.lit(chunk))
+        return let(F.transform(starts, lambda k: appended(F.slice(x, k, chunk))), joined)
+
+    return let(values, lambda x: F.when(F.size(x) == 0, x).when(F.size(x) <= chunk, appended(x)).otherwise(parted(x)))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share. Only in local mode may it be unset."""
     sc = spark.sparkContext

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -128,13 +129,44 @@ def test_secrets_equal_the_patterns(spark):
 
 
 def test_models_on_held_out_samples(spark):
+    table, place = secrets.ratios(), {c: i for i, c in enumerate(secrets.ALPHABET)}
     samples = secrets.labelled_samples(500, seed=77)
     df = spark.createDataFrame(samples, "s string, label int")
-    rows = df.select("label", secrets.randomness(df["s"]).alias("score"), "s").collect()
+    rows = df.select("label", secrets.randomness(df["s"], table).alias("score"), "s").collect()
     hit = [r.score > secrets.MARGIN for r in rows if r.label]
     false = [r.score > secrets.MARGIN for r in rows if not r.label]
     assert sum(hit) / len(hit) > 0.9 and sum(false) / len(false) < 0.01
-    table, place = secrets.ratios(), {c: i for i, c in enumerate(secrets.ALPHABET)}
     for r in rows[:100]:
         c = [place[x] for x in r.s]
         assert abs(r.score - np.mean([round(table[a, b], 3) for a, b in zip(c, c[1:])])) < 1e-6
+
+
+def test_planted_strings_are_found_in_documents_and_nothing_else(spark):
+    """Random strings put into real texts, with no pattern of a secret around; letters alone or digits too."""
+    r = random.Random(8)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    clean = secrets.find_secrets(docs, "doc_id").where("spans like '%random%'").collect()
+    rows, want = [], {}
+    for x in docs.where("length(text) > 400").orderBy("doc_id").limit(300).collect():
+        letters = secrets.ALPHABET[:52] if x.doc_id % 2 else secrets.ALPHABET[:62]
+        token = "".join(r.choice(letters) for _ in range(r.randrange(24, 50)))
+        at = x.text.index(" ", r.randrange(len(x.text) // 2)) + 1
+        rows.append((x.doc_id, x.text[:at] + token + " " + x.text[at:]))
+        want[x.doc_id] = f"random:{at}:{at + len(token)}"
+    got = by_id(secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id"))
+    found = [want[i] in got[i].spans.split(",") for i in want]
+    extra = sum(s.startswith("random") and s != want[i] for i in want for s in got[i].spans.split(","))
+    assert not clean and sum(found) / len(found) > 0.95 and extra == 0, (len(clean), sum(found), extra)
+
+
+def test_many_matches_in_one_text(spark):
+    """100,000 tokens, of three kinds, that touch and overlap: places and overlaps stay right, in time that doesn't go with the square."""
+    r = random.Random(9)
+    word = lambda: r.choice(["password=" + "q" * 9, "AKIA" + "B" * 14, "0123456789abcdef" * 2, "Zx9Qw3Rt7Yp1Lk5Jh8Gf2Ds", "plain words"])
+    text = " ".join(word() for _ in range(100_000))
+    start = time.monotonic()
+    got = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id").first()
+    assert time.monotonic() - start < 30
+    base = sorted(brute_secrets(text), key=lambda x: (x[1], ["assign", "access", "hex"].index(x[0])))
+    assert got.base_spans == ",".join(f"{k}:{s}:{e}" for k, s, e in base)
+    assert got.spans.count("random") == text.count("Zx9Qw3Rt7Yp1Lk5Jh8Gf2Ds")
