@@ -1,10 +1,10 @@
 """Personal data: patterns, and a skip-chain conditional random field over what else could be such data.
 
-The field's nodes are a text's candidates: what the patterns matched, and number groups and addresses that they did not.
-Neighbouring candidates are linked, and so are repeated or similar ones, however far apart (each with the next of
-its likes, so that n repetitions make n - 1 links). Each is also linked to a match of
-the patterns among its likes. Links favour equal labels. Loopy belief propagation then
-carries labels over the whole text: a number that is a phone number once is one wherever it recurs. Patterns' own
+The field's nodes are a text's tokens that could be such data: what the patterns matched, and numbers of 7 to 19 digits
+(no kind has more) and addresses that they did not. Every other token is none for certain, so it needs no node. Neighbouring nodes are linked, and
+repeated or similar ones, however far apart, with one of them: a match of the patterns if there is one, else the first.
+So n repetitions make n - 1 links, and any two are two links apart. Links favour equal labels. Loopy belief propagation
+runs until messages settle and carries labels over the whole text: a number that is a phone number once is one wherever it recurs. Patterns' own
 matches are observed labels and stay. Weights are trained here, by pseudo-likelihood, on generated labelled texts.
 """
 
@@ -72,12 +72,14 @@ def base_spans(text: str) -> list[Span]:
 
 # ---- candidates and links
 
-_number = re.compile(r"(?<![\w.,])[(]?[0-9](?:[ ().\-/]{0,2}[0-9]){6,18}(?![\w])")
-_address = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]{1,63})*")
+_number = re.compile(r"(?<![\w.,])[(]?[0-9](?:[ ).\-/]{0,2}[0-9]){6,18}+")
+_at = re.compile(r" ?(?:@|\[at\]|\(at\)) ?")
+_places = re.compile(r"[A-Za-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]++)*+")
+_word = re.compile(r"\w")
 #: Words that announce a kind, by KINDS.
 CUES = (("mail", "contact", "write"), ("ip", "host", "server"), ("card", "visa", "credit"), ("phone", "tel", "call", "fax", "mobile"))
 BEFORE, NEAR = 24, 60
-N_LABELS, N_FEATURES = 5, 17
+N_LABELS, N_OWN = 5, 17
 SAME, SIMILAR, CHAIN = range(3)
 
 
@@ -87,22 +89,38 @@ def _normal(piece: str) -> str:
     return _not_digit.sub("", piece)
 
 
+def _addresses(text: str) -> list[tuple[int, int]]:
+    """Around each sign for at: local characters before it, not before the last one's end, and the places behind it."""
+    out, end = [], 0
+    for m in _at.finditer(text):
+        start = m.start()
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < m.start() and m.start() >= end and (rest := _places.match(text, m.end())):
+            end = rest.end()
+            out.append((start, end))
+    return out
+
+
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int, int]]:
     """(label or 0, start, end) by start: 1 + kind for the patterns' matches; 0 for others, which overlap none of them."""
     found = []
     if re.search("[0-9]", text):
-        found += [m.span() for m in _number.finditer(text)]
+        found += [m.span() for m in _number.finditer(text) if not _word.match(text, m.end())]
     if "@" in text or "at]" in text or "at)" in text:
-        found += [m.span() for m in _address.finditer(text)]
+        found += _addresses(text)
     nodes = [(k + 1, s, e) for k, s, e in base]
-    if not found:
-        return sorted(nodes, key=lambda x: x[1:])
-    taken = sorted((s, e) for _, s, e in base)
+    taken: list[list[int]] = []
+    for s, e in sorted((s, e) for _, s, e in base):
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(e, taken[-1][1])
+        else:
+            taken.append([s, e])
     i, end = 0, -1
     for s, e in sorted(found):
         while i < len(taken) and taken[i][1] <= s:
             i += 1
-        if s >= end and not any(ts < e and s < te for ts, te in taken[i : i + 4]):
+        if s >= end and not (i < len(taken) and taken[i][0] < e):
             nodes.append((0, s, e))
             end = e
     return sorted(nodes, key=lambda x: x[1:])
@@ -119,30 +137,46 @@ def features(text: str, start: int, end: int) -> list[float]:
     ]
 
 
-def links(text: str, nodes: list[tuple[int, int, int]]) -> np.ndarray:
-    """(node, node, kind): candidates near each other, each with the one before of its likes, and with a match of the
-    patterns among its likes, if there is one. At most three a candidate, however often they repeat."""
+def _tails(text: str, nodes: list[tuple[int, int, int]]) -> tuple[list[str], list[str]]:
+    """What nodes are in full, and the part by which they are alike: a local part, or the last seven digits."""
     keys = [_normal(text[s:e]) for _, s, e in nodes]
-    tails = [k.split("@")[0] if "@" in k else k[-7:] for k in keys]
-    sure: dict[str, int] = {}
-    for i, (label, _, _) in enumerate(nodes):
-        if label:
-            sure.setdefault(tails[i], i)
-    out, last = [], {}
-    for i, (label, s, _) in enumerate(nodes):
+    return keys, [k.split("@")[0] if "@" in k else k[-7:] for k in keys]
+
+
+def node_features(text: str, nodes: list[tuple[int, int, int]]) -> np.ndarray:
+    """Own features, and the cues of any like: as skip-chain potentials see what stands around either end."""
+    own = np.array([features(text, s, e) for _, s, e in nodes]).reshape(-1, N_OWN)
+    tails = _tails(text, nodes)[1]
+    places = {t: k for k, t in enumerate(dict.fromkeys(tails))}
+    group = np.array([places[t] for t in tails], dtype=np.int64)
+    cues = np.zeros((len(places), len(CUES) + 1))
+    np.maximum.at(cues, group, own[:, -len(CUES) - 1 :])
+    return np.hstack([own, cues[group]])
+
+
+def links(text: str, nodes: list[tuple[int, int, int]]) -> np.ndarray:
+    """(node, node, kind): nodes near each other, and each with the one that its likes meet in: a match of the patterns, or
+    the first. At most two a node, however often they repeat."""
+    keys, tails = _tails(text, nodes)
+    hub: dict[str, int] = {}
+    for sure in (True, False):
+        for i, (label, _, _) in enumerate(nodes):
+            if bool(label) == sure:
+                hub.setdefault(tails[i], i)
+    out = []
+    for i, (_, s, _) in enumerate(nodes):
         if i and s - nodes[i - 1][2] <= NEAR:
             out.append((i - 1, i, CHAIN))
-        for j in {last.get(tails[i], i), i if label else sure.get(tails[i], i)} - {i}:
+        if (j := hub[tails[i]]) != i:
             out.append((j, i, SAME if keys[j] == keys[i] else SIMILAR))
-        last[tails[i]] = i
     return np.array(out, dtype=np.int64).reshape(-1, 3)
 
 
 # ---- model
 
 
-def marginals(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Labels' probabilities by loopy belief propagation. unary: log potentials; pair: what a link adds for equal labels."""
+def marginals(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int = 1000) -> np.ndarray:
+    """Labels' probabilities by loopy belief propagation, until no message moves by 0.0001 or, where they swing, for `rounds`. unary: log potentials; pair: what a link adds for equal labels."""
     n = len(unary)
     if not len(edges):
         p = np.exp(unary - unary.max(axis=1, keepdims=True))
@@ -194,7 +228,8 @@ def labelled_texts(n: int, seed: int) -> list[tuple[str, list[Span]]]:
         elif kind == 3:
             parts = [(f"{r.randrange(1, 255)}.{r.randrange(255)}.{r.randrange(255)}.{r.randrange(1, 255)}", 1)]
         elif kind == 4:
-            parts = [(r.choice(["phone ", "tel. ", "call ", "fax "]), None), (r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}"]), 3)]
+            own = r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}"])
+            parts = [(own, 3)] * r.randrange(3) + [(r.choice(["phone ", "tel. ", "call ", "fax "]), None)] + [(own, 3)] * r.randrange(1, 3)
         elif kind == 5:
             x = digits(r.randrange(7, 16))
             parts = [(x, None)] * r.randrange(1, 4)
@@ -231,13 +266,14 @@ def trained(n: int = 3000, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
         for i, j, kind in links(text, nodes):
             counts[i, kind, label[j]] += 1
             counts[j, kind, label[i]] += 1
-        for i, (observed, s, e) in enumerate(nodes):
+        x = node_features(text, nodes)
+        for i, (observed, _, _) in enumerate(nodes):
             if not observed:
-                xs.append(features(text, s, e))
+                xs.append(x[i])
                 ys.append(label[i])
                 neighbours.append(counts[i])
     x, y, c = np.array(xs), np.eye(N_LABELS)[ys], np.array(neighbours)
-    node, pair = np.zeros((N_FEATURES, N_LABELS)), np.zeros(3)
+    node, pair = np.zeros((x.shape[1], N_LABELS)), np.zeros(3)
     for _ in range(2500):
         score = x @ node + np.einsum("nkl,k->nl", c, pair)
         p = np.exp(score - score.max(axis=1, keepdims=True))
@@ -256,10 +292,10 @@ def all_spans(text: str, model: tuple[np.ndarray, np.ndarray], sure: float = 0.8
         return base, base
     node, pair = model
     unary = np.zeros((len(nodes), N_LABELS))
-    unary[rest] = np.array([features(text, *nodes[i][1:]) for i in rest]) @ node
+    unary[rest] = node_features(text, nodes)[rest] @ node
     for i, (label, _, _) in enumerate(nodes):
         if label:
-            unary[i] = -50.0
+            unary[i] = -1e9  # however many likes speak against it
             unary[i, label] = 0.0
     p = marginals(unary, links(text, nodes), pair)
     more = [(int(p[i].argmax()) - 1, *nodes[i][1:]) for i in rest if p[i].argmax() and p[i].max() > sure]
@@ -287,11 +323,12 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[end:]])
 
 
-def find_personal_data(docs: DataFrame) -> DataFrame:
-    """Adds to docs a struct `pii`: the patterns' counts by kind, base_sha256, spans and the masked text.
+def find_personal_data(docs: DataFrame, into: str = "pii") -> DataFrame:
+    """Adds to docs a struct, the column `into`: the patterns' counts by kind, base_sha256, spans and the masked text.
 
     Every row has its result. Null and empty texts have no spans, and a null text stays null. Offsets are in code points.
-    An extra column named pii is replaced. Each text is one row of one task, and repetitions make links in proportion.
+    A column of that name is replaced; others, whatever their names, don't matter. An empty table gives an empty result. A
+    very long text is one row of one task: matching and links go in proportion to it.
     """
     model = docs.sparkSession.sparkContext.broadcast(trained())
 
@@ -304,14 +341,19 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
             rows.append((*counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans), masked(t, spans) if spans else None))
         return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "masked"])
 
-    return docs.withColumn("pii", scan(text_or_empty()))
+    return docs.withColumn(into, scan(text_or_empty()))
 
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
-    """docs with personal data masked in text, and n_chars, if there, set to the new length of changed texts."""
-    out = find_personal_data(docs)
-    new = F.coalesce("pii.masked", "text")
+    """docs with personal data masked in text, and n_chars, if there, set to the new length of changed texts.
+
+    Null texts and texts without personal data stay as they are, and every row and column stays, whatever its name; an
+    empty table gives an empty result.
+    """
+    own = docs.select("text", F.struct(*docs.columns).alias("row"))
+    out = find_personal_data(own, "found")
+    new = F.coalesce("found.masked", "text")
     changed = {"text": new}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("pii.masked").isNull(), F.col("n_chars")).otherwise(F.length(new)).cast(dict(docs.dtypes)["n_chars"])
-    return out.withColumns(changed).select(docs.columns)
+        changed["n_chars"] = F.when(F.col("found.masked").isNull(), F.col("row.n_chars")).otherwise(F.length(new)).cast(dict(docs.dtypes)["n_chars"])
+    return out.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
