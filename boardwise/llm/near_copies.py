@@ -5,7 +5,7 @@ fingerprints of `bits` bits, from independent hashes of its shingles. Within eac
 as in simhash.py. Two texts of similarity s differ in a bit with a probability of acos(2 s / (1 + s)) / pi; there are
 so many tables that a pair of the least similarity is within 4 bits in one of them with a probability of FOUND.
 
-Pairs that meet are verified twice. By 128 further bits of fingerprint at once, where they meet: these tell chance from
+Pairs that meet are verified twice. By a further fingerprint of 64 bits at once, where they meet: it tells chance from
 likeness, so that components of such pairs don't grow with the corpus. Then by exact similarity, in each component.
 """
 
@@ -26,13 +26,18 @@ from .common import checkpointed, text_or_empty
 from .components import connected_components
 from .simhash import RADIUS, SEED, component_ids, keep_smallest, majority, meet_in_the_middle
 
-SHINGLE, LEAST, FOUND = 5, 0.8, 0.99
-#: Of the 128 bits, how many may differ: at 0.8, 19 do, and over 36 with 3 in 100,000; of unlike texts, 64 do.
-KEY_BITS = 36
-#: Chance meetings of a fingerprint in a table, at most; with more fingerprints than that allows, they get more bits.
+SHINGLE, LEAST, FOUND = 5, 0.8, 0.97
+#: Bits of the further fingerprint that may differ: at 0.8, about 10 do, and over 18 with 1 in 500; of unlike texts, 32 do, and
+#: 18 or fewer with 1 in 2500.
+KEY_BITS = 18
+#: Chance meetings of a fingerprint in a table, at most; with more texts than that allows, fingerprints get more bits.
 CHANCE = 16
+#: Texts that met, up to which their table goes out by broadcast: of 32 bytes a text.
+SMALL = 500_000
 #: Texts of a component that are compared with each other in one task; a larger one goes to a task for each pair of its parts.
 PART = 1024
+#: Hashes that go out at once.
+HELD = 500_000
 
 
 def table_shape(n: int, least: float = LEAST) -> tuple[int, int]:
@@ -60,19 +65,19 @@ def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:e], SEED) for a, e in zip(starts, ends[min(shingle, len(words)) - 1 :])], dtype=np.uint64))
 
 
-def signature(own: np.ndarray, bits: int, tables: int) -> tuple[int, int, list[int]]:
-    """Two words of key, and the tables' fingerprints, of a set of shingles: signed longs."""
-    needed = 1 + -(-bits * tables // 64)
-    found = [majority(own)]
-    for add, times in zip(*_words(needed)):
+def signature(own: np.ndarray, bits: int, tables: int) -> tuple[int, list[int]]:
+    """The key and the tables' fingerprints of a set of shingles: signed longs."""
+    found = []
+    for add, times in zip(*_words(-(-bits * tables // 64))):
         h = (own ^ add) * times
         h ^= h >> np.uint64(29)
         h *= times
         found.append(majority(h ^ h >> np.uint64(32)))
-    key = np.packbits(np.array(found[:2]), axis=1, bitorder="little").view("<i8").ravel().tolist()
-    of_tables = np.zeros((tables, 64), dtype=bool)
-    of_tables[:, :bits] = np.concatenate(found[2:])[: bits * tables].reshape(tables, bits)
-    return *key, np.packbits(of_tables, axis=1, bitorder="little").view("<i8").ravel().tolist()
+    of_tables = np.zeros((1 + tables, 64), dtype=bool)
+    of_tables[0] = majority(own)
+    of_tables[1:, :bits] = np.concatenate(found)[: bits * tables].reshape(tables, bits)
+    key, *fps = np.packbits(of_tables, axis=1, bitorder="little").view("<i8").ravel().tolist()
+    return key, fps
 
 
 def _node(own: np.ndarray) -> int:
@@ -80,31 +85,49 @@ def _node(own: np.ndarray) -> int:
 
 
 def _signatures(docs: DataFrame, shingle: int, bits: int, tables: int) -> DataFrame:
-    """doc_id, node (a hash of its shingles), k1, k2 and fps of each row."""
+    """doc_id, node (a hash of its shingles), key and fps of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, found = [], []
+            nodes, keys, fps = [], [], []
             for t in b.column("text"):
                 own = shingle_set(t.as_py(), shingle)
+                key, of_tables = signature(own, bits, tables)
                 nodes.append(_node(own))
-                found.append(signature(own, bits, tables))
-            columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(nodes, pa.int64()), *columns], names=["doc_id", "node", "k1", "k2", "fps"])
+                keys.append(key)
+                fps.append(of_tables)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(keys, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "node", "key", "fps"])
 
     sent = docs.select("doc_id", text_or_empty().cast("binary").alias("text"))
-    return sent.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, node long, k1 long, k2 long, fps array<long>")
+    return sent.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, node long, key long, fps array<long>")
 
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """node and own, its shingles' hashes."""
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """A row (group, i, j, node, own: its shingles' hashes) of texts (text, node, group, part, n) for each pair of parts that its own is in.
+
+    A doc_id can stand for other texts than the node's; those are left out."""
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        ends = np.cumsum([0, *(len(x[-1]) for x in rows)])
+        own = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([x[-1] for x in rows]).view(np.int64)))
+        columns = [pa.array([x[k] for x in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64()))]
+        return pa.RecordBatch.from_arrays([*columns, own], names=["group", "i", "j", "node", "own"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for b in batches:
-            own = [shingle_set(t.as_py(), shingle) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(map(_node, own), pa.int64()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], names=["node", "own"])
+            for text, node, group, part, n in zip(b.column("text"), *(b.column(c).to_pylist() for c in ("node", "group", "part", "n"))):
+                own = shingle_set(text.as_py(), shingle)
+                for k in range(n if _node(own) == node else 0):
+                    rows.append((group, min(part, k), max(part, k), node, own))
+                    held += len(own)
+                    if held > HELD:
+                        yield batch(rows)
+                        rows, held = [], 0
+        if rows:
+            yield batch(rows)
 
-    return docs.select(text_or_empty().cast("binary").alias("text")).mapInArrow(run, "node long, own array<long>").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "group long, i int, j int, node long, own array<long>")
 
 
 def links_within(sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
@@ -134,29 +157,31 @@ def links_within(sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int
 
 
 def candidates(nodes: DataFrame, n: int, bits: int) -> DataFrame:
-    """node and group of the nodes (node, k1, k2, fps) that meet others: groups are components of verified meetings."""
-    keys = nodes.dropDuplicates(["k1", "k2"]).select("k1", "k2", F.posexplode("fps").alias("t", "fp"))
+    """node and group of the nodes (node, key, fps) that meet others: groups are components of verified meetings."""
+    keys = nodes.dropDuplicates(["key"]).select("key", F.posexplode("fps").alias("t", "fp"))
     roots = connected_components(meet_in_the_middle(keys, n, bits, KEY_BITS))
-    met = nodes.select("node", "k1").join(roots.select(F.col("node").alias("k1"), "root"), "k1", "left")
-    return met.select("node", F.coalesce("root", "k1").alias("group"))
+    met = nodes.select("node", "key").join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
+    return met.select("node", F.coalesce("root", "key").alias("group"))
 
 
 def _links(docs: DataFrame, nodes: DataFrame, met: DataFrame, shingle: int, least: float) -> DataFrame:
     """Links (a, b) between nodes (node, least: a doc_id); docs are read for the texts of those that met (node, group)."""
     sizes = met.groupBy("group").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = checkpointed(met.join(sizes, "group"))
-    wanted = nodes.join(met.select("node"), "node").select(F.col("least").alias("wanted"))
-    own = docs.select("doc_id", "text")
-    sets = _sets(own.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi"), shingle)
-    parts = met.withColumn("n", F.ceil(F.col("m") / PART).cast("int")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    parts = parts.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    sent = parts.select("node", "group", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).join(sets, "node")
+    wanted = met.join(sizes, "group").join(nodes.select("node", F.col("least").alias("wanted")), "node")
+    parts = wanted.withColumn("n", F.ceil(F.col("m") / PART).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    parts = checkpointed(parts.select("wanted", "node", "group", "part", "n"))
+    if parts.count() <= SMALL:
+        parts = F.broadcast(parts)
+    own = docs.select("doc_id", text_or_empty().cast("binary").alias("text")).join(parts, F.col("doc_id").eqNullSafe(F.col("wanted")))
+    sent = _sets(own.select("text", "node", "group", "part", "n"), shingle)
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        ids, own = group.column("node").to_numpy(), group.column("own").combine_chunks()
+        ids, first = np.unique(group.column("node").to_numpy(), return_index=True)  # repeated rows are one
+        own = group.column("own").combine_chunks()
         flat, ends = own.flatten().to_numpy().view(np.uint64), np.cumsum(own.value_lengths().to_numpy())
-        links = np.array(links_within(np.split(flat, ends[:-1]), least), dtype=np.int64).reshape(-1, 2)
+        sets = np.split(flat, ends[:-1])
+        links = np.array(links_within([sets[k] for k in first], least), dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(ids[links[:, 0]]), "b": pa.array(ids[links[:, 1]])})
 
     return sent.groupBy("group", "i", "j").applyInArrow(run, "a long, b long")
@@ -171,7 +196,7 @@ def near_copy_groups(docs: DataFrame, shingle: int = SHINGLE, least: float = LEA
     """
     bits, tables = table_shape(docs.count(), least)
     rows = checkpointed(_signatures(docs, shingle, bits, tables))
-    nodes = checkpointed(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.any_value(c).alias(c) for c in ("k1", "k2", "fps"))))
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.any_value(c).alias(c) for c in ("key", "fps"))))
     met = candidates(nodes, nodes.count(), bits)
     of_node = component_ids(nodes, connected_components(_links(docs, nodes, met, shingle, least)), "node")
     return rows.select("doc_id", "node").join(of_node, "node").select("doc_id", "component_id")

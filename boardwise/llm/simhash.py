@@ -25,8 +25,8 @@ from .components import connected_components
 SEED, SHINGLE, RADIUS, BITS = 42, 4, 2, 64
 #: Variants that a task holds at once; a prefix with more is worked through by longer prefixes.
 AT_ONCE = 2_000_000
-#: Fingerprints that a prefix has about, and the number from which a prefix is dealt out again by MORE bits.
-GROUP, HOT, LEAST_BITS, MORE = 1_000_000, 4_000_000, 6, 6
+#: Fingerprints and variants that a prefix has about, at most; fingerprints from which it is dealt out again by MORE bits.
+GROUP, VARIANTS, HOT, LEAST_BITS, MORE = 2_000_000, 50_000_000, 8_000_000, 4, 6
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 15
 
@@ -130,14 +130,15 @@ def forest(root: np.ndarray, pairs: np.ndarray) -> np.ndarray:
 def bucket_links(fps: np.ndarray, bucket: int, mask: int, bits: int = BITS, near: Near | None = None) -> np.ndarray:
     """Links within one prefix: the places of each linked fingerprint and of one that stands for its group.
 
-    Every pair is verified: by near, or else by its fingerprints' distance.
+    Every pair is verified by its fingerprints' distance, and by near if given.
     """
     free = tuple(i for i in range(bits) if not mask >> i & 1)
     mask_, bucket_ = np.uint64(mask), np.uint64(bucket)
-    near = near or (lambda a, b: np.bitwise_count(fps[a] ^ fps[b]) <= 2 * RADIUS)
+    within = lambda a, b: np.bitwise_count(fps[a] ^ fps[b]) <= 2 * RADIUS
+    verified = within if near is None else lambda a, b: within(a, b) & near(a, b)
     left = RADIUS - np.bitwise_count((fps & mask_) ^ bucket_).astype(np.int64)
     root = np.arange(len(fps))
-    for pairs in _meetings((fps & ~mask_) | bucket_, left, np.arange(len(fps)), free, near):
+    for pairs in _meetings((fps & ~mask_) | bucket_, left, np.arange(len(fps)), free, verified):
         root = forest(root, pairs)
     linked = np.flatnonzero(root != np.arange(len(fps)))
     return np.stack([linked, root[linked]], axis=1)
@@ -159,14 +160,24 @@ def _dealt(rows: DataFrame, prefix: list[int]) -> DataFrame:
     return rows.select(*kept, F.inline(F.filter(F.array(*ways), lambda w: w["left"] >= 0)))
 
 
-def meet_in_the_middle(rows: DataFrame, n: int, bits: int = BITS, limit: int = 2 * RADIUS) -> DataFrame:
-    """Links (a, b) of rows (t, fp, k1, k2), n in a table t: k1s of rows with 4 or fewer of `bits` bits between their fps of a
-    table, and `limit` or fewer between their keys (k1, k2). They connect what such pairs connect."""
-    order = [i * 29 % bits for i in range(bits)]  # 29 has no factor in common with 32 to 64, but for 58
-    size = LEAST_BITS
-    while size < bits and n * (1 + size + size * (size - 1) // 2) >> size > GROUP:
+def prefix_bits(n: int, bits: int) -> int:
+    """Bits of prefix for n fingerprints, by what a prefix then has of them and of their variants."""
+    size, ball = LEAST_BITS, 1 + bits + bits * (bits - 1) // 2
+    while size < bits and (n * (1 + size + size * (size - 1) // 2) >> size > GROUP or n * ball >> size > VARIANTS):
         size += 1
-    at, levels = [size], [_dealt(rows.withColumns({"bucket": F.lit(0).cast("long"), "left": F.lit(RADIUS)}), order[:size])]
+    return size
+
+
+def meet_in_the_middle(rows: DataFrame, n: int, bits: int = BITS, key_bits: int | None = None) -> DataFrame:
+    """Links (a, b) that connect what is connected among the fingerprints of a table: rows are (t, fp) of up to 64 `bits`, n
+    or fewer in a table t, and those are linked that differ in 4 bits or fewer.
+
+    With key_bits, rows also have a key of 64 bits: links are between keys, and theirs too differ in no more than key_bits.
+    """
+    kept = ["fp"] if key_bits is None else ["fp", "key"]
+    order = [i * 29 % bits for i in range(bits)]  # 29 has no factor in common with 32 to 64, but for 58
+    at = [prefix_bits(n, bits)]
+    levels = [_dealt(rows.withColumns({"bucket": F.lit(0).cast("long"), "left": F.lit(RADIUS)}), order[: at[0]])]
     while at[-1] < bits:
         own = levels[-1]
         hot = checkpointed(own.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HOT).select("t", "bucket"))
@@ -176,23 +187,23 @@ def meet_in_the_middle(rows: DataFrame, n: int, bits: int = BITS, limit: int = 2
         levels.append(_dealt(own.join(hot, ["t", "bucket"], "left_semi"), order[at[-1] : at[-1] + MORE]))
         at.append(min(bits, at[-1] + MORE))
     masks = [_mask(order[:x]) for x in at]
-    sent = levels[0].select("t", "bucket", "fp", "k1", "k2", F.lit(0).alias("level"))
+    sent = levels[0].select("t", "bucket", *kept, F.lit(0).alias("level"))
     for i, more in enumerate(levels[1:], 1):
-        sent = sent.unionByName(more.select("t", "bucket", "fp", "k1", "k2", F.lit(i).alias("level")))
+        sent = sent.unionByName(more.select("t", "bucket", *kept, F.lit(i).alias("level")))
 
     def links(group: pa.Table) -> pa.Table:
-        fps, k1, k2 = (group.column(c).to_numpy().view(np.uint64) for c in ("fp", "k1", "k2"))
-        near = lambda a, b: np.bitwise_count(k1[a] ^ k1[b]).astype(np.int64) + np.bitwise_count(k2[a] ^ k2[b]) <= limit
-        mask = masks[group.column("level")[0].as_py()]
-        out = bucket_links(fps, group.column("bucket")[0].as_py() & (1 << 64) - 1, mask, bits, near)
-        return pa.table({"a": pa.array(k1[out[:, 0]].view(np.int64)), "b": pa.array(k1[out[:, 1]].view(np.int64))})
+        fps, keys = (group.column(c).to_numpy().view(np.uint64) for c in (kept[0], kept[-1]))
+        near = None if key_bits is None else lambda a, b: np.bitwise_count(keys[a] ^ keys[b]) <= key_bits
+        bucket, mask = group.column("bucket")[0].as_py() & (1 << 64) - 1, masks[group.column("level")[0].as_py()]
+        out = keys[bucket_links(fps, bucket, mask, bits, near)].view(np.int64)
+        return pa.table({"a": pa.array(out[:, 0]), "b": pa.array(out[:, 1])})
 
     return sent.groupBy("t", "level", "bucket").applyInArrow(links, "a long, b long").where("a <> b").distinct()
 
 
 def fingerprint_links(fps: DataFrame, n: int) -> DataFrame:
     """Links (a, b) that connect what is connected among the distinct fingerprints fp, n of them."""
-    return meet_in_the_middle(fps.select(F.lit(0).alias("t"), "fp", F.col("fp").alias("k1"), F.lit(0).cast("long").alias("k2")), n)
+    return meet_in_the_middle(fps.select(F.lit(0).alias("t"), "fp"), n)
 
 
 def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
