@@ -5,10 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 #: Labels of strata and their buckets; other labels mean open, and All sets no filter.
 STRATA = {
@@ -29,6 +27,31 @@ def day(c: Column) -> Column:
     return F.substring(c, 1, 10)
 
 
+def day_within(c: Column) -> Column:
+    """The first date in a text, as in 2026-01-22T00:00:00+01:00; null without one."""
+    return F.try_to_timestamp(F.nullif(F.regexp_extract(c, "([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), F.lit("")), F.lit("yyyy-MM-dd")).cast("date")
+
+
+def is_recent(c: Column, now: dt.datetime, days: int = 30) -> Column:
+    """Whether the date in a text starts no more than `days` before now; false without a date."""
+    return F.coalesce(day_within(c).cast("timestamp_ntz") >= F.lit(now - dt.timedelta(days=days)).cast("timestamp_ntz"), F.lit(False))
+
+
+def series_key(c: Column) -> Column:
+    """A series id as text, however it came: 3, 3.0 as a number and ' 03 ' are 3; other texts stay as they are."""
+    return F.when(F.trim(c).rlike("^[0-9]+$"), F.trim(c).try_cast("decimal(38,0)").cast("string")).otherwise(c)
+
+
+def number_key(c: Column) -> Column:
+    """series_key for a column of numbers: whole ones without a fraction."""
+    return F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(c.cast("string"))
+
+
+def holds_text(c: Column, token: str) -> Column:
+    """Whether a text holds token, taken literally, in any case."""
+    return c.rlike("(?i)" + re.escape(token))
+
+
 def first_number(c: Column) -> Column:
     """Digits with thousands commas as an integer, else null."""
     return F.regexp_replace(F.regexp_extract(c, r"([0-9][0-9,]*)", 1), ",", "").try_cast("int")
@@ -44,11 +67,10 @@ def tournament_is_nlm(raw: Column) -> Column:
 
 
 def tournament_top_limit(raw: Column) -> Column:
-    """Limit of the last part that has one, of `0-1500/NLM` or `2500`; a lone NLM stands for 500; else null."""
+    """Limit of the last part that has one or starts with `0-`, of `0-1500/NLM` or `2500`; a lone NLM stands for 500; else null."""
     text = F.upper(F.trim(raw))
-    parts = F.filter(F.reverse(F.split(text, "/")), lambda x: x != "NLM")
-    tops = F.transform(parts, lambda x: first_number(F.regexp_replace(x, "^0-", "")))
-    first = F.get(F.filter(tops, lambda x: x.isNotNull()), F.lit(0))
+    tops = F.transform(F.reverse(F.split(text, "/")), lambda x: F.struct(first_number(F.regexp_replace(x, "^0-", "")).alias("top"), x.startswith("0-").alias("ends"), (x == "NLM").alias("nlm")))
+    first = F.get(F.filter(tops, lambda x: ~x["nlm"] & (x["ends"] | x["top"].isNotNull())), F.lit(0))["top"]
     return F.when(text == "NLM", F.lit(500)).otherwise(first)
 
 
@@ -107,20 +129,30 @@ def surnames(pair: Column) -> Column:
     return F.transform(two, lambda x: F.element_at(F.split(F.trim(x), " +"), -1))
 
 
-@F.pandas_udf(DoubleType())
-def nearest_percentage(page: pd.Series, first: pd.Series, second: pd.Series) -> pd.Series:
-    """The percentage with both names from 100 characters ahead of it to 20 behind, whose farther name is nearest."""
+def nearest_percentage(page: Column, first: Column, second: Column, ahead: int = 100, behind: int = 20) -> Column:
+    """Of a page's percentages such as 57.30%, the one closest behind two names, in any case; null without one.
+
+    A name counts where it last stands in the characters around a percentage, `ahead` before it to `behind` after it. The
+    distance is from the farther name; of equal distances the first percentage wins.
+    """
+    percent = r"[0-9]{1,2}\.[0-9]{2}%"
+    text, names = F.upper(page), [F.upper(F.trim(x)) for x in (first, second)]
+    found, between = F.regexp_extract_all(text, F.lit(percent), F.lit(0)), F.split(text, percent, -1)
 
-    def one(text: str | None, a: str | None, b: str | None) -> float | None:
-        text, names, best = (text or "").upper(), [(x or "").strip().upper() for x in (a, b)], (float("inf"), None)
-        for m in re.finditer(r"(\d{1,2}\.\d{2})%", text) if all(names) else ():
-            low = max(0, m.start() - 100)
-            places = [text.rfind(x, low, m.end() + 20) for x in names]
-            if min(places) >= 0:
-                best = min(best, (m.start() - min(places), float(m[1])), key=lambda x: x[0])
-        return best[1]
+    def before(i: Column) -> Column:
+        """Characters ahead of the i-th percentage."""
+        return F.aggregate(F.slice(between, F.lit(1), i + 1), F.lit(0), lambda n, x: n + F.length(x)) + F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x))
 
-    return pd.Series([one(*x) for x in zip(page, first, second)], dtype="float64")
+    def measured(value: Column, i: Column) -> Column:
+        at = before(i)
+        around = F.concat(F.right(F.substring(text, F.lit(1), at), F.lit(ahead)), F.substring(text, at + 1, F.length(value) + behind))
+        back = [F.instr(F.reverse(around), F.reverse(name)) + F.length(name) - 1 for name in names]  # from the end to the name's start
+        tail = F.length(around) - F.least(at, F.lit(ahead))
+        seen = F.least(*[F.instr(around, name) for name in names]) > 0
+        return F.when(seen, F.struct((F.greatest(*back) - tail).alias("distance"), i.alias("place"), F.rtrim(value, F.lit("%")).cast("double").alias("value")))
+
+    best = F.array_min(F.filter(F.transform(found, measured), lambda x: x.isNotNull()))
+    return F.when((F.length(names[0]) > 0) & (F.length(names[1]) > 0), best["value"])
 
 
 def dated_page(day_col: Column, templates: dict[int, str]) -> Column:
@@ -131,6 +163,13 @@ def dated_page(day_col: Column, templates: dict[int, str]) -> Column:
     return out
 
 
+def filled(template: str, *parts: Column) -> Column:
+    """template with trimmed parts; null if one is null or empty."""
+    bare = [F.trim(p.cast("string")) for p in parts]
+    known = F.forall(F.array(*bare), lambda x: F.coalesce(x, F.lit("")) != "")
+    return F.when(known, F.format_string(template, *bare))
+
+
 def date_bounds(choice: str, today: dt.date) -> tuple[dt.date | None, dt.date | None]:
     """First and last day of a named range; None where it is open."""
     start = dt.date(today.year if (today.month, today.day) >= (7, 1) else today.year - 1, 7, 1)

@@ -60,6 +60,11 @@ def members(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return df.join(ids.select(on).distinct(), on, "left_semi")
 
 
+def in_any(columns: list[str], values: list) -> Column:
+    """Whether any of the columns has one of a few values."""
+    return F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(F.col(c).isin(values), F.lit(False)) for c in columns], F.lit(False)), F.lit(False))
+
+
 def not_yet_in(df: DataFrame, known: DataFrame, on: str) -> DataFrame:
     return df.join(known.select(on), on, "left_anti")
 

@@ -2,7 +2,7 @@
 
 A rating depends on the field's mean at the start of its session, so players of a pool are coupled and a pool's sessions
 follow each other. Pools (columns given in `by`) are independent and fold in parallel. Within a pool, rows arrive sorted
-through Spark's own external sort and are read as a stream: a task holds its players' ratings and one session's rows, never a pool.
+through Spark's own external sort and leave as they came, with their ratings: a task holds its players' ratings and one session's rows, never a pool.
 """
 
 from __future__ import annotations
@@ -60,54 +60,74 @@ def fold_session(rows: list[tuple], scratch: dict, handicap: dict) -> list[tuple
     return out
 
 
-def fold(results: DataFrame, by: Sequence[str] = (), row: str = "row_seq", today: str | None = None, initial: DataFrame | None = None) -> DataFrame:
-    """results (by, date, tournament_id, row, player1_id, player2_id, scratch_percentage, handicap_percentage) with ratings.
+def with_percentages(results: DataFrame) -> DataFrame:
+    """results with scratch_percentage, club_percentage and iv_bonus filled where they are missing or no number.
 
-    Sessions go by date text, then id, and rows of a session by `row`. Later sessions than `today` are left out.
-    A null or empty id is no player. initial: ratings to start from, (by, player_id, scratch, handicap); a small
-    table, checked by its size.
+    A bonus is a tenth of pe_bonus. A missing or zero percentage is 50; the club's is that less the bonus, and the
+    scratch percentage is the club's. Columns that results lack count as missing.
     """
-    keys = [*by, "date", "tournament_id", row]
-    known = results if today is None else results.where(F.substring("date", 1, 10) <= today)
-    start: dict = {}
+    own = {c: F.col(c).try_cast("double") if c in results.columns else F.lit(None).cast("double") for c in ("percentage", "pe_bonus", "club_percentage", "scratch_percentage", "iv_bonus")}
+    bonus = F.coalesce(own["pe_bonus"], F.lit(0.0)) / 10.0
+    club = F.coalesce(own["club_percentage"], F.coalesce(F.nullif(own["percentage"], F.lit(0.0)), F.lit(50.0)) - bonus)
+    return results.withColumns({"scratch_percentage": F.coalesce(own["scratch_percentage"], club), "club_percentage": club, "iv_bonus": F.coalesce(own["iv_bonus"], bonus)})
+
+
+def _stream(results: DataFrame, by: Sequence[str], row: str, initial: DataFrame | None) -> DataFrame:
+    """What a pool's task reads, in order: its first ratings (as player1_id, scratch, handicap), then its results."""
+    keys = [F.col(c) for c in by]
+    own = results.select(
+        *keys, F.lit(1).alias("kind"), "date", "tournament_id", F.col(row).alias("place"), *[F.nullif(F.col(f"player{i}_id").cast("string"), F.lit("")).alias(f"player{i}_id") for i in (1, 2)],
+        F.col("scratch_percentage").cast("double").alias("scratch"), F.col("handicap_percentage").try_cast("double").alias("handicap"), F.struct(*results.drop(*OUT).columns).alias("own"),
+    )
     if initial is not None:
-        rows = initial.select(F.struct(*by).alias("pool") if by else F.lit(None).alias("pool"), "player_id", "scratch", "handicap").limit(1_000_001).collect()
-        if len(rows) > 1_000_000:
-            raise ValueError("too many initial ratings; fold them in as results")
-        for r in rows:
-            s, h = start.setdefault(tuple(r.pool) if by else (), ({}, {}))
-            s[r.player_id], h[r.player_id] = r.scratch, r.handicap
-    sent = results.sparkSession.sparkContext.broadcast(start)
-    narrow = known.select(*keys, "player1_id", "player2_id", "scratch_percentage", "handicap_percentage")
-    ordered = (narrow.repartition(*by) if by else narrow.repartition(1)).sortWithinPartitions(*keys)
-    n_by = len(by)
+        first = initial.select(*keys, F.lit(0).alias("kind"), F.col("player_id").alias("player1_id"), F.col("scratch").cast("double").alias("scratch"), F.col("handicap").cast("double").alias("handicap"))
+        own = own.unionByName(first, allowMissingColumns=True)
+    order = [*by, "kind", "date", "tournament_id", "place", "player1_id", "player2_id", "scratch", "handicap"]
+    return (own.repartition(*by) if by else own.repartition(1)).sortWithinPartitions(*order)
+
+
+def fold(results: DataFrame, by: Sequence[str] = (), row: str = "row_seq", today: str | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """results (by, date, tournament_id, row, player1_id, player2_id, percentages) with ratings, in place of columns of their names.
+
+    Percentages are completed by with_percentages. Sessions go by date text, then id, and rows of a session by `row`; nulls
+    come first. Later sessions than `today` are left out. Every other row stays, repeated ones too, which count each. A null
+    or empty id is no player. initial: ratings to start from, (by, player_id, scratch, handicap), read as the pool's first rows.
+    """
+    known = with_percentages(results)
+    known = known if today is None else known.where(F.coalesce(F.substring("date", 1, 10), F.lit("")) <= today)
+    ordered, n_by = _stream(known, by, row, initial), len(by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool, session, held, ratings = None, None, [], ({}, {})
+        pool, session, held, parts, ratings = None, None, [], [], ({}, {})
 
         def flush() -> pa.RecordBatch:
-            values = fold_session([x[-4:] for x in held], *ratings)
-            columns = list(zip(*[(*x[: len(keys)], *v) for x, v in zip(held, values)]))
-            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types)), *(pa.array(c, pa.float64()) for c in columns[len(keys) :])], names=[*keys, *OUT])
+            columns = zip(*fold_session(held, *ratings))
+            own = pa.concat_arrays(parts)
+            return pa.RecordBatch.from_arrays([own, *(pa.array(c, pa.float64()) for c in columns)], names=["own", *OUT])
 
         for b in batches:
-            types = [b.schema.field(k).type for k in keys]
-            for x in zip(*(c.to_pylist() for c in b.columns)):
-                if x[: n_by + 2] != session and held:
-                    yield flush()
-                    held = []
-                if pool is None or x[:n_by] != pool:
-                    pool = x[:n_by]
-                    first = sent.value.get(pool, ({}, {}))
-                    ratings = (dict(first[0]), dict(first[1]))
-                session = x[: n_by + 2]
-                held.append(x)
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(n_by + 3))))
+            values, own, start = list(zip(*(b.column(c).to_pylist() for c in ("player1_id", "player2_id", "scratch", "handicap")))), b.column("own"), 0
+            for k, key in enumerate(keys):
+                if key != session:
+                    parts.append(own.slice(start, k - start))
+                    if held:
+                        yield flush()
+                    held, parts, start, session = [], [], k, key
+                if key[:n_by] != pool:
+                    pool, ratings = key[:n_by], ({}, {})
+                if key[n_by]:
+                    held.append(values[k])
+                else:
+                    player, _, scratch, handicap = values[k]
+                    ratings[0][player], ratings[1][player] = scratch, handicap
+            parts.append(own.slice(start))
         if held:
             yield flush()
 
-    kinds = dict(results.dtypes)
-    rated = ordered.mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(f"{c} double" for c in OUT)]))
-    return known.drop(*OUT).join(rated, keys)
+    kind = ordered.schema["own"].dataType.simpleString()
+    rated = ordered.mapInArrow(run, ", ".join([f"own {kind}", *(f"{c} double" for c in OUT)]))
+    return rated.select("own.*", *OUT)
 
 
 def snapshot(rated: DataFrame, row: str = "row_seq") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ratings as R
+from ..functions import text as T
 from . import aggregates as A
 
 #: Order of results in time; row_seq is a result's place in its tournament.
@@ -171,3 +172,28 @@ def opponent_comparison(results: DataFrame, player: str | None = None, pair: str
         mean("My_Rank", 1, "My_Avg_Rank"), mean("My_Scratch", 2, "My_Avg_Scratch"), mean("My_Handicap", 2, "My_Avg_Handicap"), mean("My_Elo", 0, "My_Avg_Elo"),
     )
     return out.orderBy(F.desc("Events"), "Opponent")
+
+
+def reconciled(history: DataFrame, pages: DataFrame, handicap: bool = False, templates: dict[int, str] | None = None) -> DataFrame:
+    """history (Date, Tournament, Partner, Scratch_Pct, Handicap_Pct, Pct_Used) with both percentages of a day's result pages.
+
+    pages: (url, text) as landed, two a day, for scratch (an address ending in s) and handicap (in h); templates: addresses by
+    weekday without that letter. Rows of those weekdays take both values if both pages have the pair, and the scratch page's
+    address as Organization_URL; other rows stay as they are, and no page is read for a row without a pair's two names.
+    """
+    page = T.dated_page(F.try_to_timestamp(F.substring("Date", 1, 10), F.lit("yyyy-MM-dd")).cast("date"), templates or {})
+    texts = pages.groupBy("url").agg(F.max("text").alias("text"))
+    both = history.withColumn("_page", page)
+    for kind in "sh":
+        one = texts.select(F.col("url").alias(f"_url_{kind}"), F.col("text").alias(f"_text_{kind}"))
+        both = both.join(one, F.concat("_page", F.lit(kind)) == F.col(f"_url_{kind}"), "left")
+    names = T.surnames(F.col("Partner"))
+    first, second = F.get(names, F.lit(0)), F.get(names, F.lit(1))
+    found = both.withColumns({f"_{k}": R.fixed_round(T.nearest_percentage(F.col(f"_text_{k}"), first, second), 2) for k in "sh"})
+    ok = F.col("_s").isNotNull() & F.col("_h").isNotNull()
+    out = found.withColumns({
+        "Scratch_Pct": F.when(ok, F.col("_s")).otherwise(F.col("Scratch_Pct")), "Handicap_Pct": F.when(ok, F.col("_h")).otherwise(F.col("Handicap_Pct")),
+        "Organization_URL": F.when(ok, F.col("_url_s")),
+    })
+    used = F.coalesce("Handicap_Pct", "Scratch_Pct") if handicap else F.col("Scratch_Pct")
+    return out.withColumn("Pct_Used", used).select(*history.columns, "Organization_URL")

@@ -35,31 +35,63 @@ def with_player_values(results: DataFrame, values: DataFrame) -> DataFrame:
     return results.withColumn("pair_iv", F.col("player1_current_iv") + F.col("player2_current_iv"))
 
 
-def build(raw: DataFrame, sessions: DataFrame, today: str, clubs: DataFrame | None = None, private: bool = False, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """raw (tournament_id, series_id, payload) and sessions (tournament_id, date, tournament_name) to results and players."""
+def build(
+    raw: DataFrame, sessions: DataFrame, today: str, clubs: DataFrame | None = None, private: bool = False, by: Sequence[str] = (), values: DataFrame | None = None, initial: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """raw (tournament_id, series_id, payload) and sessions (tournament_id, date, tournament_name) to results and players.
+
+    clubs (code, label) name clubs where few results have names; values (player_id, iv) are players' values; initial: first
+    ratings, as in history.fold.
+    """
     rows = landing.private_results(raw) if private else landing.public_results(raw)
     rows = filters.with_optional(rows.join(sessions, "tournament_id"), OPTIONAL)
     rows = identified(rows if clubs is None else landing.named_clubs(rows, clubs))
-    rated = history.fold(rows, by=by, today=today)
+    rows = rows if values is None else with_player_values(rows, values)
+    rated = history.fold(rows, by=by, today=today, initial=initial)
     return history.standardized(rated, history.snapshot(rated))
 
 
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
+    """A table of the landing folder; None if there is none."""
+    try:
+        return spark.read.parquet(f"{folder}/{name}.parquet")
+    except Exception as e:
+        if type(e).__name__ == "AnalysisException":
+            return None
+        raise
+
+
+def landed(spark: SparkSession, folder: str, now: dt.datetime, max_age_hours: float | None, limit: int | None) -> tuple[DataFrame, DataFrame]:
+    """Payloads, from payloads.parquet or the envelopes envelopes/*.json, and sessions; `limit`: of the latest sessions alone."""
+    sessions = spark.read.parquet(f"{folder}/sessions.parquet")
+    if limit is not None:
+        sessions = sessions.orderBy(F.desc("date"), "tournament_id").limit(limit)
+    raw = _table(spark, folder, "payloads")
+    if raw is None:
+        raw = landing.payloads(landing.fresh(landing.read_landing(spark, f"{folder}/envelopes"), max_age_hours, now))
+    return raw, sessions
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> bool:
     """Whether it built: with --if-stale, only a dataset that is missing, old, or lacks a past session is."""
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("--landing", required=True, help="folder with payloads.parquet, sessions.parquet and, if known, clubs.parquet")
+    p.add_argument("--landing", required=True, help="folder with sessions.parquet, payloads.parquet or envelopes/*.json, and, if known, clubs.parquet (code, label) and values.parquet (player_id, iv)")
     p.add_argument("--out", required=True)
     p.add_argument("--private", action="store_true")
     p.add_argument("--if-stale", action="store_true")
     p.add_argument("--max-age-hours", type=float, default=20.0)
+    p.add_argument("--envelope-hours", type=float, default=None, help="oldest envelopes to read; by default all")
+    p.add_argument("--limit", type=int, default=None, help="latest sessions to read; by default all")
+    p.add_argument("--keep", type=int, default=2, help="versions to keep")
     p.add_argument("--now", type=dt.datetime.fromisoformat, default=dt.datetime.now())
     a = p.parse_args(args)
     spark = spark or SparkSession.builder.appName("build").getOrCreate()
-    sessions = spark.read.parquet(f"{a.landing}/sessions.parquet")
+    raw, sessions = landed(spark, a.landing, a.now, a.envelope_hours, a.limit)
     if a.if_stale and not landing.needs_rebuild(spark, a.out, sessions, a.now, a.max_age_hours):
         return False
-    results, people = build(spark.read.parquet(f"{a.landing}/payloads.parquet"), sessions, a.now.date().isoformat(), private=a.private)
+    results, people = build(raw, sessions, a.now.date().isoformat(), _table(spark, a.landing, "clubs"), a.private, values=_table(spark, a.landing, "values"))
     landing.write_dataset(results, people, a.out, a.now)
+    landing.prune(spark, a.out, a.keep)
     return True
 
 

@@ -16,7 +16,7 @@ from ..operators import filters, history
 from ..operators import results as Q
 from ..sources import landing
 from . import report, views
-from .params import Report
+from .params import MOMENTS, Report
 
 ANCHOR = 1400.0
 PLAYERS = Report(top_n=60, min_sessions=3, prior_sessions=50, min_skill_z=-0.5, strata="All")
@@ -106,7 +106,7 @@ def partner_summary(s, sf):
 
 
 def club_summary(s, sf):
-    return Q.club_summary(views.results(s, sf).withColumn("pair_id", F.col("player1_id")), "u7")
+    return Q.club_summary(views.results(s, sf), "u1_u43")
 
 
 def opponent_history(s, sf):
@@ -133,6 +133,88 @@ def elo_standardized(s, sf):
     return history.standardized(rated, people)[1].select("player_id", "scratch_elo", "handicap_elo", "games_played", r6("avg_percentage").alias("avg_percentage"), r6("stdev_percentage").alias("stdev_percentage"))
 
 
+def elo_whole_pool(s, sf):
+    """One set of ratings over all series, of results some of which lack percentages."""
+    k = F.col("event_id")
+    r = views.results(s, sf).withColumns({
+        "scratch_percentage": F.when(k % 7 != 0, F.col("scratch_percentage")), "percentage": F.when(k % 21 != 0, F.col("percentage")), "pe_bonus": (k % 8 * 10).cast("string"),
+    })
+    rated = history.fold(r)
+    return rated.select("event_id", *[r6(c).alias(c) for c in ["scratch_percentage", *history.FIELD, "player1_scratch_elo_after", "player2_scratch_elo_before", "player1_handicap_elo_after", "player2_handicap_elo_after", "scratch_pair_elo"]])
+
+
+def rating_moments(s, sf):
+    """The ten best players and pairs by each moment's ratings."""
+    b = views.boards(s, sf)
+    extra = {f"Elo_R_{p}_{m}": F.col(f"Elo_R_{p}") + d for p in ("N", "E", "S", "W", "NS", "EW") for m, d in (("EventStart", -3.0), ("EventEnd", 5.0))}
+    b = b.withColumns(extra | {f"Elo_E_Pair_{p}": F.col(f"Elo_R_{p}") * 0.5 + 700.0 for p in ("NS", "EW")})
+    out = None
+    for entity, key in (("Players", "Player_ID"), ("Pairs", "Pair_IDs")):
+        for moment, columns in MOMENTS.items():
+            if columns[entity == "Pairs"] is None:
+                continue
+            p = Report(entity=entity, moment=moment, top_n=10, min_sessions=3, prior_sessions=50, min_skill_z=-0.5, strata="All")
+            kind = entity[:-1]
+            own = report.report(b, p, ANCHOR).select(F.lit(moment).alias("moment"), F.lit(entity).alias("entity"), F.col(f"{kind}_Elo_Rank").alias("place"), F.col(key).alias("id"), F.col(f"{kind}_Elo_Score").alias("score"))
+            out = own if out is None else out.unionByName(own)
+    return out
+
+
+def detail_at_start(s, sf):
+    p = Report(moment="Rating at Start of Session", mode="Local Only", strata="0-299", min_skill_z=-95)
+    return report.detail(views.boards(s, sf), p, player="p3").select("Date", "Session", "Seat", "Partner", "Pct", "Elo_Before", "Elo_After")
+
+
+def leaderboard_found(s, sf):
+    """By name and by masterpoints, of the rows that the leaderboard lists."""
+    board = leaderboard_players(s, sf)
+    names = report.found_in(board, PLAYERS, "eve").withColumn("by", F.lit("name"))
+    return names.unionByName(report.found_in(board, PLAYERS, band=(300.0, 500.0)).withColumn("by", F.lit("points"))).select("by", "Player_Elo_Rank", "Player_ID", "MasterPoints")
+
+
+def boards_of_members(s, sf):
+    return views.boards(s, sf).where(filters.in_any([f"Player_ID_{p}" for p in "NESW"], ["p3", "p50"])).select("event_id")
+
+
+def date_choices(s, sf):
+    choices = ["Current season", "Previous season", "Last 3 months", "Last 6 months", *[f"Last {k} year{'s' * (k > 1)}" for k in range(1, 6)], "All time"]
+    o, out = table(s, sf, "orders").select(F.col("o_orderdate").cast("string").alias("d")), None
+    for c in choices:
+        bounds = [x and x.isoformat() for x in T.date_bounds(c, dt.date(1998, 3, 1))]
+        own = o.where(filters.days("d", *bounds)).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("choice"), "n")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def recent_tournaments(s, sf):
+    r = views.results(s, sf).select("tournament_id", F.when(F.col("event_id") % 10 != 0, F.concat("date", F.lit("+01:00"))).otherwise("none").alias("text")).distinct()
+    return r.select("tournament_id", T.day_within(F.col("text")).cast("string").alias("day"), T.is_recent(F.col("text"), dt.datetime(2024, 1, 25), 10).alias("recent"))
+
+
+def series_keys(s, sf):
+    x = table(s, sf, "supplier").select("s_suppkey", F.element_at(F.array(*map(F.lit, ["3", " 03 ", "all", "3.0", ""])), (F.col("s_suppkey") % 5 + 1).cast("int")).alias("t"), (F.col("s_suppkey") % 4 / 2).alias("v"))
+    return x.select("s_suppkey", T.series_key(F.col("t")).alias("text"), T.number_key(F.col("v")).alias("number"), T.holds_text(F.col("t"), ".0").alias("dotted"))
+
+
+def private_payloads(s, sf):
+    form = '{"teams":[{"id":%d,"percent":%s,"PE_bonus":"%d","ranking":%d,%s"organization":{"id":1,"name":"C","code":"7"},"players":[{"id":%d,"firstname":"A","lastname":"B"},{"id":2,"lastname":"D"}]},{"players":[{"id":1}]}]}'
+    k = F.col("event_id")
+    given = F.when(k % 5 == 0, F.format_string('"percentWithoutHandicap":"%s",', (k % 50).cast("string"))).otherwise("")
+    e = table(s, sf, "events").select(k.cast("string").alias("tournament_id"), F.when(k % 4 == 0, 386).otherwise(3).alias("series_id"), F.format_string(form, k, (k % 64 / 2).cast("string"), k % 3 * 30, k % 9, given, F.col("user_id")).alias("payload"))
+    return landing.private_results(e).select("tournament_id", "team_id", "player1_id", "player2_name", "scratch_percentage", "handicap_percentage", "iv_bonus", "rank", "club_code")
+
+
+def reconciled_pages(s, sf):
+    """A player's history with the percentages of landed pages: Mondays and Thursdays have two each, some without the pair."""
+    h = Q.entity_history(views.results(s, sf), player="u50").select("Date", "Event_ID", "Seq", F.regexp_replace("Partner", "([AB])(nn|ob) ([0-9]+)", "$1$2 $1$3X").alias("Partner"), "Scratch_Pct", "Handicap_Pct", "Pct_Used")
+    templates = {0: "http://pages.example/l?c=lo{day}&t=", 3: "http://pages.example/j?c=jo{day}&t="}
+    days = table(s, sf, "events").select(F.col("ts").cast("date").alias("d")).distinct().select("d", F.explode(F.map_from_arrays(F.array(F.lit("s"), F.lit("h")), F.array(F.lit(30), F.lit(50)))).alias("kind", "base"))
+    listed = F.filter(F.sequence(F.lit(0), F.lit(39)), lambda k: k % 3 == F.day("d") % 3)
+    lines = F.transform(listed, lambda k: F.format_string("Ann A%dX Bob B10X %d.%02d%% and more about their club ", k, F.col("base") + k, F.day("d")))
+    pages = days.select(F.concat(T.dated_page(F.col("d"), templates), "kind").alias("url"), F.array_join(lines, "").alias("text")).where("url is not null")
+    return Q.reconciled(h, pages, templates=templates)
+
+
 def new_tournaments(s, sf):
     r = views.results(s, sf)
     listed, known = r.select("tournament_id", "date").distinct(), r.where("series_id <> 2").select("tournament_id")
@@ -243,7 +325,7 @@ def pair_ids(s, sf):
 
 def strata_limits(s, sf):
     raw = F.element_at(F.array(*map(F.lit, ["MP Limits: 1,500/750", "MP Limits: None/300", "mp limits: 299", "2500", "nothing"])), (F.col("event_id") % 5 + 1).cast("int"))
-    other = F.element_at(F.array(*map(F.lit, ["NLM", "0-750", "0-1500/NLM", "none", "2500", "NLM/0-500", "300/0-200"])), (F.col("event_id") % 7 + 1).cast("int"))
+    other = F.element_at(F.array(*map(F.lit, ["NLM", "0-750", "0-1500/NLM", "none", "2500", "NLM/0-500", "300/0-200", "500/0-abc", "0-xyz", None])), (F.col("event_id") % 10 + 1).cast("int"))
     e = table(s, sf, "events").withColumns({"raw": raw, "other": other})
     e = e.withColumns({"club": T.strata_bucket(T.club_top_limit(F.col("raw"))), "event": T.strata_bucket(T.tournament_top_limit(F.col("other")), T.tournament_is_nlm(F.col("other")))})
     return e.groupBy("raw", "other", "club", "event").agg(F.count(F.lit(1)).alias("n"))
@@ -297,7 +379,8 @@ def post_processed(s, sf):
 ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     leaderboard_players, leaderboard_pairs, crossover_enrich, report_filtered, player_detail, pair_detail, opponent_breakdown, opponent_summary,
     players_from_results, top_result_players, top_result_pairs, top_result_pairs_titles, metric_cards, tournament_opponents, entity_history, partner_summary,
-    club_summary, opponent_history, opponent_me_vs_them, result_filters, elo_history_fold, elo_standardized, new_tournaments, filter_tristate, filter_valid_pct,
+    club_summary, opponent_history, opponent_me_vs_them, result_filters, elo_history_fold, elo_standardized, elo_whole_pool, new_tournaments, rating_moments, detail_at_start, leaderboard_found,
+    boards_of_members, date_choices, recent_tournaments, series_keys, private_payloads, reconciled_pages, filter_tristate, filter_valid_pct,
     filter_days, filter_names_numbers, filter_masterpoint_bands, optional_columns, unpivot_seats, unpivot_sides, union_by_name, rating_methods,
     distinct_and_spread, stacked_calibration, sorted_options, rank_suite, pages_of_parts, top_by_two_keys, scales_and_titles, elo_steps, pair_ids,
     strata_limits, timestamps_parsed, club_codes, html_to_text, json_payloads, dated_pages, lookups_left_and_filled, members_of_region, ad_hoc_self, post_processed,

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import boards as B
 from ..operators import filters
+from ..sources import landing
 from .params import Report
 
 
@@ -34,9 +35,35 @@ def date_range(boards: DataFrame) -> DataFrame:
     return boards.agg(F.min("Date").alias("first"), F.max("Date").alias("last"))
 
 
+def report_of_files(spark: SparkSession, paths: dict[str, str], p: Report, sidecar: str | None = None) -> DataFrame:
+    """report over files of boards by event type, with anchors from the sidecars {event}.json in a folder; no file, no anchor."""
+    columns = {e: landing.boards(spark, path) for e, path in paths.items()}
+    kind = "player" if p.entity == "Players" else "pair"
+    anchors = {e: None if sidecar is None else landing.anchor(spark, f"{sidecar}/{e}.json", kind) for e in paths}
+    other = next((e for e in paths if e != p.event), None)
+    return report(columns[p.event], p, anchors[p.event], columns.get(other), anchors.get(other))
+
+
+def found_in(board: DataFrame, p: Report, token: str | None = None, band: tuple[float, float | None] | None = None) -> DataFrame:
+    """Rows of a leaderboard by name or number, and by masterpoints: of those that it lists, so ranks stay."""
+    keys = ("Player_ID", "Player_Name", "MasterPoints") if p.entity == "Players" else ("Pair_IDs", "Pair_Names", "Avg_MPs")
+    if token:
+        board = board.where(T.name_or_number(token, keys[0], keys[1], pair=p.entity == "Pairs"))
+    return board if band is None else board.where(T.masterpoint_band(F.col(keys[2]), *band))
+
+
 def ad_hoc(result: DataFrame, text: str) -> DataFrame:
-    """SQL over a result as the table `self`; text without FROM may be a select list with its clauses, or clauses alone."""
-    result.createOrReplaceTempView("self")
-    if not re.search(r"\bfrom\s", text, re.IGNORECASE):
+    """SQL over a result as the table `self`; text without a FROM clause may be a select list with its clauses, or clauses alone.
+
+    The name `self` holds for this text alone. What is quoted or in parentheses is no clause of it.
+    """
+    bare = re.sub(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*", " ", text)
+    while (outer := re.sub(r"\([^()]*\)", " ", bare)) != bare:
+        bare = outer
+    if not re.search(r"\bfrom\s", bare, re.IGNORECASE):
         text = f"FROM self {text}" if re.match(r"\s*select\b", text, re.IGNORECASE) else f"SELECT * FROM self {text}"
-    return result.sparkSession.sql(text)
+    result.createOrReplaceTempView("self")
+    try:
+        return result.sparkSession.sql(text)  # resolved here, so the name is free again afterwards
+    finally:
+        result.sparkSession.catalog.dropTempView("self")

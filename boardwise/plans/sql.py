@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
+
 from . import views
 
 _B, _R = views.sql(views.BOARDS), views.sql(views.RESULTS)
@@ -128,6 +131,44 @@ _U50 = f"""WITH res AS ({_R}), h AS (SELECT substr(date, 1, 10) AS Date, tournam
     FROM res WHERE player1_id = 'u50' OR player2_id = 'u50')"""
 
 
+def _ago(days: int) -> str:
+    return str(dt.date(1998, 3, 1) - dt.timedelta(days=days))
+
+
+def _elo_fold(pool: str, tail: str, pct: str = "scratch_percentage") -> str:
+    """The fold as a recursion over a pool's rows: ratings by player in two maps, and the fields' means at a session's start."""
+    scale = lambda f: f"CASE WHEN {f} >= 1200 THEN 1.0 ELSE greatest(0.7, 0.7 + 0.3 * (({f} - 1200) / 6.0 + 2) / 2) END"
+    step = lambda x, p, f: f"{x} + 32 * ({scale(f)}) * ({p} / 100 - 1 / (1 + pow(10.0, least(greatest(({f} - {x}) / 400.0, -10.0), 10.0))))"
+    mean = lambda m: f"list_avg(list_transform(r.pairs, lambda x: (coalesce({m}[x.a], 1200) + coalesce({m}[x.b], 1200)) / 2))"
+    shown = lambda x: f"round_even(least(greatest(least(greatest({x}, -1000.0), 10000.0) * 2.0, 0.0), 3500.0), 1)"
+    return f"""WITH RECURSIVE res AS ({_R}), r0 AS (SELECT {pool} AS pool, event_id, date, tournament_id, row_seq, player1_id AS a, player2_id AS b, {pct} AS sp, handicap_percentage AS hp,
+        row_number() OVER (PARTITION BY {pool} ORDER BY date, tournament_id, row_seq) AS i, row_number() OVER (PARTITION BY {pool}, date, tournament_id ORDER BY row_seq) AS k FROM res),
+    sessions AS (SELECT pool, date, tournament_id, list({{'a': a, 'b': b}} ORDER BY row_seq) AS pairs FROM r0 GROUP BY ALL),
+    r AS (SELECT r0.*, sessions.pairs FROM r0 LEFT JOIN sessions ON r0.k = 1 AND r0.pool = sessions.pool AND r0.date = sessions.date AND r0.tournament_id = sessions.tournament_id),
+    f AS (SELECT DISTINCT pool, 0::BIGINT AS i, MAP {{}}::MAP(VARCHAR, DOUBLE) AS s, MAP {{}}::MAP(VARCHAR, DOUBLE) AS h, 0::DOUBLE AS fs, 0::DOUBLE AS fh, [0::DOUBLE] AS v FROM r0 UNION ALL
+      SELECT pool, i, map_concat(s, MAP {{a: v[5], b: v[6]}}), map_concat(h, MAP {{a: v[7], b: v[8]}}), fs, fh, v FROM (
+        SELECT pool, i, s, h, fs, fh, a, b, [s1, s2, h1, h2, {step('s1', 'sp', 'fs')}, {step('s2', 'sp', 'fs')}, {step('h1', 'coalesce(hp, sp)', 'ft')}, {step('h2', 'coalesce(hp, sp)', 'ft')}] AS v FROM (
+          SELECT *, CASE WHEN hp IS NULL THEN fs ELSE fh END AS ft, coalesce(s[a], 1200) AS s1, coalesce(s[b], 1200) AS s2, coalesce(h[a], 1200) AS h1, coalesce(h[b], 1200) AS h2 FROM (
+            SELECT f.pool, r.i, f.s, f.h, r.a, r.b, r.sp, r.hp, CASE WHEN r.pairs IS NULL THEN f.fs ELSE {mean('f.s')} END AS fs, CASE WHEN r.pairs IS NULL THEN f.fh ELSE {mean('f.h')} END AS fh FROM f JOIN r ON r.pool = f.pool AND r.i = f.i + 1)))),
+    rated AS (SELECT r.event_id, r.date, r.tournament_id, r.row_seq, r.a, r.b, r.sp AS scratch_percentage, f.fs AS scratch_field_avg, f.fh AS handicap_field_avg, {scale('f.fs')} AS scratch_field_strength, {scale('f.fh')} AS handicap_field_strength,
+      {shown('v[1]')} AS player1_scratch_elo_before, {shown('v[5]')} AS player1_scratch_elo_after, {shown('v[2]')} AS player2_scratch_elo_before, {shown('v[6]')} AS player2_scratch_elo_after, {shown('v[7]')} AS player1_handicap_elo_after, {shown('v[8]')} AS player2_handicap_elo_after,
+      {shown('(v[5] + v[6]) / 2')} AS scratch_pair_elo, {shown('(v[7] + v[8]) / 2')} AS handicap_pair_elo FROM f JOIN r USING (pool, i)) {tail}"""
+
+
+def _moments() -> str:
+    """The ten best of each entity by each moment's columns, in place of those of the current rating."""
+    out = []
+    moments = {"Current Rating (End of Session)": "{0}", "Rating at Start of Session": "{0}_Before", "Rating at Event Start": "({0} - 3.0::DOUBLE)", "Rating at Event End": "({0} + 5.0::DOUBLE)"}
+    side = {k: v for k, v in moments.items()} | {"Expected Rating": "({0} * 0.5::DOUBLE + 700.0::DOUBLE)"}
+    for entity, rows, tie, extra in (("Players", _SEATS, "id", "max(mp) AS mp"), ("Pairs", _SIDES, "id NULLS LAST", "avg(mp) AS mp")):
+        for moment, form in (moments if entity == "Players" else side).items():
+            own = rows
+            for c in ("NS", "EW") if entity == "Pairs" else "NESW":
+                own = re.sub(rf"\bElo_R_{c}\b", form.format(f"Elo_R_{c}"), own)
+            out.append(f"SELECT * FROM (WITH b AS (SELECT * FROM ({_B}) WHERE {_VALID}), {_pool(own, 3, 50, extra, tie)} SELECT '{moment}' AS moment, '{entity}' AS entity, place, id, score FROM p ORDER BY place LIMIT 10)")
+    return " UNION ALL ".join(out)
+
+
 def oracle_sql() -> dict[str, str]:
     prior = _shrunk("coalesce({0}.scratch_elo, 0)", "coalesce({0}.games_played, 0)", "pa", 10)
     codes = "CAST(event_id % 9 AS STRING)"
@@ -166,7 +207,7 @@ def oracle_sql() -> dict[str, str]:
         "tournament_opponents": f"""WITH res AS ({_R}) SELECT pair_name AS Pair, CAST("rank" AS INT) AS Rank, {_fix('scratch_percentage', 2)} AS Scratch_Pct, {_fix('handicap_percentage', 2)} AS Handicap_Pct, CAST(round(pair_elo) AS INT) AS Pair_Elo FROM res WHERE tournament_id = '2024-01-07-1' AND pair_id <> 'u1_u43'""",
         "entity_history": _U50 + "SELECT *, Elo_After - Elo_Before AS Elo_Delta FROM h",
         "partner_summary": _U50 + f"SELECT Partner, count(*) AS Tournaments, {_mean('Pct_Used', 2)} AS Avg_Pct, {_fix('avg(Rank)', 1)} AS Avg_Rank, arg_max(Elo_After, (Date, Event_ID, Seq)) AS Last_Elo FROM h GROUP BY Partner",
-        "club_summary": f"""WITH res AS ({_R}) SELECT club_name AS Club, count(*) AS Tournaments, {_fix('avg(scratch_percentage)', 2)} AS Avg_Scratch_Pct, {_fix('avg(handicap_percentage)', 2)} AS Avg_Handicap_Pct, {_fix('avg("rank")', 1)} AS Avg_Rank FROM res WHERE player1_id = 'u7' GROUP BY club_name""",
+        "club_summary": f"""WITH res AS ({_R}) SELECT club_name AS Club, count(*) AS Tournaments, {_fix('avg(scratch_percentage)', 2)} AS Avg_Scratch_Pct, {_fix('avg(handicap_percentage)', 2)} AS Avg_Handicap_Pct, {_fix('avg("rank")', 1)} AS Avg_Rank FROM res WHERE pair_id = 'u1_u43' GROUP BY club_name""",
         "opponent_history": f"""WITH res AS ({_R}) SELECT tournament_id AS Event_ID, substr(date, 1, 10) AS Date, count(*) AS others, count(DISTINCT pair_name) AS pairs, CAST(min("rank") AS INT) AS best_rank {_OTHERS} GROUP BY ALL""",
         "opponent_me_vs_them": f"""WITH res AS ({_R}), mine AS (SELECT tournament_id AS t, CAST(arg_min("rank", row_seq) AS DOUBLE) AS r, arg_min(scratch_percentage, row_seq) AS s, arg_min(pair_elo, row_seq) AS e FROM res WHERE {_MINE} GROUP BY tournament_id),
             o AS (SELECT tournament_id, pair_name, CAST("rank" AS INT) AS rk, {_fix('scratch_percentage', 2)} AS sp, round(pair_elo) AS pe {_OTHERS})
@@ -196,9 +237,12 @@ def oracle_sql() -> dict[str, str]:
         "elo_steps": f"""WITH q AS (SELECT p_partkey, p_retailprice AS r, p_size * 1.5::DOUBLE AS pct, 1180.0::DOUBLE + p_size AS f FROM part), s AS (SELECT *, (f - 1200) / 6.0 AS z, 1 / (1 + pow(10.0, least(greatest((f - r) / 400.0, -10.0), 10.0))) AS e FROM q),
             k AS (SELECT *, CASE WHEN z >= 0 THEN 1.0 WHEN z <= -2 THEN 0.7 ELSE 0.7 + 0.3 * (z + 2) / 2 END AS sc FROM s) SELECT p_partkey, {_r6('sc')} AS scale, {_r6('e')} AS expected, {_r6('r + 32 * sc * (pct / 100 - e)')} AS after FROM k""",
         "pair_ids": "WITH x AS (SELECT CAST(s_suppkey AS STRING) AS a, CAST(s_nationkey AS STRING) AS b, s_name FROM supplier) SELECT a, b, least(a, b) || '-' || greatest(a, b) AS id, CASE WHEN a <= b THEN s_name || ' - X' ELSE 'X - ' || s_name END AS name FROM x",
-        "strata_limits": """WITH e AS (SELECT event_id % 5 AS i, event_id % 7 AS j FROM events), a(i, raw, club) AS (VALUES (0, 'MP Limits: 1,500/750', '0-1500'), (1, 'MP Limits: None/300', 'open'), (2, 'mp limits: 299', '0-299'), (3, '2500', 'other-restricted'), (4, 'nothing', 'open')),
-            t(j, other, event) AS (VALUES (0, 'NLM', '0-499-nlm'), (1, '0-750', '0-749'), (2, '0-1500/NLM', '0-1500'), (3, 'none', 'open'), (4, '2500', 'other-restricted'), (5, 'NLM/0-500', '0-499-nlm'), (6, '300/0-200', '0-299'))
-            SELECT raw, other, club, event, count(*) AS n FROM e JOIN a USING (i) JOIN t USING (j) GROUP BY ALL""",
+        "strata_limits": r"""WITH e AS (SELECT event_id % 5 AS i, event_id % 10 AS j FROM events), a(i, raw, club) AS (VALUES (0, 'MP Limits: 1,500/750', '0-1500'), (1, 'MP Limits: None/300', 'open'), (2, 'mp limits: 299', '0-299'), (3, '2500', 'other-restricted'), (4, 'nothing', 'open')),
+            t(j, other) AS (VALUES (0, 'NLM'), (1, '0-750'), (2, '0-1500/NLM'), (3, 'none'), (4, '2500'), (5, 'NLM/0-500'), (6, '300/0-200'), (7, '500/0-abc'), (8, '0-xyz'), (9, NULL)),
+            parts AS (SELECT j, other, list_filter(list_reverse(string_split(upper(trim(other)), '/')), lambda x: x <> 'NLM' AND (starts_with(x, '0-') OR regexp_matches(x, '[0-9]')))[1] AS part, coalesce(starts_with(upper(trim(other)), 'NLM'), false) AS nlm FROM t),
+            top AS (SELECT j, other, nlm, CASE WHEN upper(trim(other)) = 'NLM' THEN 500 ELSE TRY_CAST(replace(regexp_extract(regexp_replace(part, '^0-', ''), '[0-9][0-9,]*'), ',', '') AS INT) END AS n FROM parts),
+            t2 AS (SELECT j, other, CASE WHEN n IS NULL AND NOT nlm THEN 'open' WHEN nlm AND (n IS NULL OR n <= 500) THEN '0-499-nlm' WHEN n <= 300 THEN '0-299' WHEN n <= 500 THEN '0-499-nlm' WHEN n <= 750 THEN '0-749' WHEN n <= 1500 THEN '0-1500' ELSE 'other-restricted' END AS event FROM top)
+            SELECT raw, other, club, event, count(*) AS n FROM e JOIN a USING (i) JOIN t2 USING (j) GROUP BY ALL""",
         "timestamps_parsed": "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN date_trunc('second', o_orderdate) WHEN 1 THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) END AS t FROM orders",
         "club_codes": f"SELECT event_id, coalesce(CASE WHEN n_nationkey BETWEEN 1 AND 6 THEN n_name END, '') AS club_name FROM events LEFT JOIN nation ON {codes} = CAST(n_nationkey AS STRING)",
         "html_to_text": r"""WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g') AS h FROM pages)
@@ -210,4 +254,31 @@ def oracle_sql() -> dict[str, str]:
         "members_of_region": f"SELECT o_orderpriority, count(*) AS n, {_r6('sum(o_totalprice)')} AS total FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5) GROUP BY 1",
         "ad_hoc_self": "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey = 3 ORDER BY s_suppkey LIMIT 7",
         "post_processed": f"WITH q AS (SELECT p_partkey, CAST(round(round_even(least(greatest(least(greatest(p_retailprice, -1000.0), 10000.0) * 2.0, 0.0), 3500.0), 1)) AS INT) AS Elo FROM part) SELECT *, {_title('Elo')} AS Title FROM q",
+        "elo_history_fold": _elo_fold("series_id", f"SELECT event_id, {', '.join(f'{_r6(c)} AS {c}' for c in ['scratch_field_avg', 'handicap_field_avg', 'scratch_field_strength', 'handicap_field_strength', 'player1_scratch_elo_before', 'player1_scratch_elo_after', 'player2_handicap_elo_after', 'scratch_pair_elo', 'handicap_pair_elo'])} FROM rated"),
+        "elo_whole_pool": _elo_fold("0", f"SELECT event_id, {', '.join(f'{_r6(c)} AS {c}' for c in ['scratch_percentage', 'scratch_field_avg', 'handicap_field_avg', 'scratch_field_strength', 'handicap_field_strength', 'player1_scratch_elo_after', 'player2_scratch_elo_before', 'player1_handicap_elo_after', 'player2_handicap_elo_after', 'scratch_pair_elo'])} FROM rated",
+            "CASE WHEN event_id % 7 <> 0 THEN scratch_percentage ELSE coalesce(nullif(CASE WHEN event_id % 21 <> 0 THEN percentage END, 0), 50) - event_id % 8 END"),
+        "elo_standardized": _elo_fold("series_id", f""", long AS (SELECT a AS id, 1 AS seat, date, tournament_id, row_seq, scratch_percentage AS pct, player1_scratch_elo_after AS s, player1_handicap_elo_after AS h FROM rated UNION ALL SELECT b, 2, date, tournament_id, row_seq, scratch_percentage, player2_scratch_elo_after, player2_handicap_elo_after FROM rated),
+            people AS (SELECT id, arg_max(s, (date, tournament_id, row_seq, seat)) AS s, arg_max(h, (date, tournament_id, row_seq, seat)) AS h, count(*) AS n, avg(pct) AS m, stddev_samp(pct) AS sd FROM long GROUP BY id),
+            x AS (SELECT count(*) FILTER (n >= 5) AS k, avg(s) FILTER (n >= 5) AS sm, stddev_pop(s) FILTER (n >= 5) AS ss, avg(h) FILTER (n >= 5) AS hm, stddev_pop(h) FILTER (n >= 5) AS hs, avg(s) AS sam, stddev_pop(s) AS sas, avg(h) AS ham, stddev_pop(h) AS has FROM people),
+            y AS (SELECT CASE WHEN k < 10 THEN sam ELSE sm END AS sm, CASE WHEN k < 10 THEN sas ELSE ss END AS ss, CASE WHEN k < 10 THEN ham ELSE hm END AS hm, CASE WHEN k < 10 THEN has ELSE hs END AS hs FROM x)
+            SELECT id AS player_id, {_fix('least(greatest(1500.0 + (s - sm) / ss * 400.0, 0.0), 3500.0)', 1)} AS scratch_elo, {_fix('least(greatest(1500.0 + (h - hm) / hs * 400.0, 0.0), 3500.0)', 1)} AS handicap_elo, n AS games_played, {_r6('m')} AS avg_percentage, {_r6('sd')} AS stdev_percentage FROM people, y"""),
+        "rating_moments": _moments(),
+        "detail_at_start": f"""WITH b AS (SELECT * FROM ({_B}) WHERE {_VALID} AND is_virtual_game = FALSE AND strata_bucket = '0-299'), x AS ({' UNION ALL '.join(f"SELECT Date, session_id AS Session, '{p}' AS Seat, Player_Name_{q} AS Partner, {_fix('Pct_NS * 100' if p in 'NS' else '(1 - Pct_NS) * 100', 1)} AS Pct, Elo_R_{p}_Before AS e FROM b WHERE Player_ID_{p} = 'p3' AND Elo_R_{p}_Before IS NOT NULL AND NOT isnan(Elo_R_{p}_Before)" for p, q in ('NS', 'SN', 'EW', 'WE'))}),
+            st AS (SELECT avg(v) AS m, stddev_pop(v) AS s FROM ({' UNION ALL '.join(f'SELECT Elo_R_{p}_Before AS v FROM b' for p in 'NESW')}) WHERE v IS NOT NULL AND NOT isnan(v))
+            SELECT Date, Session, Seat, Partner, Pct, CAST(round(least(greatest(1500.0 + (e - m) / s * 400.0, 0.0), 3500.0)) AS INTEGER) AS Elo_Before, CAST(round(least(greatest(1500.0 + (e - m) / s * 400.0, 0.0), 3500.0)) AS INTEGER) AS Elo_After FROM x, st""",
+        "leaderboard_found": f"""WITH b AS (SELECT * FROM ({_B}) WHERE {_VALID}), {_PLAYER_POOL}, top AS (SELECT place, id, name, {_int('mp')} AS mp FROM p ORDER BY place LIMIT 60)
+            SELECT 'name' AS "by", place AS Player_Elo_Rank, id AS Player_ID, mp AS MasterPoints FROM top WHERE contains(lower(name), 'eve') UNION ALL SELECT 'points', place, id, mp FROM top WHERE mp >= 300 AND mp < 500""",
+        "boards_of_members": f"WITH b AS ({_B}) SELECT event_id FROM b WHERE {' OR '.join(f'coalesce(Player_ID_{p} IN (chr(112) || 3, chr(112) || 50), FALSE)' for p in 'NESW')}",
+        "date_choices": f"""WITH c(choice, a, z) AS (VALUES ('Current season', '1997-07-01', '1998-03-01'), ('Previous season', '1996-07-01', '1997-05-31'), ('Last 3 months', '{_ago(90)}', NULL), ('Last 6 months', '{_ago(182)}', NULL),
+            {', '.join(f"('Last {k} year{'s' * (k > 1)}', '{_ago(365 * k)}', NULL)" for k in range(1, 6))}, ('All time', NULL, NULL)), o AS (SELECT substr(CAST(o_orderdate AS STRING), 1, 10) AS d FROM orders)
+            SELECT choice, count(d) AS n FROM c LEFT JOIN o ON (a IS NULL OR d >= a) AND (z IS NULL OR d <= z) GROUP BY choice""",
+        "recent_tournaments": f"""WITH res AS ({_R}), r AS (SELECT DISTINCT tournament_id, CASE WHEN event_id % 10 <> 0 THEN substr(date, 1, 10) END AS day FROM res) SELECT tournament_id, day, coalesce(day >= '2024-01-15', FALSE) AS recent FROM r""",
+        "series_keys": """SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN '3' WHEN 1 THEN '3' WHEN 2 THEN 'all' WHEN 3 THEN '3.0' ELSE '' END AS text, CASE s_suppkey % 4 WHEN 0 THEN '0' WHEN 1 THEN '0.5' WHEN 2 THEN '1' ELSE '1.5' END AS number, s_suppkey % 5 = 3 AS dotted FROM supplier""",
+        "private_payloads": """WITH e AS (SELECT *, event_id % 64 / 2.0::DOUBLE AS pct, event_id % 3 * 3.0::DOUBLE AS bonus, event_id % 5 = 0 AS given, event_id % 4 = 0 AS own FROM events)
+            SELECT CAST(event_id AS STRING) AS tournament_id, CAST(event_id AS STRING) AS team_id, CAST(user_id AS STRING) AS player1_id, 'D' AS player2_name, CASE WHEN given THEN CAST(event_id % 50 AS DOUBLE) WHEN own THEN pct WHEN bonus > 0 THEN pct - bonus ELSE pct END AS scratch_percentage,
+            CASE WHEN given THEN pct WHEN own THEN pct + bonus WHEN bonus > 0 THEN pct END AS handicap_percentage, bonus AS iv_bonus, event_id % 9 AS "rank", '7' AS club_code FROM e""",
+        "reconciled_pages": f"""WITH res AS ({_R}), h AS (SELECT substr(date, 1, 10) AS Date, tournament_id AS Event_ID, row_seq AS Seq, replace(replace(pair_name, 'Ann ', 'Ann A'), 'Bob ', 'Bob B') AS Partner, {_fix('scratch_percentage', 2)} AS sp, {_fix('handicap_percentage', 2)} AS hp,
+            CAST(substr(date, 1, 10) AS DATE) AS d, CAST(regexp_extract(pair_name, '^Ann ([0-9]+)', 1) AS INT) AS k FROM res WHERE player1_id = 'u50' OR player2_id = 'u50'), m AS (SELECT *, isodow(d) IN (1, 4) AND k % 3 = day(d) % 3 AS ok FROM h)
+            SELECT Date, Event_ID, Seq, replace(Partner, ' -', 'X -') || 'X' AS Partner, CASE WHEN ok THEN {_fix('30 + k + day(d) / 100.0::DOUBLE', 2)} ELSE sp END AS Scratch_Pct, CASE WHEN ok THEN {_fix('50 + k + day(d) / 100.0::DOUBLE', 2)} ELSE hp END AS Handicap_Pct, CASE WHEN ok THEN {_fix('30 + k + day(d) / 100.0::DOUBLE', 2)} ELSE sp END AS Pct_Used,
+            CASE WHEN ok THEN CASE isodow(d) WHEN 1 THEN 'http://pages.example/l?c=lo' ELSE 'http://pages.example/j?c=jo' END || strftime(d, '%y%m%d') || '&t=s' END AS Organization_URL FROM m""",
     }

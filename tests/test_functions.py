@@ -60,7 +60,7 @@ def test_timestamps_and_texts(spark):
     got = [r[0] for r in values(spark, rows, "x string", T.parse_timestamp(F.col("x")))]
     assert got == [dt.datetime(2024, 1, 2, 3, 4, 5), dt.datetime(2024, 1, 2, 3, 4, 5, 250000), dt.datetime(2024, 1, 2), None, None]
     page = "1 NS DUPONT Anne MARTIN Luc 61.23% 2 EW DUPONT Paul BERNARD Eve 48.10%"
-    assert values(spark, [(page, "Anne DUPONT - Luc MARTIN"), (page, "A DUPONT - E BERNARD"), (page, "X Y - Z W")], "p string, n string", T.nearest_percentage("p", T.surnames(F.col("n"))[0], T.surnames(F.col("n"))[1])) == [(61.23,), (48.1,), (None,)]
+    assert values(spark, [(page, "Anne DUPONT - Luc MARTIN"), (page, "A DUPONT - E BERNARD"), (page, "X Y - Z W")], "p string, n string", T.nearest_percentage(F.col("p"), T.surnames(F.col("n"))[0], T.surnames(F.col("n"))[1])) == [(61.23,), (48.1,), (None,)]
     html = "<p>a<script>x<1</script>b <b>c</b></p>\n<STYLE>q</STYLE> d"
     assert values(spark, [(html, "00058")], "h string, c string", T.html_text(F.col("h")), T.without_leading_zeros(F.col("c"))) == [("a b c d", "58")]
 
@@ -79,7 +79,7 @@ def test_filters_and_ad_hoc_sql(spark):
     assert [r.i for r in filters.boards(df, mode="Local Only").collect()] == [1] and [r.i for r in filters.boards(df, mode="Online Only").collect()] == [2]
     with pytest.raises(ValueError):
         filters.boards(df, bucket="open")
-    for text, n in (("SELECT i WHERE i > 2", 2), ("WHERE i = 1", 1), ("select count(*) c from self", 1), ("LIMIT 3", 3)):
+    for text, n in (("SELECT i WHERE i > 2", 2), ("WHERE i = 1", 1), ("select count(*) c from self", 1), ("LIMIT 3", 3), ("SELECT extract(year FROM current_date()) y, i WHERE i < 3", 2), ("SELECT i, ' from x' t", 4)):
         assert ad_hoc(df, text).count() == n
 
 

@@ -64,6 +64,25 @@ def test_fold_leaves_out_the_future_and_takes_a_start(spark, results):
     assert first.player1_scratch_elo_before >= 2900 and first.player1_handicap_elo_before >= 2700
 
 
+def test_fold_of_missing_values_and_repeated_rows(spark):
+    schema = "date string, tournament_id string, row_seq int, player1_id string, player2_id string, percentage double, pe_bonus string, scratch_percentage double, handicap_percentage double, own int"
+    rows = [
+        ("2024-01-01", "t", 1, "a", "b", 60.0, "40", None, None, 1), ("2024-01-01", "t", 1, "a", "b", 60.0, "40", None, None, 1), (None, "u", 1, "c", "", None, "x", None, None, 2),
+        ("2024-01-02", "v", 1, None, "a", 0.0, None, None, 61.0, 3), ("2024-01-02", "v", 2, "b", "c", 55.0, None, 44.0, None, 4),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    got = history.fold(df, today="2024-02-01").collect()
+    assert sorted(r.own for r in got) == [1, 1, 2, 3, 4]
+    assert {r.own: r.scratch_percentage for r in got} == {1: 56.0, 2: 50.0, 3: 50.0, 4: 44.0}
+    twice = sorted(r.player1_scratch_elo_after for r in got if r.own == 1)
+    assert 2400 < twice[0] < twice[1]  # each counts, on the rating after the other
+    alone = next(r for r in got if r.own == 2)
+    assert alone.scratch_pair_elo is None and alone.player1_scratch_elo_before == 2400.0 and alone.player2_scratch_elo_after is None
+    start = spark.createDataFrame([("a", 1500.0, 1400.0)], "player_id string, scratch double, handicap double")
+    assert max(r.player1_scratch_elo_before for r in history.fold(df, initial=start).collect() if r.own == 1) > 2990
+    assert history.fold(df.limit(0)).count() == 0 and set(history.fold(df).columns) == {*df.columns, "club_percentage", "iv_bonus", *history.OUT}
+
+
 def test_snapshot_and_standard_scale(results):
     _, df = results
     rated = history.fold(df, by=["series_id"])
@@ -122,10 +141,39 @@ def test_build_job(spark, tmp_path):
     spark.createDataFrame([("t", "2024-05-01", "One"), ("u", "2024-05-02", "Two"), ("late", "2024-06-01", "Later")], "tournament_id string, date string, tournament_name string").write.parquet(f"{tmp_path}/in/sessions.parquet")
     args = ["--landing", f"{tmp_path}/in", "--out", f"{tmp_path}/out", "--if-stale", "--now", "2024-05-03T12:00:00"]
     assert build.main(args, spark) and not build.main(args, spark)
-    rows = spark.read.parquet(f"{tmp_path}/out/results").orderBy("date", "row_seq").collect()
+    rows = landing.read_dataset(spark, f"{tmp_path}/out", "results").orderBy("date", "row_seq").collect()
     assert [(r.tournament_id, r.pair_id, r.pair_name) for r in rows] == [("t", "11_2", "A B - C"), ("t", "3_4", " - "), ("u", "11_2", "A B - C"), ("u", "3_4", " - ")]
-    people = {r.player_id: r for r in spark.read.parquet(f"{tmp_path}/out/players").collect()}
+    people = {r.player_id: r for r in landing.read_dataset(spark, f"{tmp_path}/out", "players").collect()}
     assert people["11"].games_played == 2 and people["11"].scratch_elo == people["2"].scratch_elo > 1500 > people["3"].scratch_elo - 1000
     values = spark.createDataFrame([("11", 60.0), ("2", 40.0)], "player_id string, iv double")
-    got = build.with_player_values(spark.read.parquet(f"{tmp_path}/out/results").select("player1_id", "player2_id"), values).collect()
+    got = build.with_player_values(landing.read_dataset(spark, f"{tmp_path}/out", "results").select("player1_id", "player2_id"), values).collect()
     assert sorted(str(r.pair_iv) for r in got) == ["100.0", "100.0", "None", "None"]
+    spark.createDataFrame([("5802079", "Club A")], "code string, label string").write.parquet(f"{tmp_path}/in/clubs.parquet")
+    values.write.parquet(f"{tmp_path}/in/values.parquet")
+    for day in (4, 5, 6):
+        assert build.main([*args[:4], "--now", f"2024-05-0{day}T12:00:00", "--limit", "3"], spark)
+    got = landing.read_dataset(spark, f"{tmp_path}/out", "results").where("tournament_id = 't'").orderBy("row_seq").collect()
+    assert [(r.club_name, r.pair_iv) for r in got] == [("Club A", 100.0), (None, None)]
+    assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("v")]) == 2
+
+
+def test_envelopes_and_reports_of_files(spark, tmp_path):
+    from boardwise.plans import build, report, views
+    from boardwise.plans.params import Report
+
+    now = dt.datetime(2024, 5, 3, 12)
+    (tmp_path / "in" / "envelopes").mkdir(parents=True)
+    for k, (age, data) in enumerate([(5, PUBLIC[:1]), (1, PUBLIC[1:2]), (90, PUBLIC)]):
+        (tmp_path / "in" / "envelopes" / f"{k}.json").write_text(json.dumps({"timestamp": now.timestamp() - 3600 * age, "identifier": "old" if k == 2 else "t", "series_id": 3, "data": json.dumps(data)}))
+    spark.createDataFrame([("t", "2024-05-01", "One"), ("old", "2024-05-01", "Two")], "tournament_id string, date string, tournament_name string").write.parquet(f"{tmp_path}/in/sessions.parquet")
+    raw, _ = build.landed(spark, f"{tmp_path}/in", now, 24, None)
+    assert [(r.tournament_id, json.loads(r.payload)) for r in raw.collect()] == [("t", PUBLIC[1:2])]
+    b = views.boards(spark, "/root/testdata/sf0.001")
+    b.where("strata_bucket <> 'open'").write.parquet(f"{tmp_path}/club")
+    b.where("strata_bucket = 'open'").write.parquet(f"{tmp_path}/tournament")
+    (tmp_path / "club.json").write_text('{"player": {"prior_anchor": 1400.0}}')
+    p = Report(top_n=20, min_sessions=3, min_skill_z=-95, strata="All")
+    paths = {e: f"{tmp_path}/{e}" for e in ("club", "tournament")}
+    got, plain = (report.report_of_files(spark, paths, p, x) for x in (str(tmp_path), None))
+    want = report.report(spark.read.parquet(paths["club"]), p, 1400.0, spark.read.parquet(paths["tournament"]))
+    assert got.collect() == want.collect() != plain.collect() and "Tournament_Elo" in got.columns
