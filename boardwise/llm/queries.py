@@ -115,9 +115,3 @@ def oracle_sql() -> dict[str, str]:
             SELECT u.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM u LEFT JOIN m ON u.page_id = m.page_id""",
     }
 
-
-def pipeline():
-    """The module of the staged pipeline, at the top of the repository."""
-    import corpus_pipeline
-
-    return corpus_pipeline
