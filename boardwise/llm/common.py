@@ -88,6 +88,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that this run wrote, wherever it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_bytes(path: str) -> bytes:
     """A vocabulary file of the driver's; its content, of at most a few MB, goes to the executors by broadcast."""
     with open(path, "rb") as f:

@@ -88,9 +88,9 @@ def oracle_sql() -> dict[str, str]:
             ln AS (SELECT doc_id, host, t, line, place, trim(translate(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ') AS norm FROM raw),
             dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM ln WHERE norm <> '' GROUP BY doc_id),
-            hosts AS (SELECT host, count(*) AS n FROM d GROUP BY host),
+            hosts AS (SELECT host, count(DISTINCT t) AS n FROM ln WHERE norm <> '' GROUP BY host),
             freq AS (SELECT host, norm, min(doc_id) AS first FROM ln JOIN hosts USING (host) WHERE norm <> ''
-                     GROUP BY host, norm, n HAVING count(DISTINCT t) > 50 AND count(DISTINCT t) > 0.01 * n),
+                     GROUP BY host, norm, n HAVING count(DISTINCT t) > 5 AND count(DISTINCT t) > 0.05 * n),
             gone AS (SELECT doc_id, sum(len(string_split(norm, ' '))) AS n FROM ln JOIN freq USING (host, norm) WHERE doc_id <> first GROUP BY doc_id),
             m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
                          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,

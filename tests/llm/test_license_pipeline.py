@@ -59,8 +59,10 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     extra = spark.createDataFrame([(10_000 + i, t, "en", "src1", len(t or "")) for i, t in enumerate(TEXTS)], SCHEMA)
     docs.unionByName(extra).write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r.doc_id: r for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
-    verdict = brute_quality([(i, r.text, r.source) for i, r in rows.items()])
-    kept = {i: rows[i].text for i in rows if verdict[i][8]}
+    cleaned = {}
+    verdict = brute_quality([(i, r.text, r.source) for i, r in rows.items()], cleaned=cleaned)
+    kept = {i: cleaned[i] for i in rows if verdict[i][8]}
+    assert any(cleaned[i] != rows[i].text for i in kept)
     first = {}
     for i in sorted(kept):
         first.setdefault(re.sub("[\x20\x09-\x0d]+", " ", kept[i]), i)

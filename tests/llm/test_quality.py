@@ -12,16 +12,16 @@ def lower(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
 
 
-def brute(rows, limits=quality.Limits()):
-    """rows: (doc_id, text, source). Verdicts by doc_id."""
-    holders, hosts, lines = defaultdict(set), defaultdict(int), {}
+def brute(rows, limits=quality.Limits(), cleaned=None):
+    """rows: (doc_id, text, source). Verdicts by doc_id; cleaned, if given, takes texts without removed lines."""
+    holders, hosts, lines = defaultdict(set), defaultdict(set), {}
     for i, t, host in rows:
         t, host = t or "", host or ""
-        hosts[host] += 1
         lines[i] = [(n, x) for n, raw in enumerate(t.split("\n")) if (x := lower(re.sub(SPACE, " ", raw)).strip(" "))]
         for _, x in lines[i]:
             holders[host, x].add((i, t))
-    first = {k: min(i for i, _ in v) for k, v in holders.items() if len({t for _, t in v}) > limits.docs and len({t for _, t in v}) > limits.share * hosts[k[0]]}
+            hosts[host].add(t)
+    first = {k: min(i for i, _ in v) for k, v in holders.items() if len({t for _, t in v}) > limits.docs and len({t for _, t in v}) > limits.share * len(hosts[k[0]])}
     out = {}
     for i, t, host in rows:
         t, host = t or "", host or ""
@@ -34,6 +34,9 @@ def brute(rows, limits=quality.Limits()):
         gone = sum(len(x.split(" ")) for _, x in lines[i] if first.get((host, x), i) != i)
         failed = len(words) < 20 or 100 * len(repeat) > 30 * len(words)
         depleted = gone > 0 and (len(words) - gone < limits.words or gone > limits.removed * len(words))
+        if cleaned is not None:
+            places = {n for n, x in lines[i] if first.get((host, x), i) != i}
+            cleaned[i] = "\n".join(x for n, x in enumerate(t.split("\n")) if n not in places)
         out[i] = (len(words), sum(map(len, words)), len(re.findall("[#*$%&|<>]", t)), len(raw) - len(set(raw)), len(repeat), failed, gone, depleted, not failed and not depleted)
     return out
 
@@ -63,6 +66,19 @@ def test_lines_are_taken_out_but_for_the_first_document(spark):
     got = by_id(quality.without_frequent_lines(docs, quality.Limits(docs=2, share=0.0)))
     assert [got[i].text for i in range(4)] == ["own 0\nshared line\nend 0"] + [f"own {i}\nend {i}" for i in (1, 2, 3)]
     assert got[9].text is None
+    many = "\n".join(["shared line", "own"] * 30_000)
+    docs = spark.createDataFrame([(i, many + f"\n{i}", "en", "s", len(many) + 2) for i in range(3)], SCHEMA)
+    got = by_id(quality.without_frequent_lines(docs, quality.Limits(docs=2, share=0.0)))
+    assert got[0].text == many + "\n0" and (got[1].text, got[1].n_chars) == ("1", 1)
+
+
+def test_the_rule_does_not_switch_with_the_size_of_a_host(spark):
+    """A line that a tenth of a host's documents share goes at every size, however many copies the host has of another text."""
+    for n in (60, 400):
+        rows = [(i, f"own words of {i} " * 5 + f"{i}\n" + ("Home | About" if i % 10 == 0 else f"line {i}") + f"\nend {i}", "en", "s", None) for i in range(n)]
+        rows += [(10_000 + i, "one text that has many copies", "en", "s", None) for i in range(20 * n)]
+        got = by_id(quality.without_frequent_lines(spark.createDataFrame(rows, SCHEMA)))
+        assert [i for i in range(n) if "Home" in got[i].text] == [0] and got[10_000].text == got[10_007].text == "one text that has many copies"
 
 
 def test_repeated_rows_copies_and_an_empty_table(spark):
@@ -71,4 +87,6 @@ def test_repeated_rows_copies_and_an_empty_table(spark):
     assert {r.depleted for r in quality.judge(docs, "doc_id").collect()} == {False}  # copies are one document
     kept = quality.drop_rejected(documents(spark, texts()))
     assert kept.columns == documents(spark).columns and kept.count() == sum(w[8] for w in brute([(r.doc_id, r.text, r.source) for r in documents(spark, texts()).collect()]).values())
+    cleaned = quality.keep_and_clean(documents(spark, texts()))
+    assert cleaned.columns == kept.columns and {r.doc_id for r in cleaned.collect()} == {r.doc_id for r in kept.collect()}
     assert quality.judge(spark.createDataFrame([], SCHEMA), "doc_id").count() == 0
