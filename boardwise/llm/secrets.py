@@ -27,7 +27,7 @@ TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 #: Log-likelihood ratio, in nats a pair, from which a token of 20 characters or more counts as random. Of held-out samples,
 #: ordinary ones stay below 0.25, and 99 in 100 random ones are above 0.65.
 MARGIN = 0.5
-#: Documents whose long words train the ordinary model: of small letters, perhaps after a capital, or of capitals. A random
+#: Documents, about, whose long words train the ordinary model: of small letters, perhaps after a capital, or of capitals. A random
 #: string of mixed letters is none.
 SAMPLE, LONG_WORD = 2000, r"(?<![A-Za-z0-9+/_=-])(?:[A-Z]?[a-z]{7,}|[A-Z]{8,})(?![A-Za-z0-9+/_=-])"
 
@@ -51,8 +51,9 @@ def labelled_samples(n: int, seed: int) -> list[tuple[str, int]]:
 
 
 def word_pairs(docs: DataFrame, sample: int = SAMPLE) -> dict[str, int]:
-    """Pairs of neighbouring letters in long words of `sample` documents, with their counts: at most 52 * 52."""
-    words = docs.select(text_or_empty().alias("text")).limit(sample).select(F.explode(F.regexp_extract_all("text", F.lit(LONG_WORD), F.lit(0))).alias("word"))
+    """Pairs of neighbouring letters in long words of about `sample` documents, with their counts: at most 52 * 52."""
+    share = min(1.0, sample / max(1, docs.count()))
+    words = docs.select(text_or_empty().alias("text")).sample(share, seed=17).select(F.explode(F.regexp_extract_all("text", F.lit(LONG_WORD), F.lit(0))).alias("word"))
     pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, F.lit(2)))).alias("pair"))
     return {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()}
 
