@@ -9,7 +9,9 @@ left out beforehand, which loses nothing.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +19,9 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, let, text_or_empty
 
 SHINGLE, LEAST, BANDS = 5, 0.8, 32
-#: Template words in all, beyond which they don't go into the plan.
-MAX_WORDS = 100_000
+#: Hashes of templates' shingles that are constants of one plan, and go out by broadcast; more templates are scanned for in
+#: parts of that many, one after the other.
+IN_PLAN = 50_000
 MASK = (1 << 64) - 1
 
 #: Usual notices of public licenses.
@@ -110,50 +113,72 @@ def _short_hits(docs: DataFrame, templates: Sequence[tuple[str, str]]) -> DataFr
     if not short:
         return None
     known = F.array(*[F.struct(F.lit(r.license).alias("license"), F.lit(f" {r.words} ").alias("words")) for r in short])
-    each = docs.select("doc_id", F.concat(F.lit(" "), _bare(text_or_empty()), F.lit(" ")).alias("_words"))
-    at = lambda k: F.instr(F.col("_words"), k["words"])
-    each = each.select("doc_id", F.inline(F.transform(known, lambda k: F.struct(k["license"].alias("license"), F.when(at(k) > 0, F.regexp_count(F.substr("_words", F.lit(1), at(k)), F.lit(" ")) - 1).alias("start")))))
+    each = docs.select("doc_id", F.concat(F.lit(" "), _bare(text_or_empty()), F.lit(" ")).alias("words"))
+    at = lambda k: F.instr(F.col("words"), k["words"])
+    each = each.select("doc_id", F.inline(F.transform(known, lambda k: F.struct(k["license"].alias("license"), F.when(at(k) > 0, F.regexp_count(F.substr("words", F.lit(1), at(k)), F.lit(" ")) - 1).alias("start")))))
     return each.where("start is not null").select("doc_id", "license", "start", F.lit(1.0).alias("containment"))
 
 
 def _apart(found: list, least_shared: float = 0.5) -> dict[int, list[list[int]]]:
     """For each template, its shingles that a near template of another license lacks: one list for each such template."""
-    own = {r.template: (r.license, set(r.own)) for r in found}
+    own, holders = {r.template: (r.license, set(r.own)) for r in found}, {}
+    for i, (_, a) in own.items():
+        for h in a:
+            holders.setdefault(h, []).append(i)
     out = {}
     for i, (name, a) in own.items():
-        near = [b for other, b in own.values() if other != name and len(a & b) >= least_shared * len(a)]
+        shared = Counter(k for h in a for k in holders[h])
+        near = [own[k][1] for k, n in sorted(shared.items()) if own[k][0] != name and n >= least_shared * len(a)]
         out[i] = [sorted(a - b) for b in near if a - b]
     return out
 
 
+def _parts(found: list) -> list[list]:
+    """Templates in parts of IN_PLAN hashes; one with more is a part of its own."""
+    out, size = [[]], 0
+    for r in found:
+        if out[-1] and size + len(r.own) > IN_PLAN:
+            out.append([])
+            size = 0
+        out[-1].append(r)
+        size += len(r.own)
+    return out
+
+
+def _hits(docs: DataFrame, known: DataFrame, part: list, least: float, tells: dict[int, list[list[int]]] | None) -> DataFrame:
+    """doc_id, license, start and containment of each window that holds a template of one part."""
+    every = F.array(*[F.lit(x) for x in sorted({h for r in part for h in r.own})])
+    classes = F.array(*[F.lit(c) for c in sorted({r.size_class for r in part})])
+    hashed = docs.select("doc_id", shingles(text_or_empty()).alias("words")).where(F.arrays_overlap("words", every))
+    step = F.expr("cast(shiftleft(1, size_class) as int)")
+    windows = hashed.withColumn("size_class", F.explode(classes)).withColumn("start", F.explode(F.sequence(F.lit(0), F.size("words") - 1, step)))
+    windows = windows.select("doc_id", "size_class", "start", F.slice("words", F.col("start") + 1, 2 * step).alias("window")).where(F.arrays_overlap("window", every))
+    keyed = windows.select("doc_id", "size_class", "start", "window", F.posexplode(bands(F.col("window"))).alias("band", "value"))
+    known = known.where(F.col("template").between(part[0].template, part[-1].template))
+    of_templates = known.select("license", "template", "size_class", "own", F.posexplode(bands(F.col("own"))).alias("band", "value"))
+    met = keyed.join(F.broadcast(of_templates), ["size_class", "band", "value"])  # a part's, of IN_PLAN hashes
+    share = F.size(F.array_intersect("own", "window")) / F.size("own")
+    if tells is not None:
+        apart = docs.sparkSession.createDataFrame([(r.template, tells[r.template]) for r in part], "template int, apart array<array<bigint>>")
+        met = met.where(share >= least).join(F.broadcast(apart), "template").where(F.forall("apart", lambda x: 2 * F.size(F.array_intersect(x, F.col("window"))) > F.size(x)))
+    return met.select("doc_id", "license", "start", share.alias("containment")).where(F.col("containment") >= least)
+
+
 def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = tuple(TEMPLATES), least: float = LEAST, apart: bool = False) -> DataFrame:
     """doc_id, license, containment (of its best template) and first_word (of the first such window) of each license found.
 
     A license counts if a window of the text holds at least `least` of the distinct shingles of one of its templates;
     with `apart`, also over half of those that tell it from each near template of another license. Templates of
-    under five words are found as whole sequences.
+    under five words are found as whole sequences; there can be any number of templates, of any length.
     Windows of class c have 2 * 2^c shingles and start at every 2^c-th. Null and short texts hold none. Repeated rows
-    count as one document, null doc_ids too; other columns don't matter; an empty table gives an empty result.
+    count as one document, null doc_ids too; other columns, whatever their names, don't matter; an empty table gives an empty
+    result. A very long text is one row, and its windows are in proportion to it.
     """
-    if sum(len(t.split()) for _, t in templates) > MAX_WORDS:
-        raise ValueError("the templates are too many for one plan; scan with parts of them")
     known = _templates(docs, templates)
-    found = known.select("license", "template", "size_class", "own").collect()
-    every = F.array(*[F.lit(x) for x in sorted({h for r in found for h in r.own})])
-    classes = F.array(*[F.lit(c) for c in sorted({r.size_class for r in found})])
-    hashed = docs.select("doc_id", shingles(text_or_empty()).alias("_all")).where(F.arrays_overlap("_all", every))
-    step = F.expr("cast(shiftleft(1, size_class) as int)")
-    starts = F.sequence(F.lit(0), F.size("_all") - 1, step)
-    windows = hashed.withColumn("size_class", F.explode(classes)).withColumn("start", F.explode(starts))
-    windows = windows.select("doc_id", "size_class", "start", F.slice("_all", F.col("start") + 1, 2 * step).alias("_own")).where(F.arrays_overlap("_own", every))
-    keyed = windows.select("doc_id", "size_class", "start", "_own", F.posexplode(bands(F.col("_own"))).alias("band", "value"))
-    of_templates = known.select("license", "template", "size_class", "own", F.posexplode(bands(F.col("own"))).alias("band", "value"))
-    met = keyed.join(F.broadcast(of_templates), ["size_class", "band", "value"])  # at most MAX_WORDS hashes
-    share = F.size(F.array_intersect("own", "_own")) / F.size("own")
-    if apart:
-        tells = docs.sparkSession.createDataFrame([*_apart(found).items()], "template int, apart array<array<bigint>>")
-        met = met.where(share >= least).join(F.broadcast(tells), "template").where(F.forall("apart", lambda x: 2 * F.size(F.array_intersect(x, F.col("_own"))) > F.size(x)))
-    met = met.select("doc_id", "license", "start", share.alias("containment")).where(F.col("containment") >= least)
+    found = known.select("license", "template", "size_class", "own").orderBy("template").collect()
+    tells = _apart(found) if apart else None
+    all_hits = [_hits(docs, known, part, least, tells) for part in _parts(found) if part]
     if (short := _short_hits(docs, templates)) is not None:
-        met = met.unionByName(short)
+        all_hits.append(short)
+    met = reduce(DataFrame.unionByName, all_hits)
     return met.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("start").cast("long").alias("first_word"))

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 
 from boardwise.llm import license_scan
@@ -33,3 +35,25 @@ def test_short_templates_count(spark):
     assert [tuple(r) for r in license_scan.scan_licenses(docs, [("PD", "public domain"), license_scan.TEMPLATES[0]]).collect()] == [(0, "PD", 1.0, 2)]
     with pytest.raises(ValueError):
         license_scan.scan_licenses(docs, [("PD", "...")])
+
+
+def test_any_number_of_templates(spark, monkeypatch):
+    """Parts of a few templates each give what one part gives."""
+    docs = documents(spark, [t for _, t in license_scan.NOTICES] + [c for c, _ in CASES])
+    whole = {tuple(r) for r in license_scan.scan_licenses(docs, license_scan.NOTICES, apart=True).collect()}
+    monkeypatch.setattr(license_scan, "IN_PLAN", 400)
+    assert {tuple(r) for r in license_scan.scan_licenses(docs, license_scan.NOTICES, apart=True).collect()} == whole and len(whole) > 60
+
+
+FULL = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not FULL.is_dir(), reason="no full license texts here")
+def test_full_license_texts(spark):
+    """Whole licenses as templates: each is found in a text around it, and changed here and there, as itself alone."""
+    names = [n for n in ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0", "GFDL-1.3") if (FULL / n).is_file()]
+    texts = [(FULL / n).read_text(errors="replace") for n in names]
+    changed = [" ".join(w for k, w in enumerate(t.split()) if k % 80) for t in texts]
+    docs = documents(spark, [f"some words {t} and more" for t in changed])
+    got = {(r.doc_id, r.license) for r in license_scan.scan_licenses(docs, list(zip(names, texts)), apart=True).collect()}
+    assert got == set(enumerate(names))
