@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower
 
-#: A larger rule list doesn't go out by broadcast: match_by_join() takes it as a table.
+#: A larger rule list doesn't go out by broadcast: urls are joined with it, with the same results.
 MAX_BROADCAST_RULES = 200_000
 
 Rule = tuple[str, str, str]  # action, host, path
@@ -27,28 +27,32 @@ def url_path(url: Column) -> Column:
 
 
 def build_trie(rules: Iterable[Rule]) -> dict:
-    """Hosts by reversed label; at a host's end, paths by whole segment, then by the start of the next segment."""
+    """Hosts by reversed label; at a host's end, paths by whole segment, then by the characters that the next segment starts with.
+
+    Of a rule that is given as allow and as block, block holds.
+    """
     root: dict = {"next": {}, "paths": None}
     for action, host, path in rules:
         node = root
         for label in reversed(host.split(".")):
             node = node["next"].setdefault(label, {"next": {}, "paths": None})
         if node["paths"] is None:
-            node["paths"] = {"next": {}, "starts": {}, "any": None}
+            node["paths"] = {"next": {}, "start": {}, "rule": None}
         at, found = node["paths"], (len(host) + len(path), len(host), f"{host}{path}", action)
-        if not path:
-            at["any"] = found
-            continue
-        *whole, start = path.removeprefix("/").split("/")
-        for segment in whole:
-            at = at["next"].setdefault(segment, {"next": {}, "starts": {}, "any": None})
-        at["starts"][start] = found
+        if path:
+            *whole, start = path.removeprefix("/").split("/")
+            for segment in whole:
+                at = at["next"].setdefault(segment, {"next": {}, "start": {}, "rule": None})
+            at = at["start"]
+            for c in start:
+                at = at.setdefault(c, {})
+        at["rule"] = max(found, at.get("rule") or found)
     return root
 
 
 def longest_match(trie: dict, host: str, path: str) -> tuple | None:
     """The fitting rule of the greatest length (host and path; of equal ones, the longer host's)."""
-    best, node = None, trie
+    fits, node = [], trie
     segments = path.split("/")[1:] if path.startswith("/") else []
     for label in reversed(host.split(".")):
         node = node["next"].get(label)
@@ -57,49 +61,59 @@ def longest_match(trie: dict, host: str, path: str) -> tuple | None:
         at = node["paths"]
         if at is None:
             continue
-        fits = [at["any"]] if at["any"] else []
+        fits.append(at["rule"])
         for k, segment in enumerate(segments):
-            fits += [rule for start, rule in at["starts"].items() if segment.startswith(start)]
+            start = at["start"]
+            fits.append(start.get("rule"))
+            for c in segment:
+                start = start.get(c)
+                if start is None:
+                    break
+                fits.append(start.get("rule"))
             at = at["next"].get(segment) if k + 1 < len(segments) else None
             if at is None:
                 break
-        best = max([x for x in (best, *fits) if x], default=None)
-    return best
+    return max([x for x in fits if x], default=None)
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", default: str = "allow") -> DataFrame:
     """Adds host, path, rule and verdict to every row.
 
     A null url, or one without ://, has an empty host and path and so fits no rule: rule is null and verdict is
-    the default, as for any url that no rule fits. Repeated rows stay; columns of pages by these four names are replaced.
+    the default, as for any url that no rule fits. Of a rule given as allow and as block, block holds. Repeated rows stay;
+    columns of pages by these four names are replaced, others stay, whatever their names. An empty table gives an
+    empty result, and no rules fit nothing.
     """
-    if len(rules) > MAX_BROADCAST_RULES:
-        raise ValueError(f"{len(rules)} rules are too many for a broadcast; use match_by_join")
-    trie = pages.sparkSession.sparkContext.broadcast(build_trie(rules))
+    rows = pages.select(F.struct(*pages.columns).alias("own"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
+    found = _by_trie(rows, rules) if len(rules) <= MAX_BROADCAST_RULES else _by_join(rows, rules)
+    kept = [F.col("own")[c].alias(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    return found.select(*kept, "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.action", F.lit(default)).alias("verdict"))
 
-    @F.pandas_udf("rule string, verdict string")
+
+def _by_trie(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    trie = rows.sparkSession.sparkContext.broadcast(build_trie(rules))
+
+    @F.pandas_udf("rule string, action string")
     def judge(host: pd.Series, path: pd.Series) -> pd.DataFrame:
         found = [longest_match(trie.value, h, p) for h, p in zip(host, path)]
-        return pd.DataFrame({"rule": [f and f[2] for f in found], "verdict": [f[3] if f else default for f in found]})
-
-    out = pages.withColumns({"_host": url_host(F.col(url)), "_path": url_path(F.col(url))})
-    out = out.withColumn("_found", judge("_host", "_path"))
-    return out.withColumns({
-        "host": F.col("_host"), "path": F.col("_path"), "rule": F.col("_found.rule"), "verdict": F.col("_found.verdict"),
-    }).drop("_host", "_path", "_found")
+        return pd.DataFrame({"rule": [f and f[2] for f in found], "action": [f and f[3] for f in found]}, dtype="object")
 
+    return rows.withColumn("found", judge("host", "path"))
 
-def match_by_join(urls: DataFrame, rules: DataFrame, key: str) -> DataFrame:
-    """The same for rule tables of any size: urls (key, host, path) against rules (action, host, path).
 
-    Joins on host suffix and the first character-exact path prefixes that rules of that host use, so that a
-    row meets only the rules of its own host and parents. Returns key, rule and action of fitting urls.
+def _by_join(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """The same for rule lists of any size. A rule stands under its host and its path's folder, up to the last /; a url goes to
+    each suffix of its host and each folder of its path, so that it meets no rules but those of its own folders. Equal
+    urls go once, and only those that meet a rule of their folders go on.
     """
+    urls = rows.select("host", "path").distinct()
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    each = urls.select(key, "path", F.explode(suffixes).alias("suffix"))
-    r = rules.select(F.col("host").alias("suffix"), F.col("path").alias("rule_path"), "action")
-    fits = each.join(r, "suffix").where(F.expr("startswith(path, rule_path)"))
-    rank = F.struct(F.length("suffix") + F.length("rule_path"), F.length("suffix"), F.concat("suffix", "rule_path").alias("rule"), "action")
-    best = fits.groupBy(key).agg(F.max(rank).alias("best"))
-    return best.select(key, "best.rule", "best.action")
+    parts = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.concat(F.slice(parts, F.lit(1), i), F.array(F.lit(""))), "/"))
+    each = urls.select("host", "path", F.explode(suffixes).alias("suffix")).select("*", F.explode(folders).alias("folder"))
+    known = rows.sparkSession.createDataFrame([*rules], "action string, suffix string, start string").withColumn("folder", F.regexp_replace("start", "[^/]*$", ""))
+    fits = each.join(known, ["suffix", "folder"]).where(F.startswith("path", "start"))
+    rank = F.struct(F.length("suffix") + F.length("start"), F.length("suffix"), F.concat("suffix", "start").alias("rule"), "action")
+    best = fits.groupBy("host", "path").agg(F.max(rank).alias("best")).select("host", "path", F.struct("best.rule", "best.action").alias("found"))
+    return rows.join(best, ["host", "path"], "left")

@@ -27,6 +27,7 @@ def clashing(df: DataFrame) -> DataFrame:
     from pyspark.sql import functions as F
 
     names = ["words", "fp", "root", "kept", "bucket", "length", "rule", "host", "path", "spans", "keep_id", "group_size", "block", "n", "h", "rank"]
+    names += ["_host", "_path", "_found", "_share", "_rank", "_text", "_stay", "_row", "_places", "_id", "_content", "own", "row", "found", "pii", "key", "node", "left", "base", "id", "content", "part", "group"]
     return df.withColumns({n: F.lit("x") for n in names})
 
 

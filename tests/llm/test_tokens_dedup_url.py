@@ -68,6 +68,14 @@ def test_exact_groups_equal_brute_force_even_if_hashes_collide(spark, weak):
     assert {i: (r.keep_id, r.group_size, r.kept, r.text_sha256) for i, r in by_id(got).items()} == brute_groups(rows())
 
 
+def test_large_groups_are_dealt_to_several_tasks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "same  text" if i % 3 else f"own {i}", None, None, None) for i in range(300)], SCHEMA)
+    want = {tuple(r) for r in exact_dedup.exact_groups(docs).collect()}
+    monkeypatch.setattr(exact_dedup, "LARGE", 5)
+    monkeypatch.setattr(exact_dedup, "FEW", -1)
+    assert {tuple(r) for r in exact_dedup.exact_groups(docs).collect()} == want and len(want) == 300
+
+
 def test_exact_groups_of_repeated_rows_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (None, "b"), (3, "b")], "doc_id long, text string")
     got = sorted(((r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs).collect()), key=str)
@@ -107,18 +115,19 @@ def fitting(url, rules):
     return host, path, best and best[2], best[3] if best else "allow"
 
 
-@pytest.mark.parametrize("rules", [URL_RULES, [*URL_RULES, ("block", "a.com", ""), ("allow", "net", "/e"), ("block", "b.net", "/d/e"), ("allow", "b.net", "/es/1")]])
-def test_urls_against_brute_force(spark, rules):
+@pytest.mark.parametrize("rules", [URL_RULES, [*URL_RULES, ("block", "a.com", ""), ("allow", "net", "/e"), ("block", "b.net", "/d/e"), ("allow", "b.net", "/es/1"), ("allow", "b.net", "/de/"), ("block", "b.net", "/de/")]])
+def test_urls_against_brute_force(spark, monkeypatch, rules):
     pages = clashing(spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string"))
     got = by_id(url_filter.filter_urls(pages, rules), "page_id")
     assert {i: (r.host, r.path, r.rule, r.verdict) for i, r in got.items()} == {i: fitting(u, rules) for i, u in enumerate(URLS)}
-    table = spark.createDataFrame(rules, "action string, host string, path string")
-    joined = by_id(url_filter.match_by_join(url_filter.filter_urls(pages, rules), table, "page_id"), "page_id")
-    assert {i: (r.rule, r.action) for i, r in joined.items()} == {i: f[2:] for i, u in enumerate(URLS) if (f := fitting(u, rules))[2] is not None}
+    monkeypatch.setattr(url_filter, "MAX_BROADCAST_RULES", 1)  # a larger list is joined
+    assert by_id(url_filter.filter_urls(pages, rules), "page_id") == got
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
 
 
-def test_a_large_rule_list_is_not_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "MAX_BROADCAST_RULES", 1)
-    with pytest.raises(ValueError):
-        url_filter.filter_urls(spark.createDataFrame([(1, "u")], "page_id long, url string"), URL_RULES)
+def test_rules_that_share_a_start_are_found_by_characters():
+    rules = [("block", "a.com", f"/x{k}") for k in range(3000)] + [("allow", "a.com", "/x29")]
+    trie = url_filter.build_trie(rules)
+    for path in ("/x29", "/x299/y", "/x2999", "/x", "/x77?"):
+        want = max(((len(h) + len(p), len(h), h + p, a) for a, h, p in rules if path.startswith(p)), default=None)
+        assert url_filter.longest_match(trie, "www.a.com", path) == want
