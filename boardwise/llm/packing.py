@@ -11,7 +11,7 @@ lengths by a distributed count, and look their bins up in the plan.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +25,8 @@ from .pieces import of_worker
 
 #: Special strings of the byte_bpe_50k vocabulary; within texts they are their ids, as by the tokenizers library's default.
 SPECIAL = {"<|endoftext|>": 50256}
-#: Rows of the most frequent length that one task ranks.
-RANKED = 2_000
+#: Rows of the most frequent length that one task ranks, and shares of a length whose sizes one task adds up.
+RANKED, SHARES = 2_000, 2_000
 
 
 @dataclass(frozen=True)
@@ -148,28 +148,35 @@ def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, special: dict[s
     return docs.select("doc_id", text_or_empty().alias("_text")).mapInArrow(cut, f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
 
 
+def _before(sizes: DataFrame) -> DataFrame:
+    """length, share and before, the rows of a length in the shares ahead of one: sums of blocks of shares first, then within blocks."""
+    own = sizes.withColumn("block", F.floor(F.col("share") / SHARES))
+    ahead = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    summed = lambda c, *keys: F.coalesce(F.sum(c).over(ahead(*keys)), F.lit(0))
+    blocks = own.groupBy("length", "block").agg(F.sum("n").alias("n")).select("length", "block", summed("n", "length", "block").alias("blocks_before"))
+    return own.withColumn("within", summed("n", "length", "block", "share")).join(blocks, ["length", "block"]).select("length", "share", (F.col("within") + F.col("blocks_before")).alias("before"))
+
+
 def pack(items: DataFrame, cap: Capacity = Capacity()) -> DataFrame:
-    """Adds sequence_id and offset to items, which have a length of 1 to cap.tokens and any other columns.
+    """Adds sequence_id and offset to items, which have a length of 1 to cap.tokens and any other columns, whatever their names.
 
-    items is read several times, so it should be checkpointed or written. Sequences have no gaps.
+    items is read several times, so it should be checkpointed or written. Sequences have no gaps. Columns of these two names are
+    replaced; an empty table gives an empty result.
     """
+    kept = [c for c in items.columns if c not in ("sequence_id", "offset")]
     counts = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # cap.tokens rows at most
     plan = items.sparkSession.sparkContext.broadcast(plan_bins(counts, cap))
     shares = max(1, -(-max(counts.values(), default=0) // RANKED))
-    own: Sequence[str] = items.columns
-    dealt = items.withColumn("_share", F.pmod(F.xxhash64(*own), F.lit(shares)))
-    rank = F.row_number().over(Window.partitionBy("length", "_share").orderBy(*[c for c in own if c != "length"])) - 1
-    before = Window.partitionBy("length").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy("length", "_share").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select("length", "_share", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    ranked = dealt.withColumn("_rank", rank).join(starts, ["length", "_share"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    dealt = items.select(F.struct(*kept).alias("own"), F.col("length").alias("length"), F.pmod(F.xxhash64(*kept), F.lit(shares)).alias("share"))
+    starts = _before(dealt.groupBy("length", "share").agg(F.count(F.lit(1)).alias("n")))
+    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "share").orderBy("own")) - 1).join(starts, ["length", "share"])
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, at: pd.Series) -> pd.DataFrame:
         bins, offset = plan.value.place(length.to_numpy(dtype=np.int64), at.to_numpy(dtype=np.int64))
         return pd.DataFrame({"sequence_id": bins, "offset": offset})
 
-    return ranked.withColumn("_place", place("length", "_rank")).select(*own, "_place.sequence_id", "_place.offset")
+    return ranked.withColumn("place", place("length", F.col("rank") + F.col("before"))).select("own.*", "place.sequence_id", "place.offset")
 
 
 def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int], end: int = 0, cap: Capacity = Capacity()) -> DataFrame:

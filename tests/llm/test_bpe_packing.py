@@ -130,7 +130,8 @@ def test_plan_size_does_not_follow_the_corpus():
 
 def test_a_hot_length_is_ranked_in_shares(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANKED", 10)
-    items = spark.createDataFrame([(i, 100 if i % 3 else 7) for i in range(500)], "doc_id long, length long")
+    monkeypatch.setattr(packing, "SHARES", 4)
+    items = spark.createDataFrame([(i, 100 if i % 3 else 7, "x") for i in range(500)], "doc_id long, length long, _share string")
     rows = packing.pack(items).collect()
     bins = defaultdict(list)
     for r in rows:
