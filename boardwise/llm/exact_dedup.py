@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from .common import checkpointed, one_space, text_or_empty
 
 
+#: Rows of a text from which its group is dealt to SALTS tasks for the join of ids, and hashes of several texts that go
+#: out by broadcast, at most.
+LARGE, SALTS, FEW = 1_000_000, 64, 100_000
+
+
 def hash128(c: Column) -> Column:
     return F.unhex(F.md5(c))
 
@@ -35,20 +40,26 @@ def exact_groups(docs: DataFrame, hash_of: Callable[[Column], Column] = hash128)
     Other columns, whatever their names, don't matter; an empty table gives an empty result.
 
     Texts go through one shuffle, after equal ones of a task became one row, so that a large group of copies never
-    meets in one task. What comes of it, without texts, is checkpointed; only ids and hashes are joined. Hashes that
-    stand for several texts are told apart by the bytes, of their rows alone; their table goes out by broadcast, as a
-    128-bit hash has none to expect: by the birthday bound, 10^12 documents have fewer than 10^-14.
+    meets in one task. What comes of it, without texts, is checkpointed; only ids and hashes are joined, and large groups
+    by salted hashes (there are no more of these than a millionth of the rows, so their table goes out by broadcast). Hashes that
+    stand for several texts are told apart by the bytes, of their rows alone. None are to be expected, but as they can be
+    made to order, their table is counted before it goes out by broadcast. A very long text is one row.
     """
     base = _hashed(docs.select("doc_id", "text"), hash_of)
     found = checkpointed(_classes(base).drop("_text"))
-    collided = F.broadcast(found.groupBy("content_hash").agg(F.count(F.lit(1)).alias("_texts")).where("_texts > 1").select("content_hash", F.lit(True).alias("_collided")))
+    collided = checkpointed(found.groupBy("content_hash").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("content_hash", F.lit(True).alias("_collided")))
+    collided = F.broadcast(collided) if collided.count() <= FEW else collided
     told = _classes(base.join(collided, "content_hash", "left_semi")).withColumnRenamed("_text", "_told")
     classes = found.join(collided, "content_hash", "left_anti").unionByName(told, allowMissingColumns=True)
-    classes = classes.select(F.col("content_hash").alias("_hash"), "_told", F.when(~F.col("_null_id"), F.col("_least")).alias("keep_id"), "group_size")
-    rows = base.join(collided, "content_hash", "left").select(
-        "content_hash", F.when(F.col("_collided"), F.col("_text")).alias("_told"), "doc_id", F.unhex(F.sha2("_text", 256)).alias("_sha")
-    )
-    same = (F.col("content_hash") == F.col("_hash")) & rows["_told"].eqNullSafe(classes["_told"])
+    salt = F.when(F.col("group_size") > LARGE, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    classes = classes.select(F.col("content_hash").alias("_hash"), "_told", F.when(~F.col("_null_id"), F.col("_least")).alias("keep_id"), "group_size", F.explode(salt).alias("_part"))
+    large = F.broadcast(found.where(F.col("group_size") > LARGE).select("content_hash", F.lit(True).alias("_large")).distinct())
+    rows = base.join(collided, "content_hash", "left").join(large, "content_hash", "left").select(
+        "content_hash", F.when(F.col("_collided"), F.col("_text")).alias("_told"), "doc_id", F.unhex(F.sha2("_text", 256)).alias("_sha"), F.col("_large"),
+    )
+    several = F.when(F.col("_told").isNull() & F.col("_large"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    rows = rows.withColumn("_salt", several)
+    same = (F.col("content_hash") == F.col("_hash")) & (F.col("_salt") == F.col("_part")) & rows["_told"].eqNullSafe(classes["_told"])
     out = rows.join(classes, same).select("doc_id", "keep_id", "group_size", "content_hash", "_sha")
     first = F.row_number().over(Window.partitionBy("doc_id", "content_hash", "_sha").orderBy("keep_id")) == 1
     return out.select(
