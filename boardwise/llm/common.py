@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import checkpointed, shared_folder  # noqa: F401
+
 #: White space that separates words, as a character class of Java's and Python's regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,26 +69,6 @@ def running(values: Column, join: Callable[[Column, Column], Column], zero: Colu
     return let(values, lambda x: F.when(F.size(x) == 0, x).when(F.size(x) <= chunk, appended(x)).otherwise(parted(x)))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share. Only in local mode may it be unset."""
-    sc = spark.sparkContext
-    folder = sc.getCheckpointDir()
-    if folder is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def delete(spark: SparkSession, folder: str) -> None:
     """Deletes a folder that this run wrote, wherever it lies."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

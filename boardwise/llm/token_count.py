@@ -4,7 +4,8 @@ No piece of the model holds a space mark behind another character, so merges nev
 spaces, and a newline, which has only its byte piece, never merges at all. A text's count is therefore the sum
 of the counts of its pre-tokens: runs of spaces with what follows them, cut at newlines. Those counts come from two
 tiers, both on the map side: a broadcast table of frequent pre-tokens, of at most `frequent` entries, and behind it
-a cache in each Python worker, which encodes what it misses. No pre-token is shuffled.
+a cache in each Python worker, which encodes what it misses. No document's pre-tokens are shuffled to be counted; only to choose
+the table, tasks send the frequent ones of a small sample of documents, with their counts.
 """
 
 from __future__ import annotations
@@ -120,7 +121,7 @@ def token_counter(docs: DataFrame, model_path: str, text: str = "text", **tier:
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit for every row of docs.
 
-    Null and empty texts have 0 bytes and 0 tokens. Repeated rows each have their row, and other columns, whatever
+    Null and empty texts have 0 bytes and 0 tokens; a very long text is counted whole, by one task. Repeated rows each have their row, and other columns, whatever
     their names, don't matter. An empty table gives an empty result.
     """
     t = text_or_empty()

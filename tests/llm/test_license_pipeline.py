@@ -79,9 +79,11 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 
 
 def test_stages_keep_the_columns_of_documents(spark):
-    docs = documents(spark)
+    docs = clashing(documents(spark))
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, "").columns == docs.columns
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and {tuple(r) for r in out.select("key", "_row", "left", "pii").collect()} <= {("x",) * 4}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").columns[0] == "doc_id"
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
