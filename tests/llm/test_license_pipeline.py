@@ -56,7 +56,8 @@ def test_licenses_of_a_table(spark):
 
 def test_pipeline_against_brute_force(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    extra = spark.createDataFrame([(10_000 + i, t, "en", "src1", len(t or "")) for i, t in enumerate(TEXTS)], SCHEMA)
+    banners = [" ".join(f"v{k}x{j}" for j in range(40)) + f"\nHome | About us | Contact\nend {k}" for k in range(20)]
+    extra = spark.createDataFrame([(10_000 + i, t, "en", "src1", len(t or "")) for i, t in enumerate([*TEXTS, *banners])], SCHEMA)
     docs.unionByName(extra).write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r.doc_id: r for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
     cleaned = {}
