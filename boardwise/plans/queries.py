@@ -196,6 +196,17 @@ def series_keys(s, sf):
     return x.select("s_suppkey", T.series_key(F.col("t")).alias("text"), T.number_key(F.col("v")).alias("number"), T.holds_text(F.col("t"), ".0").alias("dotted"))
 
 
+def numbers_by_name(s, sf):
+    """Columns that their names mark as numbers, from texts; what is no number is null."""
+    x = table(s, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("Elo"), F.when(F.col("s_suppkey") % 5 == 0, "n/a").otherwise(F.col("s_acctbal").cast("string")).alias("Best_Pct"), "s_name")
+    return x.withColumns(T.numeric_by_name(x.columns, ("_Pct",), {"Elo"}))
+
+
+def pair_surnames(s, sf):
+    names = T.surnames(F.col("pair_name"))
+    return views.results(s, sf).groupBy("pair_name").agg(F.count(F.lit(1)).alias("n")).select("pair_name", "n", F.get(names, F.lit(0)).alias("first"), F.get(names, F.lit(1)).alias("second"), T.filled("http://pages.example/%s?of=%s", F.get(names, F.lit(0)), F.when(F.col("n") > 1, F.col("n"))).alias("page"))
+
+
 def private_payloads(s, sf):
     form = '{"teams":[{"id":%d,"percent":%s,"PE_bonus":"%d","ranking":%d,%s"organization":{"id":1,"name":"C","code":"7"},"players":[{"id":%d,"firstname":"A","lastname":"B"},{"id":2,"lastname":"D"}]},{"players":[{"id":1}]}]}'
     k = F.col("event_id")
@@ -380,7 +391,7 @@ ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     leaderboard_players, leaderboard_pairs, crossover_enrich, report_filtered, player_detail, pair_detail, opponent_breakdown, opponent_summary,
     players_from_results, top_result_players, top_result_pairs, top_result_pairs_titles, metric_cards, tournament_opponents, entity_history, partner_summary,
     club_summary, opponent_history, opponent_me_vs_them, result_filters, elo_history_fold, elo_standardized, elo_whole_pool, new_tournaments, rating_moments, detail_at_start, leaderboard_found,
-    boards_of_members, date_choices, recent_tournaments, series_keys, private_payloads, reconciled_pages, filter_tristate, filter_valid_pct,
+    boards_of_members, date_choices, recent_tournaments, series_keys, numbers_by_name, pair_surnames, private_payloads, reconciled_pages, filter_tristate, filter_valid_pct,
     filter_days, filter_names_numbers, filter_masterpoint_bands, optional_columns, unpivot_seats, unpivot_sides, union_by_name, rating_methods,
     distinct_and_spread, stacked_calibration, sorted_options, rank_suite, pages_of_parts, top_by_two_keys, scales_and_titles, elo_steps, pair_ids,
     strata_limits, timestamps_parsed, club_codes, html_to_text, json_payloads, dated_pages, lookups_left_and_filled, members_of_region, ad_hoc_self, post_processed,

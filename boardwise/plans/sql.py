@@ -274,6 +274,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT choice, count(d) AS n FROM c LEFT JOIN o ON (a IS NULL OR d >= a) AND (z IS NULL OR d <= z) GROUP BY choice""",
         "recent_tournaments": f"""WITH res AS ({_R}), r AS (SELECT DISTINCT tournament_id, CASE WHEN event_id % 10 <> 0 THEN substr(date, 1, 10) END AS day FROM res) SELECT tournament_id, day, coalesce(day >= '2024-01-15', FALSE) AS recent FROM r""",
         "series_keys": """SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN '3' WHEN 1 THEN '3' WHEN 2 THEN 'all' WHEN 3 THEN '3.0' ELSE '' END AS text, CASE s_suppkey % 4 WHEN 0 THEN '0' WHEN 1 THEN '0.5' WHEN 2 THEN '1' ELSE '1.5' END AS number, s_suppkey % 5 = 3 AS dotted FROM supplier""",
+        "numbers_by_name": "SELECT CAST(s_suppkey AS DOUBLE) AS Elo, CASE WHEN s_suppkey % 5 <> 0 THEN s_acctbal END AS Best_Pct, s_name FROM supplier",
+        "pair_surnames": f"""WITH res AS ({_R}), g AS (SELECT pair_name, count(*) AS n, regexp_extract(pair_name, '^Ann ([0-9]+)', 1) AS first, regexp_extract(pair_name, 'Bob ([0-9]+)$', 1) AS second FROM res GROUP BY pair_name)
+            SELECT *, CASE WHEN n > 1 THEN 'http://pages.example/' || first || '?of=' || n END AS page FROM g""",
         "private_payloads": """WITH e AS (SELECT *, event_id % 64 / 2.0::DOUBLE AS pct, event_id % 3 * 3.0::DOUBLE AS bonus, event_id % 5 = 0 AS given, event_id % 4 = 0 AS own FROM events)
             SELECT CAST(event_id AS STRING) AS tournament_id, CAST(event_id AS STRING) AS team_id, CAST(user_id AS STRING) AS player1_id, 'D' AS player2_name, CASE WHEN given THEN CAST(event_id % 50 AS DOUBLE) WHEN own THEN pct WHEN bonus > 0 THEN pct - bonus ELSE pct END AS scratch_percentage,
             CASE WHEN given THEN pct WHEN own THEN pct + bonus WHEN bonus > 0 THEN pct END AS handicap_percentage, bonus AS iv_bonus, event_id % 9 AS "rank", '7' AS club_code FROM e""",
