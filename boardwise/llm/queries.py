@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, packing, pii, quality, secrets, simhash, token_count, url_filter
+from . import bpe, conversations, exact_dedup, html_text, lexical, license_scan, packing, pii, quality, secrets, simhash, token_count, url_filter
 from .common import table
 
 #: (action, host, path)
@@ -67,10 +67,23 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"), "doc_id").drop("base_spans")
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"), "page_id", "url")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_quality_rules, op2_exact_dedup, op3_token_counts, op4_byte_bpe, op5_url_filter,
         op6_personal_data, op7_packing, op8_license_scan, op9_simhash, op10_secrets,
+        op11_html_text, op12_conversation_repair, op13_ranked_search,
     ]
     return {f.__name__: f for f in own}
 
@@ -103,6 +116,17 @@ def oracle_sql() -> dict[str, str]:
             WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
             SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                    doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n""",
+        "op13_ranked_search": r"""
+            WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+            d AS (SELECT doc_id, row_number() OVER () AS row, ts, len(ts)::BIGINT AS n FROM t WHERE len(ts) > 0),
+            st AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM d),
+            q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+            p AS (SELECT doc_id, row, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, row, n, unnest(ts) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+            w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, st GROUP BY term, docs),
+            s AS (SELECT item_id, doc_id, row, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::BIGINT AS score
+                  FROM p JOIN w USING (term) JOIN q USING (term), st GROUP BY ALL)
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0
+            QUALIFY rank <= 10""",
         "op5_url_filter": r"""
             WITH s AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
             p AS (SELECT page_id, regexp_extract(rest, '^([^/?#]*)', 1) AS h, rest FROM s),
