@@ -1,8 +1,9 @@
 """Elo history of tournaments: a fold over results in time.
 
-A rating depends on the field's mean at the start of its session, so players of a pool are coupled and a pool's sessions
-follow each other. Pools (columns given in `by`) are independent and fold in parallel. Within a pool, rows arrive sorted
-through Spark's own external sort and leave as they came, with their ratings: a task holds its players' ratings and one session's rows, never a pool.
+A rating depends on the field's mean at the start of its session, so a pool's sessions follow each other where players
+connect them. Pools (columns given in `by`) are independent and fold in parallel; within a pool, so do the sessions of a window
+of days that no player connects (`windows`). Rows arrive sorted through Spark's own external sort and leave as they came, with
+their ratings: a task holds its players' ratings and one session's rows, never a pool.
 """
 
 from __future__ import annotations
@@ -14,10 +15,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ratings as R
+from ..shared import checkpointed, delete
+from .components import components
 
 RATED = [f"player{i}_{t}_elo_{m}" for i in (1, 2) for t in ("scratch", "handicap") for m in ("before", "after")]
 FIELD = ["scratch_field_avg", "handicap_field_avg", "scratch_field_strength", "handicap_field_strength"]
 OUT = [*FIELD, *RATED, "scratch_pair_elo", "handicap_pair_elo"]
+#: Rows of a window up to which its pools fold whole: less work than a search for what players connect.
+FEW_ROWS = 20_000
+#: What a fold can go on from: players' unrounded ratings after a row, and the row's place in its task's order.
+TRACE = ["player1_scratch_raw", "player1_handicap_raw", "player2_scratch_raw", "player2_handicap_raw", "fold_seq"]
 
 
 def _scale(mean: float) -> float:
@@ -37,7 +44,7 @@ def _shown(x: float) -> float:
 
 
 def fold_session(rows: list[tuple], scratch: dict, handicap: dict) -> list[tuple]:
-    """Rated values of one session's rows (player1, player2, scratch pct, handicap pct or None), and the new ratings."""
+    """Rated values of one session's rows (player1, player2, scratch pct, handicap pct or None) and their players' new ratings."""
     start = R.DEFAULT_ELO
     fields = []
     for ratings in (scratch, handicap):
@@ -47,16 +54,18 @@ def fold_session(rows: list[tuple], scratch: dict, handicap: dict) -> list[tuple
     for a, b, pct, with_bonus in rows:
         track = 1 if with_bonus is not None else 0
         own: list[float | None] = []
+        raw: list[float | None] = []
         for p in (a, b):
             if not p:
-                own += [None] * 4
+                own, raw = [*own, *[None] * 4], [*raw, None, None]
                 continue
             s0, h0 = scratch.get(p, start), handicap.get(p, start)
             s1 = scratch[p] = _step(s0, pct, fields[0], scales[0])
             h1 = handicap[p] = _step(h0, pct if with_bonus is None else with_bonus, fields[track], scales[track])
             own += [_shown(s0), _shown(s1), _shown(h0), _shown(h1)]
+            raw += [s1, h1]
         pairs = [_shown((r[a] + r[b]) / 2) for r in (scratch, handicap)] if a and b else [None, None]
-        out.append((*fields, *scales, *own, *pairs))
+        out.append((*fields, *scales, *own, *pairs, *raw))
     return out
 
 
@@ -83,27 +92,37 @@ def _stream(results: DataFrame, by: Sequence[str], row: str, initial: DataFrame
         first = initial.select(*keys, F.lit(0).alias("kind"), F.col("player_id").alias("player1_id"), F.col("scratch").cast("double").alias("scratch"), F.col("handicap").cast("double").alias("handicap"))
         own = own.unionByName(first, allowMissingColumns=True)
     order = [*by, "kind", "date", "tournament_id", "place", "player1_id", "player2_id", "scratch", "handicap"]
-    return (own.repartition(*by) if by else own.repartition(1)).sortWithinPartitions(*order)
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, as Spark would join parts by their bytes, and the fold's work isn't in them
+    return (own.repartition(parts, *by) if by else own.repartition(1)).sortWithinPartitions(*order)
 
 
-def fold(results: DataFrame, by: Sequence[str] = (), row: str = "row_seq", today: str | None = None, initial: DataFrame | None = None) -> DataFrame:
+def up_to(results: DataFrame, today: str | None) -> DataFrame:
+    """results with completed percentages, without sessions later than `today`."""
+    known = with_percentages(results)
+    return known if today is None else known.where(F.coalesce(F.substring("date", 1, 10), F.lit("")) <= today)
+
+
+def fold(results: DataFrame, by: Sequence[str] = (), row: str = "row_seq", today: str | None = None, initial: DataFrame | None = None, trace: bool = False) -> DataFrame:
     """results (by, date, tournament_id, row, player1_id, player2_id, percentages) with ratings, in place of columns of their names.
 
     Percentages are completed by with_percentages. Sessions go by date text, then id, and rows of a session by `row`; nulls
     come first. Later sessions than `today` are left out. Every other row stays, repeated ones too, which count each. A null
     or empty id is no player. initial: ratings to start from, (by, player_id, scratch, handicap), read as the pool's first rows.
+    trace adds the columns TRACE.
     """
-    known = with_percentages(results)
-    known = known if today is None else known.where(F.coalesce(F.substring("date", 1, 10), F.lit("")) <= today)
-    ordered, n_by = _stream(known, by, row, initial), len(by)
+    ordered, n_by = _stream(up_to(results, today), by, row, initial), len(by)
+    names, types = [*OUT, *TRACE], [*[pa.float64()] * (len(OUT) + 4), pa.int64()]
+    names, types = (names, types) if trace else (OUT, types[: len(OUT)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool, session, held, parts, ratings = None, None, [], [], ({}, {})
+        pool, session, held, parts, ratings, done = None, None, [], [], ({}, {}), 0
 
         def flush() -> pa.RecordBatch:
-            columns = zip(*fold_session(held, *ratings))
+            nonlocal done
+            columns = [*zip(*fold_session(held, *ratings)), range(done, done + len(held))]
+            done += len(held)
             own = pa.concat_arrays(parts)
-            return pa.RecordBatch.from_arrays([own, *(pa.array(c, pa.float64()) for c in columns)], names=["own", *OUT])
+            return pa.RecordBatch.from_arrays([own, *(pa.array(c, t) for c, t in zip(columns, types))], names=["own", *names])
 
         for b in batches:
             keys = list(zip(*(b.column(i).to_pylist() for i in range(n_by + 3))))
@@ -126,8 +145,107 @@ def fold(results: DataFrame, by: Sequence[str] = (), row: str = "row_seq", today
             yield flush()
 
     kind = ordered.schema["own"].dataType.simpleString()
-    rated = ordered.mapInArrow(run, ", ".join([f"own {kind}", *(f"{c} double" for c in OUT)]))
-    return rated.select("own.*", *OUT)
+    rated = ordered.mapInArrow(run, ", ".join([f"own {kind}", *(f"{c} {'long' if c == 'fold_seq' else 'double'}" for c in names)]))
+    return rated.select("own.*", *names)
+
+
+def day_of(date: str = "date") -> Column:
+    """The day of a session; sessions without a date are on the first one."""
+    return F.coalesce(F.substring(date, 1, 10), F.lit(""))
+
+
+def windows(days: Sequence[tuple[str, int]], rows: int) -> list[tuple[str, str]]:
+    """First and last day of windows, which hold about `rows` rows each, by the rows of each day."""
+    out: list[tuple[str, str]] = []
+    held = 0
+    for day, n in sorted(days):
+        if out and held + n <= rows:
+            out[-1] = (out[-1][0], day)
+            held += n
+        else:
+            out.append((day, day))
+            held = n
+    return out
+
+
+def _seats(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """player_id of both seats, without those that are no player, and what else is asked for."""
+    ids = F.array(*[F.nullif(F.col(f"player{i}_id").cast("string"), F.lit("")) for i in (1, 2)])
+    return df.select(*columns, F.explode(ids).alias("player_id")).where("player_id is not null")
+
+
+def coupled(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """results with `coupled`, the same number for sessions that players connect. Hashes that meet connect more, which is as right."""
+    keys = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by]
+    own = results.withColumn("_s", F.xxhash64(*keys, F.coalesce("date", F.lit("")), F.coalesce(F.col("tournament_id").cast("string"), F.lit(""))))
+    found = components(_seats(own, "_s", *by).select(F.col("_s").alias("s"), F.xxhash64(*keys, "player_id").alias("p")))
+    return own.join(found.select(F.col("s").alias("_s"), "label"), "_s", "left").withColumn("coupled", F.coalesce("label", "_s")).drop("_s", "label")
+
+
+def day_states(rated: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Of each player and day of traced rows: ratings after it, unrounded and shown, the last name, and moments of the percentages."""
+    seats = [
+        F.struct(
+            F.nullif(F.col(f"player{i}_id").cast("string"), F.lit("")).alias("player_id"), F.lit(i).alias("seat"),
+            F.struct(F.col(f"player{i}_scratch_raw").alias("scratch"), F.col(f"player{i}_handicap_raw").alias("handicap"), F.col(f"player{i}_name").cast("string").alias("player_name"), *[F.col(f"player{i}_{t}_elo_after").alias(f"{t}_elo") for t in ("scratch", "handicap")]).alias("last"),
+        )
+        for i in (1, 2)
+    ]
+    long = rated.select(*by, day_of().alias("day"), "fold_seq", "scratch_percentage", F.inline(F.array(*seats))).where("player_id is not null")
+    v = "scratch_percentage"
+    each = long.groupBy(*by, "day", "player_id").agg(F.max_by("last", F.struct("fold_seq", "seat")).alias("last"), F.count(F.lit(1)).alias("games"), F.count(v).alias("n"), F.avg(v).alias("mean"), (F.count(v) * F.var_pop(v)).alias("m2"))
+    return each.select(*by, "day", "player_id", "last.*", "games", "n", "mean", "m2")
+
+
+def _same(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """A join by keys that holds for nulls, with df's columns and, unless it is a semi or anti join, other's."""
+    named = other.select([F.col(c).alias(f"_{c}") if c in keys else F.col(c) for c in other.columns])
+    return df.join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys], how).drop(*[f"_{c}" for c in keys])
+
+
+def latest_states(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, player_id, scratch, handicap) after the last day that states have of a player."""
+    return states.groupBy(*by, "player_id").agg(F.max_by(F.struct("scratch", "handicap"), "day").alias("last")).select(*by, "player_id", "last.*")
+
+
+def newer(state: DataFrame, new: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Ratings (by, player_id, scratch, handicap) of new, and those of state for players that new lacks."""
+    return new.unionByName(_same(state.select(new.columns), new.select(*by, "player_id"), [*by, "player_id"], "left_anti"))
+
+
+def fold_windows(results: DataFrame, folder: str, by: Sequence[str] = (), row: str = "row_seq", initial: DataFrame | None = None, window_rows: int = 1_000_000) -> None:
+    """Writes fold's rows, with TRACE and fold_day, to folder/results and day_states to folder/states, a window after the other.
+
+    A window has about window_rows rows of days that follow each other. Its sessions are dealt by what players connect, so
+    that tasks fold apart; ratings go from window to window as a table, one row a player. results have completed percentages.
+    """
+    spark = results.sparkSession
+    by_day = results.withColumn("fold_day", day_of()).repartitionByRange("fold_day")
+    by_day.write.parquet(f"{folder}/input")  # days stand together, so a window reads its own files or row groups
+    table, at = spark.read.schema(by_day.schema).parquet(f"{folder}/input"), "fold_day"
+    sizes = {r[0]: r[1] for r in table.groupBy(at).count().collect()}  # a row a day
+    found = windows([*sizes.items()], window_rows)
+    state = None if initial is None else initial.withColumn("player_id", F.col("player_id").cast("string"))
+    for k, (first, last) in enumerate(found or [("", "")]):
+        own, pools = table.where(F.col(at).between(first, last)), [*by]
+        if sum(n for d, n in sizes.items() if first <= d <= last) > FEW_ROWS:
+            own, pools = checkpointed(coupled(own, by)), [*by, "coupled"]
+        start = None if state is None else _same(state, _seats(own, *pools).distinct(), [*by, "player_id"], "inner")
+        fold(own, pools, row, initial=start, trace=True).drop("coupled").write.parquet(f"{folder}/results/window={k}")
+        day_states(spark.read.parquet(f"{folder}/results/window={k}"), by).write.parquet(f"{folder}/states/window={k}")
+        new = latest_states(spark.read.parquet(f"{folder}/states/window={k}"), by)
+        state = checkpointed(new if state is None else newer(state, new, by))
+    delete(spark, f"{folder}/input")
+
+
+def totals(states: DataFrame) -> DataFrame:
+    """Players after all days of states, over all pools: last ratings, games, mean and deviation of their percentages, as snapshot has them."""
+    each = states.groupBy("player_id").agg(
+        F.max_by(F.struct("player_name", "scratch_elo", "handicap_elo"), "day").alias("last"), F.sum("games").alias("games_played"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("avg_percentage"),
+        F.sum("m2").alias("m2"), F.sum(F.col("n") * (F.col("mean") - 50.0) ** 2).alias("spread"),
+    )
+    m2 = F.greatest(F.col("m2") + F.col("spread") - F.col("n") * (F.col("avg_percentage") - 50.0) ** 2, F.lit(0.0))  # a fixed centre, so days add up
+    return each.select("player_id", "last.*", "games_played", "avg_percentage", F.when(F.col("n") > 1, F.sqrt(m2 / (F.col("n") - 1))).alias("stdev_percentage"))
 
 
 def snapshot(rated: DataFrame, row: str = "row_seq") -> DataFrame:
@@ -138,23 +256,28 @@ def snapshot(rated: DataFrame, row: str = "row_seq") -> DataFrame:
     return long.groupBy("player_id").agg(last("player_name"), last("scratch_elo"), last("handicap_elo"), F.count(F.lit(1)).alias("games_played"), F.avg("scratch_percentage").alias("avg_percentage"), F.stddev_samp("scratch_percentage").alias("stdev_percentage"))
 
 
-def standardized(rated: DataFrame, people: DataFrame, min_games: int = 5, min_pool: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Both tables with ratings on the display scale of the players' population, of those with enough games if they are enough."""
+def scale_of(people: DataFrame, min_games: int = 5, min_pool: int = 10) -> DataFrame:
+    """One row: mean and deviation of both ratings of those with enough games if they are enough, else of all."""
     aggs: list[Column] = [F.count_if(F.col("games_played") >= min_games).alias("n")]
     for t in ("scratch", "handicap"):
         v, own = F.col(f"{t}_elo"), F.when(F.col("games_played") >= min_games, F.col(f"{t}_elo"))
         aggs += [F.avg(own).alias(f"{t}_m"), F.stddev_pop(own).alias(f"{t}_s"), F.avg(v).alias(f"{t}_am"), F.stddev_pop(v).alias(f"{t}_as")]
-    s = people.agg(*aggs)
     few = F.col("n") < min_pool
-    s = s.select(*[F.when(few, F.col(f"{t}_a{k}")).otherwise(F.col(f"{t}_{k}")).alias(f"_{t}_{k}") for t in ("scratch", "handicap") for k in "ms"])
-
-    def scaled(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-        out = df.crossJoin(F.broadcast(s))  # one row
-        new = {}
-        for c, t in columns.items():
-            x = R.fixed_round(R.clamp(F.lit(R.DISPLAY_MEAN) + (F.col(c) - F.col(f"_{t}_m")) / F.nullif(F.col(f"_{t}_s"), F.lit(0.0)) * R.DISPLAY_SD, 0.0, R.DISPLAY_MAX), 1)
-            new[c] = F.when(F.coalesce(F.col(f"_{t}_s"), F.lit(0.0)) <= 0, F.lit(R.DISPLAY_MEAN)).when(F.col(c).isNotNull(), x)
-        return out.withColumns(new).select(df.columns)
-
-    rated_columns = {c: "scratch" if "scratch" in c else "handicap" for c in [*RATED, "scratch_pair_elo", "handicap_pair_elo"]}
-    return scaled(rated, rated_columns), scaled(people, {"scratch_elo": "scratch", "handicap_elo": "handicap"})
+    return people.agg(*aggs).select(*[F.when(few, F.col(f"{t}_a{k}")).otherwise(F.col(f"{t}_{k}")).alias(f"_{t}_{k}") for t in ("scratch", "handicap") for k in "ms"])
+
+
+def scaled(df: DataFrame, scale: DataFrame) -> DataFrame:
+    """Results or players with ratings on the display scale of scale_of."""
+    rated = {c: "scratch" if "scratch" in c else "handicap" for c in [*RATED, "scratch_pair_elo", "handicap_pair_elo"]}
+    columns = rated if RATED[0] in df.columns else {"scratch_elo": "scratch", "handicap_elo": "handicap"}
+    new = {}
+    for c, t in columns.items():
+        x = R.fixed_round(R.clamp(F.lit(R.DISPLAY_MEAN) + (F.col(c) - F.col(f"_{t}_m")) / F.nullif(F.col(f"_{t}_s"), F.lit(0.0)) * R.DISPLAY_SD, 0.0, R.DISPLAY_MAX), 1)
+        new[c] = F.when(F.coalesce(F.col(f"_{t}_s"), F.lit(0.0)) <= 0, F.lit(R.DISPLAY_MEAN)).when(F.col(c).isNotNull(), x)
+    return df.crossJoin(F.broadcast(scale)).withColumns(new).select(df.columns)  # one row
+
+
+def standardized(rated: DataFrame, people: DataFrame, min_games: int = 5, min_pool: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Both tables with ratings on the display scale of the players' population, of those with enough games if they are enough."""
+    scale = scale_of(people, min_games, min_pool)
+    return scaled(rated, scale), scaled(people, scale)

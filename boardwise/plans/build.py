@@ -1,4 +1,6 @@
-"""Builds the tournament dataset from landed payloads: spark-submit build.py --landing DIR --out DIR [--if-stale]."""
+"""Builds the tournament dataset from landed payloads: spark-submit build.py --landing DIR --out DIR [--if-stale].
+
+Sessions that were folded before stay as they are, up to the first day that differs."""
 
 from __future__ import annotations
 
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from boardwise.functions import ratings as R
 from boardwise.operators import filters, history
-from boardwise.sources import landing
+from boardwise.sources import dataset, landing
 
 OPTIONAL = {"club_name": "string", "club_id": "string", "tournament_name": "string"}
 
@@ -35,22 +37,30 @@ def with_player_values(results: DataFrame, values: DataFrame) -> DataFrame:
     return results.withColumn("pair_iv", F.col("player1_current_iv") + F.col("player2_current_iv"))
 
 
-def build(
-    raw: DataFrame, sessions: DataFrame, today: str, clubs: DataFrame | None = None, private: bool = False, by: Sequence[str] = (), values: DataFrame | None = None, initial: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """raw (tournament_id, series_id, payload) and sessions (tournament_id, date, tournament_name) to results and players.
+def result_rows(raw: DataFrame, sessions: DataFrame, clubs: DataFrame | None = None, private: bool = False, values: DataFrame | None = None) -> DataFrame:
+    """raw (tournament_id, series_id, payload) and sessions (tournament_id, date, tournament_name) to rows that history.fold takes.
 
-    clubs (code, label) name clubs where few results have names; values (player_id, iv) are players' values; initial: first
-    ratings, as in history.fold.
+    clubs (code, label) name clubs where few results have names; values (player_id, iv) are players' values.
     """
     rows = landing.private_results(raw) if private else landing.public_results(raw)
     rows = filters.with_optional(rows.join(sessions, "tournament_id"), OPTIONAL)
     rows = identified(rows if clubs is None else landing.named_clubs(rows, clubs))
-    rows = rows if values is None else with_player_values(rows, values)
-    rated = history.fold(rows, by=by, today=today, initial=initial)
+    return rows if values is None else with_player_values(rows, values)
+
+
+def build(
+    raw: DataFrame, sessions: DataFrame, today: str, clubs: DataFrame | None = None, private: bool = False, by: Sequence[str] = (), values: DataFrame | None = None, initial: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Results and players of all sessions up to `today`; initial: first ratings, as in history.fold."""
+    rated = history.fold(result_rows(raw, sessions, clubs, private, values), by=by, today=today, initial=initial)
     return history.standardized(rated, history.snapshot(rated))
 
 
+def key_of(private: bool, values: bool) -> str:
+    """The dataset's key: builds of another source, or with players' values, are datasets of their own."""
+    return ("private" if private else "public") + ("-values" if values else "")
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
     """A table of the landing folder; None if there is none."""
     try:
@@ -82,16 +92,19 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> bo
     p.add_argument("--max-age-hours", type=float, default=20.0)
     p.add_argument("--envelope-hours", type=float, default=None, help="oldest envelopes to read; by default all")
     p.add_argument("--limit", type=int, default=None, help="latest sessions to read; by default all")
+    p.add_argument("--window-rows", type=int, default=1_000_000, help="rows that a window of days has about; its unconnected sessions fold apart")
     p.add_argument("--keep", type=int, default=2, help="versions to keep")
     p.add_argument("--now", type=dt.datetime.fromisoformat, default=dt.datetime.now())
     a = p.parse_args(args)
     spark = spark or SparkSession.builder.appName("build").getOrCreate()
     raw, sessions = landed(spark, a.landing, a.now, a.envelope_hours, a.limit)
-    if a.if_stale and not landing.needs_rebuild(spark, a.out, sessions, a.now, a.max_age_hours):
+    clubs, values = _table(spark, a.landing, "clubs"), _table(spark, a.landing, "values")
+    key = key_of(a.private, values is not None)
+    if a.if_stale and not dataset.needs_rebuild(spark, a.out, key, sessions, a.now, a.max_age_hours):
         return False
-    results, people = build(raw, sessions, a.now.date().isoformat(), _table(spark, a.landing, "clubs"), a.private, values=_table(spark, a.landing, "values"))
-    landing.write_dataset(results, people, a.out, a.now)
-    landing.prune(spark, a.out, a.keep)
+    rows = result_rows(raw, sessions, clubs, a.private, values)
+    dataset.extend(rows, a.out, key, a.now, today=a.now.date().isoformat(), window_rows=a.window_rows)
+    dataset.prune(spark, a.out, key, a.keep)
     return True
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from ..operators import aggregates as A
 from ..operators import boards as B
 from ..operators import filters, history
 from ..operators import results as Q
-from ..sources import landing
+from ..shared import shared_folder
+from ..sources import dataset, landing
 from . import report, views
 from .params import MOMENTS, Report
 
@@ -122,11 +124,23 @@ def result_filters(s, sf):
     return out.select("event_id", "tournament_id", "pair_id", "club_name")
 
 
-def elo_history_fold(s, sf):
-    rated = history.fold(views.results(s, sf), by=["series_id"])
+def _fold_columns(rated):
     return rated.select("event_id", *[r6(c).alias(c) for c in [*history.FIELD, "player1_scratch_elo_before", "player1_scratch_elo_after", "player2_handicap_elo_after", "scratch_pair_elo", "handicap_pair_elo"]])
 
 
+def elo_history_fold(s, sf):
+    return _fold_columns(history.fold(views.results(s, sf), by=["series_id"]))
+
+
+def elo_extended(s, sf):
+    """A dataset of the results up to a day, then a build over all of them, some late: it folds from the first late one's day on."""
+    path, r = f"{shared_folder(s)}/elo-{uuid.uuid4().hex}", views.results(s, sf)
+    early = r.where("date < '2024-01-24' and not (date > '2024-01-19' and event_id % 50 = 0)")
+    dataset.extend(early, path, "all", dt.datetime(2024, 1, 24), ["series_id"])
+    version, _ = dataset.extend(r, path, "all", dt.datetime(2024, 2, 1), ["series_id"], window_rows=40_000)
+    return _fold_columns(dataset.folded(s, version))
+
+
 def elo_standardized(s, sf):
     rated = history.fold(views.results(s, sf), by=["series_id"])
     people = history.snapshot(rated)
@@ -390,7 +404,7 @@ def post_processed(s, sf):
 ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     leaderboard_players, leaderboard_pairs, crossover_enrich, report_filtered, player_detail, pair_detail, opponent_breakdown, opponent_summary,
     players_from_results, top_result_players, top_result_pairs, top_result_pairs_titles, metric_cards, tournament_opponents, entity_history, partner_summary,
-    club_summary, opponent_history, opponent_me_vs_them, result_filters, elo_history_fold, elo_standardized, elo_whole_pool, new_tournaments, rating_moments, detail_at_start, leaderboard_found,
+    club_summary, opponent_history, opponent_me_vs_them, result_filters, elo_history_fold, elo_extended, elo_standardized, elo_whole_pool, new_tournaments, rating_moments, detail_at_start, leaderboard_found,
     boards_of_members, date_choices, recent_tournaments, series_keys, numbers_by_name, pair_surnames, private_payloads, reconciled_pages, filter_tristate, filter_valid_pct,
     filter_days, filter_names_numbers, filter_masterpoint_bands, optional_columns, unpivot_seats, unpivot_sides, union_by_name, rating_methods,
     distinct_and_spread, stacked_calibration, sorted_options, rank_suite, pages_of_parts, top_by_two_keys, scales_and_titles, elo_steps, pair_ids,

@@ -171,6 +171,7 @@ def _moments() -> str:
 
 def oracle_sql() -> dict[str, str]:
     prior = _shrunk("coalesce({0}.scratch_elo, 0)", "coalesce({0}.games_played, 0)", "pa", 10)
+    fold_sql = _elo_fold("series_id", f"SELECT event_id, {', '.join(f'{_r6(c)} AS {c}' for c in ['scratch_field_avg', 'handicap_field_avg', 'scratch_field_strength', 'handicap_field_strength', 'player1_scratch_elo_before', 'player1_scratch_elo_after', 'player2_handicap_elo_after', 'scratch_pair_elo', 'handicap_pair_elo'])} FROM rated")
     codes = "CAST(event_id % 9 AS STRING)"
     bands = [0, 5, 20, 50, 100, 200, 300, 500, 750, 1000, 1500, 2500, 3500, 5000, 7500, 10000]
     band = "CASE " + " ".join(f"WHEN c_acctbal >= {a} AND c_acctbal < {b} THEN '{a}-{b}'" for a, b in zip(bands, bands[1:])) + " WHEN c_acctbal >= 10000 THEN '10000+' END"
@@ -254,7 +255,8 @@ def oracle_sql() -> dict[str, str]:
         "members_of_region": f"SELECT o_orderpriority, count(*) AS n, {_r6('sum(o_totalprice)')} AS total FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5) GROUP BY 1",
         "ad_hoc_self": "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey = 3 ORDER BY s_suppkey LIMIT 7",
         "post_processed": f"WITH q AS (SELECT p_partkey, CAST(round(round_even(least(greatest(least(greatest(p_retailprice, -1000.0), 10000.0) * 2.0, 0.0), 3500.0), 1)) AS INT) AS Elo FROM part) SELECT *, {_title('Elo')} AS Title FROM q",
-        "elo_history_fold": _elo_fold("series_id", f"SELECT event_id, {', '.join(f'{_r6(c)} AS {c}' for c in ['scratch_field_avg', 'handicap_field_avg', 'scratch_field_strength', 'handicap_field_strength', 'player1_scratch_elo_before', 'player1_scratch_elo_after', 'player2_handicap_elo_after', 'scratch_pair_elo', 'handicap_pair_elo'])} FROM rated"),
+        "elo_history_fold": fold_sql,
+        "elo_extended": fold_sql,
         "elo_whole_pool": _elo_fold("0", f"SELECT event_id, {', '.join(f'{_r6(c)} AS {c}' for c in ['scratch_percentage', 'scratch_field_avg', 'handicap_field_avg', 'scratch_field_strength', 'handicap_field_strength', 'player1_scratch_elo_after', 'player2_scratch_elo_before', 'player1_handicap_elo_after', 'player2_handicap_elo_after', 'scratch_pair_elo'])} FROM rated",
             "CASE WHEN event_id % 7 <> 0 THEN scratch_percentage ELSE coalesce(nullif(CASE WHEN event_id % 21 <> 0 THEN percentage END, 0), 50) - event_id % 8 END"),
         "elo_standardized": _elo_fold("series_id", f""", long AS (SELECT a AS id, 1 AS seat, date, tournament_id, row_seq, scratch_percentage AS pct, player1_scratch_elo_after AS s, player1_handicap_elo_after AS h FROM rated UNION ALL SELECT b, 2, date, tournament_id, row_seq, scratch_percentage, player2_scratch_elo_after, player2_handicap_elo_after FROM rated),

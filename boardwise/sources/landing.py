@@ -1,4 +1,4 @@
-"""Raw API payloads, landed as JSON lines, to result rows; sidecars; the datasets that a build leaves."""
+"""Raw API payloads, landed as JSON lines, to result rows; sidecars; board files."""
 
 from __future__ import annotations
 
@@ -112,53 +112,3 @@ def boards(spark: SparkSession, path: str, columns: list[str] | None = None) ->
     if "Date" in kinds:
         df = df.withColumn("Date", T.parse_timestamp(F.col("Date")) if kinds["Date"] == "string" else F.col("Date").cast("timestamp_ntz"))
     return df.withColumn("session_id", F.col("session_id").cast("string")) if "session_id" in kinds else df
-
-
-def write_dataset(rated: DataFrame, people: DataFrame, path: str, built_at: dt.datetime) -> None:
-    """Results and players as a new version under path, which its meta, written last, makes the current one."""
-    version = built_at.strftime("v%Y%m%dT%H%M%S%f")
-    rated.write.mode("overwrite").parquet(f"{path}/{version}/results")
-    people.write.mode("overwrite").parquet(f"{path}/{version}/players")
-    meta = rated.sparkSession.createDataFrame([(built_at.isoformat(), version)], "built_at string, version string")
-    meta.coalesce(1).write.mode("append").json(f"{path}/meta")
-
-
-def current_version(spark: SparkSession, path: str) -> tuple[dt.datetime, str] | None:
-    """When the newest complete version was built, and its folder; None without one."""
-    try:
-        row = spark.read.schema("built_at string, version string").json(f"{path}/meta").orderBy(F.desc("version")).first()
-    except Exception as e:
-        if type(e).__name__ == "AnalysisException":
-            return None
-        raise
-    return row and (dt.datetime.fromisoformat(row.built_at), f"{path}/{row.version}")
-
-
-def read_dataset(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """results or players of the current version."""
-    found = current_version(spark, path)
-    if found is None:
-        raise FileNotFoundError(f"no dataset at {path}")
-    return spark.read.parquet(f"{found[1]}/{table}")
-
-
-def prune(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
-    """Deletes the folders of all versions but the newest `keep` complete ones; returns what it deleted."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    versions = [r.version for r in spark.read.schema("version string").json(f"{path}/meta").distinct().orderBy(F.desc("version")).limit(keep).collect()]
-    names = [x.getPath().getName() for x in fs.listStatus(folder)]
-    old = sorted(n for n in names if n.startswith("v") and n not in versions)
-    for n in old:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}"), True)
-    return old
-
-
-def needs_rebuild(spark: SparkSession, path: str, listed: DataFrame, now: dt.datetime, max_age_hours: float = 20.0) -> bool:
-    """Whether the dataset is missing, stale, or lacks a past tournament that is listed (tournament_id, date)."""
-    found = current_version(spark, path)
-    if found is None or now - found[0] > dt.timedelta(hours=max_age_hours):
-        return True
-    past = listed.where(F.substring("date", 1, 10) <= now.date().isoformat())
-    return not filters.not_yet_in(past, read_dataset(spark, path, "results").select("tournament_id"), "tournament_id").isEmpty()

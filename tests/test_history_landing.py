@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from boardwise.operators import history
 from boardwise.operators import results as Q
-from boardwise.sources import landing
+from boardwise.sources import dataset, landing
 
 
 def plain_fold(rows):
@@ -125,10 +125,10 @@ def test_sidecars_datasets_and_boards(spark, tmp_path):
     assert [landing.anchor(spark, str(tmp_path / f), k) for f, k in (("a.json", "player"), ("a.json", "pair"), ("a.json", "other"), ("none.json", "player"))] == [1510.0, None, None, None]
     now, path = dt.datetime(2024, 5, 2, 12), f"{tmp_path}/set"
     listed = spark.createDataFrame([("a", "2024-05-01"), ("b", "2024-06-01")], "tournament_id string, date string")
-    assert landing.needs_rebuild(spark, path, listed, now)
-    landing.write_dataset(spark.createDataFrame([("a",)], "tournament_id string"), spark.createDataFrame([("p",)], "player_id string"), path, now)
-    assert not landing.needs_rebuild(spark, path, listed, now) and landing.needs_rebuild(spark, path, listed, now + dt.timedelta(hours=21))
-    assert landing.needs_rebuild(spark, path, listed.union(spark.createDataFrame([("c", "2024-05-01")], listed.schema)), now)
+    assert dataset.needs_rebuild(spark, path, "k", listed, now)
+    dataset.write_whole(spark.createDataFrame([("a",)], "tournament_id string"), spark.createDataFrame([("p",)], "player_id string"), path, "k", now)
+    assert not dataset.needs_rebuild(spark, path, "k", listed, now) and dataset.needs_rebuild(spark, path, "k", listed, now + dt.timedelta(hours=21))
+    assert dataset.needs_rebuild(spark, path, "k", listed.union(spark.createDataFrame([("c", "2024-05-01")], listed.schema)), now)
     spark.createDataFrame([("2024-01-02T00:00:00", 5, 1)], "Date string, session_id long, extra int").write.parquet(f"{tmp_path}/boards")
     b = landing.boards(spark, f"{tmp_path}/boards", ["Date", "session_id", "absent"])
     assert b.dtypes == [("Date", "timestamp_ntz"), ("session_id", "string")] and b.first().session_id == "5"
@@ -141,20 +141,21 @@ def test_build_job(spark, tmp_path):
     spark.createDataFrame([("t", "2024-05-01", "One"), ("u", "2024-05-02", "Two"), ("late", "2024-06-01", "Later")], "tournament_id string, date string, tournament_name string").write.parquet(f"{tmp_path}/in/sessions.parquet")
     args = ["--landing", f"{tmp_path}/in", "--out", f"{tmp_path}/out", "--if-stale", "--now", "2024-05-03T12:00:00"]
     assert build.main(args, spark) and not build.main(args, spark)
-    rows = landing.read_dataset(spark, f"{tmp_path}/out", "results").orderBy("date", "row_seq").collect()
+    rows = dataset.read(spark, f"{tmp_path}/out", "public", "results").orderBy("date", "row_seq").collect()
     assert [(r.tournament_id, r.pair_id, r.pair_name) for r in rows] == [("t", "11_2", "A B - C"), ("t", "3_4", " - "), ("u", "11_2", "A B - C"), ("u", "3_4", " - ")]
-    people = {r.player_id: r for r in landing.read_dataset(spark, f"{tmp_path}/out", "players").collect()}
+    people = {r.player_id: r for r in dataset.read(spark, f"{tmp_path}/out", "public", "players").collect()}
     assert people["11"].games_played == 2 and people["11"].scratch_elo == people["2"].scratch_elo > 1500 > people["3"].scratch_elo - 1000
     values = spark.createDataFrame([("11", 60.0), ("2", 40.0)], "player_id string, iv double")
-    got = build.with_player_values(landing.read_dataset(spark, f"{tmp_path}/out", "results").select("player1_id", "player2_id"), values).collect()
+    got = build.with_player_values(dataset.read(spark, f"{tmp_path}/out", "public", "results").select("player1_id", "player2_id"), values).collect()
     assert sorted(str(r.pair_iv) for r in got) == ["100.0", "100.0", "None", "None"]
     spark.createDataFrame([("5802079", "Club A")], "code string, label string").write.parquet(f"{tmp_path}/in/clubs.parquet")
     values.write.parquet(f"{tmp_path}/in/values.parquet")
     for day in (4, 5, 6):
         assert build.main([*args[:4], "--now", f"2024-05-0{day}T12:00:00", "--limit", "3"], spark)
-    got = landing.read_dataset(spark, f"{tmp_path}/out", "results").where("tournament_id = 't'").orderBy("row_seq").collect()
+    got = dataset.read(spark, f"{tmp_path}/out", "public-values", "results").where("tournament_id = 't'").orderBy("row_seq").collect()
     assert [(r.club_name, r.pair_iv) for r in got] == [("Club A", 100.0), (None, None)]
-    assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("v")]) == 2
+    kept = [p.name for p in (tmp_path / "out" / "public-values" / "meta").iterdir() if p.suffix == ".json"]
+    assert sorted(p.name for p in (tmp_path / "out" / "public-values").iterdir() if p.name.startswith("v")) == sorted(x[:-5] for x in kept) and len(kept) <= 3
 
 
 def test_envelopes_and_reports_of_files(spark, tmp_path):
