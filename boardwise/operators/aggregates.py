@@ -1,13 +1,13 @@
-"""Aggregates that hold whatever the order of rows: latest, first and rated values, and ranks."""
+"""Aggregates that hold whatever the order of rows: latest, first and rated values, and pages."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import checkpointed
+from .ranges import numbered_rows
 
 
 def nulls_last(*keys: str) -> Column:
@@ -41,35 +41,6 @@ def rate(flag: str) -> Column:
     return F.avg(F.col(flag).cast("int"))
 
 
-def ordered(*keys: tuple[str, bool]) -> list[Column]:
-    """Sort keys as (column, descending), nulls last."""
-    return [F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in keys]
-
-
-def numbered(*keys: tuple[str, bool]) -> Column:
-    """Row numbers over aggregated rows, one an entity: never over raw rows, as one task sorts them."""
-    return F.row_number().over(Window.orderBy(*ordered(*keys)))
-
-
-def ranked(c: str | Column, descending: bool = True) -> Column:
-    col = F.col(c) if isinstance(c, str) else c
-    return F.rank().over(Window.orderBy(col.desc_nulls_last() if descending else col.asc_nulls_last()))
-
-
-def numbered_rows(df: DataFrame, order: Sequence[tuple[str, bool]]) -> DataFrame:
-    """Adds `row`, the number of each row in sorted order, to a table of any size; equal keys are numbered in any order.
-
-    Ranges of keys are sorted apart, in as many tasks as there are shuffle partitions, and each starts at the number of rows
-    in the ranges ahead of it. What each task sorted is kept, so that counts and rows agree.
-    """
-    dealt = df.repartitionByRange(*ordered(*order)).withColumn("range", F.spark_partition_id())
-    kept = checkpointed(dealt.select("range", F.struct(*df.columns).alias("own"), F.struct(*[F.col(c) for c, _ in order]).alias("keys")))
-    sizes = kept.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # a row a task
-    starts = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    within = F.row_number().over(Window.partitionBy("range").orderBy(*[F.desc_nulls_last(f"keys.{c}") if down else F.asc_nulls_last(f"keys.{c}") for c, down in order]))
-    return kept.withColumn("row", within).join(F.broadcast(starts), "range").select("own.*", (F.col("row") + F.col("start")).alias("row"))
-
-
 def pages(df: DataFrame, order: Sequence[tuple[str, bool]], first: int, rest: int) -> DataFrame:
     """Page numbers of sorted rows: `first` on the first page, `rest` on each other."""
     out = numbered_rows(df, order).withColumn("row", F.col("row").cast("int"))

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import ratings as R
 from ..plans.params import MOMENTS, Report
+from ..shared import checkpointed
 from . import aggregates as A
 from . import filters
+from .ranges import listed, numbered_rows
+from .ranges import ranks as ranked
 
 SIDES = {"NS": ("N", "S"), "EW": ("E", "W")}
 PARTNER = {"N": "S", "S": "N", "E": "W", "W": "E"}
@@ -48,25 +51,29 @@ def _published(pool: DataFrame, p: Report, anchor: float | None) -> DataFrame:
     })
 
 
-def _ranked_and_gated(pool: DataFrame, p: Report, order: list[tuple[str, bool]], ranks: dict[str, str]) -> DataFrame:
-    """Ranks and scales over the whole pool, then the skill gate, then ranks from 1 again for those who pass.
+def _ranked_and_gated(pool: DataFrame, p: Report, key: str, order: list[tuple[str, bool]], ranks: dict[str, str]) -> DataFrame:
+    """The first rows of the pool that pass the skill gate, ranked from 1, with ranks and scales over the whole pool.
 
-    Means are ranked to nine places, as the order of summing changes what is behind them.
+    The pool, one row an entity, is computed once. Means are ranked to nine places, as the order of summing changes what is
+    behind them.
     """
     skill = ["Par_Suit_Rate", "Par_Contract_Rate", "DD_Tricks_Diff_Avg"]
-    stats = pool.agg(
-        F.avg(F.col("Published").cast("double")).alias("mean"), F.stddev_pop(F.col("Published").cast("double")).alias("sd"),
+    pool = checkpointed(pool)
+    s = pool.agg(
+        F.avg(F.col("Published").cast("double")).alias("mean"), F.stddev_pop(F.col("Published").cast("double")).alias("sd"), F.count(F.lit(1)).alias("n"),
         *[f(m).alias(f"{m}_{n}") for m in skill for n, f in (("mean", F.avg), ("sd", F.stddev_pop))],
-    )
-    out = pool.withColumns({"Pool_Rank": A.numbered(*order)} | {name: A.ranked(R.fixed_round(F.col(c), 9)) for name, c in ranks.items()})
-    out = out.withColumn("Quality_Rank", A.ranked((F.col("Pool_Rank") + F.col("Par_Suit_Rank") + F.col("Par_Contract_Rank") + F.col("DD_Tricks_Diff_Rank")) / 4.0, descending=False))
-    out = out.crossJoin(F.broadcast(stats))  # one row
-    z = R.mean_skill_z([(F.col(m), F.col(f"{m}_mean"), F.col(f"{m}_sd")) for m in skill])
-    scale = lambda c: R.zscore_chess(F.col(c), F.col("mean"), F.col("sd")).cast("int")
+    ).first().asDict()
+    n, known = s.pop("n"), {c: F.lit(v).cast("double") for c, v in s.items()}
+    out = numbered_rows(pool, order, "Pool_Rank", n)
+    out = ranked(out, key, {name: (R.fixed_round(F.col(c), 9), True) for name, c in ranks.items()}, n)
+    mean_rank = (F.col("Pool_Rank") + F.col("Par_Suit_Rank") + F.col("Par_Contract_Rank") + F.col("DD_Tricks_Diff_Rank")) / 4.0
+    out = ranked(out, key, {"Quality_Rank": (mean_rank, False)}, n)
+    z = R.mean_skill_z([(F.col(m), known[f"{m}_mean"], known[f"{m}_sd"]) for m in skill])
+    scale = lambda c: R.zscore_chess(F.col(c), known["mean"], known["sd"]).cast("int")
     out = out.withColumns({"Z": z, "Score": scale("Published"), "Raw_Score": scale("Raw")})
     if p.gate is not None:
         out = out.where(F.col("Z") >= p.gate)
-    return out.withColumns({"Rank": A.numbered(("Pool_Rank", False)), "Title": R.title(F.col("Score")), "Skill_Z": R.fixed_round(F.col("Z"), 3)})
+    return listed(out, [("Pool_Rank", False)], p.top_n).withColumns({"Title": R.title(F.col("Score")), "Skill_Z": R.fixed_round(F.col("Z"), 3)})
 
 
 def _rates() -> list[Column]:
@@ -90,11 +97,11 @@ def top_players(boards: DataFrame, p: Report, anchor: float | None = None) -> Da
         A.rating(p.method, "Elo", *ORDER).alias("Elo"), F.countDistinct("session_id").alias("Sessions"), *_rates(),
     )
     pool = _published(pool.where(F.col("Sessions") >= p.min_sessions), p, anchor)
-    out = _ranked_and_gated(pool, p, [("Published", True), ("MasterPoints", True), ("Player_ID", False)], {"MasterPoint_Rank": "MasterPoints"} | RATE_RANKS)
+    out = _ranked_and_gated(pool, p, "Player_ID", [("Published", True), ("MasterPoints", True), ("Player_ID", False)], {"MasterPoint_Rank": "MasterPoints"} | RATE_RANKS)
     return out.select(
         F.col("Rank").alias("Player_Elo_Rank"), F.col("Score").alias("Player_Elo_Score"), F.col("Raw_Score").alias("Player_Elo_Raw"), F.col("Score").alias("Player_Elo_Published"),
         "Title", "Skill_Z", "Player_ID", "Player_Name", R.to_int(F.col("MasterPoints")).alias("MasterPoints"), "MasterPoint_Rank", F.col("Sessions").cast("int").alias("Sessions_Played"), *_rate_columns(),
-    ).orderBy("Player_Elo_Rank").limit(p.top_n)
+    ).orderBy("Player_Elo_Rank")
 
 
 def top_pairs(boards: DataFrame, p: Report, anchor: float | None = None) -> DataFrame:
@@ -105,11 +112,11 @@ def top_pairs(boards: DataFrame, p: Report, anchor: float | None = None) -> Data
     )
     pool = _published(pool.where(F.col("Sessions") >= p.min_sessions), p, anchor)
     ranks = {"Avg_Elo_Rank": "Avg_Player_Elo", "Avg_MPs_Rank": "Avg_MPs", "Geo_MPs_Rank": "Geo_MPs"} | RATE_RANKS
-    out = _ranked_and_gated(pool, p, [("Published", True), ("Avg_MPs", True), ("Pair_IDs", False)], ranks)
+    out = _ranked_and_gated(pool, p, "Pair_IDs", [("Published", True), ("Avg_MPs", True), ("Pair_IDs", False)], ranks)
     return out.select(
         F.col("Rank").alias("Pair_Elo_Rank"), F.col("Score").alias("Pair_Elo_Score"), F.col("Raw_Score").alias("Pair_Elo_Raw"), F.col("Score").alias("Pair_Elo_Published"), "Title", "Skill_Z",
         "Avg_Elo_Rank", "Pair_IDs", "Pair_Names", R.to_int(F.col("Avg_MPs")).alias("Avg_MPs"), "Avg_MPs_Rank", "Geo_MPs_Rank", F.col("Sessions").cast("int").alias("Sessions"), *_rate_columns(),
-    ).orderBy("Pair_Elo_Rank").limit(p.top_n)
+    ).orderBy("Pair_Elo_Rank")
 
 
 def leaderboard(boards: DataFrame, p: Report, anchor: float | None = None) -> DataFrame:
@@ -122,6 +129,7 @@ def with_crossover(board: DataFrame, other: DataFrame, p: Report, anchor: float
     Only rows of the leaderboard's entities are aggregated, and they are the scale's population, board by board. The
     last rating goes by date, session and board, without the round.
     """
+    board = checkpointed(board)  # of top_n rows at most, and read twice
     entity = "Player_ID" if p.entity == "Players" else "Pair_IDs"
     other_name = "Tournament" if p.event == "club" else "Club"
     count = f"{other_name}_{'Sessions_Played' if p.entity == 'Players' else 'Sessions'}"

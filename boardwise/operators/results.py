@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import ratings as R
 from ..functions import text as T
+from ..shared import checkpointed
 from . import aggregates as A
+from .ranges import listed, medians
 
 #: Order of results in time; row_seq is a result's place in its tournament.
 ORDER = ("date", "tournament_id", "row_seq")
@@ -53,16 +55,16 @@ def _columns() -> list[Column]:
 def top_players(people: DataFrame, top_n: int = 100, min_games: int = 5, handicap: bool = False, prior: float = 0) -> DataFrame:
     """By rating shrunk towards the median of those with enough games. Titles go by the shrunk scratch rating."""
     name, title = ("HC_Player_Elo", "Scratch_Title") if handicap else ("Player_Elo", "Title")
-    pool = people.where(F.col("games_played") >= min_games)
-    anchors = pool.agg(F.median("elo_rating").alias("anchor"), F.median("scratch_elo").alias("scratch_anchor"))
+    pool = checkpointed(people.where(F.col("games_played") >= min_games))
+    anchors = medians(pool, {"anchor": F.col("elo_rating"), "scratch_anchor": F.col("scratch_elo")})
     n = F.col("games_played")
     out = pool.crossJoin(F.broadcast(anchors)).withColumns({
         "raw": _display(F.col("elo_rating")), "published": _display(R.shrunk(F.col("elo_rating"), n, F.col("anchor"), prior)), "scratch": _display(R.shrunk(F.col("scratch_elo"), n, F.col("scratch_anchor"), prior)),
     })
-    rank = A.numbered(("published", True), ("games_played", True), ("player_name", False), ("player_id", False))
+    out = listed(out, [("published", True), ("games_played", True), ("player_name", False), ("player_id", False)], top_n)
     return out.select(
-        rank.alias("Rank"), F.col("published").alias(name), F.col("raw").alias(f"{name}_Raw"), R.title(F.col("scratch")).alias(title), F.col("player_id").alias("Player_ID"), F.col("player_name").alias("Player_Name"), *_columns(),
-    ).orderBy("Rank").limit(top_n)
+        "Rank", F.col("published").alias(name), F.col("raw").alias(f"{name}_Raw"), R.title(F.col("scratch")).alias(title), F.col("player_id").alias("Player_ID"), F.col("player_name").alias("Player_Name"), *_columns(),
+    ).orderBy("Rank")
 
 
 def top_pairs(results: DataFrame, top_n: int = 100, min_games: int = 5, handicap: bool = False, prior: float = 0, people: DataFrame | None = None) -> DataFrame:
@@ -74,24 +76,24 @@ def top_pairs(results: DataFrame, top_n: int = 100, min_games: int = 5, handicap
         last("pair_name").alias("pair_name"), last("player1_id").alias("player1_id"), last("player2_id").alias("player2_id"), last("scratch_pair_elo").alias("scratch_elo"), last(elo).alias("elo"),
         F.avg("scratch_percentage").alias("avg_scratch_pct"), F.avg(used_pct(True)).alias("avg_handicap_pct"), F.avg("iv_bonus").alias("avg_iv_bonus"), F.stddev_samp(used_pct(handicap)).alias("stdev_percentage"), F.count(F.lit(1)).alias("games_played"),
     ).where(F.col("games_played") >= min_games)
-    n = F.col("games_played")
-    anchors = pool.agg(F.median("elo").alias("anchor"), F.median("scratch_elo").alias("scratch_anchor"))
+    n, pool = F.col("games_played"), checkpointed(pool)
+    anchors = medians(pool, {"anchor": F.col("elo"), "scratch_anchor": F.col("scratch_elo")})
     out = pool.crossJoin(F.broadcast(anchors)).withColumns({
         "raw": _display(F.col("elo")), "published": _display(R.shrunk(F.col("elo"), n, F.col("anchor"), prior)), "scratch": _display(R.shrunk(F.col("scratch_elo"), n, F.col("scratch_anchor"), prior)),
     })
     own_title = R.title(F.col("scratch"))
     if people is not None:
-        known = people.where(F.col("games_played") >= min_games).agg(F.median("scratch_elo").alias("people_anchor"))
-        out = out.crossJoin(F.broadcast(known))
+        people = checkpointed(people.select("player_id", "games_played", "scratch_elo"))
+        out = out.crossJoin(F.broadcast(medians(people.where(F.col("games_played") >= min_games), {"people_anchor": F.col("scratch_elo")})))
         for i in (1, 2):
             one = people.select(F.col("player_id").alias(f"player{i}_id"), F.col("games_played").alias(f"n{i}"), F.col("scratch_elo").alias(f"s{i}"))
             out = out.join(one, f"player{i}_id", "left")
         shrunk = [_display(R.shrunk(F.coalesce(f"s{i}", F.lit(0.0)), F.coalesce(f"n{i}", F.lit(0)), F.col("people_anchor"), prior)) for i in (1, 2)]
         own_title = R.lower_title(*shrunk)
-    rank = A.numbered(("published", True), ("games_played", True), ("pair_name", False), ("pair_id", False))
+    out = listed(out.withColumn("title", own_title), [("published", True), ("games_played", True), ("pair_name", False), ("pair_id", False)], top_n)
     return out.select(
-        rank.alias("Rank"), F.col("published").alias(name), F.col("raw").alias(f"{name}_Raw"), own_title.alias(title), F.col("pair_id").alias("Pair_ID"), F.col("pair_name").alias("Pair_Name"), *_columns(),
-    ).orderBy("Rank").limit(top_n)
+        "Rank", F.col("published").alias(name), F.col("raw").alias(f"{name}_Raw"), F.col("title").alias(title), F.col("pair_id").alias("Pair_ID"), F.col("pair_name").alias("Pair_Name"), *_columns(),
+    ).orderBy("Rank")
 
 
 def player_metrics(people: DataFrame, min_games: int) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions import ratings as R
 from ..functions import text as T
 from ..operators import aggregates as A
 from ..operators import boards as B
-from ..operators import filters, history
+from ..operators import filters, history, ranges
 from ..operators import results as Q
 from ..shared import shared_folder
 from ..sources import dataset, landing
@@ -22,6 +22,7 @@ from .params import MOMENTS, Report
 
 ANCHOR = 1400.0
 PLAYERS = Report(top_n=60, min_sessions=3, prior_sessions=50, min_skill_z=-0.5, strata="All")
+MANY = Report(top_n=500, min_sessions=2, prior_sessions=50, min_skill_z=-0.5, strata="All")
 PAIRS = Report(entity="Pairs", top_n=80, min_sessions=3, prior_sessions=20, min_skill_z=-0.5, strata="All")
 GIVEN_DAY = dt.date(2024, 1, 20)
 
@@ -38,6 +39,11 @@ def leaderboard_players(s, sf):
     return B.top_players(filters.boards(views.boards(s, sf)), PLAYERS, ANCHOR)
 
 
+def leaderboard_many_players(s, sf):
+    """Of boards whose players grow with the table, so that ranks are made by ranges."""
+    return B.top_players(filters.boards(views.many_boards(s, sf)), MANY, ANCHOR)
+
+
 def leaderboard_pairs(s, sf):
     return B.top_pairs(filters.boards(views.boards(s, sf)), PAIRS, ANCHOR)
 
@@ -317,8 +323,24 @@ def sorted_options(s, sf):
 
 def rank_suite(s, sf):
     pool = table(s, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("most"))
-    out = pool.withColumns({"row": A.numbered(("n", True), ("most", True), ("o_custkey", False)), "by_n": A.ranked("n"), "by_most": A.ranked("most", descending=False)})
-    return out.withColumn("quality", A.ranked((F.col("by_n") + F.col("by_most")) / 2.0, descending=False))
+    out = ranges.numbered_rows(pool, [("n", True), ("most", True), ("o_custkey", False)]).withColumn("row", F.col("row").cast("int"))
+    out = ranges.ranks(out, "o_custkey", {"by_n": (F.col("n"), True), "by_most": (F.col("most"), False)})
+    return ranges.ranks(out, "o_custkey", {"quality": ((F.col("by_n") + F.col("by_most")) / 2.0, False)})
+
+
+def _lines(s, sf):
+    key = F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    of = lambda f, c: f(F.col(c).cast("double"))
+    return table(s, sf, "lineitem").groupBy(key.alias("line")).agg(of(F.max, "l_quantity").alias("quantity"), of(F.max, "l_extendedprice").alias("price"), of(F.min, "l_discount").alias("discount")).withColumn("quantity", F.when(~F.col("line").endswith("/5"), F.col("quantity")))
+
+
+def ranks_of_lines(s, sf):
+    """Every line's rank by three measures: one of few values with nulls, one of many, one upwards."""
+    return ranges.ranks(_lines(s, sf), "line", {"by_quantity": (F.col("quantity"), True), "by_price": (F.col("price"), True), "by_discount": (F.col("discount"), False)}).select("line", "by_quantity", "by_price", "by_discount")
+
+
+def medians_of_lines(s, sf):
+    return ranges.medians(_lines(s, sf), {c: F.col(c) for c in ("quantity", "price", "discount")})
 
 
 def pages_of_parts(s, sf):
@@ -402,12 +424,12 @@ def post_processed(s, sf):
 
 
 ALL: list[Callable[[SparkSession, str], DataFrame]] = [
-    leaderboard_players, leaderboard_pairs, crossover_enrich, report_filtered, player_detail, pair_detail, opponent_breakdown, opponent_summary,
+    leaderboard_players, leaderboard_many_players, leaderboard_pairs, crossover_enrich, report_filtered, player_detail, pair_detail, opponent_breakdown, opponent_summary,
     players_from_results, top_result_players, top_result_pairs, top_result_pairs_titles, metric_cards, tournament_opponents, entity_history, partner_summary,
     club_summary, opponent_history, opponent_me_vs_them, result_filters, elo_history_fold, elo_extended, elo_standardized, elo_whole_pool, new_tournaments, rating_moments, detail_at_start, leaderboard_found,
     boards_of_members, date_choices, recent_tournaments, series_keys, numbers_by_name, pair_surnames, private_payloads, reconciled_pages, filter_tristate, filter_valid_pct,
     filter_days, filter_names_numbers, filter_masterpoint_bands, optional_columns, unpivot_seats, unpivot_sides, union_by_name, rating_methods,
-    distinct_and_spread, stacked_calibration, sorted_options, rank_suite, pages_of_parts, top_by_two_keys, scales_and_titles, elo_steps, pair_ids,
+    distinct_and_spread, stacked_calibration, sorted_options, rank_suite, ranks_of_lines, medians_of_lines, pages_of_parts, top_by_two_keys, scales_and_titles, elo_steps, pair_ids,
     strata_limits, timestamps_parsed, club_codes, html_to_text, json_payloads, dated_pages, lookups_left_and_filled, members_of_region, ad_hoc_self, post_processed,
 ]
 

@@ -172,6 +172,7 @@ def _moments() -> str:
 def oracle_sql() -> dict[str, str]:
     prior = _shrunk("coalesce({0}.scratch_elo, 0)", "coalesce({0}.games_played, 0)", "pa", 10)
     fold_sql = _elo_fold("series_id", f"SELECT event_id, {', '.join(f'{_r6(c)} AS {c}' for c in ['scratch_field_avg', 'handicap_field_avg', 'scratch_field_strength', 'handicap_field_strength', 'player1_scratch_elo_before', 'player1_scratch_elo_after', 'player2_handicap_elo_after', 'scratch_pair_elo', 'handicap_pair_elo'])} FROM rated")
+    lines = "WITH l AS (SELECT l_orderkey || '/' || l_linenumber AS line, CASE WHEN l_linenumber <> 5 THEN max(CAST(l_quantity AS DOUBLE)) END AS quantity, max(CAST(l_extendedprice AS DOUBLE)) AS price, min(CAST(l_discount AS DOUBLE)) AS discount FROM lineitem GROUP BY l_orderkey, l_linenumber)"
     codes = "CAST(event_id % 9 AS STRING)"
     bands = [0, 5, 20, 50, 100, 200, 300, 500, 750, 1000, 1500, 2500, 3500, 5000, 7500, 10000]
     band = "CASE " + " ".join(f"WHEN c_acctbal >= {a} AND c_acctbal < {b} THEN '{a}-{b}'" for a, b in zip(bands, bands[1:])) + " WHEN c_acctbal >= 10000 THEN '10000+' END"
@@ -179,6 +180,11 @@ def oracle_sql() -> dict[str, str]:
         "leaderboard_players": f"""WITH b AS (SELECT * FROM ({_B}) WHERE {_VALID}), {_PLAYER_POOL}
             SELECT place AS Player_Elo_Rank, score AS Player_Elo_Score, raw_score AS Player_Elo_Raw, score AS Player_Elo_Published, {_title('score')} AS Title, {_fix('skill', 3)} AS Skill_Z, id AS Player_ID, name AS Player_Name, {_int('mp')} AS MasterPoints,
             CAST(mp_rank AS INT) AS MasterPoint_Rank, CAST(n AS INT) AS Sessions_Played, {_RATES} FROM p ORDER BY place LIMIT 60""",
+        "leaderboard_many_players": f"""WITH b AS (SELECT * FROM ({views.sql(views.MANY_BOARDS)}) WHERE {_VALID}), {_pool(_SEATS, 2, 50, "max(mp) AS mp", "id")}
+            SELECT place AS Player_Elo_Rank, score AS Player_Elo_Score, raw_score AS Player_Elo_Raw, score AS Player_Elo_Published, {_title('score')} AS Title, {_fix('skill', 3)} AS Skill_Z, id AS Player_ID, name AS Player_Name, {_int('mp')} AS MasterPoints,
+            CAST(mp_rank AS INT) AS MasterPoint_Rank, CAST(n AS INT) AS Sessions_Played, {_RATES} FROM p ORDER BY place LIMIT 500""",
+        "ranks_of_lines": f"""{lines} SELECT line, CAST(rank() OVER (ORDER BY quantity DESC NULLS LAST) AS INT) AS by_quantity, CAST(rank() OVER (ORDER BY price DESC) AS INT) AS by_price, CAST(rank() OVER (ORDER BY discount) AS INT) AS by_discount FROM l""",
+        "medians_of_lines": f"{lines} SELECT median(quantity) AS quantity, median(price) AS price, median(discount) AS discount FROM l",
         "leaderboard_pairs": f"""WITH b AS (SELECT * FROM ({_B}) WHERE {_VALID}), {_pool(_SIDES, 3, 20, "avg(mp) AS mp, avg(geo) AS geo, avg(seat_elo) AS seat_elo, rank() OVER (ORDER BY round(avg(seat_elo) * 1000000000) DESC NULLS LAST) AS seat_rank, rank() OVER (ORDER BY round(avg(geo) * 1000000000) DESC NULLS LAST) AS geo_rank", "id NULLS LAST")}
             SELECT place AS Pair_Elo_Rank, score AS Pair_Elo_Score, raw_score AS Pair_Elo_Raw, score AS Pair_Elo_Published, {_title('score')} AS Title, {_fix('skill', 3)} AS Skill_Z, CAST(seat_rank AS INT) AS Avg_Elo_Rank, id AS Pair_IDs, name AS Pair_Names, {_int('mp')} AS Avg_MPs,
             CAST(mp_rank AS INT) AS Avg_MPs_Rank, CAST(geo_rank AS INT) AS Geo_MPs_Rank, CAST(n AS INT) AS Sessions, {_RATES} FROM p ORDER BY place LIMIT 80""",

@@ -32,6 +32,15 @@ SELECT event_id, ts AS Date, CAST(CAST(ts AS DATE) AS STRING) || '/' || CAST(use
   CASE event_id % 4 WHEN 0 THEN 'open' WHEN 1 THEN '0-299' WHEN 2 THEN '0-749' ELSE 'other-restricted' END AS strata_bucket
 FROM {events}"""
 
+#: Players' numbers in BOARDS, and what they are where players grow with the events: each has a few boards.
+MANY = {
+    "user_id % 20": "event_id - event_id % 6", "20 + (user_id + event_id) % 23": "event_id - event_id % 7 + 1000000000", "43 + event_id % 17": "event_id - event_id % 5 + 2000000000",
+    "60 + (user_id * 7 + event_id) % 19": "event_id - event_id % 8 + 3000000000",
+}
+MANY_BOARDS = BOARDS
+for own, many in MANY.items():
+    MANY_BOARDS = MANY_BOARDS.replace(f"'p' || CAST({own} AS STRING)", f"'p' || CAST({many} AS STRING)")
+
 RESULTS = """
 SELECT event_id, event_id AS row_seq, CAST(CAST(ts AS DATE) AS STRING) || '-' || CAST(user_id % 3 AS STRING) AS tournament_id,
   'Night ' || CAST(CAST(ts AS DATE) AS STRING) AS tournament_name, CAST(CAST(ts AS DATE) AS STRING) || 'T20:00:00' AS date, CAST(user_id % 3 AS BIGINT) AS series_id,
@@ -56,6 +65,10 @@ def boards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(BOARDS, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+def many_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(MANY_BOARDS, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With tournament ids that tell each result apart in time: date, tournament, and pair key."""
     return spark.sql(RESULTS.replace('"rank"', "rank"), events=spark.read.parquet(f"{sf_dir}/events.parquet")).drop("pair_key")
