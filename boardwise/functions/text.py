@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -123,6 +124,11 @@ def key_part(c: Column, most: int = 48) -> Column:
     return F.substring(F.regexp_replace(c, r"[^A-Za-z0-9_\-]", "_"), 1, most)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once: a lambda's body computes for each element what isn't its variable."""
+    return F.transform(F.array(value), body)[0]
+
+
 def surnames(pair: Column) -> Column:
     """Last words of both names of `First LAST - First LAST`."""
     two = F.split(pair, F.when(F.contains(pair, F.lit(" - ")), F.lit(" - ")).otherwise(F.lit("-")), 2)
@@ -135,23 +141,28 @@ def nearest_percentage(page: Column, first: Column, second: Column, ahead: int =
     A name counts where it last stands in the characters around a percentage, `ahead` before it to `behind` after it. The
     distance is from the farther name; of equal distances the first percentage wins.
     """
-    percent = r"[0-9]{1,2}\.[0-9]{2}%"
+    percent, least = r"[0-9]{1,2}\.[0-9]{2}%", 5  # characters of a percentage
     text, names = F.upper(page), [F.upper(F.trim(x)) for x in (first, second)]
-    found, between = F.regexp_extract_all(text, F.lit(percent), F.lit(0)), F.split(text, percent, -1)
 
-    def before(i: Column) -> Column:
-        """Characters ahead of the i-th percentage."""
-        return F.aggregate(F.slice(between, F.lit(1), i + 1), F.lit(0), lambda n, x: n + F.length(x)) + F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x))
+    def pieces(page: Column) -> Column:
+        """Each percentage with what is ahead of it, back to the one before, and the characters behind it."""
+        found, between, heads = page["found"], page["between"], page["heads"]
+        after = lambda i: F.flatten(F.transform(F.sequence(i + 1, i + 1 + behind // least), lambda k: F.array(F.coalesce(F.get(heads, k), F.lit("")), F.coalesce(F.get(found, k), F.lit("")))))
+        return F.transform(found, lambda value, i: F.struct(i.alias("place"), F.get(between, i).alias("before"), value.alias("value"), F.left(F.array_join(after(i), ""), F.lit(behind)).alias("after")))
 
-    def measured(value: Column, i: Column) -> Column:
-        at = before(i)
-        around = F.concat(F.right(F.substring(text, F.lit(1), at), F.lit(ahead)), F.substring(text, at + 1, F.length(value) + behind))
+    def step(state: Column, piece: Column) -> Column:
+        """One sweep: the last characters so far, and the best percentage."""
+        tail = F.right(F.concat(state["tail"], piece["before"]), F.lit(ahead))
+        around = F.concat(tail, piece["value"], piece["after"])
         back = [F.instr(F.reverse(around), F.reverse(name)) + F.length(name) - 1 for name in names]  # from the end to the name's start
-        tail = F.length(around) - F.least(at, F.lit(ahead))
         seen = F.least(*[F.instr(around, name) for name in names]) > 0
-        return F.when(seen, F.struct((F.greatest(*back) - tail).alias("distance"), i.alias("place"), F.rtrim(value, F.lit("%")).cast("double").alias("value")))
+        own = F.struct((F.greatest(*back) - F.length(around) + F.length(tail)).alias("distance"), piece["place"].alias("place"), F.rtrim(piece["value"], F.lit("%")).cast("double").alias("value"))
+        return F.struct(F.concat(tail, piece["value"]).alias("tail"), F.least(state["best"], F.when(seen, own)).alias("best"))
 
-    best = F.array_min(F.filter(F.transform(found, measured), lambda x: x.isNotNull()))
+    parted = let(text, lambda t: F.struct(F.regexp_extract_all(t, F.lit(percent), F.lit(0)).alias("found"), F.split(t, percent, -1).alias("between")))
+    parted = let(parted, lambda x: F.struct(x["found"], x["between"], F.transform(x["between"], lambda b: F.left(b, F.lit(behind))).alias("heads")))
+    none = F.struct(F.lit("").alias("tail"), F.lit(None).cast("struct<distance:int,place:int,value:double>").alias("best"))
+    best = F.aggregate(let(parted, pieces), none, step, lambda state: state["best"])
     return F.when((F.length(names[0]) > 0) & (F.length(names[1]) > 0), best["value"])
 
 

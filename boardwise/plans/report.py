@@ -62,8 +62,12 @@ def ad_hoc(result: DataFrame, text: str) -> DataFrame:
         bare = outer
     if not re.search(r"\bfrom\s", bare, re.IGNORECASE):
         text = f"FROM self {text}" if re.match(r"\s*select\b", text, re.IGNORECASE) else f"SELECT * FROM self {text}"
+    spark = result.sparkSession
+    before = spark.table("self") if spark.catalog.tableExists("self") else None  # a caller's own, which has its name back afterwards
     result.createOrReplaceTempView("self")
     try:
-        return result.sparkSession.sql(text)  # resolved here, so the name is free again afterwards
+        return spark.sql(text)  # resolved here, so the name is free again afterwards
     finally:
-        result.sparkSession.catalog.dropTempView("self")
+        spark.catalog.dropTempView("self")
+        if before is not None and not spark.catalog.tableExists("self"):
+            before.createOrReplaceTempView("self")

@@ -91,3 +91,48 @@ def test_latest_and_first_values_do_not_follow_row_order(spark):
         assert (r.a, r.c) == (5.0, 10.0) and r.b == 20.0
     with pytest.raises(ValueError):
         A.rating("Sum", "v")
+
+
+def test_ad_hoc_gives_a_callers_view_back(spark):
+    from boardwise.plans import report
+
+    spark.range(3).createOrReplaceTempView("self")
+    assert report.ad_hoc(spark.range(5), "WHERE id > 1").count() == 3 and spark.table("self").count() == 3
+    spark.catalog.dropTempView("self")
+    assert report.ad_hoc(spark.range(5), "SELECT max(id) AS m").first().m == 4 and not spark.catalog.tableExists("self")
+
+
+def plain_nearest(page, a, b):
+    import re
+
+    text, names, best = page.upper(), [a.upper(), b.upper()], None
+    for place, m in enumerate(re.finditer(r"[0-9]{1,2}\.[0-9]{2}%", text)):
+        low = max(0, m.start() - 100)
+        around = text[low : m.end() + 20]
+        at = [around.rfind(n) for n in names]
+        if min(at) >= 0:
+            own = (max(m.start() - low - x for x in at), place, float(m[0][:-1]))
+            best = own if best is None else min(best, own)
+    return best and best[2]
+
+
+def test_nearest_percentage_in_time_that_goes_with_the_page(spark):
+    import random
+    import time
+
+    r = random.Random(3)
+    words = ["ANN", "Bob", "x" * 40, " ", "51.20%", "7.00%", "99.99%99.98%", "12.3%", "é", "."]
+    pages = ["".join(r.choice(words) for _ in range(r.choice([0, 3, 30, 300]))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(pages)), "k int, page string")
+    got = {x.k: x.v for x in df.select("k", T.nearest_percentage(F.col("page"), F.lit("ann"), F.lit("bob")).alias("v")).collect()}
+    assert got == {k: plain_nearest(p, "ann", "bob") for k, p in enumerate(pages)}
+
+    def took(n):
+        page = "".join(f"Ann A{k}X Bob B{k}X {k % 90 + 10}.{k % 100:02d}% of all " for k in range(n))
+        one = spark.createDataFrame([(page,)], "page string").select(T.nearest_percentage(F.col("page"), F.lit("A7X"), F.lit("B7X")).alias("v"))
+        start = time.perf_counter()
+        assert one.first().v == 17.07
+        return time.perf_counter() - start
+
+    took(1000)
+    assert took(100_000) < 30 * max(took(10_000), 0.2)
