@@ -51,3 +51,11 @@ def stacked_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: mean and population deviation over all usable values of several columns."""
     long = df.select(F.explode(F.array(*[F.col(c).cast("double") for c in columns])).alias("v")).where("v is not null and not isnan(v)")
     return long.agg(F.avg("v").alias("mean"), F.when(F.count("v") > 1, F.nullif(F.stddev_pop("v"), F.lit(0.0))).alias("sd"))
+
+
+def merged_stats(parts: DataFrame) -> DataFrame:
+    """One row: mean and population deviation of all values, from parts with their count n, mean and m2 (the sum of squared deviations)."""
+    n, centre = F.sum("n"), F.lit(1500.0)  # any fixed centre, near the values so that little cancels out
+    mean = F.sum(F.col("n") * F.col("mean")) / n
+    m2 = F.sum("m2") + F.sum(F.col("n") * (F.col("mean") - centre) ** 2) - n * (mean - centre) ** 2
+    return parts.agg(mean.alias("mean"), F.when(n > 1, F.nullif(F.sqrt(F.greatest(m2, F.lit(0.0)) / n), F.lit(0.0))).alias("sd"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +22,14 @@ OPTIONAL = {"Round": "int", "Board": "int"}
 ORDER = ("Date", "session_id", "Round", "Board")
 
 
-def seat_rows(boards: DataFrame, rating: str) -> DataFrame:
-    """One row a seat with a player and a usable rating; boards are read once."""
+def seat_rows(boards: DataFrame, rating: str, more: Sequence[str] = ()) -> DataFrame:
+    """One row a seat with a player and a usable rating; boards are read once. more: columns of boards to carry along."""
     b = filters.with_optional(boards, OPTIONAL)
     seats = [F.struct(F.col(f"Player_ID_{p}").alias("Player_ID"), F.col(f"Player_Name_{p}").alias("Player_Name"), F.col(f"MasterPoints_{p}").alias("MasterPoints"), F.col(rating.format(p)).cast("double").alias("Elo")) for p in "NESW"]
-    return b.select(*ORDER, *FLAGS, F.inline(F.array(*seats))).where(F.col("Player_ID").isNotNull() & R.usable(F.col("Elo")))
+    return b.select(*ORDER, *FLAGS, *more, F.inline(F.array(*seats))).where(F.col("Player_ID").isNotNull() & R.usable(F.col("Elo")))
 
 
-def side_rows(boards: DataFrame, rating: str, seat_rating: str | None) -> DataFrame:
+def side_rows(boards: DataFrame, rating: str, seat_rating: str | None, more: Sequence[str] = ()) -> DataFrame:
     """One row a side with a usable pair rating. A pair with an unknown player has a null id, and is one group."""
     b = filters.with_optional(boards, OPTIONAL)
     sides = []
@@ -40,7 +42,7 @@ def side_rows(boards: DataFrame, rating: str, seat_rating: str | None) -> DataFr
             F.col(rating.format(side)).cast("double").alias("Elo"), ((mp + mq) / 2.0).alias("Avg_MPs"), F.sqrt(mp * mq).alias("Geo_MPs"),
             F.when(R.usable(rp) & R.usable(rq), (rp + rq) / 2.0).alias("Avg_Player_Elo"),
         ))
-    return b.select(*ORDER, *FLAGS, F.inline(F.array(*sides))).where(R.usable(F.col("Elo")))
+    return b.select(*ORDER, *FLAGS, *more, F.inline(F.array(*sides))).where(R.usable(F.col("Elo")))
 
 
 def _published(pool: DataFrame, p: Report, anchor: float | None) -> DataFrame:
@@ -90,12 +92,28 @@ def _rate_columns() -> list[Column]:
 RATE_RANKS = {"Par_Suit_Rank": "Par_Suit_Rate", "Par_Contract_Rank": "Par_Contract_Rate", "Sacrifice_Rank": "Sacrifice_Rate", "DD_Tricks_Diff_Rank": "DD_Tricks_Diff_Avg"}
 
 
-def top_players(boards: DataFrame, p: Report, anchor: float | None = None) -> DataFrame:
-    """Players by published rating. Everything after the grouping works on one row a player."""
-    pool = seat_rows(boards, p.column).groupBy("Player_ID").agg(
-        A.latest("Player_Name", "Date", "session_id", "Round", "Board").alias("Player_Name"), F.max("MasterPoints").alias("MasterPoints"),
+def player_pool(boards: DataFrame, p: Report) -> DataFrame:
+    """A row a player: last name, most masterpoints, rating by the report's method, sessions and rates."""
+    return seat_rows(boards, p.column).groupBy("Player_ID").agg(
+        A.latest("Player_Name", *ORDER).alias("Player_Name"), F.max("MasterPoints").alias("MasterPoints"),
         A.rating(p.method, "Elo", *ORDER).alias("Elo"), F.countDistinct("session_id").alias("Sessions"), *_rates(),
     )
+
+
+def pair_pool(boards: DataFrame, p: Report) -> DataFrame:
+    return side_rows(boards, p.column, MOMENTS[p.moment][0]).groupBy("Pair_IDs").agg(
+        A.latest("Pair_Names", *ORDER).alias("Pair_Names"), A.rating(p.method, "Elo", *ORDER).alias("Elo"),
+        F.avg("Avg_MPs").alias("Avg_MPs"), F.avg("Geo_MPs").alias("Geo_MPs"), F.avg("Avg_Player_Elo").alias("Avg_Player_Elo"), F.countDistinct("session_id").alias("Sessions"), *_rates(),
+    )
+
+
+def top_players(boards: DataFrame, p: Report, anchor: float | None = None) -> DataFrame:
+    """Players by published rating. Everything after the grouping works on one row a player."""
+    return players_of_pool(player_pool(boards, p), p, anchor)
+
+
+def players_of_pool(pool: DataFrame, p: Report, anchor: float | None = None) -> DataFrame:
+    """The leaderboard of a player_pool."""
     pool = _published(pool.where(F.col("Sessions") >= p.min_sessions), p, anchor)
     out = _ranked_and_gated(pool, p, "Player_ID", [("Published", True), ("MasterPoints", True), ("Player_ID", False)], {"MasterPoint_Rank": "MasterPoints"} | RATE_RANKS)
     return out.select(
@@ -105,11 +123,11 @@ def top_players(boards: DataFrame, p: Report, anchor: float | None = None) -> Da
 
 
 def top_pairs(boards: DataFrame, p: Report, anchor: float | None = None) -> DataFrame:
-    seat_rating = MOMENTS[p.moment][0]
-    pool = side_rows(boards, p.column, seat_rating).groupBy("Pair_IDs").agg(
-        A.latest("Pair_Names", "Date", "session_id", "Round", "Board").alias("Pair_Names"), A.rating(p.method, "Elo", *ORDER).alias("Elo"),
-        F.avg("Avg_MPs").alias("Avg_MPs"), F.avg("Geo_MPs").alias("Geo_MPs"), F.avg("Avg_Player_Elo").alias("Avg_Player_Elo"), F.countDistinct("session_id").alias("Sessions"), *_rates(),
-    )
+    return pairs_of_pool(pair_pool(boards, p), p, anchor)
+
+
+def pairs_of_pool(pool: DataFrame, p: Report, anchor: float | None = None) -> DataFrame:
+    """The leaderboard of a pair_pool."""
     pool = _published(pool.where(F.col("Sessions") >= p.min_sessions), p, anchor)
     ranks = {"Avg_Elo_Rank": "Avg_Player_Elo", "Avg_MPs_Rank": "Avg_MPs", "Geo_MPs_Rank": "Geo_MPs"} | RATE_RANKS
     out = _ranked_and_gated(pool, p, "Pair_IDs", [("Published", True), ("Avg_MPs", True), ("Pair_IDs", False)], ranks)
@@ -131,13 +149,22 @@ def with_crossover(board: DataFrame, other: DataFrame, p: Report, anchor: float
     """
     board = checkpointed(board)  # of top_n rows at most, and read twice
     entity = "Player_ID" if p.entity == "Players" else "Pair_IDs"
-    other_name = "Tournament" if p.event == "club" else "Club"
-    count = f"{other_name}_{'Sessions_Played' if p.entity == 'Players' else 'Sessions'}"
     rows = seat_rows(other, p.column) if p.entity == "Players" else side_rows(other, p.column, None)
     own = rows.select(entity, "Date", "session_id", "Board", "Elo").join(board.select(entity), entity, "left_semi")
-    stats = own.agg(F.avg("Elo").alias("mean"), F.when(F.count("Elo") > 1, F.stddev_pop("Elo")).alias("sd"))
-    each = own.groupBy(entity).agg(F.countDistinct("session_id").alias(count), A.rating(p.method, "Elo", "Date", "session_id", "Board").alias("_raw"))
-    each = each.crossJoin(F.broadcast(stats))
+    each = own.groupBy(entity).agg(
+        F.countDistinct("session_id").alias("sessions"), A.rating(p.method, "Elo", "Date", "session_id", "Board").alias("_raw"), F.count("Elo").alias("n"), F.avg("Elo").alias("mean"), (F.count("Elo") * F.var_pop("Elo")).alias("m2"),
+    )
+    return crossover_of(board, each, p, anchor)
+
+
+def crossover_of(board: DataFrame, each: DataFrame, p: Report, anchor: float | None = None) -> DataFrame:
+    """with_crossover from a row an entity: sessions, _raw rating, and count, mean and squared deviations of its ratings."""
+    entity = "Player_ID" if p.entity == "Players" else "Pair_IDs"
+    other_name = "Tournament" if p.event == "club" else "Club"
+    count = f"{other_name}_{'Sessions_Played' if p.entity == 'Players' else 'Sessions'}"
+    each = checkpointed(each.withColumnRenamed("sessions", count))  # of the leaderboard's entities at most, and read twice
+    stats = A.merged_stats(each)
+    each = each.drop("n", "mean", "m2").crossJoin(F.broadcast(stats))  # one row
     score = R.zscore_chess(R.shrunk(F.col("_raw"), F.col(count), anchor, p.prior_sessions if anchor is not None else 0), F.col("mean"), F.col("sd"))
     each = each.select(entity, count, score.cast("long").alias(f"{other_name}_Elo"))
     after = "Sessions_Played" if p.entity == "Players" else "Sessions"
@@ -146,10 +173,10 @@ def with_crossover(board: DataFrame, other: DataFrame, p: Report, anchor: float
     return board.join(each, entity, "left").fillna({count: 0}).select(order).orderBy(f"{p.entity[:-1]}_Elo_Rank")
 
 
-def _history(parts: list[Column], boards: DataFrame, columns: list[str]) -> DataFrame:
-    """Boards of one entity with before and after on the scale of all seats' (sides') ratings on these boards."""
+def _history(parts: list[Column], boards: DataFrame, columns: list[str], stats: DataFrame | None = None) -> DataFrame:
+    """Boards of one entity with before and after on the scale of all seats' (sides') ratings on these boards, or of stats (mean, sd)."""
     rows = boards.select("Date", F.col("session_id").alias("Session"), "Round", "Board", F.inline(F.array(*parts))).where("keep").drop("keep")
-    stats = A.stacked_stats(boards, columns)
+    stats = A.stacked_stats(boards, columns) if stats is None else stats
     out = rows.crossJoin(F.broadcast(stats))
     for c in ("Elo_Before", "Elo_After"):
         plain = R.fixed_round(F.col(c), 0)
@@ -168,7 +195,7 @@ def _optional(boards: DataFrame, c: str) -> Column:
     return F.col(c).cast("double") if c in boards.columns else F.lit(None).cast("double")
 
 
-def player_history(boards: DataFrame, player: str, rating: str = "Elo_R_{}") -> DataFrame:
+def player_history(boards: DataFrame, player: str, rating: str = "Elo_R_{}", stats: DataFrame | None = None) -> DataFrame:
     b, parts = filters.with_optional(boards, OPTIONAL), []
     for side, seats in SIDES.items():
         other = SIDES["EW" if side == "NS" else "NS"]
@@ -179,10 +206,10 @@ def player_history(boards: DataFrame, player: str, rating: str = "Elo_R_{}") ->
                 _pct(side), _optional(b, f"Elo_R_{s}_Before").alias("Elo_Before"), after.alias("Elo_After"), R.fixed_round(_optional(b, f"Field_Stdev_{side}_Player"), 1).alias("Field_Stdev"),
                 F.coalesce((F.col(f"Player_ID_{s}") == player) & R.usable(after), F.lit(False)).alias("keep"),
             ))
-    return _history(parts, b, [rating.format(s) for s in "NESW"])
+    return _history(parts, b, [rating.format(s) for s in "NESW"], stats)
 
 
-def pair_history(boards: DataFrame, pair: str, rating: str = "Elo_R_{}") -> DataFrame:
+def pair_history(boards: DataFrame, pair: str, rating: str = "Elo_R_{}", stats: DataFrame | None = None) -> DataFrame:
     """Of a pair, whichever of its players sits where."""
     b, parts = filters.with_optional(boards, OPTIONAL), []
     x, y = pair.split("-", 1)
@@ -195,7 +222,7 @@ def pair_history(boards: DataFrame, pair: str, rating: str = "Elo_R_{}") -> Data
             _optional(b, f"Elo_R_{side}_Before").alias("Elo_Before"), after.alias("Elo_After"), R.fixed_round(_optional(b, f"Field_Stdev_{side}"), 1).alias("Field_Stdev"),
             F.coalesce((((a == x) & (c == y)) | ((a == y) & (c == x))) & R.usable(after), F.lit(False)).alias("keep"),
         ))
-    return _history(parts, b, [rating.format(s) for s in SIDES])
+    return _history(parts, b, [rating.format(s) for s in SIDES], stats)
 
 
 def opponent_breakdown(history: DataFrame, session: str) -> DataFrame:

@@ -16,7 +16,7 @@ from ..operators import boards as B
 from ..operators import filters, history, ranges
 from ..operators import results as Q
 from ..shared import shared_folder
-from ..sources import dataset, landing
+from ..sources import dataset, landing, store
 from . import report, views
 from .params import MOMENTS, Report
 
@@ -24,6 +24,8 @@ ANCHOR = 1400.0
 PLAYERS = Report(top_n=60, min_sessions=3, prior_sessions=50, min_skill_z=-0.5, strata="All")
 MANY = Report(top_n=500, min_sessions=2, prior_sessions=50, min_skill_z=-0.5, strata="All")
 PAIRS = Report(entity="Pairs", top_n=80, min_sessions=3, prior_sessions=20, min_skill_z=-0.5, strata="All")
+FILTERED = Report(top_n=25, min_sessions=1, method="Avg", mode="Local Only", strata="0-749", prior_sessions=0, min_skill_z=-95, date_from=dt.datetime(2024, 1, 10))
+STORES: dict[tuple, store.Store] = {}
 GIVEN_DAY = dt.date(2024, 1, 20)
 
 
@@ -56,11 +58,47 @@ def crossover_enrich(s, sf):
 
 
 def report_filtered(s, sf):
-    p = Report(top_n=25, min_sessions=1, method="Avg", mode="Local Only", strata="0-749", prior_sessions=0, min_skill_z=-95, date_from=dt.datetime(2024, 1, 10))
-    out = report.report(views.boards(s, sf), p)
+    out = report.report(views.boards(s, sf), FILTERED)
     return out.select("Player_ID", "Sessions_Played", "MasterPoints", "Par_Suit_Rate_Pct", "Par_Suit_Rank")
 
 
+def _store(s, sf, where="true"):
+    """The boards laid out, once a session for each folder of tables."""
+    key = (s.sparkContext.applicationId, sf, where)
+    if key not in STORES:
+        path = f"{shared_folder(s)}/boards-{uuid.uuid4().hex}"
+        store.write_store(views.boards(s, sf).where(where), path, buckets=8)
+        STORES[key] = store.Store(s, path, 8)
+    return STORES[key]
+
+
+def stored_leaderboard(s, sf):
+    """leaderboard_players from merged parts."""
+    return _store(s, sf).report(PLAYERS, ANCHOR)
+
+
+def stored_pairs(s, sf):
+    return _store(s, sf).report(PAIRS, ANCHOR)
+
+
+def stored_filtered(s, sf):
+    """report_filtered from merged parts."""
+    return _store(s, sf).report(FILTERED).select("Player_ID", "Sessions_Played", "MasterPoints", "Par_Suit_Rate_Pct", "Par_Suit_Rank")
+
+
+def stored_crossover(s, sf):
+    club, other = _store(s, sf, "strata_bucket <> 'open'"), _store(s, sf, "strata_bucket = 'open'")
+    return club.report(PLAYERS, ANCHOR, other, ANCHOR).select("Player_Elo_Rank", "Player_ID", "Tournament_Sessions_Played", "Tournament_Elo")
+
+
+def stored_player_detail(s, sf):
+    return _store(s, sf).detail(PLAYERS, player="p3").select("Date", "Session", "Round", "Board", "Seat", "Partner", "Opponents", "Pct", "Elo_Before", "Elo_After", "Elo_Delta", "Title")
+
+
+def stored_pair_detail(s, sf):
+    return _store(s, sf).detail(PAIRS, pair="p24-p3").select("Date", "Session", "Board", "Side", "Opponents", "Pct", "Elo_Before", "Elo_After", "Elo_Delta")
+
+
 def player_detail(s, sf):
     return B.player_history(filters.boards(views.boards(s, sf)), "p3").select("Date", "Session", "Round", "Board", "Seat", "Partner", "Opponents", "Pct", "Elo_Before", "Elo_After", "Elo_Delta", "Title")
 
@@ -424,7 +462,7 @@ def post_processed(s, sf):
 
 
 ALL: list[Callable[[SparkSession, str], DataFrame]] = [
-    leaderboard_players, leaderboard_many_players, leaderboard_pairs, crossover_enrich, report_filtered, player_detail, pair_detail, opponent_breakdown, opponent_summary,
+    leaderboard_players, leaderboard_many_players, leaderboard_pairs, crossover_enrich, report_filtered, player_detail, pair_detail, stored_leaderboard, stored_pairs, stored_filtered, stored_crossover, stored_player_detail, stored_pair_detail, opponent_breakdown, opponent_summary,
     players_from_results, top_result_players, top_result_pairs, top_result_pairs_titles, metric_cards, tournament_opponents, entity_history, partner_summary,
     club_summary, opponent_history, opponent_me_vs_them, result_filters, elo_history_fold, elo_extended, elo_standardized, elo_whole_pool, new_tournaments, rating_moments, detail_at_start, leaderboard_found,
     boards_of_members, date_choices, recent_tournaments, series_keys, numbers_by_name, pair_surnames, private_payloads, reconciled_pages, filter_tristate, filter_valid_pct,

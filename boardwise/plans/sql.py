@@ -176,7 +176,7 @@ def oracle_sql() -> dict[str, str]:
     codes = "CAST(event_id % 9 AS STRING)"
     bands = [0, 5, 20, 50, 100, 200, 300, 500, 750, 1000, 1500, 2500, 3500, 5000, 7500, 10000]
     band = "CASE " + " ".join(f"WHEN c_acctbal >= {a} AND c_acctbal < {b} THEN '{a}-{b}'" for a, b in zip(bands, bands[1:])) + " WHEN c_acctbal >= 10000 THEN '10000+' END"
-    return {
+    plain = {
         "leaderboard_players": f"""WITH b AS (SELECT * FROM ({_B}) WHERE {_VALID}), {_PLAYER_POOL}
             SELECT place AS Player_Elo_Rank, score AS Player_Elo_Score, raw_score AS Player_Elo_Raw, score AS Player_Elo_Published, {_title('score')} AS Title, {_fix('skill', 3)} AS Skill_Z, id AS Player_ID, name AS Player_Name, {_int('mp')} AS MasterPoints,
             CAST(mp_rank AS INT) AS MasterPoint_Rank, CAST(n AS INT) AS Sessions_Played, {_RATES} FROM p ORDER BY place LIMIT 60""",
@@ -293,3 +293,5 @@ def oracle_sql() -> dict[str, str]:
             SELECT Date, Event_ID, Seq, replace(Partner, ' -', 'X -') || 'X' AS Partner, CASE WHEN ok THEN {_fix('30 + k + day(d) / 100.0::DOUBLE', 2)} ELSE sp END AS Scratch_Pct, CASE WHEN ok THEN {_fix('50 + k + day(d) / 100.0::DOUBLE', 2)} ELSE hp END AS Handicap_Pct, CASE WHEN ok THEN {_fix('30 + k + day(d) / 100.0::DOUBLE', 2)} ELSE sp END AS Pct_Used,
             CASE WHEN ok THEN CASE isodow(d) WHEN 1 THEN 'http://pages.example/l?c=lo' ELSE 'http://pages.example/j?c=jo' END || strftime(d, '%y%m%d') || '&t=s' END AS Organization_URL FROM m""",
     }
+    stored = {"stored_leaderboard": "leaderboard_players", "stored_pairs": "leaderboard_pairs", "stored_filtered": "report_filtered", "stored_crossover": "crossover_enrich", "stored_player_detail": "player_detail", "stored_pair_detail": "pair_detail"}
+    return plain | {name: plain[same] for name, same in stored.items()}
