@@ -72,9 +72,14 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
 
 
 def landed(spark: SparkSession, folder: str, now: dt.datetime, max_age_hours: float | None, limit: int | None) -> tuple[DataFrame, DataFrame]:
-    """Payloads, from payloads.parquet or the envelopes envelopes/*.json, and sessions; `limit`: of the latest sessions alone."""
-    sessions = spark.read.parquet(f"{folder}/sessions.parquet")
-    if limit is not None:
+    """Payloads, from payloads.parquet or the envelopes envelopes/*.json, and sessions, from sessions.parquet or the pages pages/*.json.
+
+    limit: of the latest sessions alone, or of each series' first ones on its pages."""
+    sessions = _table(spark, folder, "sessions")
+    if sessions is None:
+        pages = landing.read_pages(spark, f"{folder}/pages")
+        sessions = landing.sessions_of_pages(pages, limit, max_age_hours, now).groupBy("tournament_id").agg(F.max_by("date", F.struct("date", "tournament_name")).alias("date"), F.max_by("tournament_name", F.struct("date", "tournament_name")).alias("tournament_name"))
+    elif limit is not None:
         sessions = sessions.orderBy(F.desc("date"), "tournament_id").limit(limit)
     raw = _table(spark, folder, "payloads")
     if raw is None:
@@ -85,7 +90,7 @@ def landed(spark: SparkSession, folder: str, now: dt.datetime, max_age_hours: fl
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> bool:
     """Whether it built: with --if-stale, only a dataset that is missing, old, or lacks a past session is."""
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("--landing", required=True, help="folder with sessions.parquet, payloads.parquet or envelopes/*.json, and, if known, clubs.parquet (code, label) and values.parquet (player_id, iv)")
+    p.add_argument("--landing", required=True, help="folder with sessions.parquet or pages/*.json, payloads.parquet or envelopes/*.json, and, if known, clubs.parquet (code, label) and values.parquet (player_id, iv)")
     p.add_argument("--out", required=True)
     p.add_argument("--private", action="store_true")
     p.add_argument("--if-stale", action="store_true")

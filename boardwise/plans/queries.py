@@ -6,7 +6,7 @@ import datetime as dt
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratings as R
@@ -421,6 +421,19 @@ def timestamps_parsed(s, sf):
     return o.select("o_orderkey", T.parse_timestamp(F.col("t")).alias("t"))
 
 
+def landed_pages(s, sf):
+    """Session lists of three series, landed as pages of five; each series' pages lead on to another one's number."""
+    r = views.results(s, sf).select("tournament_id", "date", "series_id").distinct()
+    place = F.row_number().over(Window.partitionBy("series_id").orderBy("date", "tournament_id"))
+    paged = r.withColumn("place", place).withColumn("page", F.expr("cast((place - 1) div 5 + 1 as int)"))
+    item = F.struct("place", F.col("tournament_id").alias("id"), "date", F.concat(F.lit("Night "), "tournament_id").alias("name"))
+    pages = paged.groupBy("series_id", "page").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    body = F.to_json(F.struct("items", F.struct((F.col("page") < 4 + F.col("series_id")).alias("has_next_page")).alias("pagination")))
+    landed = pages.select(F.lit(1.0).cast("double").alias("timestamp"), F.col("series_id").cast("int").alias("series_id"), "page", body.alias("data"))
+    stale = landed.where("page = 2").withColumns({"timestamp": F.lit(0.0).cast("double"), "data": F.lit("no list")})
+    return landing.sessions_of_pages(landed.unionByName(stale), limit=23).select("tournament_id", "date", "tournament_name", "series_id", "page")
+
+
 def club_codes(s, sf):
     r = views.results(s, sf).select("event_id", F.lit("").alias("club_name"), F.format_string("%08d", F.col("event_id") % 9).alias("club_code"))
     clubs = table(s, sf, "nation").select(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("label")).where("n_nationkey between 1 and 6")
@@ -468,7 +481,7 @@ ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     boards_of_members, date_choices, recent_tournaments, series_keys, numbers_by_name, pair_surnames, private_payloads, reconciled_pages, filter_tristate, filter_valid_pct,
     filter_days, filter_names_numbers, filter_masterpoint_bands, optional_columns, unpivot_seats, unpivot_sides, union_by_name, rating_methods,
     distinct_and_spread, stacked_calibration, sorted_options, rank_suite, ranks_of_lines, medians_of_lines, pages_of_parts, top_by_two_keys, scales_and_titles, elo_steps, pair_ids,
-    strata_limits, timestamps_parsed, club_codes, html_to_text, json_payloads, dated_pages, lookups_left_and_filled, members_of_region, ad_hoc_self, post_processed,
+    strata_limits, timestamps_parsed, landed_pages, club_codes, html_to_text, json_payloads, dated_pages, lookups_left_and_filled, members_of_region, ad_hoc_self, post_processed,
 ]
 
 

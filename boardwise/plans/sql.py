@@ -251,6 +251,8 @@ def oracle_sql() -> dict[str, str]:
             t2 AS (SELECT j, other, CASE WHEN n IS NULL AND NOT nlm THEN 'open' WHEN nlm AND (n IS NULL OR n <= 500) THEN '0-499-nlm' WHEN n <= 300 THEN '0-299' WHEN n <= 500 THEN '0-499-nlm' WHEN n <= 750 THEN '0-749' WHEN n <= 1500 THEN '0-1500' ELSE 'other-restricted' END AS event FROM top)
             SELECT raw, other, club, event, count(*) AS n FROM e JOIN a USING (i) JOIN t2 USING (j) GROUP BY ALL""",
         "timestamps_parsed": "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN date_trunc('second', o_orderdate) WHEN 1 THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) END AS t FROM orders",
+        "landed_pages": f"""WITH res AS ({_R}), d AS (SELECT DISTINCT tournament_id, date, series_id FROM res), n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date, tournament_id) AS place FROM d)
+            SELECT tournament_id, date, 'Night ' || tournament_id AS tournament_name, CAST(series_id AS INT) AS series_id, CAST((place - 1) // 5 + 1 AS INT) AS page FROM n WHERE (place - 1) // 5 + 1 <= 4 + series_id AND place <= 23""",
         "club_codes": f"SELECT event_id, coalesce(CASE WHEN n_nationkey BETWEEN 1 AND 6 THEN n_name END, '') AS club_name FROM events LEFT JOIN nation ON {codes} = CAST(n_nationkey AS STRING)",
         "html_to_text": r"""WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g') AS h FROM pages)
             SELECT page_id, trim(regexp_replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g'), ' ') AS text, regexp_matches(url, '^https?://') AS is_url, substr(regexp_replace(url, '[^A-Za-z0-9_\-]', '_', 'g'), 1, 48) AS key FROM a""",

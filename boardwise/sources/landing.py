@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -86,6 +86,39 @@ def read_landing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("timestamp double, identifier string, series_id int, data string").option("multiLine", True).json(path)
 
 
+_ITEM = "array<struct<id:string,date:string,name:string,label:string>>"
+LIST = f"struct<items:{_ITEM},pagination:struct<has_next_page:boolean>>"
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Landed pages of session lists (timestamp in seconds, series_id, page from 1, data); one series has many, or one list without pages."""
+    return spark.read.schema("timestamp double, series_id int, page int, data string").option("multiLine", True).json(path)
+
+
+def sessions_of_pages(pages: DataFrame, limit: int | None = None, max_age_hours: float | None = None, now: dt.datetime | None = None) -> DataFrame:
+    """Sessions of all series (tournament_id, date, tournament_name, series_id, page, place), as far as each series' pages lead on.
+
+    Of a page that landed several times the newest counts. A page counts if all ahead of it have items and say that there is a
+    next one; a page that is missing, or no list, ends its series, and a bare list is one page. limit: the first sessions of each
+    series, in the order of its pages. Where max_age_hours leaves a series no page, its older ones are taken.
+    """
+    if max_age_hours is not None and now is not None:
+        young = F.col("timestamp") >= now.timestamp() - 3600 * max_age_hours
+        some = pages.groupBy(F.col("series_id").alias("_series")).agg(F.max(young).alias("_some"))
+        pages = pages.join(some, F.col("series_id").eqNullSafe(F.col("_series"))).where(young | ~F.col("_some"))
+    newest = pages.groupBy("series_id", "page").agg(F.max_by("data", F.struct("timestamp", "data")).alias("data"))
+    whole, bare = F.from_json("data", LIST), F.from_json("data", _ITEM)
+    read = newest.select("series_id", "page", F.coalesce(whole["items"], F.when(F.ltrim("data").startswith("["), bare)).alias("items"), F.coalesce(whole["pagination"]["has_next_page"], F.lit(False)).alias("leads"))
+    ahead = Window.partitionBy("series_id").orderBy("page")  # a row a page
+    led = read.withColumns({"n": F.row_number().over(ahead), "on": F.coalesce(F.min(F.col("leads") & F.col("items").isNotNull()).over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))})
+    items = led.where("n = page and on and items is not null").select("series_id", "page", F.posexplode("items").alias("place", "e"))
+    out = items.select(F.col("e.id").alias("tournament_id"), F.col("e.date").alias("date"), F.coalesce("e.name", "e.label").alias("tournament_name"), "series_id", "page", "place").where("tournament_id is not null")
+    if limit is None:
+        return out
+    first = F.row_number().over(Window.partitionBy("series_id").orderBy("page", "place"))
+    return out.withColumn("_n", first).where(F.col("_n") <= limit).drop("_n")
+
+
 def payloads(landed: DataFrame) -> DataFrame:
     """Envelopes' payloads (tournament_id, series_id, payload), the newest of each identifier and series."""
     newest = F.max_by("data", F.struct("timestamp", "data"))

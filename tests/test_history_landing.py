@@ -178,3 +178,27 @@ def test_envelopes_and_reports_of_files(spark, tmp_path):
     got, plain = (report.report_of_files(spark, paths, p, x) for x in (str(tmp_path), None))
     want = report.report(spark.read.parquet(paths["club"]), p, 1400.0, spark.read.parquet(paths["tournament"]))
     assert got.collect() == want.collect() != plain.collect() and "Tournament_Elo" in got.columns
+
+
+def test_pages_of_session_lists(spark, tmp_path):
+    page = lambda ids, more: json.dumps({"items": [{"id": i, "date": "2024-05-01", "label": f"L{i}"} for i in ids], "pagination": {"has_next_page": more}})
+    rows = [
+        (5.0, 1, 1, page([1, 2], True)), (9.0, 1, 1, page([1, 2, 3], True)), (5.0, 1, 2, page([4], False)), (5.0, 1, 3, page([5], True)),  # page 2 is the last
+        (5.0, 2, 1, page([6], True)), (5.0, 2, 3, page([7], False)), (5.0, 3, 2, page([8], False)),  # a page is missing
+        (5.0, 4, 1, json.dumps([{"id": 9, "date": None, "name": "N"}, {"date": "x"}])), (5.0, 5, 1, page([10], True)), (5.0, 5, 2, "error"), (5.0, 5, 3, page([11], True)), (5.0, None, 1, page([12], False)),
+    ]
+    df = spark.createDataFrame(rows, "timestamp double, series_id int, page int, data string")
+    ids = lambda x: sorted((int(r.tournament_id), r.series_id or 0) for r in x.collect())
+    want = [(1, 1), (2, 1), (3, 1), (4, 1), (6, 2), (9, 4), (10, 5), (12, 0)]
+    assert ids(landing.sessions_of_pages(df)) == want and ids(landing.sessions_of_pages(df, limit=1)) == [(1, 1), (6, 2), (9, 4), (10, 5), (12, 0)]
+    young = landing.sessions_of_pages(df, max_age_hours=1, now=dt.datetime.fromtimestamp(3600 + 7))
+    assert ids(young) == [(1, 1), (2, 1), (3, 1), (6, 2), (9, 4), (10, 5), (12, 0)]  # of series 1 one page is young; others have old ones alone
+    names = {r.tournament_id: (r.date, r.tournament_name) for r in landing.sessions_of_pages(df).collect()}
+    assert names["4"] == ("2024-05-01", "L4") and names["9"] == (None, "N") and landing.sessions_of_pages(df.limit(0)).count() == 0
+    from boardwise.plans import build
+
+    (tmp_path / "pages").mkdir()
+    for k, (t, series, number, data) in enumerate(rows):
+        (tmp_path / "pages" / f"{k}.json").write_text(json.dumps({"timestamp": t, "series_id": series, "page": number, "data": data}))
+    spark.createDataFrame([("1", 3, "[]")], "tournament_id string, series_id int, payload string").write.parquet(f"{tmp_path}/payloads.parquet")
+    assert sorted(int(r.tournament_id) for r in build.landed(spark, str(tmp_path), dt.datetime(2024, 5, 3), None, None)[1].collect()) == [i for i, _ in want]
