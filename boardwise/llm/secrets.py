@@ -50,10 +50,14 @@ def labelled_samples(n: int, seed: int) -> list[tuple[str, int]]:
     return out
 
 
-def word_pairs(docs: DataFrame, sample: int = SAMPLE) -> dict[str, int]:
-    """Pairs of neighbouring letters in long words of about `sample` documents, with their counts: at most 52 * 52."""
+def word_pairs(docs: DataFrame, *keys: str, sample: int = SAMPLE) -> dict[str, int]:
+    """Pairs of neighbouring letters in long words of about `sample` documents, with their counts: at most 52 * 52.
+
+    Documents are chosen by a hash of their keys and text, so the same table gives the same sample however it is split."""
+    parts = 1 << 30
     share = min(1.0, sample / max(1, docs.count()))
-    words = docs.select(text_or_empty().alias("text")).sample(share, seed=17).select(F.explode(F.regexp_extract_all("text", F.lit(LONG_WORD), F.lit(0))).alias("word"))
+    chosen = docs.where(F.pmod(F.xxhash64(*keys, "text"), F.lit(parts)) < int(share * parts))
+    words = chosen.select(text_or_empty().alias("text")).select(F.explode(F.regexp_extract_all("text", F.lit(LONG_WORD), F.lit(0))).alias("word"))
     pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, F.lit(2)))).alias("pair"))
     return {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()}
 
@@ -135,7 +139,7 @@ def find_secrets(docs: DataFrame, *keep: str, margin: float = MARGIN, sample: in
     exclusive. What the models add overlaps no match of the patterns and has kind `random`. Repeated rows each have
     their row; other columns, whatever their names, don't matter; an empty table gives an empty result.
     """
-    table = ratios(word_pairs(docs, sample))
+    table = ratios(word_pairs(docs, *keep, sample=sample))
     text = F.col("text")
     value_long = lambda groups: lambda _, i: F.length(F.get(groups, i)) >= 8
     always = lambda *_: F.lit(True)

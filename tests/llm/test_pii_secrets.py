@@ -222,3 +222,9 @@ def test_many_matches_in_one_text(spark):
     base = sorted(brute_secrets(text), key=lambda x: (x[1], ["assign", "access", "hex"].index(x[0])))
     assert got.base_spans == ",".join(f"{k}:{s}:{e}" for k, s, e in base)
     assert got.spans.count("random") == text.count("Zx9Qw3Rt7Yp1Lk5Jh8Gf2Ds")
+
+
+def test_the_ordinary_model_is_a_function_of_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    few = [secrets.word_pairs(d, "doc_id", sample=100) for d in (docs, docs.repartition(7), docs.orderBy("text"))]
+    assert few[0] and few[0] == few[1] == few[2]
