@@ -1,3 +1,4 @@
+import pickle
 import hashlib
 import re
 
@@ -120,7 +121,7 @@ def test_urls_against_brute_force(spark, monkeypatch, rules):
     pages = clashing(spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string"))
     got = by_id(url_filter.filter_urls(pages, rules), "page_id")
     assert {i: (r.host, r.path, r.rule, r.verdict) for i, r in got.items()} == {i: fitting(u, rules) for i, u in enumerate(URLS)}
-    monkeypatch.setattr(url_filter, "MAX_BROADCAST_RULES", 1)  # a larger list is joined
+    monkeypatch.setattr(url_filter, "MAX_TRIE", 1)  # a larger list is joined
     assert by_id(url_filter.filter_urls(pages, rules), "page_id") == got
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
 
@@ -131,3 +132,43 @@ def test_rules_that_share_a_start_are_found_by_characters():
     for path in ("/x29", "/x299/y", "/x2999", "/x", "/x77?"):
         want = max(((len(h) + len(p), len(h), h + p, a) for a, h, p in rules if path.startswith(p)), default=None)
         assert url_filter.longest_match(trie, "www.a.com", path) == want
+
+
+def test_url_rules_of_odd_forms_fit_alike_on_both_paths(spark, monkeypatch):
+    rules = [("block", "Com", "en/"), ("block", "EXAMPLE.com", "/En"), ("allow", "example.com", ""), ("block", "example.com", "/a/b"), ("allow", "a.example.com", "/a/bc/"), ("block", "net", "/")]
+    urls = ["http://EXAMPLE.com/En/x", "http://example.com/en/", "http://a.b.com/en/", "http://a.example.com/a/bc/d", "http://a.example.com/a/bcd", "http://x.net", "http://x.net/", "http://example.com", "http://example.com/a/b?c", None, "no url"]
+    urls += ["http://example.com/" + "a/" * 5000, "http://" + "x." * 300 + "net/" + "y" * 100_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+
+    def brute(url):
+        if url is None or "://" not in url:
+            return None
+        rest = url.split("://", 1)[1]
+        host = re.split("[/?#]", rest)[0]
+        path, host = re.split("[?#]", rest[len(host) :])[0], host.lower()
+        fits = [(len(h) + len(p), len(h), h.lower() + p) for _, h, p in rules if (host == h.lower() or host.endswith("." + h.lower())) and path.startswith(p)]
+        return max(fits)[2] if fits else None
+
+    for most in (10**9, 1):
+        monkeypatch.setattr(url_filter, "MAX_TRIE", most)
+        got = {r.page_id: r.rule for r in url_filter.filter_urls(df, rules).select("page_id", "rule").collect()}
+        assert got == {k: brute(u) for k, u in enumerate(urls)}
+
+
+def test_a_workers_trie_stays_within_its_bound():
+    import random
+    import string
+    import tracemalloc
+
+    r = random.Random(1)
+    word = lambda n: "".join(r.choice(string.ascii_lowercase) for _ in range(n))
+    for paths in (1, 3):
+        rules = [("block", f"{word(9)}.{word(3)}", "/" + "/".join(word(8) for _ in range(paths))) for _ in range(20000)]
+        size = len(pickle.dumps(rules)) and url_filter.trie_bytes(rules)
+        data = pickle.dumps(url_filter.build_trie(rules))
+        tracemalloc.start()
+        trie = pickle.loads(data)  # as a worker has it
+        held = tracemalloc.get_traced_memory()[0]
+        tracemalloc.stop()
+        assert trie.next and held <= size < 4 * held
+    assert url_filter.MAX_TRIE < 200_000_000
