@@ -14,7 +14,6 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, text_or_empty
 from .components import connected_components
-from .simhash import RADIUS, SEED, component_ids, keep_smallest, majority, meet_in_the_middle
+from .simhash import RADIUS, SEED, component_ids, keep_smallest, majority, meet_in_the_middle, shingle_hashes
 
 SHINGLE, LEAST, FOUND = 5, 0.8, 0.97
 #: Bits of the further fingerprint that may differ: at 0.8, about 10 do, and over 18 with 1 in 500; of unlike texts, 32 do, and
@@ -56,13 +55,8 @@ def _words(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """Hashes of a text's distinct shingles, sorted; of the whole text if it has no more words than a shingle."""
-    words = text.lower().split()  # of bytes: A-Z only, and at the six characters of white space
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = [n - 1 for n in accumulate(len(w) + 1 for w in words)]
-    starts = [0, *(e + 1 for e in ends)]
-    return np.unique(np.array([digest(joined[a:e], SEED) for a, e in zip(starts, ends[min(shingle, len(words)) - 1 :])], dtype=np.uint64))
+    parts = [np.unique(h) for h in shingle_hashes(text, shingle)]
+    return np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *parts]))
 
 
 def signature(own: np.ndarray, bits: int, tables: int) -> tuple[int, list[int]]:
@@ -190,7 +184,7 @@ def _links(docs: DataFrame, nodes: DataFrame, met: DataFrame, shingle: int, leas
 def near_copy_groups(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """doc_id and component_id (the smallest doc_id that found pairs of similarity `least` or more reach) for every row of docs.
 
-    No pair below `least` is linked. Null and empty texts and those of white space are copies of each other. Equal sets are one
+    No pair below `least` is linked. A very long text is hashed in blocks; what a task holds of it are its distinct shingles' hashes. Null and empty texts and those of white space are copies of each other. Equal sets are one
     node. Repeated rows each have their row; a null doc_id counts for component_id only where a group has no other. Other
     columns, whatever their names, don't matter; an empty table gives an empty result.
     """

@@ -182,7 +182,7 @@ def pack(items: DataFrame, cap: Capacity = Capacity()) -> DataFrame:
 def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int], end: int = 0, cap: Capacity = Capacity()) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every row of docs.
 
-    Null and empty texts are one piece, of the end token. Repeated rows are packed each; a null doc_id is carried along.
+    A very long text is encoded whole by the task that reads it, which holds its ids, four bytes each; its pieces are rows of their own. Null and empty texts are one piece, of the end token. Repeated rows are packed each; a null doc_id is carried along.
     Other columns of docs, whatever their names, don't matter; an empty table gives an empty result.
     """
     return pack(checkpointed(token_pieces(docs, ranks_path, pattern, special, end, cap.tokens)), cap)

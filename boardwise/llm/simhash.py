@@ -9,6 +9,7 @@ with the number of fingerprints, and those that still hold many go out again by
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import accumulate, combinations
@@ -27,31 +28,53 @@ SEED, SHINGLE, RADIUS, BITS = 42, 4, 2, 64
 AT_ONCE = 2_000_000
 #: Fingerprints and variants that a prefix has about, at most; fingerprints from which it is dealt out again by MORE bits.
 GROUP, VARIANTS, HOT, LEAST_BITS, MORE = 2_000_000, 50_000_000, 8_000_000, 4, 6
-#: Shingles whose bits are counted at once.
-BLOCK = 1 << 15
+#: Shingles whose bits are counted at once; bytes of a text whose words are held at once.
+BLOCK, CHARS = 1 << 15, 1 << 18
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def shingle_hashes(text: bytes, shingle: int = SHINGLE, block: int = CHARS) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles, in order, for a block of its bytes at a time; of the whole text if it has no more words than a shingle."""
+    text, digest = text.lower(), xxhash.xxh64_intdigest  # of bytes: A-Z only
+    carried: list[bytes] = []
+    at, some = 0, False
+    while at < len(text):
+        end = _GAP.search(text, at + block)
+        end = len(text) if end is None else end.start()
+        words = [*carried, *text[at:end].split()]  # at the six characters of white space
+        at = end
+        if len(words) >= shingle:
+            joined = b" ".join(words)
+            ends = [n - 1 for n in accumulate(len(w) + 1 for w in words)]
+            starts = [0, *(e + 1 for e in ends)]
+            yield np.array([digest(joined[a:e], SEED) for a, e in zip(starts, ends[shingle - 1 :])], dtype="<u8")
+            some = True
+        carried = words[-(shingle - 1) :] if shingle > 1 else []
+    if carried and not some:
+        yield np.array([digest(b" ".join(carried), SEED)], dtype="<u8")
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """A bit is 1 if it is set in over half the hashes of the text's shingles; 0 for a text without a word."""
-    words = text.lower().split()  # of bytes: A-Z only, and at the six characters of white space
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = [n - 1 for n in accumulate(len(w) + 1 for w in words)]
-    starts = [0, *(e + 1 for e in ends)]
-    hashes = np.array([digest(joined[a:e], SEED) for a, e in zip(starts, ends[shingle - 1 :])], dtype="<u8")
-    return int(np.packbits(majority(hashes), bitorder="little").view("<u8")[0])
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in shingle_hashes(text, shingle):
+        counts += bit_counts(hashes)
+        n += len(hashes)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def majority(hashes: np.ndarray) -> np.ndarray:
-    """Of each of the 64 bits, whether it is set in over half the hashes."""
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """In how many hashes each of the 64 bits is set."""
     counts = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), BLOCK):
         part = hashes[i : i + BLOCK]
         counts += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return 2 * counts > len(hashes)
+    return counts
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Of each of the 64 bits, whether it is set in over half the hashes."""
+    return 2 * bit_counts(hashes) > len(hashes)
 
 
 def with_fingerprints(docs: DataFrame, *keep: str, shingle: int = SHINGLE) -> DataFrame:
@@ -212,7 +235,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     Null and empty texts, and texts of white space, have fingerprint zero and are linked like any other. Equal
     fingerprints are one node, so copies make no pairs. Repeated rows each have their row; a null doc_id counts for
     component_id only where a group has no other. Other columns, whatever their names, don't matter; an empty table gives
-    an empty result. A very long text is hashed in blocks.
+    an empty result. A very long text is hashed in blocks of CHARS bytes.
     """
     rows = checkpointed(with_fingerprints(docs, "doc_id", shingle=shingle))
     nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))

@@ -104,3 +104,24 @@ def test_keeping_one_of_each_group(spark):
     kept = simhash.keep_smallest(docs, simhash.near_duplicate_groups(docs))
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2, 4]
     assert simhash.near_duplicate_groups(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_blocks_give_the_shingles_of_the_whole_text():
+    texts = [t.encode() for t in TEXTS if t] + [b"", b"a", b"a b c d", b"a b c d e", b"  x " * 9, b"w" * 5000 + b" a b c d"]
+    for text in texts:
+        words = text.lower().split()
+        whole = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 4]), 42) for i in range(max(1, len(words) - 3))] if words else []
+        for block in (1, 7, 100, 1 << 20):
+            if len(text) < 10_000 or block > 50:
+                assert [int(h) for x in simhash.shingle_hashes(text, 4, block) for h in x] == whole
+
+
+def test_a_very_long_text_takes_little_memory():
+    import tracemalloc
+
+    text = b"word and 12345 " * 1_000_000
+    tracemalloc.start()
+    simhash.fingerprint(text)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 4 * len(text)
