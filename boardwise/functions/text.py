@@ -9,13 +9,14 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Labels of strata and their buckets; other labels mean open, and All sets no filter.
+#: Fixed values. Labels of strata and their buckets; other labels mean open, and All sets no filter.
 STRATA = {
     "Open (unlimited)": "open", "0-299": "0-299", "0-499 / NLM": "0-499-nlm", "0-749": "0-749",
     "0-1500": "0-1500", "Other restricted": "other-restricted", "All": None,
 }
-#: Masterpoint bands start here; the last has no end.
+#: Fixed values. Masterpoint bands start here; the last has no end.
 BANDS = [0, 5, 20, 50, 100, 200, 300, 500, 750, 1000, 1500, 2500, 3500, 5000, 7500, 10000]
+#: Fixed values. Formats that dates come in.
 DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]", "yyyy-MM-dd"]
 
 

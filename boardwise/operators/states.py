@@ -61,8 +61,7 @@ def _mean(c: str) -> Column:
 
 def _sessions(parts: DataFrame, entity: str) -> DataFrame:
     """Sessions of each entity, each once however many days and strata it has boards of."""
-    each = parts.select(F.col(entity).alias("_entity"), F.explode("sessions").alias("s")).groupBy("_entity").agg(F.countDistinct("s").alias("Sessions"))
-    return each
+    return parts.select(F.col(entity).alias("_entity"), F.explode("sessions").alias("s")).groupBy("_entity").agg(F.countDistinct("s").alias("Sessions"))
 
 
 def _merged(parts: DataFrame, p: Report, entity: str, values: list[Column]) -> DataFrame:

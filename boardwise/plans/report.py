@@ -35,9 +35,13 @@ def date_range(boards: DataFrame) -> DataFrame:
     return boards.agg(F.min("Date").alias("first"), F.max("Date").alias("last"))
 
 
-def report_of_files(spark: SparkSession, paths: dict[str, str], p: Report, sidecar: str | None = None) -> DataFrame:
-    """report over files of boards by event type, with anchors from the sidecars {event}.json in a folder; no file, no anchor."""
-    columns = {e: landing.boards(spark, path) for e, path in paths.items()}
+def report_of_files(spark: SparkSession, paths: dict[str, str] | landing.BoardFiles, p: Report, sidecar: str | None = None) -> DataFrame:
+    """report over files of boards by event type, or over those that BoardFiles has of both, with anchors from the sidecars {event}.json in a folder; no file, no anchor."""
+    if isinstance(paths, landing.BoardFiles):
+        files, paths = paths, {e: paths.path(e) for e in ("club", "tournament")}
+        columns = {e: files.boards(spark, e) for e in paths}
+    else:
+        columns = {e: landing.boards(spark, path) for e, path in paths.items()}
     kind = "player" if p.entity == "Players" else "pair"
     anchors = {e: None if sidecar is None else landing.anchor(spark, f"{sidecar}/{e}.json", kind) for e in paths}
     other = next((e for e in paths if e != p.event), None)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..operators import filters
@@ -139,9 +142,41 @@ def anchor(spark: SparkSession, path: str, kind: str) -> float | None:
 
 def boards(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Board results of one generation of files or another: dates parsed, session ids as text, columns as far as they exist."""
-    df = spark.read.parquet(path)
+    return _prepared(spark.read.parquet(path), columns)
+
+
+def _prepared(df: DataFrame, columns: list[str] | None) -> DataFrame:
     df = df if columns is None else filters.existing(df, *columns)
     kinds = dict(df.dtypes)
     if "Date" in kinds:
         df = df.withColumn("Date", T.parse_timestamp(F.col("Date")) if kinds["Date"] == "string" else F.col("Date").cast("timestamp_ntz"))
     return df.withColumn("session_id", F.col("session_id").cast("string")) if "session_id" in kinds else df
+
+
+_SCHEMAS: dict[tuple, StructType] = {}
+
+
+@dataclass(frozen=True)
+class BoardFiles:
+    """Board files of event types under one root, on any file system that Spark reads; options are its settings for these reads alone."""
+
+    root: str
+    name: str = "{event}.parquet"
+    options: tuple[tuple[str, str], ...] = ()
+
+    def path(self, event: str) -> str:
+        return f"{self.root.rstrip('/')}/{self.name.format(event=event.lower())}"
+
+    def schema(self, spark: SparkSession, event: str) -> StructType:
+        """From the files' footers, once a session."""
+        key = (spark.sparkContext.applicationId, self, event)
+        if key not in _SCHEMAS:
+            try:
+                _SCHEMAS[key] = spark.read.options(**dict(self.options)).parquet(self.path(event)).schema
+            except AnalysisException as e:
+                raise FileNotFoundError(f"no boards at {self.path(event)}") from e
+        return _SCHEMAS[key]
+
+    def boards(self, spark: SparkSession, event: str, columns: list[str] | None = None) -> DataFrame:
+        """boards of the event type: with the known schema, so that no footer is read again for it."""
+        return _prepared(spark.read.options(**dict(self.options)).schema(self.schema(spark, event)).parquet(self.path(event)), columns)

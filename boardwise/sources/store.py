@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import boards as B
 from ..operators import filters, states
+from ..operators.aggregates import merged_stats
 from ..plans.params import MOMENTS, Report
+from ..shared import checkpointed
 
 BUCKETS = 64
 
@@ -96,7 +98,7 @@ class Store:
         board = (B.players_of_pool if p.entity == "Players" else B.pairs_of_pool)(pool, p, anchor)
         if other is None:
             return board
-        board = B.checkpointed(board)
+        board = checkpointed(board)
         return B.crossover_of(board, states.merged_crossover(other._pool_parts(p), board, p), p, other_anchor)
 
     def detail(self, p: Report, player: str | None = None, pair: str | None = None) -> DataFrame:
@@ -107,5 +109,5 @@ class Store:
         own = filters.boards(self.of_player(one if p.entity == "Players" else one.split("-", 1)[0]), p.date_from, p.mode, T.label_bucket(p.strata))
         seat, side = MOMENTS[p.moment]
         kind, columns = ("players", [seat.format(s) for s in "NESW"]) if p.entity == "Players" else ("pairs", [side.format(s) for s in B.SIDES])
-        stats = B.A.merged_stats(self._parts(p, f"{kind}_scale", lambda b: states.scale_parts(b, columns)))
+        stats = merged_stats(self._parts(p, f"{kind}_scale", lambda b: states.scale_parts(b, columns)))
         return (B.player_history if p.entity == "Players" else B.pair_history)(own, one, p.column, stats)

@@ -178,6 +178,11 @@ def test_envelopes_and_reports_of_files(spark, tmp_path):
     got, plain = (report.report_of_files(spark, paths, p, x) for x in (str(tmp_path), None))
     want = report.report(spark.read.parquet(paths["club"]), p, 1400.0, spark.read.parquet(paths["tournament"]))
     assert got.collect() == want.collect() != plain.collect() and "Tournament_Elo" in got.columns
+    files = landing.BoardFiles(f"file://{tmp_path}/", "{event}", (("fs.file.impl.disable.cache", "true"),))
+    assert report.report_of_files(spark, files, p, str(tmp_path)).collect() == want.collect()
+    assert files.schema(spark, "Club") == spark.read.parquet(paths["club"]).schema and files.boards(spark, "club", ["Date", "absent"]).columns == ["Date"]
+    with pytest.raises(FileNotFoundError):
+        files.schema(spark, "none")
 
 
 def test_pages_of_session_lists(spark, tmp_path):
