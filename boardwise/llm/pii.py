@@ -347,8 +347,8 @@ def find_personal_data(docs: DataFrame, into: str = "pii") -> DataFrame:
 def mask_personal_data(docs: DataFrame) -> DataFrame:
     """docs with personal data masked in text, and n_chars, if there, set to the new length of changed texts.
 
-    Null texts and texts without personal data stay as they are, and every row and column stays, whatever its name; an
-    empty table gives an empty result.
+    Null texts and texts without personal data stay as they are, and every row and column stays, whatever its name; repeated
+    rows are masked each, alike. A very long text is masked whole, by the task that reads it. An empty table gives an empty result.
     """
     own = docs.select("text", F.struct(*docs.columns).alias("row"))
     out = find_personal_data(own, "found")
