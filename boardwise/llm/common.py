@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import checkpointed, shared_folder  # noqa: F401
+from ..shared import checkpointed, delete, shared_folder  # noqa: F401
 
 #: White space that separates words, as a character class of Java's and Python's regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
@@ -69,12 +69,6 @@ def running(values: Column, join: Callable[[Column, Column], Column], zero: Colu
     return let(values, lambda x: F.when(F.size(x) == 0, x).when(F.size(x) <= chunk, appended(x)).otherwise(parted(x)))
 
 
-def delete(spark: SparkSession, folder: str) -> None:
-    """Deletes a folder that this run wrote, wherever it lies."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def read_bytes(path: str) -> bytes:
     """A vocabulary file of the driver's; its content, of at most a few MB, goes to the executors by broadcast."""
     with open(path, "rb") as f:
