@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, text_or_empty
@@ -33,7 +33,7 @@ KEY_BITS = 18
 CHANCE = 16
 #: Texts that met, up to which their table goes out by broadcast: of 32 bytes a text.
 SMALL = 500_000
-#: Texts of a component that are compared with each other in one task; a larger one goes to a task for each pair of its parts.
+#: Texts of a component that are compared with each other in one task; a larger one is split into parts of about as many.
 PART = 1024
 #: Hashes that go out at once.
 HELD = 500_000
@@ -97,7 +97,7 @@ def _signatures(docs: DataFrame, shingle: int, bits: int, tables: int) -> DataFr
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """A row (group, i, j, node, own: its shingles' hashes) of texts (text, node, group, part, n) for each pair of parts that its own is in.
+    """A row (group, i, j, node, own: its shingles' hashes) of texts (text, node, group, tasks) for each of their tasks (i, j).
 
     A doc_id can stand for other texts than the node's; those are left out."""
 
@@ -110,10 +110,10 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
         for b in batches:
-            for text, node, group, part, n in zip(b.column("text"), *(b.column(c).to_pylist() for c in ("node", "group", "part", "n"))):
+            for text, node, group, tasks in zip(b.column("text"), *(b.column(c).to_pylist() for c in ("node", "group", "tasks"))):
                 own = shingle_set(text.as_py(), shingle)
-                for k in range(n if _node(own) == node else 0):
-                    rows.append((group, min(part, k), max(part, k), node, own))
+                for task in tasks if _node(own) == node else ():
+                    rows.append((group, task["i"], task["j"], node, own))
                     held += len(own)
                     if held > HELD:
                         yield batch(rows)
@@ -158,16 +158,12 @@ def candidates(nodes: DataFrame, n: int, bits: int) -> DataFrame:
     return met.select("node", F.coalesce("root", "key").alias("group"))
 
 
-def _links(docs: DataFrame, nodes: DataFrame, met: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Links (a, b) between nodes (node, least: a doc_id); docs are read for the texts of those that met (node, group)."""
-    sizes = met.groupBy("group").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    wanted = met.join(sizes, "group").join(nodes.select("node", F.col("least").alias("wanted")), "node")
-    parts = wanted.withColumn("n", F.ceil(F.col("m") / PART).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    parts = checkpointed(parts.select("wanted", "node", "group", "part", "n"))
-    if parts.count() <= SMALL:
-        parts = F.broadcast(parts)
-    own = docs.select("doc_id", text_or_empty().cast("binary").alias("text")).join(parts, F.col("doc_id").eqNullSafe(F.col("wanted")))
-    sent = _sets(own.select("text", "node", "group", "part", "n"), shingle)
+def _compared(docs: DataFrame, dealt: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links (a, b) within the tasks (i, j) of each group; docs are read for the texts of dealt (wanted: a doc_id, node, group, tasks)."""
+    if dealt.count() <= SMALL:
+        dealt = F.broadcast(dealt)
+    own = docs.select("doc_id", text_or_empty().cast("binary").alias("text")).join(dealt, F.col("doc_id").eqNullSafe(F.col("wanted")))
+    sent = _sets(own.select("text", "node", "group", "tasks"), shingle)
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -181,6 +177,54 @@ def _links(docs: DataFrame, nodes: DataFrame, met: DataFrame, shingle: int, leas
     return sent.groupBy("group", "i", "j").applyInArrow(run, "a long, b long")
 
 
+def _task(i: Column, j: Column) -> Column:
+    return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+
+
+def _first_tasks(parts: DataFrame) -> DataFrame:
+    """Each part of a group meets the group's part 0, whose texts are its hubs; a group of one part is one task."""
+    zero, last = F.lit(0), F.col("n") - 1
+    to_all = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: _task(zero, k))
+    return parts.withColumn("tasks", F.when(last == 0, F.array(_task(zero, zero))).when(F.col("part") == 0, to_all).otherwise(F.array(_task(zero, F.col("part")))))
+
+
+def _open_tasks(parts: DataFrame, links: DataFrame) -> DataFrame | None:
+    """What is left after the first tasks (parts, of groups with several): texts outside their group's largest component of
+    links, in blocks, meet each part but the hubs, which have met all. Of two texts that links don't connect yet, one is
+    outside, so each pair of such texts meets. None if nothing is left."""
+    at = parts.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = at.groupBy("group", "root").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("group").agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
+    outside = checkpointed(at.where("part > 0").join(largest, "group").where("root <> largest").select("node", "group"))
+    if outside.isEmpty():
+        return None
+    blocks = outside.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("blocks"))
+    left = parts.where("part > 0").join(blocks, "group").join(outside.select("node", F.lit(True).alias("out")), "node", "left")
+    block = F.pmod(F.xxhash64(F.col("node"), F.lit(1)), F.col("blocks"))
+    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: _task(b, F.col("part")))
+    to_all = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda k: _task(block, k))
+    return checkpointed(left.withColumn("tasks", F.when(F.col("out"), F.array_union(met, to_all)).otherwise(met)).select("wanted", "node", "group", "tasks"))
+
+
+def _links(docs: DataFrame, nodes: DataFrame, met: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links (a, b) that connect what similar pairs of a group connect: nodes (node, least: a doc_id), met (node, group).
+
+    Groups are split into parts of about PART texts. A text goes out about twice in the first tasks; what they connect
+    needn't meet again, so what goes out after them is in proportion to the texts outside a group's largest component.
+    """
+    sizes = met.groupBy("group").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    wanted = met.join(sizes, "group").join(nodes.select("node", F.col("least").alias("wanted")), "node")
+    parts = wanted.withColumn("n", F.ceil(F.col("m") / PART).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    parts = checkpointed(parts.select("wanted", "node", "group", "part", "n"))
+    links = _compared(docs, _first_tasks(parts), shingle, least)
+    split = parts.where("n > 1")
+    if split.isEmpty():
+        return links
+    links = checkpointed(links)
+    left = _open_tasks(split, links.join(split.select(F.col("node").alias("a")), "a", "left_semi"))
+    return links if left is None else links.union(_compared(docs, left, shingle, least))
+
+
 def near_copy_groups(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """doc_id and component_id (the smallest doc_id that found pairs of similarity `least` or more reach) for every row of docs.
 

@@ -95,3 +95,39 @@ def test_large_components_are_split_without_loss(spark, monkeypatch):
     pairs, want = brute({i: grams(t) for i, t in enumerate(texts)})
     got = {x.doc_id: x.component_id for x in near_copies.near_copy_groups(documents(spark, texts)).collect()}
     assert pairs_found(pairs, got) >= 0.97 and all(want[i] == want[c] for i, c in got.items())
+
+
+def test_what_goes_out_of_a_large_component(spark, monkeypatch):
+    """Edits of one text, one in eight far from all: about two sets a text first, and a quarter of all pairs of parts in all."""
+    monkeypatch.setattr(near_copies, "PART", 32)
+    sent, whole = [], near_copies._compared
+
+    def counted(docs, dealt, *more):
+        sent.append(dealt.agg(F.sum(F.size("tasks"))).first()[0])
+        return whole(docs, dealt, *more)
+
+    monkeypatch.setattr(near_copies, "_compared", counted)
+    r, n = random.Random(3), 600
+    own = [f"w{i}" for i in range(120)]
+    texts = [" ".join(f"x{k}" if r.random() < 0.01 else w for w in own) for k in range(n)]
+    pairs, want = brute({i: grams(t) for i, t in enumerate(texts)})
+    got = {x.doc_id: x.component_id for x in near_copies.near_copy_groups(documents(spark, texts)).collect()}
+    assert pairs_found(pairs, got) >= 0.97 and all(want[i] == want[c] for i, c in got.items())
+    assert sent[0] <= 2.1 * n and sum(sent) <= n * n / 32 / 4
+
+
+def test_second_tasks_lose_no_link(spark, monkeypatch):
+    """One group of texts in many small parts: links are those of all pairs, whatever the hubs are."""
+    monkeypatch.setattr(near_copies, "PART", 3)
+    texts = edited()[:60]
+    docs, sets = documents(spark, texts), {i: grams(t) for i, t in enumerate(texts)}
+    _, want = brute(sets)
+    rows = near_copies._signatures(docs, 5, 32, 6).select("doc_id", "node")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
+    links = near_copies._links(docs, nodes, nodes.select("node", F.lit(1).cast("long").alias("group")), 5, 0.8)
+    of_node = {r.node: r.least for r in nodes.collect()}
+    root = {i: of_node[r.node] for r in rows.collect() for i in [r.doc_id]}
+    for a, b in links.collect():
+        x, y = root[of_node[a]], root[of_node[b]]
+        root = {i: min(x, y) if c in (x, y) else c for i, c in root.items()}
+    assert root == want
