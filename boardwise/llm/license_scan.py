@@ -3,25 +3,22 @@
 Built from DataFrame functions only. Window sizes double from class to class; a template belongs to the class of its size, so
 that wherever it stands, one window holds it whole and is at most four times as large. At the least containment the two then have a
 Jaccard similarity of 0.8 / 4.2, or 0.19, or more, and of BANDS bands with one row each, some band collides with a
-probability of 1 - (1 - 0.19) ** BANDS, over 0.998. Windows that share no shingle with any template are
-left out beforehand, which loses nothing.
+probability of 1 - (1 - 0.19) ** BANDS, over 0.998. Of a window, only shingles that templates of its class have are kept, and
+windows are made where there are such shingles; that loses nothing and makes likeness greater.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, text_or_empty
+from .common import ascii_lower, checkpointed, let, text_or_empty
 
 SHINGLE, LEAST, BANDS = 5, 0.8, 32
-#: Hashes of templates' shingles that are constants of one plan, and go out by broadcast; more templates are scanned for in
-#: parts of that many, one after the other.
-IN_PLAN = 50_000
+#: Templates' hashes and bands, up to which their tables go out by broadcast (some 200 MB); larger ones are joined by shuffles.
+BROADCAST = 1_000_000
 MASK = (1 << 64) - 1
 
 #: Usual notices of public licenses.
@@ -119,49 +116,50 @@ def _short_hits(docs: DataFrame, templates: Sequence[tuple[str, str]]) -> DataFr
     return each.where("start is not null").select("doc_id", "license", "start", F.lit(1.0).alias("containment"))
 
 
-def _apart(found: list, least_shared: float = 0.5) -> dict[int, list[list[int]]]:
-    """For each template, its shingles that a near template of another license lacks: one list for each such template."""
-    own, holders = {r.template: (r.license, set(r.own)) for r in found}, {}
-    for i, (_, a) in own.items():
-        for h in a:
-            holders.setdefault(h, []).append(i)
-    out = {}
-    for i, (name, a) in own.items():
-        shared = Counter(k for h in a for k in holders[h])
-        near = [own[k][1] for k, n in sorted(shared.items()) if own[k][0] != name and n >= least_shared * len(a)]
-        out[i] = [sorted(a - b) for b in near if a - b]
-    return out
-
-
-def _parts(found: list) -> list[list]:
-    """Templates in parts of IN_PLAN hashes; one with more is a part of its own."""
-    out, size = [[]], 0
-    for r in found:
-        if out[-1] and size + len(r.own) > IN_PLAN:
-            out.append([])
-            size = 0
-        out[-1].append(r)
-        size += len(r.own)
-    return out
-
+def _apart(known: DataFrame, least_shared: float = 0.5) -> DataFrame:
+    """template, apart: its shingles that a near template of another license lacks, one array for each such template.
 
-def _hits(docs: DataFrame, known: DataFrame, part: list, least: float, tells: dict[int, list[list[int]]] | None) -> DataFrame:
-    """doc_id, license, start and containment of each window that holds a template of one part."""
-    every = F.array(*[F.lit(x) for x in sorted({h for r in part for h in r.own})])
-    classes = F.array(*[F.lit(c) for c in sorted({r.size_class for r in part})])
-    hashed = docs.select("doc_id", shingles(text_or_empty()).alias("words")).where(F.arrays_overlap("words", every))
-    step = F.expr("cast(shiftleft(1, size_class) as int)")
-    windows = hashed.withColumn("size_class", F.explode(classes)).withColumn("start", F.explode(F.sequence(F.lit(0), F.size("words") - 1, step)))
-    windows = windows.select("doc_id", "size_class", "start", F.slice("words", F.col("start") + 1, 2 * step).alias("window")).where(F.arrays_overlap("window", every))
+    Near ones share at least `least_shared` of its shingles. Of its rarest shingles, as many as a near one can lack and one
+    more, one is in each near template; so only those look for others, and hot shingles join little.
+    """
+    each = known.select("template", "license", F.explode("own").alias("hash"))
+    counts = each.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    order = F.array_sort(F.collect_list(F.struct("n", "hash")))
+    rarest = each.join(counts, "hash").groupBy("template", "license").agg(order.alias("order"))
+    enough = F.size("order") - F.ceil(least_shared * F.size("order")).cast("int") + 1
+    rarest = rarest.select("template", "license", F.explode(F.slice("order", F.lit(1), enough)["hash"]).alias("hash"))
+    others = each.select(F.col("template").alias("near"), F.col("license").alias("other"), "hash")
+    pairs = rarest.join(others, "hash").where("license <> other").select("template", "near").distinct()
+    pairs = pairs.join(known.select("template", "own"), "template").join(known.select(F.col("template").alias("near"), F.col("own").alias("others")), "near")
+    lacks = pairs.select("template", F.size("own").alias("n"), F.array_except("own", "others").alias("lacks"))
+    near = lacks.where((F.size("lacks") > 0) & (F.col("n") - F.size("lacks") >= least_shared * F.col("n")))
+    return near.groupBy("template").agg(F.collect_list("lacks").alias("apart"))
+
+
+def _windows(docs: DataFrame, of_class: DataFrame, least: float) -> DataFrame:
+    """doc_id, copy (a hash of the text), size_class, start and window (its distinct shingles of of_class (size_class, hash)) of
+    the windows that have enough of them to hold `least` of a template of their class."""
+    text = text_or_empty()
+    words = docs.select("doc_id", F.xxhash64(text).alias("copy"), F.posexplode(shingles(text)).alias("at", "hash"))
+    hits = words.join(of_class, "hash").withColumn("k", F.expr("shiftright(at, size_class)"))
+    holding = F.explode(F.when(F.col("k") > 0, F.array(F.col("k") - 1, F.col("k"))).otherwise(F.array("k"))).alias("k")
+    windows = hits.select("doc_id", "copy", "size_class", "hash", holding).groupBy("doc_id", "copy", "size_class", "k").agg(F.collect_set("hash").alias("window"))
+    return windows.where(F.size("window") >= least * F.pow(F.lit(2.0), F.col("size_class") - 1)).withColumn("start", F.expr("shiftleft(k, size_class)"))
+
+
+def _hits(docs: DataFrame, known: DataFrame, least: float, apart: bool) -> DataFrame:
+    """doc_id, license, start and containment of each window that holds a template (license, template, own, size_class)."""
+    size = known.agg(F.coalesce(F.sum(F.size("own") + BANDS), F.lit(0))).first()[0]
+    held = F.broadcast if size <= BROADCAST else lambda df: df
+    windows = _windows(docs, held(known.select("size_class", F.explode("own").alias("hash")).distinct()), least)
     keyed = windows.select("doc_id", "size_class", "start", "window", F.posexplode(bands(F.col("window"))).alias("band", "value"))
-    known = known.where(F.col("template").between(part[0].template, part[-1].template))
-    of_templates = known.select("license", "template", "size_class", "own", F.posexplode(bands(F.col("own"))).alias("band", "value"))
-    met = keyed.join(F.broadcast(of_templates), ["size_class", "band", "value"])  # a part's, of IN_PLAN hashes
+    of_templates = known.select("template", "size_class", F.posexplode(bands(F.col("own"))).alias("band", "value"))
+    met = keyed.join(held(of_templates), ["size_class", "band", "value"]).drop("size_class").join(held(known.drop("size_class")), "template")
     share = F.size(F.array_intersect("own", "window")) / F.size("own")
-    if tells is not None:
-        apart = docs.sparkSession.createDataFrame([(r.template, tells[r.template]) for r in part], "template int, apart array<array<bigint>>")
-        met = met.where(share >= least).join(F.broadcast(apart), "template").where(F.forall("apart", lambda x: 2 * F.size(F.array_intersect(x, F.col("window"))) > F.size(x)))
-    return met.select("doc_id", "license", "start", share.alias("containment")).where(F.col("containment") >= least)
+    met = met.withColumn("containment", share).where(F.col("containment") >= least)
+    if apart:
+        met = met.where(F.forall("apart", lambda x: 2 * F.size(F.array_intersect(x, F.col("window"))) > F.size(x)))
+    return met.select("doc_id", "license", "start", "containment")
 
 
 def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = tuple(TEMPLATES), least: float = LEAST, apart: bool = False) -> DataFrame:
@@ -169,16 +167,16 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = tuple(
 
     A license counts if a window of the text holds at least `least` of the distinct shingles of one of its templates;
     with `apart`, also over half of those that tell it from each near template of another license. Templates of
-    under five words are found as whole sequences; there can be any number of templates, of any length.
+    under five words are found as whole sequences, each by a search of its own; there can be any number of templates, of any length.
     Windows of class c have 2 * 2^c shingles and start at every 2^c-th. Null and short texts hold none. Repeated rows
     count as one document, null doc_ids too; other columns, whatever their names, don't matter; an empty table gives an empty
-    result. A very long text is one row, and its windows are in proportion to it.
+    result. A very long text is one row; what is shuffled of it are its shingles that templates have, window by window.
     """
-    known = _templates(docs, templates)
-    found = known.select("license", "template", "size_class", "own").orderBy("template").collect()
-    tells = _apart(found) if apart else None
-    all_hits = [_hits(docs, known, part, least, tells) for part in _parts(found) if part]
+    known = checkpointed(_templates(docs, templates))
+    if apart:
+        near = known.join(_apart(known), "template", "left")
+        known = checkpointed(near.withColumn("apart", F.coalesce("apart", F.array().cast("array<array<bigint>>"))))
+    met = _hits(docs, known, least, apart)
     if (short := _short_hits(docs, templates)) is not None:
-        all_hits.append(short)
-    met = reduce(DataFrame.unionByName, all_hits)
+        met = met.unionByName(short)
     return met.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("start").cast("long").alias("first_word"))

@@ -1,3 +1,4 @@
+import random
 from pathlib import Path
 
 import pytest
@@ -38,13 +39,25 @@ def test_short_templates_count(spark):
 
 
 def test_any_number_of_templates(spark, monkeypatch):
-    """Parts of a few templates each give what one part gives."""
+    """Templates joined by shuffles give what a broadcast gives."""
     docs = documents(spark, [t for _, t in license_scan.NOTICES] + [c for c, _ in CASES])
     whole = {tuple(r) for r in license_scan.scan_licenses(docs, license_scan.NOTICES, apart=True).collect()}
-    monkeypatch.setattr(license_scan, "IN_PLAN", 400)
+    monkeypatch.setattr(license_scan, "BROADCAST", 400)
     assert {tuple(r) for r in license_scan.scan_licenses(docs, license_scan.NOTICES, apart=True).collect()} == whole and len(whole) > 60
 
 
+def test_what_tells_templates_apart(spark):
+    """Rarest shingles find all near templates that comparing each with each finds, hot ones among them."""
+    r = random.Random(5)
+    hot = [f"h{k}" for k in range(30)]
+    texts = [" ".join([*hot[: r.randrange(10, 31)], *(r.choice("abc") + str(r.randrange(9)) for _ in range(r.randrange(0, 25)))]) for _ in range(40)]
+    known = license_scan._templates(spark.range(1), [(f"L{k % 7}", t) for k, t in enumerate(texts)])
+    own = {x.template: (x.license, set(x.own)) for x in known.collect()}
+    want = {i: sorted(sorted(a - b) for m, b in own.values() if m != n and a - b and len(a & b) >= 0.5 * len(a)) for i, (n, a) in own.items()}
+    got = {x.template: sorted(map(sorted, x.apart)) for x in license_scan._apart(known).collect()}
+    assert got == {i: w for i, w in want.items() if w} and len(got) > 20
+
+
 FULL = Path("/usr/share/common-licenses")
 
 
