@@ -1,6 +1,6 @@
 """Versions of a rated dataset, kept under keys.
 
-    {path}/{key}/claims/{version}       made before anything is written; who makes it owns the name
+    {path}/{key}/claims/{version}/...   marks made before anything is written; who finds its own alone there owns the name
     {path}/{key}/{version}/...          results, states, days, players and scale of what that build folded
     {path}/{key}/meta/{version}.json    made last; a version without it doesn't count
     {path}/{version}, {path}/meta       the same without keys, as older builds left it: read where a key has no version
@@ -13,12 +13,13 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 import re
+import uuid
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 from functools import reduce
 
-from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,17 +59,20 @@ def _names(spark: SparkSession, folder: str) -> list[str]:
 
 
 def claim(spark: SparkSession, path: str, key: str, now: dt.datetime) -> str:
-    """A version's name that no other build has: of the time, or of the first free microsecond after it."""
+    """A version's name that no other build has: of the time, or of a free one soon after it.
+
+    Each build puts a mark of its own into the name's claims, then lists them: who finds no other's owns the name. Two that find
+    each other both go on. It needs no create-if-absent, which local file systems don't have."""
+    fs, of = _fs(spark, path)
     while True:
-        name = now.strftime("v%Y%m%dT%H%M%S%f")
-        fs, of = _fs(spark, path)
-        try:
-            if name not in _names(spark, f"{path}/{key}") and fs.createNewFile(of(f"{path}/{key}/claims/{name}")):
+        name, mark = now.strftime("v%Y%m%dT%H%M%S%f"), uuid.uuid4().hex
+        if name not in _names(spark, f"{path}/{key}"):
+            folder = f"{path}/{key}/claims/{name}"
+            fs.create(of(f"{folder}/{mark}"), False).close()
+            if _names(spark, folder) == [mark]:
                 return name
-        except Py4JJavaError as e:
-            if "exist" not in str(e.java_exception).lower():
-                raise
-        now += dt.timedelta(microseconds=1)
+            fs.delete(of(f"{folder}/{mark}"), False)
+        now += dt.timedelta(microseconds=random.randint(1, 1000))
 
 
 def publish(spark: SparkSession, path: str, key: str, version: Version) -> None:
@@ -112,7 +116,7 @@ def prune(spark: SparkSession, path: str, key: str, keep: int = 2) -> list[str]:
     for name in old:
         fs.delete(of(f"{path}/{key}/meta/{name}.json"), False)  # first, so that no reader finds half a version
         delete(spark, f"{path}/{key}/{name}")
-        fs.delete(of(f"{path}/{key}/claims/{name}"), False)
+        fs.delete(of(f"{path}/{key}/claims/{name}"), True)
     return sorted(old)
 
 
