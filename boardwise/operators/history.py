@@ -1,13 +1,15 @@
 """Elo history of tournaments: a fold over results in time.
 
 A rating depends on the field's mean at the start of its session, so a pool's sessions follow each other where players
-connect them. Pools (columns given in `by`) are independent and fold in parallel; within a pool, so do the sessions of a window
-of days that no player connects (`windows`). Rows arrive sorted through Spark's own external sort and leave as they came, with
-their ratings: a task holds its players' ratings and one session's rows, never a pool.
+connect them. Pools (columns given in `by`) are independent and fold in parallel. What follows each other is little: two codes
+and two percentages a row, packed by session, from which a pool's task finds the ratings that each session starts with. From
+those, sessions are rated apart, wherever they are: whole rows arrive sorted through Spark's own external sort and leave as they
+came, with their ratings. A task holds its players' ratings and one session's players and percentages.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -21,8 +23,12 @@ from .components import components
 RATED = [f"player{i}_{t}_elo_{m}" for i in (1, 2) for t in ("scratch", "handicap") for m in ("before", "after")]
 FIELD = ["scratch_field_avg", "handicap_field_avg", "scratch_field_strength", "handicap_field_strength"]
 OUT = [*FIELD, *RATED, "scratch_pair_elo", "handicap_pair_elo"]
-#: Rows of a window up to which its pools fold whole: less work than a search for what players connect.
-FEW_ROWS = 20_000
+#: Rows up to which pools fold whole: less work than a search, window by window, for what players connect.
+FEW_ROWS = 50_000_000
+#: Rows of a pack. A batch of Arrow has 10,000 packs, so a pack is small.
+PACK = 256
+#: Least number of tasks that sessions are dealt to, as a few large ones of a pool shouldn't meet in a task.
+SESSION_PARTS = 32
 #: What a fold can go on from: players' unrounded ratings after a row, and the row's place in its task's order.
 TRACE = ["player1_scratch_raw", "player1_handicap_raw", "player2_scratch_raw", "player2_handicap_raw", "fold_seq"]
 
@@ -43,14 +49,15 @@ def _shown(x: float) -> float:
     return round(min(R.DISPLAY_MAX, max(0.0, min(10000.0, max(-1000.0, x)) * 2.0)), 1)
 
 
-def fold_session(rows: list[tuple], scratch: dict, handicap: dict) -> list[tuple]:
-    """Rated values of one session's rows (player1, player2, scratch pct, handicap pct or None) and their players' new ratings."""
-    start = R.DEFAULT_ELO
-    fields = []
-    for ratings in (scratch, handicap):
-        means = [(ratings.get(a, start) + ratings.get(b, start)) / 2 for a, b, *_ in rows if a and b]
-        fields.append(sum(means) / len(means) if means else start)
-    scales, out = [_scale(f) for f in fields], []
+def _fields(pairs: Sequence[tuple], scratch: dict, handicap: dict) -> tuple[float, ...]:
+    """Means of both players' ratings over a session's rows (player1, player2, ...) that have both."""
+    start, full = R.DEFAULT_ELO, [x[:2] for x in pairs if x[0] and x[1]]
+    return tuple(sum([(ratings.get(a, start) + ratings.get(b, start)) / 2 for a, b in full]) / len(full) if full else start for ratings in (scratch, handicap))
+
+
+def _rated(rows: Sequence[tuple], fields: tuple[float, ...], scratch: dict, handicap: dict) -> list[tuple]:
+    """Rated values of rows of one session, whose fields are known, and their players' new ratings."""
+    start, scales, out = R.DEFAULT_ELO, [_scale(f) for f in fields], []
     for a, b, pct, with_bonus in rows:
         track = 1 if with_bonus is not None else 0
         own: list[float | None] = []
@@ -69,6 +76,11 @@ def fold_session(rows: list[tuple], scratch: dict, handicap: dict) -> list[tuple
     return out
 
 
+def fold_session(rows: list[tuple], scratch: dict, handicap: dict) -> list[tuple]:
+    """Rated values of one session's rows (player1, player2, scratch pct, handicap pct or None) and their players' new ratings."""
+    return _rated(rows, _fields(rows, scratch, handicap), scratch, handicap)
+
+
 def with_percentages(results: DataFrame) -> DataFrame:
     """results with scratch_percentage, club_percentage and iv_bonus filled where they are missing or no number.
 
@@ -81,19 +93,123 @@ def with_percentages(results: DataFrame) -> DataFrame:
     return results.withColumns({"scratch_percentage": F.coalesce(own["scratch_percentage"], club), "club_percentage": club, "iv_bonus": F.coalesce(own["iv_bonus"], bonus)})
 
 
-def _stream(results: DataFrame, by: Sequence[str], row: str, initial: DataFrame | None) -> DataFrame:
-    """What a pool's task reads, in order: its first ratings (as player1_id, scratch, handicap), then its results."""
-    keys = [F.col(c) for c in by]
-    own = results.select(
-        *keys, F.lit(1).alias("kind"), "date", "tournament_id", F.col(row).alias("place"), *[F.nullif(F.col(f"player{i}_id").cast("string"), F.lit("")).alias(f"player{i}_id") for i in (1, 2)],
-        F.col("scratch_percentage").cast("double").alias("scratch"), F.col("handicap_percentage").try_cast("double").alias("handicap"), F.struct(*results.drop(*OUT).columns).alias("own"),
-    )
+def _narrow(results: DataFrame, row: str) -> list[Column]:
+    """What rates a row: its session, its place there, both players and percentages."""
+    players = [F.nullif(F.col(f"player{i}_id").cast("string"), F.lit("")).alias(f"player{i}_id") for i in (1, 2)]
+    return [F.col("date"), F.col("tournament_id"), F.col(row).alias("place"), *players, F.col("scratch_percentage").cast("double").alias("scratch"), F.col("handicap_percentage").try_cast("double").alias("handicap")]
+
+
+ROW_ORDER = ["place", "player1_id", "player2_id", "scratch", "handicap"]
+
+
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, as Spark would join parts by their bytes, and the fold's work isn't in them
+
+
+def _packs(results: DataFrame, by: Sequence[str], row: str) -> DataFrame:
+    """Rows of each session in order, up to PACK in a row: their players once, and of each row two places among them (null: no player) and the percentages."""
+    keys = [*by, "date", "tournament_id"]
+    own = results.select(*by, *_narrow(results, row))
+    dealt = own.repartition(max(_tasks(own), SESSION_PARTS), *keys).sortWithinPartitions(*keys, *ROW_ORDER)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, pack = None, 0
+        for batch in batches:
+            starts, packs = [], []
+            for k, key in enumerate(zip(*(batch.column(i).to_pylist() for i in range(len(keys))))):
+                if key != session:
+                    session, pack = key, -1
+                elif k and k - starts[-1] < PACK:
+                    continue
+                pack += 1
+                starts.append(k)
+                packs.append(pack)
+            ends, lists = [*starts[1:], batch.num_rows], [[], [], [], [], []]
+            for a, b in zip(starts, ends):
+                ids = [batch.column(f"player{i}_id").slice(a, b - a) for i in (1, 2)]
+                coded = pa.concat_arrays(ids).dictionary_encode()
+                values = (coded.dictionary, coded.indices.slice(0, b - a), coded.indices.slice(b - a), *(batch.column(c).slice(a, b - a) for c in ("scratch", "handicap")))
+                for of, x in zip(lists, values):
+                    of.append(x)
+            if starts:
+                at = pa.array(starts, pa.int64())
+                arrays = [pa.ListArray.from_arrays(pa.array([0, *itertools.accumulate(map(len, x))], pa.int32()), pa.concat_arrays(x)) for x in lists]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(keys))), pa.array(packs, pa.int32()), *arrays], names=[*keys, "pack", *PACKED])
+
+    types = {f.name: f.dataType.simpleString() for f in own.schema}
+    return dealt.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keys), "pack int", "players array<string>", "a array<int>", "b array<int>", "scratch array<double>", "handicap array<double>"]))
+
+
+PACKED = ["players", "a", "b", "scratch", "handicap"]
+
+
+def _starts(results: DataFrame, by: Sequence[str], row: str, initial: DataFrame | None) -> DataFrame:
+    """(by, date, tournament_id, player_id, scratch, handicap, done): ratings of each session's players ahead of it, of those that have some.
+
+    done is the number of the pool's rows ahead; each session has a row without a player, for it. A pool's task reads its first ratings, then its sessions' packs.
+    """
+    own = _packs(results, by, row).withColumn("kind", F.lit(1))
     if initial is not None:
-        first = initial.select(*keys, F.lit(0).alias("kind"), F.col("player_id").alias("player1_id"), F.col("scratch").cast("double").alias("scratch"), F.col("handicap").cast("double").alias("handicap"))
-        own = own.unionByName(first, allowMissingColumns=True)
-    order = [*by, "kind", "date", "tournament_id", "place", "player1_id", "player2_id", "scratch", "handicap"]
-    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, as Spark would join parts by their bytes, and the fold's work isn't in them
-    return (own.repartition(parts, *by) if by else own.repartition(1)).sortWithinPartitions(*order)
+        one = [F.array(F.col(c).cast(t)).alias(n) for c, t, n in (("player_id", "string", "players"), ("scratch", "double", "scratch"), ("handicap", "double", "handicap"))]
+        own = own.unionByName(initial.select(*by, F.lit(0).alias("kind"), *one), allowMissingColumns=True)
+    keys = [*by, "date", "tournament_id"]
+    own = own.repartition(_tasks(own), *by) if by else own.repartition(1)
+    ordered, n_by = own.sortWithinPartitions(*by, "kind", "date", "tournament_id", "pack", "players", "scratch", "handicap"), len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool, session, held, scratch, handicap, done = None, None, [], {}, {}, 0
+
+        def rows(p: list) -> Iterator[tuple]:
+            names, a, b, s, h = (x.as_py() for x in p)
+            return zip((None if i is None else names[i] for i in a), (None if i is None else names[i] for i in b), s, h)
+
+        def flush() -> pa.RecordBatch:
+            nonlocal done
+            known = [p for p in dict.fromkeys(n for x in held for n in x[0].as_py()) if p in scratch]
+            columns = [[None, *known], [None, *(scratch[p] for p in known)], [None, *(handicap[p] for p in known)]]
+            out = [*(pa.repeat(k, len(known) + 1) for k in session), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.float64()))), pa.repeat(pa.scalar(done, pa.int64()), len(known) + 1)]
+            fields = _fields([x for p in held for x in rows(p)], scratch, handicap)
+            scales, start, step = [_scale(f) for f in fields], R.DEFAULT_ELO, _step
+            for p in held:
+                for a, b, pct, with_bonus in rows(p):
+                    done += 1
+                    other, track = (pct, 0) if with_bonus is None else (with_bonus, 1)
+                    for x in (a, b):
+                        if x:
+                            scratch[x] = step(scratch.get(x, start), pct, fields[0], scales[0])
+                            handicap[x] = step(handicap.get(x, start), other, fields[track], scales[track])
+            return pa.RecordBatch.from_arrays(out, names=[*keys, "player_id", "scratch", "handicap", "done"])
+
+        for batch in batches:
+            columns = {c: batch.column(c) for c in batch.schema.names}
+            for k in range(batch.num_rows):
+                key = tuple(columns[c][k] for c in keys)
+                first = columns["kind"][k].as_py() == 0
+                if held and (first or key != session):
+                    yield flush()
+                    held = []
+                if key[:n_by] != pool:
+                    pool, scratch, handicap, done = key[:n_by], {}, {}, 0
+                if first:
+                    player = columns["players"][k].as_py()[0]
+                    scratch[player], handicap[player] = columns["scratch"][k].as_py()[0], columns["handicap"][k].as_py()[0]
+                else:
+                    session = key
+                    held.append([columns[c][k] for c in PACKED])
+        if held:
+            yield flush()
+
+    types = {f.name: f.dataType.simpleString() for f in own.schema}
+    return ordered.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keys), "player_id string, scratch double, handicap double, done long"]))
+
+
+def _stream(results: DataFrame, by: Sequence[str], row: str, starts: DataFrame | None) -> DataFrame:
+    """What a task reads of each session, in order: its players' first ratings (as player1_id, scratch, handicap), then its results."""
+    keys = [*by, "date", "tournament_id"]
+    own = results.select(*by, *_narrow(results, row), F.lit(1).alias("kind"), F.struct(*results.drop(*OUT).columns).alias("own"))
+    if starts is not None:
+        own = own.unionByName(starts.select(*keys, F.lit(0).alias("kind"), F.col("player_id").alias("player1_id"), "scratch", "handicap", "done"), allowMissingColumns=True)
+    return own.repartition(max(_tasks(own), SESSION_PARTS), *keys).sortWithinPartitions(*keys, "kind", *ROW_ORDER)
 
 
 def up_to(results: DataFrame, today: str | None) -> DataFrame:
@@ -108,41 +224,46 @@ def fold(results: DataFrame, by: Sequence[str] = (), row: str = "row_seq", today
     Percentages are completed by with_percentages. Sessions go by date text, then id, and rows of a session by `row`; nulls
     come first. Later sessions than `today` are left out. Every other row stays, repeated ones too, which count each. A null
     or empty id is no player. initial: ratings to start from, (by, player_id, scratch, handicap), read as the pool's first rows.
-    trace adds the columns TRACE.
+    trace adds the columns TRACE. results are read twice, and have to be the same both times.
     """
-    ordered, n_by = _stream(up_to(results, today), by, row, initial), len(by)
+    known = up_to(results, today)
+    ordered, keys = _stream(known, by, row, _starts(known, by, row, initial)), [*by, "date", "tournament_id", "kind"]
     names, types = [*OUT, *TRACE], [*[pa.float64()] * (len(OUT) + 4), pa.int64()]
     names, types = (names, types) if trace else (OUT, types[: len(OUT)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool, session, held, parts, ratings, done = None, None, [], [], ({}, {}), 0
+        session, held, parts, ratings, done = None, [], [], ({}, {}), 0
 
-        def flush() -> pa.RecordBatch:
-            nonlocal done
-            columns = [*zip(*fold_session(held, *ratings)), range(done, done + len(held))]
-            done += len(held)
-            own = pa.concat_arrays(parts)
-            return pa.RecordBatch.from_arrays([own, *(pa.array(c, t) for c, t in zip(columns, types))], names=["own", *names])
+        def flush() -> Iterator[pa.RecordBatch]:
+            fields, at = _fields(held, *ratings), 0
+            for own in parts:
+                columns = [*zip(*_rated(held[at : at + len(own)], fields, *ratings)), range(done + at, done + at + len(own))]
+                at += len(own)
+                yield pa.RecordBatch.from_arrays([own, *(pa.array(c, t) for c, t in zip(columns, types))], names=["own", *names])
 
         for b in batches:
-            keys = list(zip(*(b.column(i).to_pylist() for i in range(n_by + 3))))
+            columns = [b.column(c).to_pylist() for c in keys]
             values, own, start = list(zip(*(b.column(c).to_pylist() for c in ("player1_id", "player2_id", "scratch", "handicap")))), b.column("own"), 0
-            for k, key in enumerate(keys):
+            for k, key in enumerate(zip(*columns)):
                 if key != session:
-                    parts.append(own.slice(start, k - start))
                     if held:
-                        yield flush()
+                        if k > start:
+                            parts.append(own.slice(start, k - start))
+                        yield from flush()
+                    if session is None or key[:-1] != session[:-1]:
+                        ratings = ({}, {})
                     held, parts, start, session = [], [], k, key
-                if key[:n_by] != pool:
-                    pool, ratings = key[:n_by], ({}, {})
-                if key[n_by]:
+                if key[-1]:
                     held.append(values[k])
                 else:
                     player, _, scratch, handicap = values[k]
-                    ratings[0][player], ratings[1][player] = scratch, handicap
-            parts.append(own.slice(start))
+                    done = b.column("done")[k].as_py()
+                    if player:
+                        ratings[0][player], ratings[1][player] = scratch, handicap
+            if held and b.num_rows > start:
+                parts.append(own.slice(start))
         if held:
-            yield flush()
+            yield from flush()
 
     kind = ordered.schema["own"].dataType.simpleString()
     rated = ordered.mapInArrow(run, ", ".join([f"own {kind}", *(f"{c} {'long' if c == 'fold_seq' else 'double'}" for c in names)]))

@@ -207,3 +207,30 @@ def test_pages_of_session_lists(spark, tmp_path):
         (tmp_path / "pages" / f"{k}.json").write_text(json.dumps({"timestamp": t, "series_id": series, "page": number, "data": data}))
     spark.createDataFrame([("1", 3, "[]")], "tournament_id string, series_id int, payload string").write.parquet(f"{tmp_path}/payloads.parquet")
     assert sorted(int(r.tournament_id) for r in build.landed(spark, str(tmp_path), dt.datetime(2024, 5, 3), None, None)[1].collect()) == [i for i, _ in want]
+
+
+def largest_task(df):
+    """Rows that the task with most of them has."""
+    return max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+
+def test_no_task_of_a_fold_sorts_a_pool_of_whole_rows(spark):
+    df = history.with_percentages(spark.range(3000).selectExpr("'2024-01-' || lpad(id % 28 + 1, 2, '0') AS date", "'t' || id % 56 AS tournament_id", "id AS row_seq", "'a' || id % 11 AS player1_id", "nullif('b' || id % 7, 'b3') AS player2_id", "double(id % 60 + 20) AS scratch_percentage", "if(id % 3 = 0, null, double(id % 50 + 30)) AS handicap_percentage"))
+    assert largest_task(history._stream(df, [], "row_seq", None)) < 1500
+    packs = history._packs(df, [], "row_seq")
+    assert packs.count() < 3000 / 20 and packs.selectExpr("sum(size(a))", "max(size(a))").first() == (3000, 54)
+    rows = [(r.date, r.tournament_id, r.row_seq, r.player1_id, r.player2_id, r.scratch_percentage, r.handicap_percentage) for r in df.collect()]
+    got = {(r.tournament_id, r.row_seq): (r.player1_scratch_elo_after, r.player2_handicap_elo_after, r.scratch_pair_elo) for r in history.fold(df).collect()}
+    assert got == plain_fold(rows)
+
+
+def test_packs_and_batches_that_end_within_a_session(spark, monkeypatch):
+    rows = [(f"2024-01-0{1 + k // 400}", f"t{k // 400}", k, f"p{k % 9}", None if k % 13 == 0 else f"q{k % 8}", float(k % 60 + 20), None if k % 3 else float(k % 50 + 30)) for k in range(1200)]
+    df = spark.createDataFrame(rows, "date string, tournament_id string, row_seq int, player1_id string, player2_id string, scratch_percentage double, handicap_percentage double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        rated = history.fold(df, trace=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.tournament_id, r.row_seq): (r.player1_scratch_elo_after, r.player2_handicap_elo_after, r.scratch_pair_elo) for r in rated} == plain_fold(rows)
+    assert {r.row_seq: r.fold_seq for r in rated} == {k: k for k in range(1200)}
