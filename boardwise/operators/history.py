@@ -369,12 +369,33 @@ def totals(states: DataFrame) -> DataFrame:
     return each.select("player_id", "last.*", "games_played", "avg_percentage", F.when(F.col("n") > 1, F.sqrt(m2 / (F.col("n") - 1))).alias("stdev_percentage"))
 
 
+def _moments(v: str) -> list[Column]:
+    """Count, mean and squared deviations of a column, which _merged adds up."""
+    return [F.count(v).alias("n"), F.avg(v).alias("mean"), (F.count(v) * F.var_pop(v)).alias("m2")]
+
+
+def _merged() -> dict[str, Column]:
+    """n, mean and m2 of groups of _moments, around a fixed centre near percentages, so that groups add up."""
+    n, mean = F.sum("n"), F.sum(F.col("n") * F.col("mean")) / F.nullif(F.sum("n"), F.lit(0))
+    return {"n": n, "mean": mean, "m2": F.greatest(F.sum("m2") + F.sum(F.col("n") * (F.col("mean") - 50.0) ** 2) - n * (mean - 50.0) ** 2, F.lit(0.0))}
+
+
 def snapshot(rated: DataFrame, row: str = "row_seq") -> DataFrame:
-    """Players after the fold: last ratings, games, mean and deviation of their percentages."""
+    """Players after the fold: last ratings, games, mean and deviation of their percentages.
+
+    A session's rows of a player are aggregated first, by a number and into numbers, which Spark does by hash; the last of
+    names and dates needs sorting, and is taken from those.
+    """
     seats = [F.struct(F.col(f"player{i}_id").alias("player_id"), F.col(f"player{i}_name").alias("player_name"), F.lit(i).alias("seat"), *[F.col(f"player{i}_{t}_elo_after").alias(f"{t}_elo") for t in ("scratch", "handicap")]) for i in (1, 2)]
-    long = rated.select("date", "tournament_id", row, "scratch_percentage", F.inline(F.array(*seats))).where("player_id is not null and player_id <> ''")
-    last = lambda c: F.max_by(c, F.struct("date", "tournament_id", row, "seat")).alias(c)
-    return long.groupBy("player_id").agg(last("player_name"), last("scratch_elo"), last("handicap_elo"), F.count(F.lit(1)).alias("games_played"), F.avg("scratch_percentage").alias("avg_percentage"), F.stddev_samp("scratch_percentage").alias("stdev_percentage"))
+    at, first = F.col(row), F.lit(0).cast(rated.schema[row].dataType)
+    long = rated.select("date", "tournament_id", at.isNotNull().alias("placed"), F.coalesce(at, first).alias("place"), "scratch_percentage", F.inline(F.array(*seats))).where("player_id is not null and player_id <> ''")
+    last = lambda c: F.max_by(c, "place").alias(c)
+    each = long.groupBy("player_id", "player_name", "date", "tournament_id", "placed", "seat").agg(
+        F.max("place").alias("place"), last("scratch_elo"), last("handicap_elo"), F.count(F.lit(1)).alias("games"), *_moments("scratch_percentage"),
+    )
+    shown, n = F.struct("player_name", "scratch_elo", "handicap_elo"), F.col("n")
+    people = each.groupBy("player_id").agg(F.max_by(shown, F.struct("date", "tournament_id", "placed", "place", "seat")).alias("last"), F.sum("games").alias("games_played"), *[c.alias(k) for k, c in _merged().items()])
+    return people.select("player_id", "last.*", "games_played", F.col("mean").alias("avg_percentage"), F.when(n > 1, F.sqrt(F.col("m2") / (n - 1))).alias("stdev_percentage"))
 
 
 def scale_of(people: DataFrame, min_games: int = 5, min_pool: int = 10) -> DataFrame:
@@ -399,6 +420,9 @@ def scaled(df: DataFrame, scale: DataFrame) -> DataFrame:
 
 
 def standardized(rated: DataFrame, people: DataFrame, min_games: int = 5, min_pool: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Both tables with ratings on the display scale of the players' population, of those with enough games if they are enough."""
+    """Both tables with ratings on the display scale of the players' population, of those with enough games if they are enough.
+
+    people, a row a player, are computed once, as they and their scale would otherwise each fold all results."""
+    people = checkpointed(people)
     scale = scale_of(people, min_games, min_pool)
     return scaled(rated, scale), scaled(people, scale)

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -234,3 +235,17 @@ def test_packs_and_batches_that_end_within_a_session(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {(r.tournament_id, r.row_seq): (r.player1_scratch_elo_after, r.player2_handicap_elo_after, r.scratch_pair_elo) for r in rated} == plain_fold(rows)
     assert {r.row_seq: r.fold_seq for r in rated} == {k: k for k in range(1200)}
+
+
+def test_a_snapshot_aggregates_by_hash_before_it_sorts(spark):
+    schema = "date string, tournament_id string, row_seq int, player1_id string, player1_name string, player2_id string, player2_name string, scratch_percentage double, player1_scratch_elo_after double, player2_scratch_elo_after double"
+    rows = [
+        ("2024-01-02", "t", 2, "a", "A", "b", "B", 40.0, 1.0, 2.0), ("2024-01-02", "t", 7, "b", None, "a", "A2", 50.0, 3.0, 4.0), (None, "z", 9, "a", "old", "", "", 60.0, 5.0, None),
+        ("2024-01-02", "t", None, "c", "C", "c", "C2", 70.0, 6.0, 7.0), ("2024-01-02", "s", 99, "b", "x", None, None, 30.0, 8.0, None),
+    ]
+    df = spark.createDataFrame(rows, schema).withColumns({f"player{i}_handicap_elo_after": F.col(f"player{i}_scratch_elo_after") + 100 for i in (1, 2)})
+    people = history.snapshot(df)
+    got = {r.player_id: (r.player_name, r.scratch_elo, r.handicap_elo, r.games_played, r.avg_percentage) for r in people.collect()}
+    assert got == {"a": ("A2", 4.0, 104.0, 3, 50.0), "b": (None, 3.0, 103.0, 3, 40.0), "c": ("C2", 7.0, 107.0, 2, 70.0)}
+    assert {r.player_id: r.stdev_percentage for r in people.collect()} == pytest.approx({"a": 10.0, "b": 10.0, "c": 0.0})
+    assert re.findall(r"(\w+)Aggregate\(", people._jdf.queryExecution().executedPlan().toString())[-1] == "Hash"
