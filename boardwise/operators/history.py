@@ -303,19 +303,34 @@ def coupled(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return own.join(found.select(F.col("s").alias("_s"), "label"), "_s", "left").withColumn("coupled", F.coalesce("label", "_s")).drop("_s", "label")
 
 
+def _moments(v: str) -> list[Column]:
+    """Count, mean and squared deviations of a column, which _merged adds up."""
+    return [F.count(v).alias("n"), F.avg(v).alias("mean"), (F.count(v) * F.var_pop(v)).alias("m2")]
+
+
+def _merged() -> dict[str, Column]:
+    """n, mean and m2 of groups of _moments, around a fixed centre near percentages, so that groups add up."""
+    n, mean = F.sum("n"), F.sum(F.col("n") * F.col("mean")) / F.nullif(F.sum("n"), F.lit(0))
+    return {"n": n, "mean": mean, "m2": F.greatest(F.sum("m2") + F.sum(F.col("n") * (F.col("mean") - 50.0) ** 2) - n * (mean - 50.0) ** 2, F.lit(0.0))}
+
+
 def day_states(rated: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Of each player and day of traced rows: ratings after it, unrounded and shown, the last name, and moments of the percentages."""
+    """Of each player and day of traced rows: ratings after it, unrounded and shown, the last name, and moments of the percentages.
+
+    Rows are aggregated under each of a player's names first, by a number and into numbers, as snapshot's are."""
+    of = {"scratch": "scratch_raw", "handicap": "handicap_raw", "scratch_elo": "scratch_elo_after", "handicap_elo": "handicap_elo_after"}
     seats = [
         F.struct(
-            F.nullif(F.col(f"player{i}_id").cast("string"), F.lit("")).alias("player_id"), F.lit(i).alias("seat"),
-            F.struct(F.col(f"player{i}_scratch_raw").alias("scratch"), F.col(f"player{i}_handicap_raw").alias("handicap"), F.col(f"player{i}_name").cast("string").alias("player_name"), *[F.col(f"player{i}_{t}_elo_after").alias(f"{t}_elo") for t in ("scratch", "handicap")]).alias("last"),
+            F.nullif(F.col(f"player{i}_id").cast("string"), F.lit("")).alias("player_id"), F.col(f"player{i}_name").cast("string").alias("player_name"), (F.col("fold_seq") * 2 + i).alias("at"),
+            *[F.col(f"player{i}_{c}").alias(name) for name, c in of.items()],
         )
         for i in (1, 2)
     ]
-    long = rated.select(*by, day_of().alias("day"), "fold_seq", "scratch_percentage", F.inline(F.array(*seats))).where("player_id is not null")
-    v = "scratch_percentage"
-    each = long.groupBy(*by, "day", "player_id").agg(F.max_by("last", F.struct("fold_seq", "seat")).alias("last"), F.count(F.lit(1)).alias("games"), F.count(v).alias("n"), F.avg(v).alias("mean"), (F.count(v) * F.var_pop(v)).alias("m2"))
-    return each.select(*by, "day", "player_id", "last.*", "games", "n", "mean", "m2")
+    long = rated.select(*by, day_of().alias("day"), "scratch_percentage", F.inline(F.array(*seats))).where("player_id is not null")
+    each = long.groupBy(*by, "day", "player_id", "player_name").agg(F.max("at").alias("at"), *[F.max_by(c, "at").alias(c) for c in of], F.count(F.lit(1)).alias("games"), *_moments("scratch_percentage"))
+    last = F.max_by(F.struct("scratch", "handicap", "player_name", "scratch_elo", "handicap_elo"), "at").alias("last")
+    days = each.groupBy(*by, "day", "player_id").agg(last, F.sum("games").alias("games"), *[c.alias(k) for k, c in _merged().items()])
+    return days.select(*by, "day", "player_id", "last.*", "games", "n", "mean", "m2")
 
 
 def _same(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -335,27 +350,32 @@ def newer(state: DataFrame, new: DataFrame, by: Sequence[str] = ()) -> DataFrame
 
 
 def fold_windows(results: DataFrame, folder: str, by: Sequence[str] = (), row: str = "row_seq", initial: DataFrame | None = None, window_rows: int = 1_000_000) -> None:
-    """Writes fold's rows, with TRACE and fold_day, to folder/results and day_states to folder/states, a window after the other.
+    """Writes fold's rows, with TRACE and fold_day, to folder/results and day_states to folder/states. results have completed percentages.
 
-    A window has about window_rows rows of days that follow each other. Its sessions are dealt by what players connect, so
-    that tasks fold apart; ratings go from window to window as a table, one row a player. results have completed percentages.
+    Up to FEW_ROWS they are one window, whose pools fold whole. Beyond, a window after the other is folded, of about window_rows
+    rows of days that follow each other: its sessions are dealt by what players connect, so that tasks fold apart, and ratings
+    go from window to window as a table, one row a player.
     """
     spark = results.sparkSession
-    by_day = results.withColumn("fold_day", day_of()).repartitionByRange("fold_day")
-    by_day.write.parquet(f"{folder}/input")  # days stand together, so a window reads its own files or row groups
-    table, at = spark.read.schema(by_day.schema).parquet(f"{folder}/input"), "fold_day"
-    sizes = {r[0]: r[1] for r in table.groupBy(at).count().collect()}  # a row a day
-    found = windows([*sizes.items()], window_rows)
+    by_day = results.withColumn("fold_day", day_of())
+    sizes = {r[0]: r[1] for r in by_day.groupBy("fold_day").count().collect()}  # a row a day
+    few = sum(sizes.values()) <= FEW_ROWS
+    found = windows([*sizes.items()], FEW_ROWS if few else window_rows) or [("", "")]
+    if not few:
+        by_day = by_day.repartitionByRange("fold_day")  # days stand together, so a window reads its own files or row groups
+    by_day.write.parquet(f"{folder}/input")
+    table = spark.read.schema(by_day.schema).parquet(f"{folder}/input")
     state = None if initial is None else initial.withColumn("player_id", F.col("player_id").cast("string"))
-    for k, (first, last) in enumerate(found or [("", "")]):
-        own, pools = table.where(F.col(at).between(first, last)), [*by]
-        if sum(n for d, n in sizes.items() if first <= d <= last) > FEW_ROWS:
+    for k, (first, last) in enumerate(found):
+        own, pools = table if few else table.where(F.col("fold_day").between(first, last)), [*by]
+        if not few:
             own, pools = checkpointed(coupled(own, by)), [*by, "coupled"]
         start = None if state is None else _same(state, _seats(own, *pools).distinct(), [*by, "player_id"], "inner")
         fold(own, pools, row, initial=start, trace=True).drop("coupled").write.parquet(f"{folder}/results/window={k}")
         day_states(spark.read.parquet(f"{folder}/results/window={k}"), by).write.parquet(f"{folder}/states/window={k}")
-        new = latest_states(spark.read.parquet(f"{folder}/states/window={k}"), by)
-        state = checkpointed(new if state is None else newer(state, new, by))
+        if k + 1 < len(found):
+            new = latest_states(spark.read.parquet(f"{folder}/states/window={k}"), by)
+            state = checkpointed(new if state is None else newer(state, new, by))
     delete(spark, f"{folder}/input")
 
 
@@ -369,17 +389,6 @@ def totals(states: DataFrame) -> DataFrame:
     return each.select("player_id", "last.*", "games_played", "avg_percentage", F.when(F.col("n") > 1, F.sqrt(m2 / (F.col("n") - 1))).alias("stdev_percentage"))
 
 
-def _moments(v: str) -> list[Column]:
-    """Count, mean and squared deviations of a column, which _merged adds up."""
-    return [F.count(v).alias("n"), F.avg(v).alias("mean"), (F.count(v) * F.var_pop(v)).alias("m2")]
-
-
-def _merged() -> dict[str, Column]:
-    """n, mean and m2 of groups of _moments, around a fixed centre near percentages, so that groups add up."""
-    n, mean = F.sum("n"), F.sum(F.col("n") * F.col("mean")) / F.nullif(F.sum("n"), F.lit(0))
-    return {"n": n, "mean": mean, "m2": F.greatest(F.sum("m2") + F.sum(F.col("n") * (F.col("mean") - 50.0) ** 2) - n * (mean - 50.0) ** 2, F.lit(0.0))}
-
-
 def snapshot(rated: DataFrame, row: str = "row_seq") -> DataFrame:
     """Players after the fold: last ratings, games, mean and deviation of their percentages.
 

@@ -73,6 +73,27 @@ def test_windows_of_unconnected_sessions_equal_the_plain_fold(spark, tmp_path, m
     assert not (tmp_path / "f" / "input").exists()
 
 
+def test_few_rows_are_one_window_whatever_their_days(spark, tmp_path):
+    rows = sessions(days=3, clubs=2)
+    named = frame(spark, rows).withColumn("player2_name", F.when(F.col("row_seq") > 1, F.col("player2_name")))
+    history.fold_windows(history.with_percentages(named), f"{tmp_path}/f", ["series_id"], window_rows=1)
+    assert [p.name for p in (tmp_path / "f" / "results").iterdir()] == ["window=0"]  # days don't wait for each other's jobs
+    got = spark.read.parquet(f"{tmp_path}/f/results")
+    assert rated(got) == full(spark, rows)
+    want = {}
+    for r in sorted(got.collect(), key=lambda r: r.fold_seq):
+        for i in (1, 2):
+            if p := r[f"player{i}_id"]:
+                games = want.get((r.series_id, r.fold_day, p), [()])[-1]
+                want[r.series_id, r.fold_day, p] = [r[f"player{i}_scratch_raw"], r[f"player{i}_handicap_elo_after"], r[f"player{i}_name"], (*games, r.scratch_percentage)]
+    states = spark.read.parquet(f"{tmp_path}/f/states").collect()
+    assert {(r.series_id, r.day, r.player_id): [r.scratch, r.handicap_elo, r.player_name, r.games] for r in states} == {k: [*v[:3], len(v[3])] for k, v in want.items()}
+    for r in states:
+        games = want[r.series_id, r.day, r.player_id][3]
+        mean = sum(games) / len(games)
+        assert (r.n, r["mean"], r.m2) == pytest.approx((len(games), mean, sum((x - mean) ** 2 for x in games)), abs=1e-8)
+
+
 def test_a_day_of_one_pool_is_folded_by_several_tasks(spark):
     df = frame(spark, sessions(days=4, pools=(0,)))
     own = history.coupled(df.where("date < '2024-01-05'"))
