@@ -10,6 +10,8 @@ Text days as folder names prune before any file is opened; buckets and row group
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -24,31 +26,53 @@ from ..plans.params import MOMENTS, Report
 from ..shared import checkpointed
 
 BUCKETS = 64
+#: Rows that a task of the layout sorts, so that it needs no disk for them.
+SORTED_ROWS = 400_000
+#: Groups of parts that a task aggregates by hash before it sorts its rows instead; Spark's own limit is 128.
+GROUPS = 50_000
 
 
 def _bucket(c: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
 
 
+@contextmanager
+def _hashed(spark: SparkSession) -> Iterator[None]:
+    """Aggregates of a session's sets hold GROUPS groups of a task: an entity, day, mode of play and stratum have many rows, which needn't be sorted."""
+    key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(GROUPS, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _tasks(spark: SparkSession, rows: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // SORTED_ROWS))
+
+
 def write_store(boards: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Lays out boards under path, whose folders are replaced. boards are read once for the layout and once for each moment's parts."""
-    laid = states.with_day(boards)
-    laid.repartition("day").sortWithinPartitions("day", "Date").write.mode("overwrite").partitionBy("day").parquet(f"{path}/boards")
-    stored = boards.sparkSession.read.parquet(f"{path}/boards")
+    """Lays out boards under path, whose folders are replaced. boards are counted, read for the layout, and from there once for each moment's parts."""
+    spark, laid = boards.sparkSession, states.with_day(boards)
+    # ranges, not hashes, deal the rows, so that a day or a player with a large share of all boards has several tasks
+    laid.repartitionByRange(_tasks(spark, laid.count()), "day", "Date").sortWithinPartitions("day", "Date").write.mode("overwrite").partitionBy("day").parquet(f"{path}/boards")
+    stored = spark.read.parquet(f"{path}/boards")
     players = F.array_distinct(F.filter(F.array(*[F.col(f"Player_ID_{s}") for s in "NESW"]), lambda x: x.isNotNull()))
     seats = stored.select("*", F.explode(players).alias("player")).withColumn("bucket", _bucket(F.col("player"), buckets))
-    # ranges, not hashes, deal the rows, so that a player with a large share of all boards has several tasks
-    seats.repartitionByRange("bucket", "player", "Date").sortWithinPartitions("bucket", "player", "Date").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/seats")
-    for k, moment in enumerate(MOMENTS):
-        if moment not in states.moments_of(boards):
-            continue
-        seat, side = MOMENTS[moment]
-        own = f"{path}/parts/moment={k}"
-        if seat is not None:
-            states.player_parts(stored, seat).write.mode("overwrite").parquet(f"{own}/players")
-            states.scale_parts(stored, [seat.format(s) for s in "NESW"]).write.mode("overwrite").parquet(f"{own}/players_scale")
-        states.pair_parts(stored, side, seat).write.mode("overwrite").parquet(f"{own}/pairs")
-        states.scale_parts(stored, [side.format(s) for s in B.SIDES]).write.mode("overwrite").parquet(f"{own}/pairs_scale")
+    dealt = seats.repartitionByRange(_tasks(spark, 4 * stored.count()), "bucket", "player", "Date")
+    dealt.sortWithinPartitions("bucket", "player", "Date").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/seats")
+    with _hashed(spark):
+        for k, moment in enumerate(MOMENTS):
+            if moment not in states.moments_of(boards):
+                continue
+            seat, side = MOMENTS[moment]
+            own = f"{path}/parts/moment={k}"
+            if seat is not None:
+                states.player_parts(stored, seat).write.mode("overwrite").parquet(f"{own}/players")
+                states.scale_parts(stored, [seat.format(s) for s in "NESW"]).write.mode("overwrite").parquet(f"{own}/players_scale")
+            states.pair_parts(stored, side, seat).write.mode("overwrite").parquet(f"{own}/pairs")
+            states.scale_parts(stored, [side.format(s) for s in B.SIDES]).write.mode("overwrite").parquet(f"{own}/pairs_scale")
 
 
 @dataclass(frozen=True)

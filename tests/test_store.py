@@ -72,3 +72,15 @@ def test_scans_are_pruned(laid):
     assert all("/parts/" in f for f in leader.inputFiles())  # boards aren't read
     edge = own._pool_parts(Report(**PLAIN | {"date_from": dt.datetime(2024, 1, 9, 12)}))
     assert "PartitionFilters: [isnotnull(day" in [x for x in read(edge) if "Player_ID_N" in x][0]
+
+
+def test_the_layout_deals_as_many_tasks_as_it_has_rows_for_and_hashes_groups(spark, boards, tmp_path, monkeypatch):
+    key, seen, parts = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", [], store.states.player_parts
+    monkeypatch.setattr(store, "SORTED_ROWS", 200)
+    monkeypatch.setattr(store.states, "player_parts", lambda *a: (seen.append(spark.conf.get(key)), parts(*a))[1])
+    before = spark.conf.get(key)
+    store.write_store(boards, str(tmp_path), 2)
+    files = spark.read.parquet(f"{tmp_path}/seats").select(F.input_file_name().alias("f")).distinct().count()
+    assert files > 10  # 4 shuffle partitions and 2 buckets gave 6 at most
+    assert seen and set(seen) == {str(store.GROUPS)} and spark.conf.get(key) == before
+    assert spark.read.parquet(f"{tmp_path}/boards").count() == boards.count()
