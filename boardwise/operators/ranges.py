@@ -15,6 +15,8 @@ from ..shared import checkpointed
 
 #: Rows up to which one task ranks them, by a plain window.
 FEW = 5000
+#: Values of a measure up to which their ranks are sent to all tasks.
+SENT = 100_000
 
 
 def ordered(*keys: tuple[str, bool]) -> list[Column]:
@@ -22,14 +24,17 @@ def ordered(*keys: tuple[str, bool]) -> list[Column]:
     return [F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in keys]
 
 
-def _measured(df: DataFrame, measures: Sequence[tuple[Column, bool]], *keep: str) -> DataFrame:
-    """A row for each measure: m, its place in measures, and (k, v), by which its values sort upwards, NaN as the greatest and nulls last."""
-    each = []
-    for i, (c, down) in enumerate(measures):
-        v = c.cast("double")
-        k = F.when(v.isNull(), 2).when(F.isnan(v), -1 if down else 1).otherwise(0)
-        each.append(F.struct(F.lit(i).alias("m"), k.alias("k"), F.when(k == 0, -v if down else v).otherwise(0.0).alias("v")))
-    return df.select(*keep, F.inline(F.array(*each)))
+def _key(c: Column, down: bool) -> tuple[Column, Column]:
+    """(k, v), by which a measure's values sort upwards, NaN as the greatest and nulls last."""
+    v = c.cast("double")
+    k = F.when(v.isNull(), 2).when(F.isnan(v), -1 if down else 1).otherwise(0)
+    return k, F.when(k == 0, -v if down else v).otherwise(0.0)
+
+
+def _measured(df: DataFrame, measures: Sequence[tuple[Column, bool]]) -> DataFrame:
+    """A row for each measure: m, its place in measures, and its value's (k, v)."""
+    keys = [_key(c, down) for c, down in measures]
+    return df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("m"), k.alias("k"), v.alias("v")) for i, (k, v) in enumerate(keys)])))
 
 
 def _placed(values: DataFrame) -> DataFrame:
@@ -46,15 +51,20 @@ def _placed(values: DataFrame) -> DataFrame:
 def ranks(df: DataFrame, key: str, measures: Mapping[str, tuple[Column, bool]], n: int | None = None) -> DataFrame:
     """df with a rank for each of measures: (value, descending); equal values have the same one, nulls the last.
 
-    key tells df's rows apart, and one may be null. All measures are ranked in one pass: by counts of their values, whose
-    ranks are joined to the rows by value and gathered by key. n: how many rows df has; a few are ranked by windows.
+    key tells df's rows apart, and one may be null. All measures are ranked in one pass, by counts of their values. Their
+    ranks are joined to the rows by value, a measure after the other: by broadcast where values are few, and otherwise each in
+    stages of its own, so that a task sorts its rows once at a time. n: how many rows df has; a few are ranked by windows.
     """
     if n is not None and n <= FEW:
         return df.withColumns({name: F.rank().over(Window.orderBy(c.desc_nulls_last() if down else c.asc_nulls_last())) for name, (c, down) in measures.items()})
-    long = _measured(df, [*measures.values()], key)
-    placed = _placed(long.select("m", "k", "v"))
-    of_key = long.join(placed, ["m", "k", "v"]).groupBy(F.col(key).alias("_key")).agg(*[F.max(F.when(F.col("m") == i, F.col("before") + 1)).cast("int").alias(name) for i, name in enumerate(measures)])
-    return df.join(of_key, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    placed = checkpointed(_placed(_measured(df, [*measures.values()]))).select("m", "k", "v", (F.col("before") + 1).cast("int").alias("rank"))
+    values, kept = {r["m"]: r["count"] for r in placed.groupBy("m").count().collect()}, df.columns  # a row a measure
+    for i, (name, (c, down)) in enumerate(measures.items()):
+        of = placed.where(F.col("m") == i).select(F.col("k").alias("_k"), F.col("v").alias("_v"), F.col("rank").alias(name))
+        k, v = _key(c, down)
+        df = df.withColumns({"_k": k, "_v": v}).join(F.broadcast(of) if values.get(i, 0) <= SENT else of, ["_k", "_v"]).select(*kept, name)
+        kept = [*kept, name]
+    return df
 
 
 def medians(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:

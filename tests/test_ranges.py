@@ -64,3 +64,18 @@ def test_no_task_has_all_rows(spark):
     df = spark.range(20000).select(F.col("id").cast("string").alias("key"), (F.col("id") % 4000).alias("v"))
     plan = N.ranks(df, "key", {"r": (F.col("v"), True)}, 20000)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "Window" in plan
+
+
+def test_measures_of_few_values_rank_rows_where_they_are(spark):
+    df = spark.range(6000).selectExpr("id", "if(id % 9 = 0, null, id % 50) AS a", "if(id % 11 = 0, double('NaN'), double(id % 7)) AS b")
+    out = N.ranks(df, "id", {"by_a": (F.col("a"), True), "by_b": (F.col("b"), False)})
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()  # rows aren't shuffled
+    plain = N.ranks(df, "id", {"by_a": (F.col("a"), True), "by_b": (F.col("b"), False)}, n=1)
+    assert sorted(map(str, out.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_a_measure_of_many_values_is_joined_by_value(spark, monkeypatch):
+    monkeypatch.setattr(N, "SENT", 10)
+    df = spark.range(6000).selectExpr("if(id = 5, null, id) AS id", "id % 3000 AS a", "id % 4 AS b")
+    of = {"by_a": (F.col("a"), True), "by_b": (F.col("b"), False)}
+    assert sorted(map(str, N.ranks(df, "id", of).collect())) == sorted(map(str, N.ranks(df, "id", of, n=1).collect()))
