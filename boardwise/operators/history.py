@@ -2,17 +2,21 @@
 
 A rating depends on the field's mean at the start of its session, so a pool's sessions follow each other where players
 connect them. Pools (columns given in `by`) are independent and fold in parallel. What follows each other is little: two codes
-and two percentages a row, packed by session, from which a pool's task finds the ratings that each session starts with. From
-those, sessions are rated apart, wherever they are: whole rows arrive sorted through Spark's own external sort and leave as they
-came, with their ratings. A task holds its players' ratings and one session's players and percentages.
+and two percentages a row, packed by session, from which a pool's task finds each session's means and the ratings that each
+chunk of it starts with. From those, chunks are rated apart, wherever they are: whole rows arrive sorted through Spark's own
+external sort and leave as they came, with their ratings. A pool's task holds its players' ratings and one session's packs, any
+other a batch.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator, Sequence
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +33,10 @@ FEW_ROWS = 50_000_000
 PACK = 256
 #: Least number of tasks that sessions are dealt to, as a few large ones of a pool shouldn't meet in a task.
 SESSION_PARTS = 32
+#: Rows of a session from which a pack may begin another chunk, so that a large session has several tasks.
+CHUNK = 16_384
+#: Rows that a task sorts, on average.
+TASK_ROWS = 100_000
 #: What a fold can go on from: players' unrounded ratings after a row, and the row's place in its task's order.
 TRACE = ["player1_scratch_raw", "player1_handicap_raw", "player2_scratch_raw", "player2_handicap_raw", "fold_seq"]
 
@@ -49,10 +57,15 @@ def _shown(x: float) -> float:
     return round(min(R.DISPLAY_MAX, max(0.0, min(10000.0, max(-1000.0, x)) * 2.0)), 1)
 
 
-def _fields(pairs: Sequence[tuple], scratch: dict, handicap: dict) -> tuple[float, ...]:
+def _fields(pairs: Iterable[tuple], scratch: dict, handicap: dict) -> tuple[float, ...]:
     """Means of both players' ratings over a session's rows (player1, player2, ...) that have both."""
-    start, full = R.DEFAULT_ELO, [x[:2] for x in pairs if x[0] and x[1]]
-    return tuple(sum([(ratings.get(a, start) + ratings.get(b, start)) / 2 for a, b in full]) / len(full) if full else start for ratings in (scratch, handicap))
+    start, means = R.DEFAULT_ELO, (array("d"), array("d"))
+    for x in pairs:
+        a, b = x[0], x[1]
+        if a and b:
+            means[0].append((scratch.get(a, start) + scratch.get(b, start)) / 2)
+            means[1].append((handicap.get(a, start) + handicap.get(b, start)) / 2)
+    return tuple(sum(own) / len(own) if own else start for own in means)
 
 
 def _rated(rows: Sequence[tuple], fields: tuple[float, ...], scratch: dict, handicap: dict) -> list[tuple]:
@@ -102,18 +115,22 @@ def _narrow(results: DataFrame, row: str) -> list[Column]:
 ROW_ORDER = ["place", "player1_id", "player2_id", "scratch", "handicap"]
 
 
-def _tasks(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, as Spark would join parts by their bytes, and the fold's work isn't in them
+def _tasks(df: DataFrame, rows: int = 0) -> int:
+    # a number, as Spark would join parts by their bytes, and the fold's work isn't in them
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
 
 
-def _packs(results: DataFrame, by: Sequence[str], row: str) -> DataFrame:
-    """Rows of each session in order, up to PACK in a row: their players once, and of each row two places among them (null: no player) and the percentages."""
+def _packs(results: DataFrame, by: Sequence[str], row: str, rows: int = 0) -> DataFrame:
+    """Rows of each session in order, up to PACK in a row: their players once, and of each row two places among them (null: no player) and the percentages.
+
+    Ranges deal the rows, so a large session has several tasks; (part, pack) is a pack's place in its session. first and last are
+    the places of its first and last row. rows: how many there are."""
     keys = [*by, "date", "tournament_id"]
     own = results.select(*by, *_narrow(results, row))
-    dealt = own.repartition(max(_tasks(own), SESSION_PARTS), *keys).sortWithinPartitions(*keys, *ROW_ORDER)
+    dealt = own.repartitionByRange(_tasks(own, rows), *keys, *ROW_ORDER).sortWithinPartitions(*keys, *ROW_ORDER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        session, pack = None, 0
+        session, pack, part = None, 0, TaskContext.get().partitionId()
         for batch in batches:
             starts, packs = [], []
             for k, key in enumerate(zip(*(batch.column(i).to_pylist() for i in range(len(keys))))):
@@ -132,53 +149,74 @@ def _packs(results: DataFrame, by: Sequence[str], row: str) -> DataFrame:
                 for of, x in zip(lists, values):
                     of.append(x)
             if starts:
-                at = pa.array(starts, pa.int64())
+                at, until, place = pa.array(starts, pa.int64()), pa.array([b - 1 for b in ends], pa.int64()), batch.column("place")
                 arrays = [pa.ListArray.from_arrays(pa.array([0, *itertools.accumulate(map(len, x))], pa.int32()), pa.concat_arrays(x)) for x in lists]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(keys))), pa.array(packs, pa.int32()), *arrays], names=[*keys, "pack", *PACKED])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(keys))), pa.repeat(pa.scalar(part, pa.int32()), len(starts)), pa.array(packs, pa.int32()), place.take(at), place.take(until), *arrays], names=[*keys, "part", "pack", "first", "last", *PACKED])
 
     types = {f.name: f.dataType.simpleString() for f in own.schema}
-    return dealt.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keys), "pack int", "players array<string>", "a array<int>", "b array<int>", "scratch array<double>", "handicap array<double>"]))
+    return dealt.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keys), "part int", "pack int", *(f"{c} {types['place']}" for c in ("first", "last")), "players array<string>", "a array<int>", "b array<int>", "scratch array<double>", "handicap array<double>"]))
 
 
 PACKED = ["players", "a", "b", "scratch", "handicap"]
 
 
-def _starts(results: DataFrame, by: Sequence[str], row: str, initial: DataFrame | None) -> DataFrame:
-    """(by, date, tournament_id, player_id, scratch, handicap, done): ratings of each session's players ahead of it, of those that have some.
+def _starts(results: DataFrame, by: Sequence[str], row: str, initial: DataFrame | None, rows: int = 0) -> DataFrame:
+    """(by, date, tournament_id, chunk, player_id, scratch, handicap, done, fields, low): ratings of each chunk's players ahead of it, of those that have some.
 
-    done is the number of the pool's rows ahead; each session has a row without a player, for it. A pool's task reads its first ratings, then its sessions' packs.
+    done is the number of the pool's rows ahead, and fields are the session's means; each chunk has a row without a player, for
+    them. low is what tells a chunk's rows from those ahead, of all chunks but a session's first: the place and the players of its
+    first row. A chunk begins where that differs from the row ahead. A pool's task reads its first ratings, then its sessions' packs.
     """
-    own = _packs(results, by, row).withColumn("kind", F.lit(1))
+    own = _packs(results, by, row, rows).withColumn("kind", F.lit(1))
     if initial is not None:
         one = [F.array(F.col(c).cast(t)).alias(n) for c, t, n in (("player_id", "string", "players"), ("scratch", "double", "scratch"), ("handicap", "double", "handicap"))]
         own = own.unionByName(initial.select(*by, F.lit(0).alias("kind"), *one), allowMissingColumns=True)
     keys = [*by, "date", "tournament_id"]
     own = own.repartition(_tasks(own), *by) if by else own.repartition(1)
-    ordered, n_by = own.sortWithinPartitions(*by, "kind", "date", "tournament_id", "pack", "players", "scratch", "handicap"), len(by)
+    ordered, n_by = own.sortWithinPartitions(*by, "kind", "date", "tournament_id", "part", "pack", "players", "scratch", "handicap"), len(by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool, session, held, scratch, handicap, done = None, None, [], {}, {}, 0
 
-        def rows(p: list) -> Iterator[tuple]:
-            names, a, b, s, h = (x.as_py() for x in p)
+        def rows_of(p: list) -> Iterator[tuple]:
+            names, a, b, s, h = (x.as_py() for x in p[2:])
             return zip((None if i is None else names[i] for i in a), (None if i is None else names[i] for i in b), s, h)
 
-        def flush() -> pa.RecordBatch:
+        def edge(p: list, at: int) -> tuple:
+            return (p[at].as_py(), *(None if (i := p[c][-at].as_py()) is None else p[2][i].as_py() for c in (3, 4)))
+
+        def chunks() -> Iterator[tuple]:
+            low, own, n = None, [], 0
+            for p in held:
+                if n >= CHUNK:
+                    before, first = edge(own[-1], 1), edge(p, 0)
+                    if before != first and first[0] == first[0]:  # a place that is no number isn't told apart
+                        yield low, own
+                        low, own, n = first, [], 0
+                own.append(p)
+                n += len(p[3])
+            yield low, own
+
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal done
-            known = [p for p in dict.fromkeys(n for x in held for n in x[0].as_py()) if p in scratch]
-            columns = [[None, *known], [None, *(scratch[p] for p in known)], [None, *(handicap[p] for p in known)]]
-            out = [*(pa.repeat(k, len(known) + 1) for k in session), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.float64()))), pa.repeat(pa.scalar(done, pa.int64()), len(known) + 1)]
-            fields = _fields([x for p in held for x in rows(p)], scratch, handicap)
+            fields = _fields((x for p in held for x in rows_of(p)), scratch, handicap)
             scales, start, step = [_scale(f) for f in fields], R.DEFAULT_ELO, _step
-            for p in held:
-                for a, b, pct, with_bonus in rows(p):
-                    done += 1
-                    other, track = (pct, 0) if with_bonus is None else (with_bonus, 1)
-                    for x in (a, b):
-                        if x:
-                            scratch[x] = step(scratch.get(x, start), pct, fields[0], scales[0])
-                            handicap[x] = step(handicap.get(x, start), other, fields[track], scales[track])
-            return pa.RecordBatch.from_arrays(out, names=[*keys, "player_id", "scratch", "handicap", "done"])
+            for number, (low, own) in enumerate(chunks()):
+                known = [p for p in dict.fromkeys(n for x in own for n in x[2].as_py()) if p in scratch]
+                columns = [(pa.string(), [None, *known]), (pa.float64(), [None, *(scratch[p] for p in known)]), (pa.float64(), [None, *(handicap[p] for p in known)])]
+                same = [pa.scalar(number, pa.int32()), pa.scalar(done, pa.int64()), *(pa.scalar(f, pa.float64()) for f in fields)]
+                lows = zip((held[0][0].type, pa.string(), pa.string()), low or (None,) * 3)
+                size = len(known) + 1
+                arrays = [*(pa.repeat(x, size) for x in (*session, *same)), *(pa.array(c, t) for t, c in columns), *(pa.array([x] + [None] * len(known), t) for t, x in lows)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "chunk", "done", *STARTED])
+                for p in own:
+                    for a, b, pct, with_bonus in rows_of(p):
+                        done += 1
+                        other, track = (pct, 0) if with_bonus is None else (with_bonus, 1)
+                        for x in (a, b):
+                            if x:
+                                scratch[x] = step(scratch.get(x, start), pct, fields[0], scales[0])
+                                handicap[x] = step(handicap.get(x, start), other, fields[track], scales[track])
 
         for batch in batches:
             columns = {c: batch.column(c) for c in batch.schema.names}
@@ -186,7 +224,7 @@ def _starts(results: DataFrame, by: Sequence[str], row: str, initial: DataFrame
                 key = tuple(columns[c][k] for c in keys)
                 first = columns["kind"][k].as_py() == 0
                 if held and (first or key != session):
-                    yield flush()
+                    yield from flush()
                     held = []
                 if key[:n_by] != pool:
                     pool, scratch, handicap, done = key[:n_by], {}, {}, 0
@@ -195,21 +233,34 @@ def _starts(results: DataFrame, by: Sequence[str], row: str, initial: DataFrame
                     scratch[player], handicap[player] = columns["scratch"][k].as_py()[0], columns["handicap"][k].as_py()[0]
                 else:
                     session = key
-                    held.append([columns[c][k] for c in PACKED])
+                    held.append([columns[c][k] for c in ("first", "last", *PACKED)])
         if held:
-            yield flush()
+            yield from flush()
 
     types = {f.name: f.dataType.simpleString() for f in own.schema}
-    return ordered.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keys), "player_id string, scratch double, handicap double, done long"]))
+    started = ["scratch_field double", "handicap_field double", "player_id string", "scratch double", "handicap double", f"low_place {types['first']}", "low_player1_id string", "low_player2_id string"]
+    return ordered.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keys), "chunk int", "done long", *started]))
+
 
+STARTED = ["scratch_field", "handicap_field", "player_id", "scratch", "handicap", "low_place", "low_player1_id", "low_player2_id"]
 
-def _stream(results: DataFrame, by: Sequence[str], row: str, starts: DataFrame | None) -> DataFrame:
-    """What a task reads of each session, in order: its players' first ratings (as player1_id, scratch, handicap), then its results."""
+
+def _stream(results: DataFrame, by: Sequence[str], row: str, starts: DataFrame | None, rows: int = 0) -> DataFrame:
+    """What a task reads of each chunk, in order: its players' first ratings (as player1_id, scratch, handicap), then its results.
+
+    A row's chunk is the number of its session's lows up to it; few sessions have any, and starts are read twice for them."""
     keys = [*by, "date", "tournament_id"]
     own = results.select(*by, *_narrow(results, row), F.lit(1).alias("kind"), F.struct(*results.drop(*OUT).columns).alias("own"))
-    if starts is not None:
-        own = own.unionByName(starts.select(*keys, F.lit(0).alias("kind"), F.col("player_id").alias("player1_id"), "scratch", "handicap", "done"), allowMissingColumns=True)
-    return own.repartition(max(_tasks(own), SESSION_PARTS), *keys).sortWithinPartitions(*keys, "kind", *ROW_ORDER)
+    if starts is None:
+        own = own.withColumn("chunk", F.lit(0))
+    else:
+        low = F.struct(*[F.col(f"low_{c}").alias(c) for c in ROW_ORDER[:3]])
+        lows = starts.where("player_id is null and chunk > 0").groupBy(*keys).agg(F.collect_list(low).alias("lows"))
+        ahead = F.size(F.filter("lows", lambda x: x <= F.struct(*ROW_ORDER[:3])))
+        own = _same(own, F.broadcast(lows), keys, "left").withColumn("chunk", F.when(F.col("lows").isNull(), F.lit(0)).otherwise(ahead)).drop("lows")
+        first = starts.select(*keys, "chunk", F.lit(0).alias("kind"), F.col("player_id").alias("player1_id"), "scratch", "handicap", "done", "scratch_field", "handicap_field")
+        own = own.unionByName(first, allowMissingColumns=True)
+    return own.repartition(max(_tasks(own, rows), SESSION_PARTS), *keys, "chunk").sortWithinPartitions(*keys, "chunk", "kind", *ROW_ORDER)
 
 
 def up_to(results: DataFrame, today: str | None) -> DataFrame:
@@ -224,46 +275,34 @@ def fold(results: DataFrame, by: Sequence[str] = (), row: str = "row_seq", today
     Percentages are completed by with_percentages. Sessions go by date text, then id, and rows of a session by `row`; nulls
     come first. Later sessions than `today` are left out. Every other row stays, repeated ones too, which count each. A null
     or empty id is no player. initial: ratings to start from, (by, player_id, scratch, handicap), read as the pool's first rows.
-    trace adds the columns TRACE. results are read twice, and have to be the same both times.
+    trace adds the columns TRACE. results are counted, read in the order of the pools as soon as this is called, and read again
+    as whole rows; they have to be the same each time.
     """
     known = up_to(results, today)
-    ordered, keys = _stream(known, by, row, _starts(known, by, row, initial)), [*by, "date", "tournament_id", "kind"]
+    n = known.count()
+    ordered, keys = _stream(known, by, row, checkpointed(_starts(known, by, row, initial, n)), n), [*by, "date", "tournament_id", "chunk"]
     names, types = [*OUT, *TRACE], [*[pa.float64()] * (len(OUT) + 4), pa.int64()]
     names, types = (names, types) if trace else (OUT, types[: len(OUT)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        session, held, parts, ratings, done = None, [], [], ({}, {}), 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            fields, at = _fields(held, *ratings), 0
-            for own in parts:
-                columns = [*zip(*_rated(held[at : at + len(own)], fields, *ratings)), range(done + at, done + at + len(own))]
-                at += len(own)
-                yield pa.RecordBatch.from_arrays([own, *(pa.array(c, t) for c, t in zip(columns, types))], names=["own", *names])
-
+        chunk, ratings, fields, done = None, ({}, {}), (), 0
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in keys]
-            values, own, start = list(zip(*(b.column(c).to_pylist() for c in ("player1_id", "player2_id", "scratch", "handicap")))), b.column("own"), 0
-            for k, key in enumerate(zip(*columns)):
-                if key != session:
-                    if held:
-                        if k > start:
-                            parts.append(own.slice(start, k - start))
-                        yield from flush()
-                    if session is None or key[:-1] != session[:-1]:
-                        ratings = ({}, {})
-                    held, parts, start, session = [], [], k, key
-                if key[-1]:
-                    held.append(values[k])
+            values = list(zip(*(b.column(c).to_pylist() for c in ROW_ORDER[1:])))
+            codes = [b.column(c).dictionary_encode().indices.fill_null(-1).to_numpy() for c in (*keys, "kind")]
+            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)) + 1
+            for k, at in itertools.pairwise([0, *new.tolist(), b.num_rows] if b.num_rows else []):
+                key = [b.column(c)[k].as_py() for c in keys]
+                if key != chunk:
+                    chunk, ratings = key, ({}, {})
+                if b.column("kind")[k].as_py() == 0:
+                    fields, done = tuple(b.column(c)[k].as_py() for c in ("scratch_field", "handicap_field")), b.column("done")[k].as_py()
+                    for player, _, scratch, handicap in values[k:at]:
+                        if player:
+                            ratings[0][player], ratings[1][player] = scratch, handicap
                 else:
-                    player, _, scratch, handicap = values[k]
-                    done = b.column("done")[k].as_py()
-                    if player:
-                        ratings[0][player], ratings[1][player] = scratch, handicap
-            if held and b.num_rows > start:
-                parts.append(own.slice(start))
-        if held:
-            yield from flush()
+                    out = [*zip(*_rated(values[k:at], fields, *ratings)), range(done, done + at - k)]
+                    done += at - k
+                    yield pa.RecordBatch.from_arrays([b.column("own").slice(k, at - k), *(pa.array(c, t) for c, t in zip(out, types))], names=["own", *names])
 
     kind = ordered.schema["own"].dataType.simpleString()
     rated = ordered.mapInArrow(run, ", ".join([f"own {kind}", *(f"{c} {'long' if c == 'fold_seq' else 'double'}" for c in names)]))

@@ -1,4 +1,5 @@
 import datetime as dt
+import itertools
 import json
 import random
 import re
@@ -249,3 +250,26 @@ def test_a_snapshot_aggregates_by_hash_before_it_sorts(spark):
     assert got == {"a": ("A2", 4.0, 104.0, 3, 50.0), "b": (None, 3.0, 103.0, 3, 40.0), "c": ("C2", 7.0, 107.0, 2, 70.0)}
     assert {r.player_id: r.stdev_percentage for r in people.collect()} == pytest.approx({"a": 10.0, "b": 10.0, "c": 0.0})
     assert re.findall(r"(\w+)Aggregate\(", people._jdf.queryExecution().executedPlan().toString())[-1] == "Hash"
+
+
+def test_a_large_session_is_rated_in_chunks_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(history, "PACK", 8)
+    monkeypatch.setattr(history, "CHUNK", 40)
+    monkeypatch.setattr(history, "TASK_ROWS", 300)
+    n = 1500
+    place = lambda k: None if k < 300 else 7 if k < 500 else k
+    odd = [(None if k < 1400 else "2024-01-02", f"t{k // 1400}", place(k), f"p{k * 7 % 90:02d}", None if k % 13 == 0 else f"q{k % 80:02d}", float(k % 60 + 20), None if k % 3 else float(k % 50 + 30), k) for k in range(n)]
+    schema = "date string, tournament_id string, row_seq int, player1_id string, player2_id string, scratch_percentage double, handicap_percentage double, own int"
+    df = history.with_percentages(spark.createDataFrame(odd, schema).repartition(3))
+    assert largest_task(history._packs(df, [], "row_seq", n)) < 60 and largest_task(history._stream(df, [], "row_seq", history._starts(df, [], "row_seq", None, n), n)) < 600
+    low = lambda x: (x is not None, x or "")
+    order = lambda r: (low(r[0]), r[1], (r[2] is not None, r[2] or 0), r[3], low(r[4]), r[5], (r[6] is not None, r[6] or 0.0))
+    ordered = sorted(odd, key=order)
+    want = plain_fold([(r[0] or "", r[1], k, *r[3:7]) for k, r in enumerate(ordered)])
+    got = {r.own: r for r in history.fold(df, trace=True).collect()}
+    assert len(got) == n and sorted(r.fold_seq for r in got.values()) == list(range(n))
+    shown = lambda r: (r.player1_scratch_elo_after, r.player2_handicap_elo_after, r.scratch_pair_elo)
+    values = lambda r: r[:7]
+    for key, same in itertools.groupby(enumerate(ordered), key=lambda x: values(x[1])):
+        same = list(same)
+        assert sorted(map(str, (shown(got[r[7]]) for _, r in same))) == sorted(str(want[r[1], k]) for k, r in same), key
