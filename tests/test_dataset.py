@@ -181,6 +181,16 @@ def test_prune_leaves_what_is_not_its_own(spark, tmp_path):
     assert other.name == "v20240501T120000000000"
 
 
+def test_the_last_of_builds_at_one_time_is_the_newest(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dataset.random, "randint", lambda a, b, steps=iter([900, 5, 7, 3]): next(steps))
+    one, path = spark.createDataFrame([("a",)], "tournament_id string"), str(tmp_path)
+    for _ in range(4):
+        last = dataset.write_whole(one, one, path, "k", NOW)
+        assert dataset.current(spark, path, "k").name == last.name
+    assert dataset.prune(spark, path, "k", 1) == ["v20240501T120000000000", "v20240501T120000000900", "v20240501T120000000905"]
+    assert dataset.write_whole(one, one, path, "k", NOW).name == dataset.current(spark, path, "k").name > last.name
+
+
 def test_builds_at_the_same_time_lose_nothing(spark, tmp_path):
     from concurrent.futures import ThreadPoolExecutor
 
