@@ -4,6 +4,7 @@
     seats/bucket=...                    a board under each of its players, sorted by player: a history reads one bucket, and of that the row groups that may have the player
     parts/moment=k/{players|pairs|players_scale|pairs_scale}   operators/states.py, for each moment of ratings
 
+write_store makes all of it; write_boards makes the boards, and write_for then what a report reads besides, once it is asked for.
 Text days as folder names prune before any file is opened; buckets and row groups prune by what Parquet's footers say.
 """
 
@@ -30,6 +31,8 @@ BUCKETS = 64
 SORTED_ROWS = 400_000
 #: Groups of parts that a task aggregates by hash before it sorts its rows instead; Spark's own limit is 128.
 GROUPS = 50_000
+#: Parts that a moment has; the scales are of its ratings' mean and deviation.
+KINDS = ("players", "players_scale", "pairs", "pairs_scale")
 
 
 def _bucket(c: Column, buckets: int) -> Column:
@@ -52,32 +55,62 @@ def _tasks(spark: SparkSession, rows: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // SORTED_ROWS))
 
 
-def write_store(boards: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Lays out boards under path, whose folders are replaced. boards are counted, read for the layout, and from there once for each moment's parts."""
+def write_boards(boards: DataFrame, path: str) -> None:
+    """Lays out boards by day, which all else under path is made from."""
     spark, laid = boards.sparkSession, states.with_day(boards)
     # ranges, not hashes, deal the rows, so that a day or a player with a large share of all boards has several tasks
     laid.repartitionByRange(_tasks(spark, laid.count()), "day", "Date").sortWithinPartitions("day", "Date").write.mode("overwrite").partitionBy("day").parquet(f"{path}/boards")
+
+
+def write_seats(spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
+    """Lays out the copy by player of the boards under path."""
     stored = spark.read.parquet(f"{path}/boards")
     players = F.array_distinct(F.filter(F.array(*[F.col(f"Player_ID_{s}") for s in "NESW"]), lambda x: x.isNotNull()))
     seats = stored.select("*", F.explode(players).alias("player")).withColumn("bucket", _bucket(F.col("player"), buckets))
     dealt = seats.repartitionByRange(_tasks(spark, 4 * stored.count()), "bucket", "player", "Date")
     dealt.sortWithinPartitions("bucket", "player", "Date").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/seats")
+
+
+def write_parts(spark: SparkSession, path: str, moment: str, kind: str) -> None:
+    """Lays out the parts of a kind and a moment's ratings, of the boards under path."""
+    stored, (seat, side) = spark.read.parquet(f"{path}/boards"), MOMENTS[moment]
+    parts = {
+        "players": lambda: states.player_parts(stored, seat), "players_scale": lambda: states.scale_parts(stored, [seat.format(s) for s in "NESW"]),
+        "pairs": lambda: states.pair_parts(stored, side, seat), "pairs_scale": lambda: states.scale_parts(stored, [side.format(s) for s in B.SIDES]),
+    }[kind]
     with _hashed(spark):
-        for k, moment in enumerate(MOMENTS):
-            if moment not in states.moments_of(boards):
-                continue
-            seat, side = MOMENTS[moment]
-            own = f"{path}/parts/moment={k}"
-            if seat is not None:
-                states.player_parts(stored, seat).write.mode("overwrite").parquet(f"{own}/players")
-                states.scale_parts(stored, [seat.format(s) for s in "NESW"]).write.mode("overwrite").parquet(f"{own}/players_scale")
-            states.pair_parts(stored, side, seat).write.mode("overwrite").parquet(f"{own}/pairs")
-            states.scale_parts(stored, [side.format(s) for s in B.SIDES]).write.mode("overwrite").parquet(f"{own}/pairs_scale")
+        parts().write.mode("overwrite").parquet(f"{path}/parts/moment={[*MOMENTS].index(moment)}/{kind}")
+
+
+def write_store(boards: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Lays out boards under path, whose folders are replaced, with all that any report reads. boards are counted, read for the layout, and from there once for each folder of parts."""
+    spark = boards.sparkSession
+    write_boards(boards, path)
+    write_seats(spark, path, buckets)
+    for moment in states.moments_of(boards):
+        for kind in KINDS:
+            if MOMENTS[moment][0] is not None or not kind.startswith("players"):
+                write_parts(spark, path, moment, kind)
+
+
+def write_for(p: Report, spark: SparkSession, path: str, buckets: int = BUCKETS, detail: bool = False) -> None:
+    """Of the boards under path, lays out what Store.report of p reads, or Store.detail, where it isn't there yet."""
+    kind = p.entity.lower() + "_scale" * detail
+    if detail and not _written(spark, f"{path}/seats"):
+        write_seats(spark, path, buckets)
+    if not _written(spark, f"{path}/parts/moment={[*MOMENTS].index(p.moment)}/{kind}"):
+        write_parts(spark, path, p.moment, kind)
+
+
+def _written(spark: SparkSession, folder: str) -> bool:
+    """Whether a write of the folder has ended."""
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return of.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(of)
 
 
 @dataclass(frozen=True)
 class Store:
-    """Reports over a folder that write_store has made."""
+    """Reports over a folder that write_store has made, or write_boards and, for each report, write_for."""
 
     spark: SparkSession = field(repr=False)
     path: str

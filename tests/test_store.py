@@ -84,3 +84,21 @@ def test_the_layout_deals_as_many_tasks_as_it_has_rows_for_and_hashes_groups(spa
     assert files > 10  # 4 shuffle partitions and 2 buckets gave 6 at most
     assert seen and set(seen) == {str(store.GROUPS)} and spark.conf.get(key) == before
     assert spark.read.parquet(f"{tmp_path}/boards").count() == boards.count()
+
+
+def test_a_report_has_laid_out_what_it_reads_alone(spark, boards, tmp_path):
+    path, p = str(tmp_path), Report(**PLAIN | {"date_from": dt.datetime(2024, 1, 9, 13, 5)})
+    own = store.Store(spark, path, 2)
+    made = lambda: {str(x.relative_to(tmp_path).parent) for x in tmp_path.rglob("_SUCCESS")}
+    store.write_boards(boards, path)
+    store.write_for(p, spark, path, 2)
+    assert made() == {"boards", "parts/moment=0/players"}  # neither a copy by player nor other parts, which it doesn't read
+    assert rows(own.report(p, 1400.0)) == rows(report.report(boards, p, 1400.0))
+    pairs = Report(**PLAIN | {"entity": "Pairs", "moment": "Rating at Start of Session"})
+    store.write_for(pairs, spark, path, 2, detail=True)
+    before = {f: f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    assert made() == {"boards", "parts/moment=0/players", "seats", "parts/moment=1/pairs_scale"}
+    assert rows(own.detail(pairs, pair="p24-p3")) == rows(report.detail(boards, pairs, pair="p24-p3"))
+    store.write_for(p, spark, path, 2)
+    store.write_for(pairs, spark, path, 2, detail=True)
+    assert {f: f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")} == before
